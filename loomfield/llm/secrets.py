@@ -64,9 +64,9 @@ BODY = re.compile(r"""(\\[nrt]|[\s"'`\\,+]+)|[^\s"'`\\]+""")
 FENCED = re.compile(r"-----BEGIN (?:[A-Z0-9 ]+)-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)|data:[\w/+.-]+;base64,[A-Za-z0-9+/=]*|(?i:\bsha(?:1|256|384|512)-[A-Za-z0-9+/=]+)", re.S)
 ABOUT_BEFORE = re.compile(r"(?i)(?:commit|checksum|integrity|sha\d*|md5|digest|hash|revision|etag|fingerprint|uuid|id)[\"'`\])]*\s*(?::=|[:=]|\s)\s*[\"'`]?\Z")
 
-#: Rows that can hold a credential at all, as a single RE2 automaton: a key block, a user part, a named value, or a letter or
-#: sign beside a digit within a long word. Everything below needs one of these.
-GATE = r"""PRIVATE KEY|://[^\s/:@]*:[^\s/@]+@|(?i:bearer|basic|log ?in|sign ?in|connect|auth\w*)[ (]|(?i:token|key|pw|pwd|password|passphrase|secret|credentials?|creds)\b[^\n:`"']{0,60}(?:: |`)[^\s"'`]{8}|(?i:passw|passphrase|pwd|kennwort|contrase|passe|senha|wachtwoord|secret|cred|token|auth|key|pin|k[0-9])[\w.-]*["'`\])}]*\s*(?::=|=>|->|=|:|,|>|is|to|`)?\s*["'`]?[^\s"'`<>,;(){}\[\]]*[0-9][^\s]*|[A-Za-z0-9_][A-Za-z0-9+/=_.~-]{17,}"""
+#: Rows that can hold a credential at all, as a single RE2 automaton: a key block, a user part, a sign-in, or a digit beside a
+#: letter or sign. Everything that is found has one of these.
+GATE = r"""PRIVATE KEY|://[^\s/:@]*:[^\s/@]+@|(?i:log_?in|sign_?in|connect|auth\w*)\(\s*["']|(?i:log_?in|auth|connect|-u\s+\S+)\b[^\n]*\s(?i:-p|--pass)|[A-Za-z+/=_~!$#%@.-][0-9]|[0-9][A-Za-z+/=_~]"""
 
 
 @lru_cache(maxsize=2)
@@ -148,7 +148,7 @@ def grants(value: str, where: str, path: str = VOCABULARY) -> bool:
     if where == "user":
         return len(value) >= 4 and residual(value, path) >= 1
     if where == "strong":
-        return len(value) >= 6 and has_letter and (has_digit or len(value) >= 16) and residual(value, path) >= 1
+        return len(value) >= 6 and has_letter and has_digit and residual(value, path) >= 1
     if where == "weak":
         return len(value) >= 8 and has_letter and has_digit and residual(value, path) >= 2
     if JWT.match(value) or MARKED.match(value):

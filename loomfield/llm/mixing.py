@@ -3,8 +3,8 @@
 Every row of a source is to be repeated the same, in general fractional, number of times. The whole part is certain; the
 fraction is a probability, and pairs of rows exchange probability at random, with what either holds in tokens unchanged
 and each row's expectation kept, until one of both is decided. One row at most stays open in a group of rows; the open
-rows of the groups meet in the next level of a reduction tree until one is left a source. The tokens drawn of a source
-differ from its target by less than its longest text.
+rows of the groups meet in the next level of a reduction tree until one is left a source. A reserve of short texts is rounded
+last, so that the tokens drawn of a source differ from its target by less than one short text, if it has enough of them.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from loomfield.session import checkpointed
 
 #: Rows that one task rounds at once.
 GROUP = 20_000
+#: The reserve has about so many times the tokens of the longest text of its source, in texts of at most a SHORT-th of that.
+RESERVE, SHORT = 4, 16
 
 
 def draw(seed: int, a: object, b: object) -> float:
@@ -28,12 +30,12 @@ def draw(seed: int, a: object, b: object) -> float:
     return xxhash.xxh64_intdigest(f"{a}|{b}", seed=seed) / 2.0**64
 
 
-def rounded(ids: list, sizes: list[float], shares: list[float], seed: int, last: bool) -> list[float]:
-    """The shares after pivotal rounding: all 0 or 1 but for one; that one too if ``last``."""
-    out = list(shares)
+def _pivot(ids: list, sizes: list[float], out: list[float], order: list[int], seed: int) -> int | None:
+    """Round out[i] for i in order by exchanging mass between pairs; the index of the one left open, if any."""
     eps = 1e-9
     held = None
-    for i, p in enumerate(out):
+    for i in order:
+        p = out[i]
         if p <= eps or p >= 1 - eps:
             out[i] = 0.0 if p <= eps else 1.0
             continue
@@ -54,8 +56,33 @@ def rounded(ids: list, sizes: list[float], shares: list[float], seed: int, last:
                 out[k] = 0.0 if q <= eps else 1.0
             else:
                 out[k], held = q, k
-    if last and held is not None:
-        out[held] = 1.0 if draw(seed, ids[held], "last") < out[held] else 0.0
+    return held
+
+
+def rounded(ids: list, sizes: list[float], shares: list[float], seed: int, last: bool = False, reserve: list[bool] | None = None) -> list[float]:
+    """The shares after pivotal rounding: all 0 or 1 but for one; that one too if ``last``.
+
+    The last open row may be a long text, and drawing it or not would miss the target by much of it. So the rows of the
+    reserve, short texts, are rounded after it: what it draws too much or too little, zero on average, is first taken from
+    or given to them in proportion.
+    """
+    out = list(shares)
+    reserve = reserve or [False] * len(out)
+    held = _pivot(ids, sizes, out, [i for i, r in enumerate(reserve) if not r], seed)
+    if not last:
+        return out
+    spare = [i for i, r in enumerate(reserve) if r]
+    if held is not None:
+        drawn = 1.0 if draw(seed, ids[held], "last") < out[held] else 0.0
+        excess = (drawn - out[held]) * sizes[held]
+        out[held] = drawn
+        room = sum(out[i] * sizes[i] if excess > 0 else (1 - out[i]) * sizes[i] for i in spare)
+        part = min(1.0, abs(excess) / room) if room > 0 else 0.0
+        for i in spare:
+            out[i] = out[i] * (1 - part) if excess > 0 else out[i] + (1 - out[i]) * part
+    held = _pivot(ids, sizes, out, sorted(spare, key=lambda i: -sizes[i]), seed)
+    if held is not None:
+        out[held] = 1.0 if draw(seed, ids[held], "end") < out[held] else 0.0
     return out
 
 
@@ -82,7 +109,7 @@ def mixed(counted: DataFrame, targets: dict[str, tuple[float, int]], key: str =
     checkpointed, since its sums are needed before its rows.
     """
     rows = checkpointed(counted.select(key, source, size).where(F.col(source).isin(list(targets)) & (F.col(size) > 0) & F.col(key).isNotNull()))
-    sums = {r[0]: (r[1], r[2]) for r in rows.groupBy(source).agg(F.sum(size), F.count("*")).collect()}  # a row a target
+    sums = {r[0]: (r[1], r[2], r[3]) for r in rows.groupBy(source).agg(F.sum(size), F.count("*"), F.max(size)).collect()}  # a row a target
     rate = rates({s: x[0] for s, x in sums.items()}, targets, total)
     spark = counted.sparkSession
     kind = rows.schema[key].dataType.simpleString()
@@ -94,34 +121,36 @@ def mixed(counted: DataFrame, targets: dict[str, tuple[float, int]], key: str =
 
     whole = {s: math.floor(c + 1e-9) for s, c in rate.items()}
     groups = {s: max(1, -(-sums[s][1] // group)) for s in rate}
+    short = {s: max(1, sums[s][2] // SHORT) for s in rate}
+    brief = rows.where(F.col(source).isin(list(rate)) & (F.col(size) <= of(short))).groupBy(source).agg(F.sum(size)).collect()  # a row a target
+    kept = {r[0]: min(1.0, RESERVE * sums[r[0]][2] / r[1]) for r in brief}
     rows = rows.where(F.col(source).isin(list(rate))).withColumn("whole", of(whole).cast("int"))
     rows = rows.withColumn("share", of({s: max(0.0, rate[s] - whole[s]) for s in rate}).cast("double"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(key), of(groups).cast("bigint")))
-    schema = f"`{key}` {kind}, `{source}` string, `{size}` bigint, whole int, share double, part bigint"
+    chance = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    spare = (F.col(size) <= of(short)) & (chance < of({s: kept.get(s, 0.0) for s in rate}))
+    rows = rows.withColumn("spare", spare).withColumn("part", F.when(spare, 0).otherwise(F.pmod(F.xxhash64(key), of(groups).cast("bigint"))))
+    schema = f"`{key}` {kind}, `{source}` string, `{size}` bigint, whole int, share double, spare boolean, part bigint"
 
     def level(df: DataFrame, last: bool) -> DataFrame:
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values([key, size], ignore_index=True)
             ids, sizes = pdf[key].tolist(), pdf[size].astype(float).tolist()
-            return pdf.assign(share=rounded(ids, sizes, pdf["share"].tolist(), seed, last))
+            return pdf.assign(share=rounded(ids, sizes, pdf["share"].tolist(), seed, last, pdf["spare"].tolist()))
 
-        return df.select(key, source, size, "whole", "share", "part").groupBy(source, "part").applyInPandas(run, schema)
+        return df.select(key, source, size, "whole", "share", "spare", "part").groupBy(source, "part").applyInPandas(run, schema)
 
     widest = max(groups.values())
-    done, open_rows = [], rows
-    while True:
-        last = widest == 1
-        out = level(open_rows, last)
-        if last:
-            done.append(out)
-            break
-        out = checkpointed(out) if not done else out
-        undecided = (F.col("share") > 0) & (F.col("share") < 1)
+    reserve, open_rows = rows.where("spare"), rows.where("not spare")
+    undecided = (F.col("share") > 0) & (F.col("share") < 1)
+    done: list[DataFrame] = []
+    while widest > 1:
+        out = level(open_rows, last=False)
+        out = out if done else checkpointed(out)
         done.append(out.where(~undecided))
         open_rows = out.where(undecided).withColumn("part", F.floor(F.col("part") / group).cast("bigint"))
         widest = -(-widest // group)
-    result = done[0]
-    for more in done[1:]:
+    result = level(open_rows.unionByName(reserve), last=True)
+    for more in done:
         result = result.unionByName(more)
     repeats = (F.col("whole") + F.col("share")).cast("int")
     return result.select(key, source, size, repeats.alias("repeats")).where("repeats > 0")

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomfield.plans import data_quality
+
 FLAGSHIP = "usage_summary"
-MODULES: tuple = ()
+MODULES = (data_quality,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -112,7 +112,7 @@ def column_letters(number: Column) -> Column:
 def column_number(letters: Column) -> Column:
     """The number of a spreadsheet column; null where there is none."""
     upper = F.upper(letters)
-    value = F.aggregate(F.split(upper, "(?!^)"), F.lit(0).cast("bigint"), lambda acc, c: acc * 26 + F.ascii(c) - 64)
+    value = F.aggregate(F.filter(F.split(upper, ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda acc, c: acc * 26 + F.ascii(c) - 64)
     return F.when(upper.rlike(r"^[A-Z]+\z"), value)
 
 

@@ -9,35 +9,42 @@ from loomfield.functions import paths
 from loomfield.functions import text as tx
 from loomfield.session import checkpointed
 
-#: A name in more files than this share of all is no reference to any one of them.
+#: A source has at most so many targets.
 EDGE_CAP = 50
 
 
-def lexical_edges(symbols: DataFrame, tokens: DataFrame, cap: int = EDGE_CAP) -> DataFrame:
-    """(src, dst, weight): from each symbol to the symbols of other files whose names its file's text has as words.
+def targets(symbols: DataFrame, tokens: DataFrame, cap: int = EDGE_CAP) -> DataFrame:
+    """(src_path, dst_path, name, times): the symbols of other files whose names a file's text has as words.
 
-    ``symbols``: path, name, position (the order in which names are first seen); ``tokens``: path, token, distinct. A node is
-    path:name. Names are looked up by equality of tokens, not by a scan of every text for every name. The distinct target
-    *names* of a file are capped at ``cap`` by first-seen order before they are expanded into nodes; the weight of an edge is
-    how often the name is defined in the target file.
+    ``symbols``: path, name, position (the order in which names are first seen); ``tokens``: path, token, distinct. Names are
+    looked up by equality of tokens, not by a scan of every text for every name. A file takes its first ``cap`` targets,
+    by the names' first-seen order and then the definitions'. So of a name only the first ``cap`` + 1 definitions can count
+    (one may be the file's own), and only the names before the cap is full are expanded: a name that a third of all files
+    define never meets the files that use it in full. ``times``: how often the target file defines the name.
     """
     defined = symbols.groupBy("path", "name").agg(F.count("*").alias("times"), F.min("position").alias("position"))
-    order = defined.groupBy("name").agg(F.min("position").alias("first_seen"))
-    hits = tokens.join(order, tokens["token"] == order["name"]).select("path", "name", "first_seen")
-    w = Window.partitionBy("path").orderBy("first_seen", "name")
-    kept = hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).select(F.col("path").alias("src_path"), "name")
-    targets = kept.join(defined.select(F.col("path").alias("dst_path"), "name", "times"), "name").where(F.col("src_path") != F.col("dst_path"))
-    sources = defined.select(F.col("path").alias("src_path"), F.col("name").alias("src_name"))
-    edges = sources.join(targets, "src_path").where(F.col("src_name") != F.col("name"))
+    order = Window.partitionBy("name").orderBy("position", "path")
+    kept = defined.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= cap + 1)
+    names = kept.groupBy("name").agg(F.min("position").alias("_seen"), F.count("*").alias("_n"))
+    w = Window.partitionBy("path").orderBy("_seen", "name")
+    hits = tokens.select("path", F.col("token").alias("name")).join(names, "name")
+    full = F.coalesce(F.sum(F.col("_n") - 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    early = hits.withColumn("_before", full).where(F.col("_before") < cap).select(F.col("path").alias("src_path"), "name", "_seen")
+    pairs = early.join(kept.select(F.col("path").alias("dst_path"), "name", "times", "_k"), "name").where("src_path <> dst_path")
+    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("src_path").orderBy("_seen", "name", "_k")))
+    return ranked.where(F.col("_r") <= cap).select("src_path", "dst_path", "name", "times")
+
+
+def lexical_edges(symbols: DataFrame, tokens: DataFrame, cap: int = EDGE_CAP) -> DataFrame:
+    """(src, dst, weight): from each symbol, as path:name, to its file's targets but for those of its own name."""
+    sources = symbols.select(F.col("path").alias("src_path"), F.col("name").alias("src_name")).distinct()
+    edges = sources.join(targets(symbols, tokens, cap), "src_path").where(F.col("src_name") != F.col("name"))
     return edges.select(F.concat("src_path", F.lit(":"), "src_name").alias("src"), F.concat("dst_path", F.lit(":"), "name").alias("dst"), F.col("times").cast("double").alias("weight"))
 
 
-def file_edges(symbols: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(src, dst, weight) between files: how many of a file's tokens are names that the other defines and it doesn't."""
-    defined = symbols.select("path", "name").distinct()
-    used = tokens.select("path", F.col("token").alias("name")).distinct().join(defined, ["path", "name"], "left_anti")
-    hits = used.select(F.col("path").alias("src"), "name").join(defined.select(F.col("path").alias("dst"), "name"), "name")
-    return hits.where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+def file_edges(symbols: DataFrame, tokens: DataFrame, cap: int = EDGE_CAP) -> DataFrame:
+    """(src, dst, weight) between files: how many of the first targets of one are in the other."""
+    return targets(symbols, tokens, cap).groupBy(F.col("src_path").alias("src"), F.col("dst_path").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iterations: int = 20, every: int = 5) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomfield.plans import data_quality, search_queries
+from loomfield.plans import data_quality, search_queries, structure_queries
 
 FLAGSHIP = "usage_summary"
-MODULES = (data_quality, search_queries)
+MODULES = (data_quality, search_queries, structure_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

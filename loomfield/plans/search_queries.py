@@ -177,9 +177,9 @@ SELECT file_path, token, count(*) AS n FROM (SELECT file_path, unnest(regexp_ext
 GROUP BY file_path, token""",
     "identifier_sets": rf"""
 WITH found AS (SELECT hop_id, regexp_extract_all(code, '{_IDENT}') AS all_found FROM hop1_context WHERE code IS NOT NULL),
-single AS (SELECT hop_id, unnest(all_found) AS token, unnest(range(1, len(all_found) + 1)) AS at FROM found),
-firsts AS (SELECT hop_id, token, min(at) AS at FROM single GROUP BY hop_id, token),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY hop_id ORDER BY at) AS rn FROM firsts)
+single AS (SELECT hop_id, unnest(all_found) AS token, unnest(range(1, len(all_found) + 1)) AS pos FROM found),
+firsts AS (SELECT hop_id, token, min(pos) AS pos FROM single GROUP BY hop_id, token),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY hop_id ORDER BY pos) AS rn FROM firsts)
 SELECT f.hop_id, coalesce(string_agg(r.token, ' ' ORDER BY r.token COLLATE "binary"), '') AS identifiers
 FROM found f LEFT JOIN ranked r ON r.hop_id = f.hop_id AND r.rn <= 32 GROUP BY f.hop_id""",
     "identifier_parts": r"""

@@ -99,8 +99,9 @@ def interval_complement(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def interval_overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Windows of definitions and of references in the same file that share a line."""
-    return intervals.overlaps(_spans(spark, folder, "definition").distinct(), _spans(spark, folder, "reference").distinct(), ["file_path"])
+    """Distinct windows of the same file that share a line, each with itself too."""
+    spans = _spans(spark, folder).distinct()
+    return intervals.overlaps(spans, spans, ["file_path"])
 
 
 def repeated_reads(spark: SparkSession, folder: str) -> DataFrame:
@@ -259,10 +260,8 @@ SELECT coalesce(o.path, w.path) AS path, CASE WHEN o.path IS NULL THEN 'add' WHE
 gaps AS (SELECT file_path, "end" + 1 AS a, coalesce(lead("start") OVER (PARTITION BY file_path ORDER BY "start"), total + 1) - 1 AS b FROM t
   UNION ALL SELECT file_path, 1, min("start") - 1 FROM t GROUP BY file_path)
 SELECT file_path, a AS "start", b AS "end" FROM gaps WHERE a <= b""",
-    "interval_overlaps": f"""WITH {_SPANS.replace("{table}", "hop1_context").replace("WHERE file_path IS NOT NULL", "WHERE file_path IS NOT NULL AND relation = 'definition'")},
-{_SPANS.replace("{table}", "hop1_context").replace("spans AS", "ev AS").replace("WHERE file_path IS NOT NULL", "WHERE file_path IS NOT NULL AND relation = 'reference'")}
-SELECT DISTINCT a.file_path, a."start" AS a_start, a."end" AS a_end, b."start" AS b_start, b."end" AS b_end FROM (SELECT DISTINCT * FROM spans) a JOIN (SELECT DISTINCT * FROM ev) b
-ON a.file_path = b.file_path AND a."start" <= b."end" AND a."end" >= b."start" WHERE a."start" <= a."end" AND b."start" <= b."end" """,
+    "interval_overlaps": f"""WITH {_SPANS.replace("{table}", "hop1_context")}, u AS (SELECT DISTINCT * FROM spans WHERE "start" <= "end")
+SELECT a.file_path, a."start" AS a_start, a."end" AS a_end, b."start" AS b_start, b."end" AS b_end FROM u a JOIN u b ON a.file_path = b.file_path AND a."start" <= b."end" AND a."end" >= b."start" """,
     "repeated_reads": "SELECT workspace_id, file_path, count(*) AS reads FROM (SELECT DISTINCT * FROM served_surfaces) GROUP BY ALL HAVING count(*) > 1",
     "text_chunks": r"""
 WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(strlen(text) AS BIGINT) AS n FROM documents WHERE strlen(text) > 0),

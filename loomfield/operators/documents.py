@@ -140,7 +140,7 @@ def html_to_markdown(html: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]+>", "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
 
 
 def steps(docs: DataFrame, key: str, text: str, longest: int = 200) -> DataFrame:

@@ -108,7 +108,10 @@ def ignored(path: Column, rules: Iterable[str], protected: Iterable[str] = ()) -
 
 
 def listed(spark: SparkSession, root: str, glob: str | None = None, with_content: bool = True) -> DataFrame:
-    """(path, size_bytes, mtime_ms[, content]) of all files below a folder, paths relative to it."""
+    """(path, size_bytes, mtime_ms[, content]) of the files below a folder, paths relative to it.
+
+    Spark's reader lists neither empty files nor those whose name begins with a dot or an underscore.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
     bare = re.sub(r"^\w+:(?://)?", "", root).rstrip("/")

@@ -173,11 +173,11 @@ def parsed(rows: DataFrame, files: DataFrame) -> DataFrame:
     headed = files.select("file_id", F.coalesce("has_header", F.lit(False)).alias("_header"), "column_names", "column_types").dropDuplicates(["file_id"])
     text = F.regexp_replace("raw_record", f"^{BYTE_ORDER_MARK}", "")
     text = F.regexp_replace(text, r"[\r\n]+\z", "")
-    records = rows.select("row_id", "file_id", "row_no", text.alias("_text")).join(headed, "file_id")
+    records = spread(rows.select("row_id", "file_id", "row_no", text.alias("_text"))).join(headed, "file_id")
     records = records.where(F.col("column_types").isNotNull() & F.col("_text").rlike(r"\S"))
-    chosen = delimiters(spread(records))
+    chosen = delimiters(records)
     data = records.where(~(F.col("_header") & (F.col("row_no") == 1)))
-    given = spread(data.join(chosen, "file_id").select("row_id", "file_id", "row_no", "_text", "_delimiter", "column_types"))
+    given = data.join(chosen, "file_id").select("row_id", "file_id", "row_no", "_text", "_delimiter", "column_types")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return given.mapInPandas(_parse, f"row_id {kinds['row_id']}, file_id {kinds['file_id']}, row_no {kinds['row_no']}, delimiter string, reason string, cells array<string>, bad_columns array<int>")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable
 
@@ -50,11 +51,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Operators that move rows between tasks: past one of them, a plan is dealt out already, and asking for its partitions would run it.
+_MOVING = re.compile(r"(?m)^[ :+\-|]*(?:Join|Aggregate|Window|Sort|Repartition\w*|Distinct|Deduplicate|Intersect|Except|GlobalLimit)\b")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows out when a scan has fewer splits than the cluster has cores, before Python work.
 
-    A large input has more splits than cores and passes unchanged, without a shuffle.
+    A large input has more splits than cores and passes unchanged, without a shuffle; so does a plan that shuffles anyway.
     """
+    if df.isStreaming or _MOVING.search(df._jdf.queryExecution().analyzed().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -177,14 +177,14 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def pairs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key_a, key_b), key_a < key_b, of all rows whose texts differ in characters and have the same form.
 
-    Rows of null text or key take no part; empty texts are a text like others. Only 128-bit digests are shuffled. Forms
+    Rows of null text or key take no part; empty texts are a text like others. Only 128-bit digests are written and shuffled. Forms
     with a single text drop out before anything is paired, and pairs are formed between different texts, so that equal
     copies, however many, are never compared with each other.
     """
-    from loomfield.session import spread
+    from loomfield.session import checkpointed, spread
 
     given = spread(df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null"))
-    hashed = given.mapInPandas(_digests, f"id {df.schema[key].dataType.simpleString()}, form_hash binary, text_hash binary")
+    hashed = checkpointed(given.mapInPandas(_digests, f"id {df.schema[key].dataType.simpleString()}, form_hash binary, text_hash binary"))
     classes = hashed.groupBy("form_hash").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where("lo <> hi")
     members = hashed.join(classes.select("form_hash"), "form_hash", "left_semi")
     texts = members.select("form_hash", "text_hash").distinct()

@@ -71,15 +71,27 @@ def tables() -> tuple[dict[int, str | None], dict[int, str]]:
     return fold, like
 
 
+def _replaced(text: str, table: dict[int, str | None]) -> str:
+    """Like str.translate, for texts with few of the table's characters: one quick pass for each that occurs."""
+    for char in set(text):
+        if (code := ord(char)) > 0x7F and code in table or char in "\t\v\f\x1f":
+            text = text.replace(char, table[code] or "")
+    return text
+
+
 def skeleton(text: str) -> str:
     """The text with every look-alike replaced by its class's Latin letter; equal for texts that look the same."""
-    if text.isascii():
-        return text.replace("\r\n", "\n").replace("\t", " ") if "\r" in text or "\t" in text else text
+    if "\r" in text:
+        text = text.replace("\r\n", "\n")
     fold, like = tables()
+    if text.isascii():
+        return _replaced(text, fold) if "\t" in text or "\v" in text or "\f" in text or "\x1f" in text else text
     if "\u200d" in text:
         text = JOINED.sub(KEPT, text)
-    text = text.replace("\r\n", "\n").translate(fold)
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(like))
+    text = _replaced(text, fold)
+    if any(ord(c) in like for c in unicodedata.normalize("NFD", "".join(set(text)))):
+        text = _replaced(unicodedata.normalize("NFD", text), like)
+    return unicodedata.normalize("NFC", text)
 
 
 @lru_cache(maxsize=65536)
@@ -88,7 +100,8 @@ def script_of(char: str) -> str:
     return unicodedata.name(char, "").partition(" ")[0]
 
 
-def scripts(token: str) -> set[str] | None:
+@lru_cache(maxsize=65536)
+def scripts(token: str) -> frozenset[str] | None:
     """The scripts in which all letters of a skeleton token can be written: the intersection of its letters' script sets."""
     left: set[str] | None = None
     for char in unicodedata.normalize("NFD", token):
@@ -99,16 +112,16 @@ def scripts(token: str) -> set[str] | None:
         left = ways if left is None else left & ways
         if not left:
             break
-    return left
+    return frozenset(left) if left is not None else None
 
 
+@lru_cache(maxsize=65536)
 def spelled(token: str, script: str) -> str:
     """A skeleton token in the letters of a script."""
     back = BACK.get(script)
     if not back:
         return token
-    table = {ord(a): b for a, b in back.items()}
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(table))
+    return unicodedata.normalize("NFC", "".join(back.get(c, c) for c in unicodedata.normalize("NFD", token)))
 
 
 def form(text: str | None) -> str | None:

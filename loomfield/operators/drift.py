@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.session import lag_in_blocks, spread
+from loomfield.session import checkpointed, lag_in_blocks, spread
 
 #: The record's fields and types.
 RECORD = {"client": "string", "model": "string", "inputTokens": "bigint", "cacheWriteTokens": "bigint", "cacheReadTokens": "bigint", "outputTokens": "bigint", "totalTokens": "bigint", "requestCount": "bigint"}
@@ -216,7 +216,7 @@ def changes(lines: DataFrame) -> DataFrame:
     with a third of all files is not one task's work.
     """
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
-    files = branches(lines).groupBy("stream_id", "file_no").agg(F.collect_list(F.struct("path", "tag")).alias("fields"))  # as wide as a schema
+    files = checkpointed(branches(lines).groupBy("stream_id", "file_no").agg(F.collect_list(F.struct("path", "tag")).alias("fields")))  # as wide as a schema
     paired = lag_in_blocks(files, "stream_id", "file_no", F.col("fields"))
     return paired.where("previous is not null").select("stream_id", "file_no", "fields", "previous").mapInPandas(_compare, f"stream_id {kinds['stream_id']}, file_no {kinds['file_no']}, change_kind string, old_field string, new_field string")
 

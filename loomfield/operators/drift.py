@@ -119,31 +119,35 @@ def quantity(path: str) -> str:
     return "other:" + "".join(last)
 
 
+@lru_cache(maxsize=65536)
+def _shape(tagged: tuple[tuple[str, str], ...]) -> str:
+    return json.dumps([("", "null"), *sorted(tagged)], ensure_ascii=False)
+
+
 def schema_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(stream_id, file_no, path, tag, lines): the tagged paths of a batch's lines, fused by file before any shuffle. A line
-    that is readable counts under the path ''."""
+    """(stream_id, file_no, shape, lines): the shapes of a batch's lines, a shape being all tagged paths of a line, counted by file
+    before any shuffle. A line that is readable has the path '' too."""
     for batch in batches:
         fused: dict[tuple, int] = defaultdict(int)
         for stream, number, line in zip(batch["stream_id"], batch["file_no"], batch["raw_line"], strict=True):
             value = readable(line)
-            if value is None:
-                continue
-            fused[stream, number, "", "null"] += 1
-            for path, leaf in leaves(value):
-                fused[stream, number, path, tag(leaf)] += 1
-        yield pd.DataFrame([(*k, n) for k, n in fused.items()], columns=["stream_id", "file_no", "path", "tag", "lines"])
+            if value is not None:
+                fused[stream, number, tuple([(path, tag(leaf)) for path, leaf in leaves(value)])] += 1
+        yield pd.DataFrame([(s, f, _shape(t), n) for (s, f, t), n in fused.items()], columns=["stream_id", "file_no", "shape", "lines"])
 
 
 def branches(lines: DataFrame) -> DataFrame:
     """(stream_id, file_no, path, tag, lines): for each file and path, the typed branches of its tagged union.
 
     ``lines``: stream_id, file_no, raw_line. Lines that are null or not a JSON object are left out, as are lines of null
-    stream or file.
+    stream or file. One shuffle, by file, of shapes and their counts; shapes are taken apart after it.
     """
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
     given = lines.where("stream_id is not null and file_no is not null").select("stream_id", "file_no", "raw_line")
-    partial = spread(given).mapInPandas(schema_of, f"stream_id {kinds['stream_id']}, file_no {kinds['file_no']}, path string, tag string, lines bigint")
-    return partial.groupBy("stream_id", "file_no", "path", "tag").agg(F.sum("lines").alias("lines"))
+    shapes = spread(given).mapInPandas(schema_of, f"stream_id {kinds['stream_id']}, file_no {kinds['file_no']}, shape string, lines bigint")
+    dealt = shapes.repartition("stream_id", "file_no").groupBy("stream_id", "file_no", "shape").agg(F.sum("lines").alias("lines"))
+    apart = dealt.select("stream_id", "file_no", F.explode(F.from_json("shape", "array<array<string>>")).alias("_t"), "lines")
+    return apart.groupBy("stream_id", "file_no", F.element_at("_t", 1).alias("path"), F.element_at("_t", 2).alias("tag")).agg(F.sum("lines").alias("lines"))
 
 
 def union_type(tags: set[str]) -> str:

@@ -45,4 +45,23 @@ def p3_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_branches, p3_found, p3_rejects, p3_cells)}
-SQL: dict[str, str] = {}
+# A cell is well quoted as the operator has it; records are cut into cells by the same shape, and cells are cast by pattern.
+_P3 = r"""
+WITH t AS (SELECT file_id, coalesce(has_header, false) AS header, len(column_names) AS n, column_types FROM csv_tables),
+r AS (SELECT c.row_id, c.file_id, c.row_no, t.header, t.n, t.column_types, regexp_replace(regexp_replace(c.raw_record, '^\x{FEFF}', ''), '[\r\n]+\z', '') AS x FROM csv_rows c JOIN t USING (file_id)),
+live AS (SELECT * FROM r WHERE regexp_matches(x, '\S')),
+d AS (SELECT * FROM (VALUES (0, ',', ','), (1, ';', ';'), (2, chr(9), chr(9)), (3, '|', '\|')) v(k, d, e)),
+s AS (SELECT k, d, e, '(?: *"(?:[^"]|"")*" *|[^"' || e || ']*)' AS cell FROM d),
+votes AS (SELECT file_id, k, count(*) FILTER (regexp_full_match(x, cell || '(?:' || e || cell || '){' || (n - 1) || '}')) AS v FROM live, s GROUP BY file_id, k),
+best AS (SELECT file_id, CASE WHEN max(v) = 0 THEN 2 ELSE arg_min(k, (-v, k)) END AS k FROM votes GROUP BY file_id),
+data AS (SELECT l.*, s.d, s.e, s.cell FROM live l JOIN best USING (file_id) JOIN s USING (k) WHERE NOT (header AND row_no = 1)),
+shaped AS (SELECT *, regexp_full_match(x, cell || '(?:' || e || cell || ')*') AS well FROM data),
+cut AS (SELECT *, CASE WHEN well THEN regexp_extract_all(x || d, '(' || cell || ')' || e, 1) END AS cells FROM shaped),
+bare AS (SELECT *, list_transform(cells, lambda c: trim(CASE WHEN regexp_full_match(c, ' *"(?:[^"]|"")*" *') THEN replace(regexp_extract(c, ' *"((?:[^"]|"")*)" *', 1), '""', '"') ELSE c END)) AS b FROM cut),
+pairs AS (SELECT *, list_filter(range(1, len(b) + 1), lambda i: b[i] <> '' AND NOT CASE column_types[i] WHEN 'integer' THEN regexp_full_match(b[i], '[+-]?[0-9]+')
+  WHEN 'decimal' THEN regexp_full_match(b[i], '[+-]?[0-9]+(\.[0-9]+)?') WHEN 'flag' THEN lower(b[i]) IN ('true', 'false')
+  WHEN 'day' THEN regexp_full_match(b[i], '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND TRY_CAST(b[i] AS DATE) IS NOT NULL ELSE true END) AS wrong FROM bare)
+SELECT row_id, CASE WHEN NOT well THEN 'quoting' WHEN len(cells) <> n THEN 'columns' ELSE 'values' END AS reason FROM pairs WHERE NOT well OR len(cells) <> n OR len(wrong) > 0
+"""
+
+SQL: dict[str, str] = {"p3_found": _P3}

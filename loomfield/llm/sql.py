@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+from loomfield.llm.confusables import CYRILLIC, GREEK
+
 P2_FOUND = """
 WITH lim AS (SELECT limit_name, max_size FROM size_limits)
 SELECT 'pdf_pages' AS item_table, page_id AS item_id, 0 AS section_no FROM pdf_pages
@@ -16,5 +20,26 @@ WHERE strlen(section.body_text) > (SELECT max_size FROM lim WHERE limit_name = '
 """
 
 
+def p9_found() -> str:
+    """The pairs by a plainer form, which holds for Latin, Cyrillic, Greek and Japanese text: everything folded to Latin letters."""
+    wide = [c for c in range(0xFF01, 0xFFE7) if unicodedata.decomposition(chr(c)).startswith(("<wide>", "<narrow>"))]
+    one = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in wide}
+    one = {a: b for a, b in one.items() if len(b) == 1}
+    one |= {chr(c): " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 9)}
+    one |= CYRILLIC | GREEK | {"‐": "-", "‑": "-", "µ": "μ", "ヘ": "へ"}
+    one |= dict(zip("ёЁїЇѐЀ", "ëËïÏèÈ", strict=True))
+    given, shown = "".join(one), "".join(one.values()).replace("'", "''")
+    text = r"regexp_replace(text, '([\x{2190}-\x{2bff}\x{1f000}-\x{1faff}])\x{200d}', '\1' || chr(57344), 'g')"
+    text = rf"regexp_replace({text}, '[\x{{ad}}\x{{34f}}\x{{61c}}\x{{180e}}\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{206f}}\x{{fe00}}-\x{{fe0f}}\x{{feff}}]', '', 'g')"
+    for ligature in (0xFB03, 0xFB04, 0xFB00, 0xFB01, 0xFB02):
+        text = f"replace({text}, chr({ligature}), '{unicodedata.normalize('NFKD', chr(ligature))}')"
+    text = f"replace({text}, chr(13) || chr(10), chr(10))"
+    form = f"nfc_normalize(translate(nfc_normalize(translate({text}, '{given}', '{shown}')), '{given}', '{shown}'))"
+    return f"""
+WITH f AS (SELECT doc_id, text, {form} AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+h AS (SELECT doc_id, md5(text) AS t, md5(form) AS f FROM f)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM h a JOIN h b ON a.f = b.f AND a.t <> b.t AND a.doc_id < b.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND}
+    return {"p2_found": P2_FOUND, "p9_found": p9_found()}

@@ -27,7 +27,7 @@ def p9_found() -> str:
     one = {a: b for a, b in one.items() if len(b) == 1}
     one |= {chr(c): " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 9)}
     one |= CYRILLIC | GREEK | {"‐": "-", "‑": "-", "µ": "μ", "ヘ": "へ"}
-    one |= dict(zip("ёЁїЇѐЀ", "ëËïÏèÈ", strict=True))
+    one |= dict(zip("ёЁїЇѐЀベペ", "ëËïÏèÈべぺ", strict=True))
     given, shown = "".join(one), "".join(one.values()).replace("'", "''")
     text = r"regexp_replace(text, '([\x{2190}-\x{2bff}\x{1f000}-\x{1faff}])\x{200d}', '\1' || chr(57344), 'g')"
     text = rf"regexp_replace({text}, '[\x{{ad}}\x{{34f}}\x{{61c}}\x{{180e}}\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{206f}}\x{{fe00}}-\x{{fe0f}}\x{{feff}}]', '', 'g')"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,18 +52,21 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
     """(id, rank): personalised PageRank with a fixed number of rounds.
 
     ``nodes``: id, preference (null counts 1). The start and the jump are the preference, not normalised; what dangling
-    nodes hold is not handed on. Shares of edges are computed once; a round is one join and one aggregation, both by the
-    node's id, and the lineage is cut with a reliable checkpoint every few rounds.
+    nodes hold is not handed on. Shares of edges are computed once and kept dealt out by source, so that a round shuffles
+    only ranks and what sources hand on, added up by target; the lineage is cut with a reliable checkpoint every few rounds,
+    and a lost part of what is kept is made again from one.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("_all"))
-    shares = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_all")).alias("share")))
-    base = checkpointed(nodes.groupBy("id").agg(F.max(F.coalesce("preference", F.lit(1.0))).cast("double").alias("preference")))
+    shares = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_all")).alias("share"))).repartition("src").persist(StorageLevel.DISK_ONLY)
+    base = checkpointed(nodes.groupBy("id").agg(F.max(F.coalesce("preference", F.lit(1.0))).cast("double").alias("preference"))).repartition("id").persist(StorageLevel.DISK_ONLY)
     ranks = base.select("id", F.col("preference").alias("rank"))
     for n in range(1, iterations + 1):
         given = shares.join(ranks, shares["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("_in"))
         ranks = base.join(given, base["id"] == given["dst"], "left").select("id", ((1 - damping) * F.col("preference") + damping * F.coalesce("_in", F.lit(0.0))).alias("rank"))
-        if n % every == 0 and n < iterations:
+        if n % every == 0 or n == iterations:
             ranks = checkpointed(ranks)
+    shares.unpersist()
+    base.unpersist()
     return ranks
 
 

@@ -191,7 +191,7 @@ def folder_ranks(spark: SparkSession, folder: str) -> DataFrame:
     """Three rounds of PageRank over folders served one after the other."""
     edges = checkpointed(_folder_graph(spark, folder))
     nodes = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct().withColumn("preference", F.lit(1.0))
-    return graph.pagerank(edges, nodes, iterations=3).select("id", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(edges, nodes, iterations=3).select("id", F.round("rank", 12).alias("rank"))
 
 
 def defined_and_used(spark: SparkSession, folder: str) -> DataFrame:
@@ -286,7 +286,7 @@ n AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
 r1 AS (SELECT n.id, 0.15 + 0.85 * coalesce(sum(x), 0) AS r FROM n LEFT JOIN sh ON sh.dst = n.id GROUP BY n.id),
 r2 AS (SELECT n.id, 0.15 + 0.85 * coalesce(sum(x * r), 0) AS r FROM n LEFT JOIN (sh JOIN r1 ON r1.id = sh.src) ON sh.dst = n.id GROUP BY n.id),
 r3 AS (SELECT n.id, 0.15 + 0.85 * coalesce(sum(x * r), 0) AS r FROM n LEFT JOIN (sh JOIN r2 ON r2.id = sh.src) ON sh.dst = n.id GROUP BY n.id)
-SELECT id, round(r, 6) AS rank FROM r3""",
+SELECT id, round(r, 12) AS rank FROM r3""",
     "defined_and_used": f"""WITH {_DEFREF}, l AS (SELECT name, arg_max(path, hop_id) AS definition FROM d GROUP BY name)
 SELECT l.name, l.definition, count(*) AS n_files, string_agg(r.path, ',' ORDER BY r.path) AS reference_files FROM l JOIN r USING (name) GROUP BY ALL""",
     "file_imports": f"WITH {_DEFREF} SELECT DISTINCT r.path, d.path AS imported FROM r JOIN d USING (name) WHERE r.path <> d.path",

@@ -86,15 +86,21 @@ def body_kind(code: str) -> str | None:
     if size > 200 and numbers > 0.6 * size:
         return "data"
     code_lines = [x for x in lines if x.strip() and not COMMENT.match(x)]
-    long = sum(len(x) for x in code_lines if len(x) >= 250)
-    if long and long >= 0.6 * sum(map(len, code_lines)):
-        blanks = sum(x.count(" ") + x.count("\t") for x in code_lines if len(x) >= 250)
-        signs = sum(len(re.findall(r"[{}();,=&|!?:]", x)) for x in code_lines if len(x) >= 250)
-        if blanks < 0.12 * long and signs > 0.08 * long:
-            return "minified"
+    dense = sum(len(x) for x in code_lines if is_dense(x))
+    if dense and dense >= 0.6 * sum(map(len, code_lines)):
+        return "minified"
     return None
 
 
+def is_dense(line: str) -> bool:
+    """A line with several statements, many signs and hardly a blank, as nobody writes it."""
+    n = len(line)
+    if n < 60:
+        return False
+    blanks, signs = line.count(" ") + line.count("\t"), sum(line.count(c) for c in "{}();,=&|!?:")
+    return blanks < 0.12 * n and signs > 0.12 * n and sum(line.count(c) for c in ";{}") >= 4
+
+
 def path_kind(path: Column) -> Column:
     """generated, vendored, minified or data, as names tell; null else. Null paths give null."""
     low = F.lower(path)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import re
 import tempfile
+import zipfile
 from collections.abc import Iterable
+from hashlib import sha256
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +37,27 @@ def local_session(cores: int | str = "*", shuffle: int = 8, **extra: str) -> Spa
     return spark
 
 
+def shipped(spark: SparkSession) -> None:
+    """Give the executors this package, once a session: Spark's driver serves it as a zip file to workers that cannot import it."""
+    context = spark.sparkContext
+    if getattr(context, "_loomfield", False):
+        return
+    home = Path(__file__).resolve().parent
+    if home.suffix == ".zip" or not home.is_dir():  # already running from what was sent
+        return
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as z:
+        for file in sorted(home.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(f"{home.name}/{file.relative_to(home)}"), file.read_bytes())
+    target = Path(tempfile.mkdtemp(prefix="loomfield-")) / f"loomfield_{sha256(body.getvalue()).hexdigest()[:12]}.zip"
+    target.write_bytes(body.getvalue())
+    context.addPyFile(str(target))
+    context._loomfield = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a data folder."""
+    shipped(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomfield.session import table
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors can write to: below the session's checkpoint folder, or on this machine in local mode."""
@@ -29,5 +31,5 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a data folder as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    schema = table(spark, folder, name).schema
     return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*")

@@ -55,17 +55,15 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], block: int = 64) -> Da
     return joined.where(hit & once).drop("_block")
 
 
-def containing(points: DataFrame, spans: DataFrame, keys: list[str], point: str = "line", label: str = "label") -> DataFrame:
-    """Each point with the label of the innermost span that holds it, the latest start; null without one.
+def containing(points: DataFrame, spans: DataFrame, keys: list[str], point: str = "line", label: str = "label", block: int = 64) -> DataFrame:
+    """Each distinct point with the label of the innermost span that holds it, the latest start and then the earliest end; null without one.
 
-    An as-of join backwards: both sides are put in one order by (key, line), spans before points, and the stack of open
-    spans goes along; here spans are nested, as headings are, so the last one that began and has not ended is found by
-    a window over the ends of those before.
+    Spans are laid on blocks and joined with the points by (key, block), so that neither a long text nor a span over all
+    of it is one task's work.
     """
-    a = spans.select(*keys, F.col("start").alias("_at"), F.lit(0).alias("_kind"), "start", "end", F.col(label).alias("_label"), F.lit(None).cast(points.schema[point].dataType).alias(point))
-    b = points.select(*keys, F.col(point).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"), F.lit(None).cast("string").alias("_label"), point)
-    w = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_open", F.collect_list(F.when(F.col("_kind") == 0, F.struct("start", "end", "_label"))).over(w))
-    held = F.filter("_open", lambda s: s["end"] >= F.col(point))
-    innermost = F.try_element_at(F.array_sort(held), F.lit(-1))
-    return both.where("_kind = 1").select(*keys, point, innermost["_label"].alias(label))
+    cells = F.sequence(F.floor(F.col("start") / block), F.floor(F.col("end") / block))
+    laid = spans.where("start <= end").select(*keys, "start", "end", F.col(label).alias("_label"), F.explode(cells).alias("_block"))
+    asked = points.select(*keys, point).distinct()
+    held = asked.withColumn("_block", F.floor(F.col(point) / block)).join(laid, [*keys, "_block"]).where(F.col(point).between(F.col("start"), F.col("end")))
+    inner = held.groupBy(*keys, point).agg(F.max_by("_label", F.struct("start", -F.col("end"))).alias(label))
+    return asked.join(inner, [*keys, point], "left")

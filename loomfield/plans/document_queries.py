@@ -33,7 +33,7 @@ def lines_in_sections(spark: SparkSession, folder: str) -> DataFrame:
     """How many lines with a code span each innermost section has."""
     marks = documents.headings(table(spark, folder, "documents"), "doc_id", "text").select(F.col("doc_id").cast("string").alias("path"), F.col("line").cast("bigint").alias("start"), F.col("end_line").cast("bigint").alias("end"), F.col("heading").alias("label"))
     points = _doc_lines(spark, folder).where(F.col("text").contains("`")).select("path", "line")
-    held = intervals.containing(points, marks, ["path"])
+    held = intervals.containing(points, marks, ["path"])  # a line counts once
     return held.groupBy("path", "label").agg(F.count("*").alias("n"))
 
 

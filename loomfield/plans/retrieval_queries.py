@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import text as tx
-from loomfield.operators import documents, edits, intervals, retrieval, search, source, symbols
+from loomfield.operators import documents, edits, intervals, outline, retrieval, search, source, symbols
 from loomfield.plans.search_queries import windows
 from loomfield.session import checkpointed, spread, table
 from loomfield.sources import delimited, files
@@ -168,14 +168,76 @@ def endpoint_lines(spark: SparkSession, folder: str) -> DataFrame:
     return s.where(F.length("name") >= 8).select(F.explode(tx.identifier_parts(F.col("name"))).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
 
 
+def file_outlines(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows without the bodies of their functions."""
+    return outline.outlines(windows(spark, folder)).select("path", F.length("outline").alias("n_chars"), F.round("kept", 6).alias("kept"))
+
+
+def compact_outline(spark: SparkSession, folder: str) -> DataFrame:
+    """The 40 largest windows by declarations, within 800 tokens."""
+    best = checkpointed(symbols.symbols(windows(spark, folder))).groupBy("path").agg(F.count("*").cast("double").alias("rank"), F.ceil(F.sum(F.length("signature")) / 4).cast("bigint").alias("tokens"))
+    return outline.compact(best.orderBy(F.desc("rank"), "path").limit(40))
+
+
+def file_roles(spark: SparkSession, folder: str) -> DataFrame:
+    return outline.roles(windows(spark, folder))
+
+
+def symbol_chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Symbols with the chunks of their lines."""
+    s = checkpointed(symbols.symbols(windows(spark, folder)).select("path", "name", "line", "end_line"))
+    return outline.chunks_of_symbols(s, outline.symbol_chunks(s)).select("path", "name", F.size("chunk_ids").alias("n_chunks"))
+
+
+def sibling_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Further lines with the stem of a query in the files that have the query."""
+    lines = search.line_table(windows(spark, folder))
+    return outline.sibling_stems(lines, search.matching(lines, "sample_index", ignore_case=False), "sample_index").select("path", "line")
+
+
+def fullest_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return outline.fullest_window(search.line_table(windows(spark, folder)), ["lease", "router"], 20)
+
+
+def symbol_context(spark: SparkSession, folder: str) -> DataFrame:
+    """What belongs around each declaration of the name that is declared most."""
+    s = checkpointed(symbols.symbols(windows(spark, folder)).select("path", "name", "line", "end_line", "signature"))
+    most = s.where(F.length("name") >= 12).groupBy("name").count().orderBy(F.desc("count"), "name").limit(1).collect()
+    return outline.symbol_with_context(search.line_table(windows(spark, folder)), s, most[0]["name"] if most else "none")
+
+
+def served_and_carried(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of windows of definitions, cut to what windows of the same file carry."""
+    h = intervals.parsed(table(spark, folder, "hop1_context").where("file_path is not null"), "line_range").where("start <= end")
+    spans = h.select(F.col("search_token").alias("request_id"), F.col("file_path").alias("path"), "start", "end", "relation").where("request_id is not null").distinct()
+    return outline.retracted(spans.where("relation = 'definition'").drop("relation"), spans.drop("relation"))
+
+
+def entry_points(spark: SparkSession, folder: str) -> DataFrame:
+    return outline.entry_points(table(spark, folder, "served_surfaces").select(F.col("file_path").alias("path")).where("path is not null"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (located, located_decision, surface_map, related_files, line_slices, token_pack, evidence_selection, fitting_sections, small_files, window_digests, section_plans, closure_checks, reachable_files, renamed_symbols, csv_dialects, ignored_paths, served_ledger_stream, query_epochs_stream, daily_usage_stream, query_words, endpoint_lines)
+    for f in (file_outlines, compact_outline, file_roles, symbol_chunk_ids, sibling_lines, fullest_windows, symbol_context, served_and_carried, entry_points, located, located_decision, surface_map, related_files, line_slices, token_pack, evidence_selection, fitting_sections, small_files, window_digests, section_plans, closure_checks, reachable_files, renamed_symbols, csv_dialects, ignored_paths, served_ledger_stream, query_epochs_stream, daily_usage_stream, query_words, endpoint_lines)
 }
 
 _LINES = r"""s AS (SELECT file_path || '@' || hop_id AS path, string_split_regex(code, '\r?\n') AS parts FROM hop1_context WHERE code IS NOT NULL)"""
 
+_L = _LINES + ", l AS (SELECT path, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM s)"
+
 SQL = {
+    "sibling_lines": f"""WITH {_L}, h AS (SELECT path, line FROM l WHERE contains(text, 'sample_index'))
+SELECT path, line FROM l WHERE contains(lower(text), 'sample') AND path IN (SELECT path FROM h) AND (path, line) NOT IN (SELECT path, line FROM h)""",
+    "fullest_windows": f"""WITH {_L}, h AS (SELECT path, line, CAST(contains(lower(text), 'lease') AS INT) + CAST(contains(lower(text), 'router') AS INT) AS n FROM l),
+w AS (SELECT path, line, sum(n) OVER (PARTITION BY path ORDER BY line RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS hits FROM h WHERE n > 0)
+SELECT path, line, line + 19 AS last_line, hits FROM w QUALIFY row_number() OVER (PARTITION BY path ORDER BY hits DESC, line) = 1""",
+    "served_and_carried": r"""WITH sp AS (SELECT DISTINCT search_token AS request_id, file_path AS path, relation, CAST(regexp_extract(line_range, '^(\d+)-(\d+)$', 1) AS BIGINT) AS a, CAST(regexp_extract(line_range, '^(\d+)-(\d+)$', 2) AS BIGINT) AS b
+  FROM hop1_context WHERE file_path IS NOT NULL AND search_token IS NOT NULL AND regexp_matches(line_range, '^(\d+)-(\d+)$'))
+SELECT DISTINCT s.request_id, s.path, greatest(s.a, c.a) AS "start", least(s.b, c.b) AS "end" FROM sp s JOIN sp c ON s.request_id = c.request_id AND s.path = c.path AND s.a <= c.b AND s.b >= c.a WHERE s.relation = 'definition' AND s.a <= s.b AND c.a <= c.b""",
+    "entry_points": r"""WITH p AS (SELECT DISTINCT file_path AS path, lower(regexp_replace(regexp_extract(file_path, '[^/]*$'), '\..*$', '')) AS stem FROM served_surfaces WHERE file_path IS NOT NULL),
+x AS (SELECT path, CASE WHEN stem = 'index' THEN 6 WHEN stem IN ('main', 'app') THEN 5 WHEN stem IN ('server', 'worker', 'cli', 'bin') THEN 4 WHEN stem = 'extension' THEN 3 ELSE 0 END AS s FROM p)
+SELECT path, s + CASE WHEN regexp_matches(lower(path), '(^|/)(server|worker|bin|cli)/') THEN 2 ELSE 0 END AS score FROM x WHERE s > 0 ORDER BY score DESC, path LIMIT 10""",
     "line_slices": f"""WITH {_LINES} SELECT path, 2 AS "start", least(4, len(parts)) AS "end", array_to_string(parts[2:4], chr(10)) AS text FROM s WHERE len(parts) >= 2""",
     "token_pack": """WITH best AS (SELECT evidence_id, row_number() OVER (ORDER BY score DESC, evidence_id) AS item_no, CAST(ceil(length(content_text) / 4.0) AS BIGINT) AS tokens FROM query_evidence
   WHERE content_text IS NOT NULL AND score IS NOT NULL QUALIFY item_no <= 2400),

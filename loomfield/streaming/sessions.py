@@ -33,6 +33,21 @@ def overlap(span: tuple[int, int], known: list[tuple[int, int]]) -> int:
     return sum(max(0, min(span[1], b) - max(span[0], a) + 1) for a, b in known)
 
 
+def ordered(batches: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
+    """The rows of a key's batches by sequence number, as plain tuples: groups are many and small, so no frame is made or sorted."""
+    rows: list[tuple] = []
+    for batch in batches:
+        rows += zip(*(batch[c].tolist() for c in ("seq", *columns)), strict=True)
+    if any(a[0] > b[0] for a, b in zip(rows, rows[1:], strict=False)):
+        rows.sort(key=lambda r: r[0])
+    return rows
+
+
+def framed(rows: list[tuple], schema: str) -> pd.DataFrame:
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    return pd.DataFrame(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {n: [] for n in names}, copy=False)
+
+
 LEDGER_OUT = "workspace_id string, file_path string, seq long, start long, end long, added_lines long, served_lines long, reset boolean"
 
 
@@ -47,17 +62,17 @@ def served_ranges(events: DataFrame) -> DataFrame:
         mark, starts, ends = state.get if state.exists else (None, [], [])
         known = list(zip(starts, ends, strict=True))
         rows = []
-        for e in pd.concat(list(batches)).sort_values("seq").itertuples():
-            reset = mark is not None and e.fingerprint != mark
+        for seq, fingerprint, start, end in ordered(batches, "fingerprint", "start", "end"):
+            reset = mark is not None and fingerprint != mark
             if reset:
                 known = []
-            mark = e.fingerprint
-            span = (int(e.start), int(e.end))
+            mark = fingerprint
+            span = (start, end)
             added = max(0, span[1] - span[0] + 1 - overlap(span, known))
             known = merged([*known, span])[-MOST_SPANS:]
-            rows.append((*key, int(e.seq), *span, added, sum(b - a + 1 for a, b in known), reset))
+            rows.append((*key, seq, *span, added, sum(b - a + 1 for a, b in known), reset))
         state.update((mark, [a for a, _ in known], [b for _, b in known]))
-        yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in LEDGER_OUT.split(", ")])
+        yield framed(rows, LEDGER_OUT)
 
     keyed = events.groupBy("workspace_id", "file_path")
     return keyed.applyInPandasWithState(step, LEDGER_OUT, "mark string, starts array<long>, ends array<long>", "append", GroupStateTimeout.NoTimeout)
@@ -80,13 +95,13 @@ def epochs(queries: DataFrame) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, words = state.get if state.exists else (0, [])
         known, rows = set(words), []
-        for e in pd.concat(list(batches)).sort_values("seq").itertuples():
-            asked = set(e.tokens)
+        for seq, tokens in ordered(batches, "tokens"):
+            asked = set(tokens)
             new = not known & asked
             number, known = (number + 1, asked) if new else (number, known | asked)
-            rows.append((*key, int(e.seq), number, new))
+            rows.append((*key, seq, number, new))
         state.update((number, sorted(known)))
-        yield pd.DataFrame(rows, columns=["workspace_id", "seq", "epoch", "is_new"])
+        yield framed(rows, EPOCH_OUT)
 
     return queries.groupBy("workspace_id").applyInPandasWithState(step, EPOCH_OUT, "number long, words array<string>", "append", GroupStateTimeout.NoTimeout)
 
@@ -104,18 +119,18 @@ def read_governor(requests: DataFrame, per_task: int = 6, per_task_allowed: int
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         total, files, marks = state.get if state.exists else (0, [], [])
         read, rows = dict(zip(files, marks, strict=True)), []
-        for e in pd.concat(list(batches)).sort_values("seq").itertuples():
-            limit = max(1, (per_task_allowed if e.explicit else per_task) - (e.repeats >= 3))
-            if read.get(e.file_path) == e.fingerprint:
-                rows.append((*key, int(e.seq), e.file_path, False, "already-read"))
+        for seq, path, fingerprint, explicit, repeats in ordered(batches, "file_path", "fingerprint", "explicit", "repeats"):
+            limit = max(1, (per_task_allowed if explicit else per_task) - (repeats >= 3))
+            if read.get(path) == fingerprint:
+                rows.append((*key, seq, path, False, "already-read"))
             elif total >= limit:
-                rows.append((*key, int(e.seq), e.file_path, False, "task-limit"))
+                rows.append((*key, seq, path, False, "task-limit"))
             else:
                 total += 1
-                read[e.file_path] = e.fingerprint
-                rows.append((*key, int(e.seq), e.file_path, True, ""))
+                read[path] = fingerprint
+                rows.append((*key, seq, path, True, ""))
         state.update((total, list(read), list(read.values())))
-        yield pd.DataFrame(rows, columns=["workspace_id", "seq", "file_path", "allowed", "reason"])
+        yield framed(rows, GOVERNOR_OUT)
 
     return requests.groupBy("workspace_id").applyInPandasWithState(step, GOVERNOR_OUT, "total long, files array<string>, marks array<string>", "append", GroupStateTimeout.NoTimeout)
 
@@ -133,18 +148,18 @@ def handles(requests: DataFrame, capacity: int = 1024) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         places, ids = state.get if state.exists else ([], [])
         known, rows = dict(zip(places, ids, strict=True)), []
-        for e in pd.concat(list(batches)).sort_values("seq").itertuples():
-            evicted, new = 0, e.place not in known
+        for seq, place in ordered(batches, "place"):
+            evicted, new = 0, place not in known
             if new:
                 if len(known) >= capacity:
                     old = list(known)[: max(1, capacity // 4)]
                     evicted = len(old)
                     for p in old:
                         del known[p]
-                known[e.place] = sha256(f"{key[0]}\0{e.place}\0{e.seq}".encode()).hexdigest()[:11]
-            rows.append((*key, int(e.seq), e.place, known[e.place], new, evicted))
+                known[place] = sha256(f"{key[0]}\0{place}\0{seq}".encode()).hexdigest()[:11]
+            rows.append((*key, seq, place, known[place], new, evicted))
         state.update((list(known), list(known.values())))
-        yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in HANDLE_OUT.split(", ")])
+        yield framed(rows, HANDLE_OUT)
 
     return requests.groupBy("workspace_id").applyInPandasWithState(step, HANDLE_OUT, "places array<string>, ids array<string>", "append", GroupStateTimeout.NoTimeout)
 

@@ -70,12 +70,52 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
     return ranks
 
 
+def symbol_ranks(symbols: DataFrame, tokens: DataFrame, preferences: DataFrame | None = None, damping: float = 0.85, iterations: int = 20, cap: int = EDGE_CAP) -> DataFrame:
+    """(path, rank): the largest rank of each file's symbols, as ``pagerank`` over ``lexical_edges`` gives it, without making these edges.
+
+    All symbols of a file have the targets of the file, but for those of their own name. So what a target gets from a file is
+    the sum over the file's symbols, less what the symbol of the target's name would give: a round needs a row a file and
+    target, not a row a symbol and target. Symbols are numbered by 64-bit hashes of path and name. ``preferences``: path,
+    preference; 1 without.
+    """
+    node = lambda path, name: F.xxhash64(F.col(path), F.col(name))
+    own = symbols.select("path", "name").distinct()
+    given = own.join(preferences.groupBy("path").agg(F.max("preference").alias("preference")), "path", "left") if preferences is not None else own.withColumn("preference", F.lit(1.0))
+    reach = targets(symbols, tokens, cap).withColumn("times", F.col("times").cast("double"))
+    links = checkpointed(reach.select(F.xxhash64("src_path").alias("file"), node("src_path", "name").alias("twin"), node("dst_path", "name").alias("dst"), "times"))
+    by_file = links.groupBy("file").agg(F.sum("times").alias("_all"))
+    by_twin = links.groupBy("twin").agg(F.sum("times").alias("_same"))
+    base = given.select(node("path", "name").alias("id"), F.xxhash64("path").alias("file"), "path", F.coalesce("preference", F.lit(1.0)).cast("double").alias("preference"))
+    weight = F.coalesce("_all", F.lit(0.0)) - F.coalesce("_same", F.lit(0.0))
+    base = base.join(by_file, "file", "left").join(by_twin.withColumnRenamed("twin", "id"), "id", "left").select("id", "file", "path", "preference", weight.alias("weight"))
+    base = checkpointed(base)
+    kept = base.select("id", "file", "preference", "weight").repartition("id").persist(StorageLevel.DISK_ONLY)
+    dealt = links.repartition("file").persist(StorageLevel.DISK_ONLY)
+    # what a symbol would give to targets of its own name is taken back; few files declare a name that they have as a target
+    own_links = checkpointed(links.join(base.where("weight > 0").select(F.col("id").alias("twin")), "twin", "left_semi").select("twin", "dst", "times"))
+    ranks = kept.select("id", F.col("preference").alias("rank"))
+    for _ in range(iterations):
+        # used twice in a round, so it is written: a row a symbol
+        gives = checkpointed(kept.join(ranks, "id").where("weight > 0").select("id", "file", (F.col("rank") / F.col("weight")).alias("gives")))
+        whole = gives.groupBy("file").agg(F.sum("gives").alias("_sum"))
+        flows = dealt.join(whole, "file").groupBy("dst").agg(F.sum(F.col("times") * F.col("_sum")).alias("_in"))
+        back = own_links.join(gives.select(F.col("id").alias("twin"), "gives"), "twin").groupBy("dst").agg(F.sum(F.col("times") * F.col("gives")).alias("_back"))
+        ranks = kept.join(flows.withColumnRenamed("dst", "id"), "id", "left").join(back.withColumnRenamed("dst", "id"), "id", "left")
+        ranks = ranks.select("id", ((1 - damping) * F.col("preference") + damping * (F.coalesce("_in", F.lit(0.0)) - F.coalesce("_back", F.lit(0.0)))).alias("rank"))
+    ranks = checkpointed(ranks)
+    kept.unpersist()
+    dealt.unpersist()
+    return base.join(ranks, "id").groupBy("path").agg(F.max("rank").alias("rank"))
+
+
 def file_scores(ranks: DataFrame, files: DataFrame, top: int | None = 40) -> DataFrame:
     """(path, score, place): each file's largest rank, 1 without any, brought to 0..1; the best ``top`` files.
 
-    If all ranks are equal, so are the scores: 1. The node's path is what stands before its first colon.
+    If all ranks are equal, so are the scores: 1. ``ranks``: rank, and either path or a node's id, whose path is what stands
+    before its first colon.
     """
-    best = ranks.groupBy(F.substring_index("id", ":", 1).alias("path")).agg(F.max("rank").alias("_rank"))
+    by = F.substring_index("id", ":", 1) if "id" in ranks.columns else F.col("path")
+    best = ranks.groupBy(by.alias("path")).agg(F.max("rank").alias("_rank"))
     all_files = files.select("path").distinct().join(best, "path", "left").withColumn("_rank", F.coalesce("_rank", F.lit(1.0)))
     span = all_files.agg(F.min("_rank").alias("_lo"), F.max("_rank").alias("_hi"))
     scored = all_files.crossJoin(F.broadcast(span)).select("path", F.when(F.col("_hi") == F.col("_lo"), 1.0).otherwise((F.col("_rank") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).alias("score"))  # one row

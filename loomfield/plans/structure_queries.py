@@ -171,10 +171,8 @@ def file_graph(spark: SparkSession, folder: str) -> DataFrame:
 def ranked_files(spark: SparkSession, folder: str) -> DataFrame:
     """The 40 files of the highest rank in the symbol graph; files changed last count double."""
     s, t = _doc_graph(spark, folder)
-    edges = checkpointed(graph.lexical_edges(s, t))
-    recent = table(spark, folder, "hop1_context").groupBy(F.col("file_path").alias("path")).agg(F.max("served_at").alias("at")).orderBy(F.desc("at"), "path").limit(50).select("path", F.lit(2.0).alias("preference"))
-    nodes = s.join(F.broadcast(recent), "path", "left").select(F.concat("path", F.lit(":"), "name").alias("id"), "preference")  # 50 rows
-    ranks = graph.pagerank(edges, nodes)
+    recent = table(spark, folder, "hop1_context").where("file_path is not null").groupBy(F.col("file_path").alias("path")).agg(F.max("served_at").alias("at")).orderBy(F.desc("at"), "path").limit(50).select("path", F.lit(2.0).alias("preference"))
+    ranks = graph.symbol_ranks(s, t, recent)
     files = table(spark, folder, "hop1_context").select(F.col("file_path").alias("path")).where("path is not null")
     return graph.file_scores(ranks, files).withColumn("score", F.round("score", 9))
 

@@ -87,6 +87,20 @@ def test_pagerank_equals_a_plain_loop(spark):
     assert all(abs(r["rank"] - rank[r["id"]]) < 1e-9 for r in df.collect()) and df.count() == 12
 
 
+def test_symbol_ranks_equal_pagerank_over_edges(spark):
+    random.seed(8)
+    names = [f"name{k}" for k in range(9)]
+    data = [(f"f{k % 7}", random.choice(names), k) for k in range(30)]
+    s = spark.createDataFrame(data, "path string, name string, position long")
+    t = spark.createDataFrame(sorted({(f"f{k}", random.choice(names)) for k in range(8) for _ in range(5)}), "path string, token string")
+    likes = spark.createDataFrame([("f1", 2.0)], "path string, preference double")
+    nodes = s.join(likes, "path", "left").select(F.concat("path", F.lit(":"), "name").alias("id"), "preference")
+    for cap in (50, 4):
+        want = {r["path"]: r["score"] for r in graph.file_scores(graph.pagerank(graph.lexical_edges(s, t, cap), nodes, iterations=6), s, None).collect()}
+        got = {r["path"]: r["score"] for r in graph.file_scores(graph.symbol_ranks(s, t, likes, iterations=6, cap=cap), s, None).collect()}
+        assert want.keys() == got.keys() and all(abs(want[p] - got[p]) < 1e-9 for p in want)
+
+
 def test_lexical_edges(spark, rows):
     s = spark.createDataFrame([("a", "foo", 1), ("b", "bar", 2), ("c", "foo", 3), ("c", "foo", 4)], "path string, name string, position long")
     t = spark.createDataFrame([("a", "bar"), ("b", "foo"), ("b", "bar"), ("c", "foo")], "path string, token string")

@@ -141,6 +141,10 @@ def judged(bodies: DataFrame, path: str = "file_path", code: str = "code", keep:
     return given.mapInArrow(run, f"{schema}, body_kind string, hash_hi bigint, hash_lo bigint")
 
 
+#: Folders below so many levels count as one with the last of these, so that no path makes the plan longer.
+MOST_DEPTH = 40
+
+
 def merkle(leaves: DataFrame, repository: str = "repository", path: str = "path", hi: str = "hash_hi", lo: str = "hash_lo") -> DataFrame:
     """(repository, folder, depth, hash_hi, hash_lo, n_files) of every folder, from its files' hashes, bottom-up.
 
@@ -156,7 +160,9 @@ def merkle(leaves: DataFrame, repository: str = "repository", path: str = "path"
 
     files = leaves.where(F.col(path).isNotNull() & F.col(hi).isNotNull() & F.col(repository).isNotNull())
     files = files.select(F.col(repository).alias("repository"), F.col(path).alias("_path"), F.col(hi).alias("_hi"), F.col(lo).alias("_lo"))
-    files = files.withColumn("_depth", F.size(F.split("_path", "/")))
+    steps = F.split("_path", "/")
+    deep = F.concat(F.array_join(F.slice(steps, 1, MOST_DEPTH), "/"), F.lit("\\"), F.array_join(F.slice(steps, MOST_DEPTH + 1, F.size(steps)), "\\"))
+    files = files.withColumn("_path", F.when(F.size(steps) > MOST_DEPTH, deep).otherwise(F.col("_path"))).withColumn("_depth", F.size(F.split("_path", "/")))
     files = files.withColumn("_folder", F.when(F.col("_depth") > 1, F.expr("substring(_path, 1, length(_path) - length(substring_index(_path, '/', -1)) - 1)")).otherwise(""))
     files = files.select("repository", "_depth", "_folder", F.substring_index("_path", "/", -1).alias("_name"), "_hi", "_lo", F.lit(1).cast("bigint").alias("_n"))
     files = checkpointed(files)  # read once a level
@@ -174,6 +180,8 @@ def merkle(leaves: DataFrame, repository: str = "repository", path: str = "path"
             F.sum("_n").alias("n_files"),
         )
         below = sums.select("repository", F.col("_folder").alias("folder"), F.lit(depth - 1).alias("depth"), F.xxhash64(F.lit(3), "_a", "_b", "n_files").alias("hash_hi"), F.xxhash64(F.lit(4), "_a", "_b", "n_files").alias("hash_lo"), "n_files")
+        if (deepest - depth) % 4 == 3:
+            below = checkpointed(below)  # or each level would be planned again for all above it
         levels.append(below)
     if not levels:
         return files.select("repository", F.lit("").alias("folder"), F.lit(0).alias("depth"), F.col("_hi").alias("hash_hi"), F.col("_lo").alias("hash_lo"), F.col("_n").alias("n_files"))

@@ -37,6 +37,8 @@ def test_merkle(spark):
     shared = {(r[0], r[1]) for r in origins.shared_folders(folders).collect()}
     assert shared == {("r1", "lib"), ("r1", "lib/sub"), ("r2", "x/lib"), ("r2", "x/lib/sub")}
     assert origins.merkle(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(r, "/".join("d" * 60) + "/f", 1, 2) for r in ("r1", "r2")], df.schema)
+    assert origins.merkle(long).where("folder = ''").select("hash_hi").distinct().count() == 1
 
 
 def test_origins(spark, rows):

@@ -231,7 +231,7 @@ SQL = {
 SELECT path, line FROM l WHERE contains(lower(text), 'sample') AND path IN (SELECT path FROM h) AND (path, line) NOT IN (SELECT path, line FROM h)""",
     "fullest_windows": f"""WITH {_L}, h AS (SELECT path, line, CAST(contains(lower(text), 'lease') AS INT) + CAST(contains(lower(text), 'router') AS INT) AS n FROM l),
 w AS (SELECT path, line, sum(n) OVER (PARTITION BY path ORDER BY line RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS hits FROM h WHERE n > 0)
-SELECT path, line, line + 19 AS last_line, hits FROM w QUALIFY row_number() OVER (PARTITION BY path ORDER BY hits DESC, line) = 1""",
+SELECT path, line, line + 19 AS last_line, CAST(hits AS BIGINT) AS hits FROM w QUALIFY row_number() OVER (PARTITION BY path ORDER BY hits DESC, line) = 1""",
     "served_and_carried": r"""WITH sp AS (SELECT DISTINCT search_token AS request_id, file_path AS path, relation, CAST(regexp_extract(line_range, '^(\d+)-(\d+)$', 1) AS BIGINT) AS a, CAST(regexp_extract(line_range, '^(\d+)-(\d+)$', 2) AS BIGINT) AS b
   FROM hop1_context WHERE file_path IS NOT NULL AND search_token IS NOT NULL AND regexp_matches(line_range, '^(\d+)-(\d+)$'))
 SELECT DISTINCT s.request_id, s.path, greatest(s.a, c.a) AS "start", least(s.b, c.b) AS "end" FROM sp s JOIN sp c ON s.request_id = c.request_id AND s.path = c.path AND s.a <= c.b AND s.b >= c.a WHERE s.relation = 'definition' AND s.a <= s.b AND c.a <= c.b""",
@@ -253,7 +253,7 @@ SELECT 'a' AS "check", bool_or(contains(t, 'lease') AND contains(t, 'router')) A
   WHERE workspace_id IS NOT NULL AND file_path IS NOT NULL AND regexp_matches(line_range, '^(\d+)-(\d+)$')),
 l AS (SELECT DISTINCT workspace_id, file_path, unnest(range(a, b + 1)) AS line FROM sp WHERE a <= b), n AS (SELECT workspace_id, file_path, count(*) AS events FROM sp WHERE a <= b GROUP BY ALL)
 SELECT l.workspace_id, l.file_path, count(*) AS served_lines, count(*) AS added_lines, any_value(events) AS events FROM l JOIN n USING (workspace_id, file_path) GROUP BY l.workspace_id, l.file_path""",
-    "query_words": """SELECT term, sum(m) AS matched, sum(x) AS missing FROM (SELECT unnest(matched_terms) AS term, 1 AS m, 0 AS x FROM query_evidence UNION ALL SELECT unnest(missing_terms), 0, 1 FROM query_evidence) GROUP BY term""",
+    "query_words": """SELECT term, CAST(sum(m) AS BIGINT) AS matched, CAST(sum(x) AS BIGINT) AS missing FROM (SELECT unnest(matched_terms) AS term, 1 AS m, 0 AS x FROM query_evidence UNION ALL SELECT unnest(missing_terms), 0, 1 FROM query_evidence) GROUP BY term""",
     "reachable_files": """WITH RECURSIVE h AS (SELECT * FROM hop1_context WHERE file_path IS NOT NULL AND search_token IS NOT NULL),
 e AS (SELECT DISTINCT u.file_path AS src, d.file_path AS dst FROM h u JOIN h d USING (search_token) WHERE u.relation = 'reference' AND d.relation = 'definition' AND u.file_path <> d.file_path),
 r AS (SELECT DISTINCT file_path AS id, 0 AS steps FROM h WHERE starts_with(file_path, 'core/') UNION SELECT e.dst, r.steps + 1 FROM r JOIN e ON e.src = r.id WHERE r.steps < 3)

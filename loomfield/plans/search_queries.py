@@ -195,7 +195,7 @@ SELECT path, count(*) AS n, string_agg(line, ',' ORDER BY line) AS lines FROM co
     "find_inventory": f"WITH {LINES} SELECT path, count(*) AS matches FROM code_lines WHERE strpos(lower(text), 'digest') > 0 GROUP BY path",
     "find_folders": rf"""WITH {LINES},
 counts AS (SELECT path, count(*) AS matches FROM code_lines WHERE strpos(lower(text), 'digest') > 0 GROUP BY path)
-SELECT CASE WHEN strpos(path, '/') > 0 THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir, count(*) AS files, sum(matches) AS matches FROM counts GROUP BY 1""",
+SELECT CASE WHEN strpos(path, '/') > 0 THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir, count(*) AS files, CAST(sum(matches) AS BIGINT) AS matches FROM counts GROUP BY 1""",
     "find_all_or_any": f"""WITH {LINES},
 by_file AS (SELECT path, max(CAST(strpos(lower(text), 'lease') > 0 AS INT)) a, max(CAST(strpos(lower(text), 'router') > 0 AS INT)) b,
   max(CAST(strpos(lower(text), 'digest') > 0 AS INT)) c, count(*) AS lines_found FROM code_lines
@@ -215,7 +215,7 @@ SELECT path, line, in_comment FROM flagged WHERE CASE WHEN in_comment THEN regex
     "references_page": f"""WITH {LINES} SELECT path, line FROM code_lines WHERE strpos(text, 'token') > 0 AND (path, line) > ('core', 1) ORDER BY path, line LIMIT 200""",
     "references_within_bytes": f"""WITH {LINES}, hits AS (SELECT path, line, strlen('{{"path":"' || path || '","line":' || line || '}}') + 1 AS size FROM code_lines WHERE strpos(text, 'receipt') > 0),
 summed AS (SELECT path, line, sum(size) OVER (ORDER BY path, line ROWS UNBOUNDED PRECEDING) AS running_bytes FROM hits)
-SELECT path, line, running_bytes FROM summed WHERE running_bytes <= 4096""",
+SELECT path, line, CAST(running_bytes AS BIGINT) AS running_bytes FROM summed WHERE running_bytes <= 4096""",
     "hit_ranges": f"""WITH {LINES}, islands AS (SELECT path, line, line - row_number() OVER (PARTITION BY path ORDER BY line) AS island FROM code_lines WHERE strpos(text, 'const') > 0),
 runs AS (SELECT path, min(line) AS "start", max(line) AS "end" FROM islands GROUP BY path, island),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY "start") AS n FROM runs)
@@ -227,7 +227,7 @@ SELECT path, greatest(1, line - 4) AS first_line, last + 4 AS last_line, n AS hi
     "comment_lines": rf"""
 WITH named AS (SELECT hop_id, lower(regexp_extract(file_path, '[^/]\.([A-Za-z0-9]+)$', 1)) AS ext, unnest(string_split_regex(code, '\r?\n')) AS text FROM hop1_context WHERE code IS NOT NULL),
 kinds AS (SELECT {_LANG} AS language, ltrim(text) AS bare FROM named)
-SELECT language, count(*) AS n_lines, sum(CAST((language IN ('python', 'ruby') AND starts_with(bare, '#')) OR (language IN {_SLASHED} AND starts_with(bare, '//')) OR regexp_matches(bare, '^(/\*|\*/|\* )') OR bare = '*' AS BIGINT)) AS n_comments
+SELECT language, count(*) AS n_lines, CAST(sum(CAST((language IN ('python', 'ruby') AND starts_with(bare, '#')) OR (language IN {_SLASHED} AND starts_with(bare, '//')) OR regexp_matches(bare, '^(/\*|\*/|\* )') OR bare = '*' AS BIGINT)) AS BIGINT) AS n_comments
 FROM kinds GROUP BY language""",
     "path_classes": rf"""
 WITH p AS (SELECT DISTINCT file_path, lower(regexp_extract(file_path, '[^/]\.([A-Za-z0-9]+)$', 1)) AS ext FROM served_surfaces)

@@ -269,7 +269,7 @@ SELECT path, CAST(byte_start / 1600 AS BIGINT) + 1 AS chunk_no, byte_start, byte
     "line_offsets": r"""
 WITH s AS (SELECT CAST(evidence_id AS VARCHAR) AS path, string_split_regex(content_text, '\r?\n') AS parts FROM query_evidence WHERE content_text IS NOT NULL),
 l AS (SELECT path, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM s)
-SELECT path, line, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte_start FROM l""",
+SELECT path, line, CAST(coalesce(sum(strlen(text) + 1) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start FROM l""",
     "text_digests": "SELECT doc_id, sha256(text) AS sha256, substr(sha256(text), 1, 12) AS short_id, substr(sha256('salt' || chr(0) || 'doc' || chr(0) || CAST(doc_id AS VARCHAR)), 1, 24) AS opaque_id FROM documents",
     "compressed_text": r"""SELECT page_id, sha256(t) AS compressed_sha, length(t) AS n_chars FROM (SELECT page_id,
   regexp_replace(regexp_replace(regexp_replace(page_text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|\z)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM pdf_pages WHERE page_text IS NOT NULL)""",

@@ -107,7 +107,7 @@ SELECT tool, count(*) AS n, round(sum(response), 4) AS response_sum FROM r WHERE
     "mean_turns": f"""WITH {_E}, d AS (SELECT client, user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS turns FROM e GROUP BY ALL)
 SELECT client, round(avg(turns), 6) AS mean_turns, count(*) AS sessions FROM d GROUP BY client""",
     "user_sessions": f"""WITH {_E}, g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM e WHERE ts IS NOT NULL),
-s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session_no FROM g)
+s AS (SELECT user_id, ts, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM g)
 SELECT user_id, session_no, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP BY user_id, session_no""",
     "pattern_lookup": r"""WITH m AS (SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)^(standard.*brass)') THEN 'brass' WHEN regexp_matches(p_type, '(?i)^(standard|small)') THEN 'basic'
   WHEN regexp_matches(p_type, '(?i)^(.*steel)') THEN 'steel' WHEN regexp_matches(p_type, '(?i)^promo') THEN 'promo' ELSE 'none' END AS matched FROM part)

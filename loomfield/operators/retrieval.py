@@ -109,7 +109,7 @@ def decided(candidates: DataFrame, margin: float = 0.8, least: float = 0.8) -> D
 def one_a_surface(candidates: DataFrame, most: int = 8) -> DataFrame:
     """The best candidate of each kind of surface, by score."""
     s = candidates.withColumn("surface", paths.surface(F.col("path")))
-    best = s.groupBy("surface").agg(F.max_by(F.struct("path", "line", "score"), F.struct(F.col("score"), -F.col("line"))).alias("b"))
+    best = s.groupBy("surface").agg(F.max_by(F.struct("path", "line", "score"), F.struct(F.col("score"), -F.col("line"), F.col("path"))).alias("b"))
     return best.select("surface", "b.path", "b.line", "b.score").orderBy(F.desc("score"), "path").limit(most)
 
 

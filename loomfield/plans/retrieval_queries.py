@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import text as tx
 from loomfield.operators import documents, edits, intervals, outline, retrieval, search, source, symbols
-from loomfield.plans.search_queries import windows
+from loomfield.plans.search_queries import surface_case, windows
 from loomfield.session import checkpointed, spread, table
 from loomfield.sources import delimited, files
 from loomfield.streaming import runner, sessions
@@ -226,7 +226,14 @@ _LINES = r"""s AS (SELECT file_path || '@' || hop_id AS path, string_split_regex
 
 _L = _LINES + ", l AS (SELECT path, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM s)"
 
+_BEST = f"""e AS (SELECT file_path AS path, coalesce(line_no, 0) AS line, score, {surface_case("file_path")} AS surface FROM query_evidence WHERE file_path IS NOT NULL AND score IS NOT NULL)"""
+
 SQL = {
+    "surface_map": f"""WITH {_BEST} SELECT surface, path, line, score FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY surface ORDER BY score DESC, line, path DESC) = 1) ORDER BY score DESC, path LIMIT 8""",
+    "related_files": f"""WITH {_BEST}, o AS (SELECT *, floor(score / 0.001) AS s FROM e QUALIFY row_number() OVER (PARTITION BY path ORDER BY floor(score / 0.001) DESC, line) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY s DESC, path, line) AS k FROM o) SELECT path, line, surface, score FROM k ORDER BY least(k, 2), s DESC, path, line LIMIT 6""",
+    "daily_usage_stream": """WITH d AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)
+SELECT strftime(day, '%Y-%m-%d') AS day, event_type, n, total FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
     "sibling_lines": f"""WITH {_L}, h AS (SELECT path, line FROM l WHERE contains(text, 'sample_index'))
 SELECT path, line FROM l WHERE contains(lower(text), 'sample') AND path IN (SELECT path FROM h) AND (path, line) NOT IN (SELECT path, line FROM h)""",
     "fullest_windows": f"""WITH {_L}, h AS (SELECT path, line, CAST(contains(lower(text), 'lease') AS INT) + CAST(contains(lower(text), 'router') AS INT) AS n FROM l),

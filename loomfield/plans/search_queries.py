@@ -163,6 +163,20 @@ _IDENT = "[A-Za-z_$][A-Za-z0-9_$]*"
 _LANG = "CASE " + " ".join(f"WHEN ext = '{e}' THEN '{n}'" for e, n in paths.LANGUAGES.items()) + " ELSE 'none' END"
 _SLASHED = "('typescript','typescriptreact','javascript','javascriptreact','java','kotlin','go','rust','c','cpp','csharp','php')"
 
+
+
+def surface_case(column: str) -> str:
+    """The kinds of surface as a CASE expression; RE2 has no look-ahead, so the rule for documents is written out."""
+    out = []
+    for name, pattern in paths.SURFACES:
+        plain = pattern.replace("\\z", "$")
+        test = f"regexp_matches(lower({column}), '{plain}')"
+        if name == "doc":
+            test = f"NOT regexp_matches(lower({column}), '^(docs/|proto/)') AND regexp_matches(lower({column}), '\\.md$')"
+        out.append(f"WHEN {test} THEN '{name}'")
+    return "CASE " + " ".join(out) + " ELSE 'unknown' END"
+
+
 SQL = {
     "line_stats": r"""
 SELECT doc_id, CASE WHEN text IS NULL OR body = '' THEN 0 ELSE len(string_split_regex(body, '\r\n|\r|\n')) END AS n_lines,
@@ -234,8 +248,16 @@ WITH p AS (SELECT DISTINCT file_path, lower(regexp_extract(file_path, '[^/]\.([A
 SELECT file_path, {_LANG} AS language, regexp_matches(file_path, '(^|/)(tests?|__tests__|spec|__spec__)(/|$)|\.test\.|\.spec\.') AS is_test,
   regexp_matches(file_path, 'node_modules/|dist/|cache/|bench/fixtures/') AS is_noise, regexp_matches(file_path, '(^|/)(dist|build|out|coverage|\.next|target)/') AS is_build_output,
   regexp_matches(lower(file_path), '\.(md|mdx|markdown)$') AS is_markdown, file_path = 'core' OR starts_with(file_path, 'core/') AS in_core FROM p""",
-    "surface_classes": "SELECT DISTINCT file_path, CASE " + " ".join(
-        f"WHEN {('NOT regexp_matches(lower(file_path), ' + chr(39) + '^(docs/|proto/)' + chr(39) + ') AND regexp_matches(lower(file_path), ' + chr(39) + chr(92) + '.md$' + chr(39) + ')') if name == 'doc' else 'regexp_matches(lower(file_path), ' + chr(39) + pattern.replace(chr(92) + 'z', '$') + chr(39) + ')'} THEN '{name}'"
-        for name, pattern in paths.SURFACES
-    ) + " ELSE 'unknown' END AS surface FROM served_surfaces",
+    "surface_classes": f"SELECT DISTINCT file_path, {surface_case('file_path')} AS surface FROM served_surfaces",
+    "find_snippets": rf"""WITH {LINES}, m AS (SELECT path, line, text, strpos(lower(text), 'manifest') AS start FROM code_lines WHERE strpos(lower(text), 'manifest') > 0),
+b AS (SELECT path, line, regexp_replace(text, '^\s+|\s+$', '', 'g') AS bare, greatest(1, start - (length(text) - length(regexp_replace(text, '^\s+', '')))) AS a FROM m),
+f AS (SELECT path, line, bare, CASE WHEN length(bare) <= 80 THEN 1 ELSE greatest(1, least(a - 20, length(bare) - 79)) END AS first FROM b)
+SELECT path, line, CASE WHEN first > 1 THEN '…' ELSE '' END || substr(bare, first, 80) || CASE WHEN first + 79 < length(bare) THEN '…' ELSE '' END AS snippet FROM f""",
+    "evidence_windows": f"""WITH {LINES}, h AS (SELECT path, line, CAST(contains(lower(text), 'lease') AS INT) a, CAST(contains(lower(text), 'router') AS INT) b, CAST(contains(lower(text), 'sealmanifest') AS INT) c, CAST(contains(lower(text), 'digest') AS INT) d FROM code_lines),
+n AS (SELECT path, count(*) AS n, sum(a) da, sum(b) db, sum(c) dc, sum(d) dd FROM h GROUP BY path HAVING sum(a) + sum(b) + sum(c) + sum(d) > 0),
+s AS (SELECT path, line, max(a) OVER w * 2.0 * least(3.0, 1 + ln((n + 1) / (da + 1))) + max(b) OVER w * 2.0 * least(3.0, 1 + ln((n + 1) / (db + 1))) + max(c) OVER w * 4.0 * least(3.0, 1 + ln((n + 1) / (dc + 1)))
+  + max(d) OVER w * 2.0 * least(3.0, 1 + ln((n + 1) / (dd + 1))) AS score FROM h JOIN n USING (path) WINDOW w AS (PARTITION BY path ORDER BY line ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
+t AS (SELECT path, line, score FROM s QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, line) = 1),
+u AS (SELECT t.path, max(s.score) AS second FROM t JOIN s ON s.path = t.path AND abs(s.line - t.line) > 24 GROUP BY t.path)
+SELECT t.path, t.line, round(t.score, 3) AS score, round(t.score - u.second, 3) AS margin FROM t LEFT JOIN u USING (path) WHERE t.score >= 3""",
 }

@@ -159,8 +159,8 @@ def mixed(counted: DataFrame, targets: dict[str, tuple[float, int]], key: str =
 def shares(drawn: DataFrame, targets: DataFrame, source: str = "source", size: str = "n_tokens") -> DataFrame:
     """The share of all drawn tokens that each source of ``targets`` (source_name, target_share, max_repeats) really has."""
     by = drawn.groupBy(source).agg(F.sum(F.col(size) * F.col("repeats")).alias("drawn_tokens"), F.sum("repeats").alias("drawn_docs"), F.max("repeats").alias("most_repeats"))
-    all_tokens = by.agg(F.sum("drawn_tokens").alias("_all"))
-    joined = targets.join(by, F.col("source_name") == F.col(source), "left").crossJoin(all_tokens)  # one row a target, one row
+    all_tokens = by.agg(F.sum("drawn_tokens").alias("_all")).scalar()
+    joined = targets.join(by, F.col("source_name") == F.col(source), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    actual = F.coalesce(F.col("drawn_tokens") / F.col("_all"), F.lit(0.0))
+    actual = F.coalesce(F.col("drawn_tokens") / all_tokens, F.lit(0.0))
     return joined.select("source_name", "target_share", "max_repeats", zero("drawn_docs"), zero("most_repeats"), zero("drawn_tokens"), actual.alias("actual_share"), F.abs(actual - F.col("target_share")).alias("off_by"))

@@ -117,8 +117,8 @@ def file_scores(ranks: DataFrame, files: DataFrame, top: int | None = 40) -> Dat
     by = F.substring_index("id", ":", 1) if "id" in ranks.columns else F.col("path")
     best = ranks.groupBy(by.alias("path")).agg(F.max("rank").alias("_rank"))
     all_files = files.select("path").distinct().join(best, "path", "left").withColumn("_rank", F.coalesce("_rank", F.lit(1.0)))
-    span = all_files.agg(F.min("_rank").alias("_lo"), F.max("_rank").alias("_hi"))
-    scored = all_files.crossJoin(F.broadcast(span)).select("path", F.when(F.col("_hi") == F.col("_lo"), 1.0).otherwise((F.col("_rank") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).alias("score"))  # one row
+    low, high = (all_files.agg(f("_rank").alias("_x")).scalar() for f in (F.min, F.max))
+    scored = all_files.select("path", F.when(high == low, 1.0).otherwise((F.col("_rank") - low) / (high - low)).alias("score"))
     if not top:
         return scored
     best_files = scored.orderBy(F.desc("score"), "path").limit(top)
@@ -128,8 +128,8 @@ def file_scores(ranks: DataFrame, files: DataFrame, top: int | None = 40) -> Dat
 def count_scores(symbols: DataFrame) -> DataFrame:
     """(path, score): a file's number of symbols, by the largest."""
     counted = symbols.groupBy("path").agg(F.count("*").alias("_n"))
-    most = counted.agg(F.max("_n").alias("_most"))
-    return counted.crossJoin(F.broadcast(most)).select("path", (F.col("_n") / F.col("_most")).alias("score"))  # one row
+    most = counted.agg(F.max("_n").alias("_most")).scalar()
+    return counted.select("path", (F.col("_n") / most).alias("score"))
 
 
 def definition_references(defs: DataFrame, refs: DataFrame) -> DataFrame:
@@ -179,9 +179,9 @@ def symbol_search(symbols: DataFrame, query: str, scores: DataFrame | None = Non
     by_path = share(path_parts)
     rows = symbols.select("path", "line", "name")
     if scores is not None:
-        most = scores.agg(F.max("score").alias("_most"))
-        rows = rows.join(scores.select("path", F.col("score").alias("_file")), "path", "left").crossJoin(F.broadcast(most))  # one row
-        rank = F.coalesce(F.when(F.col("_most") > 0, F.col("_file") / F.col("_most")), F.lit(0.0))
+        most = scores.agg(F.max("score").alias("_most")).scalar()
+        rows = rows.join(scores.select("path", F.col("score").alias("_file")), "path", "left")
+        rank = F.coalesce(F.when(most > 0, F.col("_file") / most), F.lit(0.0))
     else:
         rank = F.lit(0.0)
     if recent is not None:
@@ -197,5 +197,5 @@ def symbol_search(symbols: DataFrame, query: str, scores: DataFrame | None = Non
     if not scope:
         best = scored.groupBy("path").agg(F.max_by(F.struct("line", "name", "score"), F.struct(F.col("score"), -F.col("line"), "name")).alias("b"))
         scored = best.select("path", "b.line", "b.name", "b.score")
-    total = scored.agg(F.count("*").alias("total"))
-    return scored.orderBy(F.desc("score"), "path", "line", "name").limit(min(limit, 50)).crossJoin(F.broadcast(total))  # one row
+    total = scored.agg(F.count("*").alias("total")).scalar()
+    return scored.orderBy(F.desc("score"), "path", "line", "name").limit(min(limit, 50)).select("*", total.alias("total"))

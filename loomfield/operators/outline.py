@@ -154,8 +154,8 @@ def unique_target(texts: DataFrame, search: str, path: str = "path", content: st
     """(path): the only text that has a search exactly once; none if there are more or none."""
     n = F.size(F.split(F.col(content), re.escape(search).replace("\\ ", " "), -1)) - 1
     hits = texts.where(F.col(content).contains(search)).select(F.col(path).alias("path"), n.alias("_n"))
-    total = hits.agg(F.sum("_n").alias("_all"))
-    return hits.crossJoin(F.broadcast(total)).where("_all = 1").select("path")  # one row
+    total = hits.agg(F.sum("_n").alias("_all")).scalar()
+    return hits.where(total == 1).select("path")
 
 
 def write_trace(events: DataFrame, target: str, clock: str = "seq") -> None:

@@ -208,9 +208,9 @@ def digests(lines: DataFrame, symbols: DataFrame, imports: DataFrame, query: str
 def members(symbols: DataFrame, types: DataFrame, type_name: str, most: int = 12) -> DataFrame:
     """(path, name, line): the declarations inside the only type of a name; none if several files declare it."""
     own = types.where(F.col("name") == type_name)
-    single = own.agg(F.countDistinct("path").alias("_n")).where("_n = 1")
+    files = own.agg(F.countDistinct("path").alias("_n")).scalar()
     held = symbols.alias("s").join(own.alias("t"), F.col("s.path") == F.col("t.path")).where("s.line > t.line and s.line <= t.end_line")
-    return held.select(F.col("s.path").alias("path"), F.col("s.name").alias("name"), F.col("s.line").alias("line")).crossJoin(F.broadcast(single)).drop("_n").orderBy("path", "line").limit(most)  # one row
+    return held.select(F.col("s.path").alias("path"), F.col("s.name").alias("name"), F.col("s.line").alias("line")).where(files == 1).orderBy("path", "line").limit(most)
 
 
 def section_plans(sections: DataFrame, lines: DataFrame, key: str, terms: list[str]) -> DataFrame:

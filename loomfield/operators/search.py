@@ -91,11 +91,11 @@ def all_or_any(lines: DataFrame, terms: list[str]) -> DataFrame:
     by = lines.where(any_flag).groupBy("path").agg(*[F.max(f.cast("int")).alias(f"t{k}") for k, f in enumerate(flags)], F.count("*").alias("lines_found"))
     counted = by.select("path", "lines_found", sum((F.col(f"t{k}") for k in range(len(terms))), F.lit(0)).alias("terms_found"), *[f"t{k}" for k in range(len(terms))])
     overall = counted.agg(*[F.max(f"t{k}").alias(f"o{k}") for k in range(len(terms))], F.lit(1).alias("_one"))
-    occurring = overall.select(sum((F.coalesce(F.col(f"o{k}"), F.lit(0)) for k in range(len(terms))), F.lit(0)).alias("_occurring"))
-    full = counted.crossJoin(F.broadcast(occurring)).withColumn("_all", F.col("terms_found") == F.col("_occurring"))  # one row
-    some = full.agg(F.coalesce(F.max(F.col("_all").cast("int")), F.lit(0)).alias("_some"))
-    out = full.crossJoin(F.broadcast(some)).where((F.col("_some") == 0) | F.col("_all"))
-    return out.select("path", F.col("terms_found").cast("int").alias("terms_found"), "lines_found", F.when(F.col("_some") == 1, "all").otherwise("any").alias("mode"))
+    occurring = overall.select(sum((F.coalesce(F.col(f"o{k}"), F.lit(0)) for k in range(len(terms))), F.lit(0)).alias("_occurring")).scalar()
+    full = F.col("terms_found") == occurring
+    some = counted.agg(F.coalesce(F.max(full.cast("int")), F.lit(0)).alias("_some")).scalar()
+    out = counted.where((some == 0) | full)
+    return out.select("path", F.col("terms_found").cast("int").alias("terms_found"), "lines_found", F.when(some == 1, "all").otherwise("any").alias("mode"))
 
 
 def union_of(lines: DataFrame, queries: list[str]) -> DataFrame:
@@ -111,8 +111,8 @@ def absence(files: DataFrame, lines: DataFrame, terms: list[str]) -> DataFrame:
     terms = list(dict.fromkeys(terms))[:12]
     seen = lines.agg(*[F.max((F.locate(t.lower(), F.lower("text")) > 0).cast("int")).alias(f"t{k}") for k, t in enumerate(terms)])
     pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.coalesce(F.col(f"t{k}"), F.lit(0)).alias("found")) for k, t in enumerate(terms)])
-    scanned = files.agg(F.count("*").alias("scanned_files"))
-    return seen.select(F.explode(pairs).alias("p")).where("p.found = 0").crossJoin(F.broadcast(scanned)).select("p.term", "scanned_files")  # one row
+    scanned = files.agg(F.count("*").alias("scanned_files")).scalar()
+    return seen.select(F.explode(pairs).alias("p")).where("p.found = 0").select("p.term", scanned.alias("scanned_files"))
 
 
 def references(lines: DataFrame, symbol: str, languages: Column | None = None) -> DataFrame:

@@ -69,10 +69,10 @@ def dominant(items: DataFrame, root: str, weight: Column | None = None, order: s
 def cluster_root(items: DataFrame, path: str = "path", score: str = "score", top: int = 8, share: float = 0.6, least_depth: int = 2) -> DataFrame:
     """(dir, depth, mass): the deepest folder, at least two down, that holds the share of the score of the top items."""
     best = items.orderBy(F.desc(score), path).limit(top)
-    total = best.agg(F.sum(score).alias("_total"))
+    total = best.agg(F.sum(score).alias("_total")).scalar()
     up = best.select(score, F.posexplode(tx.ancestors(F.col(path))).alias("_at", "dir"))
-    mass = up.groupBy("dir", (F.col("_at") + 1).alias("depth")).agg(F.sum(score).alias("_mass")).crossJoin(F.broadcast(total))  # one row
-    held = mass.select("dir", "depth", F.round(F.col("_mass") / F.col("_total"), 6).alias("mass"), (F.col("_mass") / F.col("_total")).alias("_m"))
+    mass = up.groupBy("dir", (F.col("_at") + 1).alias("depth")).agg(F.sum(score).alias("_mass"))
+    held = mass.select("dir", "depth", (F.col("_mass") / total).alias("_m")).withColumn("mass", F.round("_m", 6)).select("dir", "depth", "mass", "_m")
     return held.where((F.col("_m") >= share) & (F.col("depth") >= least_depth)).orderBy(F.desc("depth"), F.desc("_m"), "dir").limit(1).drop("_m")
 
 

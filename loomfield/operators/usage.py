@@ -122,6 +122,6 @@ def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFram
 
 def idle_evicted(last_seen: DataFrame, key: str, ts: str, now: str, idle_hours: int = 24, keep: int = 8) -> DataFrame:
     """(key): sessions idle for longer than the limit, if there are more than ``keep`` of them."""
-    n = last_seen.agg(F.count("*").alias("_n"))
+    n = last_seen.agg(F.count("*").alias("_n")).scalar()
     old = F.col(ts) < F.to_timestamp(F.lit(now)) - F.make_dt_interval(F.lit(0), F.lit(idle_hours))
-    return last_seen.crossJoin(F.broadcast(n)).where((F.col("_n") > keep) & old).select(key)  # one row
+    return last_seen.where((n > keep) & old).select(key)

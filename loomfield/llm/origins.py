@@ -73,10 +73,12 @@ def body_kind(code: str) -> str | None:
                 break
             continue
         text = m[1]
+        if len(text) >= 300:
+            continue
         banner = "! " + text if line.lstrip().startswith("/*!") else text
-        if GENERATED_HEADER.match(text) and len(text) < 300:
+        if GENERATED_HEADER.match(text):
             return "generated"
-        if VENDORED_HEADER.match(banner) and len(text) < 300:
+        if VENDORED_HEADER.match(banner):
             return "vendored"
     size = len(code)
     literal = sum(len(m.group()) for m in LITERAL.finditer(code)) + sum(len(x) for x in lines if TEXT_LINE.match(x))

@@ -27,6 +27,8 @@ from loomfield.session import spread
 
 MASK = "REDACTED"
 LONGEST_WORD = 16
+#: A literal beyond this is data: no credential but a key block, which has a frame, comes near it.
+LONGEST = 4000
 
 # Names under which credentials are kept, in several languages, without separators.
 STRONG = (
@@ -52,8 +54,8 @@ JWT = re.compile(r"eyJ[\w-]{6,}\.[\w-]{4,}\.[\w-]{6,}\Z")
 MARKED = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}\Z|gh[pousr]_\w{20,}\Z|github_pat_\w{20,}\Z|xox[abeoprs]-[\w-]{10,}\Z|[sr]k_(?:live|test|prod)_\w{10,}\Z|sk-[\w-]{16,}\Z|glpat-[\w-]{16,}\Z|AIza[\w-]{30,}\Z|SG\.[\w-]{16,}\.[\w-]{16,}\Z|npm_\w{30,}\Z|hf_\w{30,}\Z")
 
 BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
-USERINFO = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://([^\s/:@"'`<>]*):([^\s/@"'`<>]+)@""")
-FLAG = re.compile(r"""(?i)\b(?:log_?in|auth|connect|-u\s+\S+)\b[^\n]*?\s(?:-p|--pass|-P)[ =]?(["']?)([^\s"']{4,})\1""")
+USERINFO = re.compile(r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://([^\s/:@"'`<>]*):([^\s/@"'`<>]+)@""")
+FLAG = re.compile(r"""(?i)\b(?:log_?in|auth|connect|-u\s+\S+)\b[^\n]{0,200}?\s(?:-p|--pass|-P)[ =]?(["']?)([^\s"']{4,})\1""")
 TOLD = re.compile(r"""(?i)\b(?:log ?in|sign ?in|token|key|pw|pwd|password|passphrase|secret|credentials?|creds)\b[^\n:`"']{0,60}(?::\s+|`)([^\s"'`<>,;(){}]{8,})""")
 BEARER = re.compile(r"""(?i)(?:\bbearer|authorization["'\s:,=]+["']?(?:basic|token))[ ]+([A-Za-z0-9._~+/=!#$%@-]{8,})""")
 SIGNIN = re.compile(r"""(?i)\b\w*(?:log_?in|sign_?in|connect|auth\w*)\(\s*(["'])[^"'\n]*\1\s*,\s*(["'])([^"'\n]+)\2""")
@@ -136,7 +138,7 @@ def stands_in(value: str) -> bool:
 @lru_cache(maxsize=65536)
 def grants(value: str, where: str, path: str = VOCABULARY) -> bool:
     """Whether a literal is a credential; ``where``: strong, weak, user (a URL or a sign-in), about, or loose."""
-    if len(value) < 4 or stands_in(value) or UUID.match(value) or DIGEST.match(value):
+    if not 4 <= len(value) <= LONGEST or stands_in(value) or UUID.match(value) or DIGEST.match(value):
         return False
     if where in ("strong", "weak", "user") and (JWT.match(value) or MARKED.match(value)):
         return True

@@ -71,12 +71,15 @@ def basename_frequency(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def snapshot_actions(spark: SparkSession, folder: str) -> DataFrame:
-    """What a rebuild would do from the earlier to the later fingerprints of served files."""
+    """What a rebuild would do from the last fingerprints of files served up to the middle of the sequence to the last of those served after it.
+
+    A file that is served in one half only is dropped or added. Its symbols count as still found if it was last served with a handle.
+    """
     s = table(spark, folder, "served_surfaces").where("file_path is not null and fingerprint rlike '^[0-9]+:[0-9]+$'")
-    s = s.select(F.col("file_path").alias("path"), F.split_part("fingerprint", F.lit(":"), F.lit(1)).cast("bigint").alias("size_bytes"), F.split_part("fingerprint", F.lit(":"), F.lit(2)).cast("bigint").alias("mtime_ms"), "served_at", "surface_id")
-    ends = s.groupBy("path").agg(F.min_by(F.struct("size_bytes", "mtime_ms"), F.struct("served_at", "surface_id")).alias("a"), F.max_by(F.struct("size_bytes", "mtime_ms"), F.struct("served_at", "surface_id")).alias("b"), F.count("*").alias("n"))
-    old = ends.where("n % 5 <> 0").select("path", "a.size_bytes", "a.mtime_ms", F.col("a.size_bytes").cast("string").alias("hash"))
-    new = ends.where("n % 3 <> 0").select("path", "b.size_bytes", "b.mtime_ms", F.col("b.size_bytes").cast("string").alias("hash"), (F.length("path") % 4 != 0).alias("valid"))
+    s = s.select(F.col("file_path").alias("path"), F.split_part("fingerprint", F.lit(":"), F.lit(1)).cast("bigint").alias("size_bytes"), F.split_part("fingerprint", F.lit(":"), F.lit(2)).cast("bigint").alias("mtime_ms"), "served_at", "surface_id", "handle")
+    middle = s.agg(((F.min("served_at") + F.max("served_at")) / 2).alias("middle")).scalar()
+    last = lambda half: half.groupBy("path").agg(F.max_by(F.struct("size_bytes", "mtime_ms", "handle"), F.struct("served_at", "surface_id")).alias("x")).select("path", "x.size_bytes", "x.mtime_ms", F.col("x.size_bytes").cast("string").alias("hash"), F.col("x.handle").isNotNull().alias("valid"))
+    old, new = last(s.where(F.col("served_at") <= middle)), last(s.where(F.col("served_at") > middle))
     return trees.snapshot_actions(old, new)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from loomfield.functions import paths
 from loomfield.functions import text as tx
 from loomfield.operators import intervals
+from loomfield.session import running_sums
 
 STOP_WORDS = frozenset("the a an and or of to in on for with from by is are be this that it as at how what where when which who does do not".split())
 
@@ -133,11 +135,9 @@ def packed(items: DataFrame, cap: int, order: str = "item_no", size: str = "toke
     """Adds ``fate`` to items in order: served, cap-exceeded (larger than the whole budget, the next ones go on), cap-exhausted (the first that does
     not fit what is left) and omitted (after it)."""
     over = F.col(size) > cap
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    running = F.sum(F.when(over, 0).otherwise(F.col(size))).over(w)
-    spent = items.withColumn("_sum", running)
-    stop = F.min(F.when(~over & (F.col("_sum") > cap), F.col(order))).over(Window.partitionBy(F.lit(0)))
-    return spent.withColumn("_stop", stop).withColumn("fate", F.when(F.col(order) > F.col("_stop"), "omitted").when(F.col(order) == F.col("_stop"), "cap-exhausted").when(over, "cap-exceeded").otherwise("served")).drop("_sum", "_stop")
+    spent = running_sums(items, [F.col(order)], _sum=F.when(over, 0).otherwise(F.col(size)))
+    stop = spent.agg(F.min(F.when(~over & (F.col("_sum") > cap), F.col(order))).alias("_stop")).scalar()
+    return spent.withColumn("fate", F.when(F.col(order) > stop, "omitted").when(F.col(order) == stop, "cap-exhausted").when(over, "cap-exceeded").otherwise("served")).drop("_sum")
 
 
 def selected_evidence(slices_: DataFrame, per_class: int = 2, per_concern: int = 2048, overall: int = 6144) -> DataFrame:

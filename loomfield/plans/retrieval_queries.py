@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.functions import text as tx
 from loomfield.operators import documents, edits, intervals, outline, retrieval, search, source, symbols
 from loomfield.plans.search_queries import surface_case, windows
-from loomfield.session import checkpointed, spread, table
+from loomfield.session import checkpointed, running_sums, spread, table
 from loomfield.sources import delimited, files
 from loomfield.streaming import runner, sessions
 
@@ -46,10 +46,9 @@ def line_slices(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_pack(spark: SparkSession, folder: str) -> DataFrame:
-    """The best evidence in order of score within 2,400 tokens, out of the first 2,400 that could fit."""
+    """What becomes of each piece of evidence, in order of score, within 2,400 tokens."""
     e = table(spark, folder, "query_evidence").where("content_text is not null and score is not null")
-    best = e.orderBy(F.desc("score"), "evidence_id").limit(2400)
-    items = best.select("evidence_id", F.row_number().over(Window.orderBy(F.desc("score"), "evidence_id")).alias("item_no"), F.ceil(F.length("content_text") / 4).cast("bigint").alias("tokens"))
+    items = running_sums(e.select("evidence_id", "score", F.ceil(F.length("content_text") / 4).cast("bigint").alias("tokens")), [F.desc("score"), F.asc("evidence_id")], item_no=F.lit(1)).drop("score")
     return retrieval.packed(items, 2400)
 
 

@@ -94,6 +94,24 @@ def rows_of(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFram
     return spark.createDataFrame(list(rows), schema)
 
 
+def running_sums(df: DataFrame, order: list[Column], **values: Column) -> DataFrame:
+    """Adds running sums of columns over all rows in an order, each row's own value included.
+
+    A window over everything would put all rows into one task; here rows are dealt out by ordered ranges, windows run within a
+    range, and only one row a range takes part in the window that gives the sums of the ranges before. Equal rows share a range.
+    """
+    from pyspark.sql import Window
+
+    names = {k: f"_own_{k}" for k in values}
+    ranged = checkpointed(df.withColumns({names[k]: v for k, v in values.items()}).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    inner = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = ranged.groupBy("_range").agg(*[F.sum(n).alias(n) for n in names.values()])
+    outer = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_range", *[F.coalesce(F.sum(n).over(outer), F.lit(0)).alias(f"_before{n}") for n in names.values()])
+    within = ranged.withColumns({k: F.sum(n).over(inner) for k, n in names.items()})
+    return within.join(before, "_range").withColumns({k: F.col(k) + F.col(f"_before{n}") for k, n in names.items()}).drop("_range", *names.values(), *[f"_before{n}" for n in names.values()])
+
+
 def lag_in_blocks(df: DataFrame, key: str, order: str, value: Column, block: int = 1024) -> DataFrame:
     """Adds ``previous``: ``value`` of the row before in ``order`` among the rows of ``key``, null for the first.
 

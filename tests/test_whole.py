@@ -1,6 +1,6 @@
 """Queries and operators that have to take every row, on tables small enough to tell the result."""
 
-from loomfield.plans import structure_queries
+from loomfield.plans import retrieval_queries, structure_queries
 
 
 def written(spark, folder, name, data, schema):
@@ -13,3 +13,10 @@ def test_snapshot_actions_take_every_path(spark, rows, tmp_path):
     written(spark, tmp_path, "served_surfaces", [(n, *d) for n, d in enumerate(data)], "surface_id long, file_path string, served_at long, fingerprint string, handle string")
     got = rows(structure_queries.snapshot_actions(spark, str(tmp_path)))
     assert got == [("fresh", "add"), ("gone", "drop"), ("grown", "reparse"), ("lost", "reparse"), ("moved", "reuse-hash"), ("often", "reuse-stat")]
+
+
+def test_token_pack_gives_every_item_a_fate(spark, tmp_path):
+    data = [(n, "x" * 9700, 9.0) for n in range(2400)] + [(n, "", 8.0) for n in range(2400, 2500)] + [(2500, "x" * 4000, 7.0), (2501, "x" * 8000, 6.0), (2502, "x", 5.0)]
+    written(spark, tmp_path, "query_evidence", data, "evidence_id long, content_text string, score double")
+    got = {r["evidence_id"]: (r["item_no"], r["fate"]) for r in retrieval_queries.token_pack(spark, str(tmp_path)).collect()}
+    assert got == {n: (n + 1, "cap-exceeded" if n < 2400 else "served" if n < 2501 else "cap-exhausted" if n == 2501 else "omitted") for n in range(2503)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -142,30 +143,29 @@ def packed(items: DataFrame, cap: int, order: str = "item_no", size: str = "toke
 
 def selected_evidence(slices_: DataFrame, per_class: int = 2, per_concern: int = 2048, overall: int = 6144) -> DataFrame:
     """The slices (concern, class, order_no, bytes, served) taken in order under caps of number a class, bytes a concern and bytes in all; what does
-    not fit is skipped, what was served before costs nothing.
+not fit is skipped and uses nothing up, what was served before costs nothing.
 
-    Concerns are independent but for the overall cap, so each is first cut to what it could hold, and only that is put together.
+    Budgets only shrink, so of the slices of a concern, class and cost a first part is taken: at most ``per_class`` rows of each take
+    part in the pass over all, which goes through them in order, holding only what has been used.
     """
-
-    def greedy(limit: int):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("order_no")
-            used, classes, keep = 0, {}, []
-            for c, b, s in zip(pdf["class"], pdf["bytes"], pdf["served"], strict=True):
-                cost = 0 if s else int(b)
-                ok = classes.get(c, 0) < per_class and used + cost <= limit
+    names = slices_.columns
+    cost = F.when(F.col("served"), 0).otherwise(F.col("bytes")).cast("bigint")
+    alike = Window.partitionBy("concern", "class", "_cost").orderBy("order_no")
+    able = slices_.withColumn("_cost", cost).where(F.col("_cost") <= min(per_concern, overall)).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= per_class)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, spent, classes = 0, {}, {}
+        for pdf in batches:
+            keep = []
+            for concern, kind, size in zip(pdf["concern"], pdf["class"], pdf["_cost"].tolist(), strict=True):
+                ok = total + size <= overall and spent.get(concern, 0) + size <= per_concern and classes.get((concern, kind), 0) < per_class
                 if ok:
-                    used, classes[c] = used + cost, classes.get(c, 0) + 1
+                    total, spent[concern] = total + size, spent.get(concern, 0) + size
+                    classes[concern, kind] = classes.get((concern, kind), 0) + 1
                 keep.append(ok)
-            return pdf[keep]
-
-        return run
+            yield pdf.loc[keep, names]
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slices_.schema)
-    first = slices_.groupBy("concern").applyInPandas(greedy(per_concern), kinds)
-    w = Window.orderBy("order_no").rowsBetween(Window.unboundedPreceding, 0)
-    head = first.orderBy("order_no").limit(overall)
-    return head.withColumn("_sum", F.sum(F.when(F.col("served"), 0).otherwise(F.col("bytes"))).over(w)).where(F.col("_sum") <= overall).drop("_sum")
+    return able.drop("_n").repartition(1).sortWithinPartitions("order_no").mapInPandas(run, slices_.schema)
 
 
 def largest_fitting(sizes: DataFrame, key: str, order: str, size: str, cap: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries and operators that have to take every row, on tables small enough to tell the result."""
 
+from loomfield.operators import retrieval
 from loomfield.plans import retrieval_queries, structure_queries
 
 
@@ -20,3 +21,14 @@ def test_token_pack_gives_every_item_a_fate(spark, tmp_path):
     written(spark, tmp_path, "query_evidence", data, "evidence_id long, content_text string, score double")
     got = {r["evidence_id"]: (r["item_no"], r["fate"]) for r in retrieval_queries.token_pack(spark, str(tmp_path)).collect()}
     assert got == {n: (n + 1, "cap-exceeded" if n < 2400 else "served" if n < 2501 else "cap-exhausted" if n == 2501 else "omitted") for n in range(2503)}
+
+
+def test_selected_evidence_is_greedy_over_all(spark, rows):
+    schema = "concern string, class string, order_no long, bytes int, served boolean"
+    data = [(f"c{n}", "a", n, 2000, False) for n in range(3)] + [("c3", "a", 3, 200, False), ("c4", "a", 4, 100, False), ("c5", "a", 5, 50, False), ("c6", "a", 6, 40, False)]
+    data += [(f"s{n}", "a", n, 9000, True) for n in range(10, 6300)]
+    got = rows(retrieval.selected_evidence(spark.createDataFrame(data, schema)), "order_no")
+    assert got == [(n,) for n in (0, 1, 2, 4, 6, *range(10, 6300))]
+    # what does not fit over all uses up nothing of its concern
+    data = [(f"c{n}", "a", n, 2000, False) for n in range(3)] + [("x", "a", 3, 400, False), ("x", "a", 4, 300, False), ("x", "a", 5, 100, False)]
+    assert rows(retrieval.selected_evidence(spark.createDataFrame(data, schema)), "order_no") == [(0,), (1,), (2,), (5,)]

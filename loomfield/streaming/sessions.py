@@ -6,6 +6,7 @@ key are taken in the order of their sequence number within a batch.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,10 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: At most so many spans are kept of a file; beyond, the oldest go.
-MOST_SPANS = 256
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans as their union; adjacent ones become one."""
     out: list[list[int]] = []
@@ -33,6 +30,18 @@ def overlap(span: tuple[int, int], known: list[tuple[int, int]]) -> int:
     return sum(max(0, min(span[1], b) - max(span[0], a) + 1) for a, b in known)
 
 
+def added_to(starts: list[int], ends: list[int], span: tuple[int, int]) -> int:
+    """Put a span into merged ones, given by their starts and ends; how many of its lines are new. Only the spans that it meets are looked at."""
+    a, b = span
+    if a > b:
+        return 0
+    first, last = bisect_left(ends, a - 1), bisect_right(starts, b + 1)
+    new = b - a + 1 - overlap(span, list(zip(starts[first:last], ends[first:last], strict=True)))
+    low, high = min([a, *starts[first : first + 1]]) if first < last else a, max(b, ends[last - 1]) if first < last else b
+    starts[first:last], ends[first:last] = [low], [high]
+    return new
+
+
 def ordered(batches: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
     """The rows of a key's batches by sequence number, as plain tuples: groups are many and small, so no frame is made or sorted."""
     rows: list[tuple] = []
@@ -55,23 +64,22 @@ def served_ranges(events: DataFrame) -> DataFrame:
     """For each served range how many lines are new and how many of the file have been served.
 
     ``events``: workspace_id, file_path, fingerprint, seq, start, end. A new fingerprint of a file resets its state. A stream in
-    append mode; state is the merged spans of a file.
+    append mode; state is all merged spans of a file, so it is bounded by the file's lines.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mark, starts, ends = state.get if state.exists else (None, [], [])
-        known = list(zip(starts, ends, strict=True))
-        rows = []
+        starts, ends, rows = list(starts), list(ends), []
+        total = sum(ends) - sum(starts) + len(starts)
         for seq, fingerprint, start, end in ordered(batches, "fingerprint", "start", "end"):
             reset = mark is not None and fingerprint != mark
             if reset:
-                known = []
+                starts, ends, total = [], [], 0
             mark = fingerprint
-            span = (start, end)
-            added = max(0, span[1] - span[0] + 1 - overlap(span, known))
-            known = merged([*known, span])[-MOST_SPANS:]
-            rows.append((*key, seq, *span, added, sum(b - a + 1 for a, b in known), reset))
-        state.update((mark, [a for a, _ in known], [b for _, b in known]))
+            added = added_to(starts, ends, (start, end))
+            total += added
+            rows.append((*key, seq, start, end, added, total, reset))
+        state.update((mark, starts, ends))
         yield framed(rows, LEDGER_OUT)
 
     keyed = events.groupBy("workspace_id", "file_path")

@@ -2,6 +2,7 @@
 
 from loomfield.operators import retrieval
 from loomfield.plans import retrieval_queries, structure_queries
+from loomfield.streaming import runner, sessions
 
 
 def written(spark, folder, name, data, schema):
@@ -32,3 +33,11 @@ def test_selected_evidence_is_greedy_over_all(spark, rows):
     # what does not fit over all uses up nothing of its concern
     data = [(f"c{n}", "a", n, 2000, False) for n in range(3)] + [("x", "a", 3, 400, False), ("x", "a", 4, 300, False), ("x", "a", 5, 100, False)]
     assert rows(retrieval.selected_evidence(spark.createDataFrame(data, schema)), "order_no") == [(0,), (1,), (2,), (5,)]
+
+
+def test_served_ranges_keep_all_spans(spark, tmp_path):
+    schema = "workspace_id string, file_path string, fingerprint string, seq long, start long, end long"
+    data = [("w", "f", "v", n, 10 * n, 10 * n + 1) for n in range(300)] + [("w", "f", "v", 300, 0, 1)]
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = runner.drained(sessions.served_ranges(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))).orderBy("seq").collect()
+    assert (out[-2]["served_lines"], out[-1]["served_lines"], out[-1]["added_lines"]) == (600, 600, 0)

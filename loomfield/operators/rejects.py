@@ -26,6 +26,9 @@ DELIMITERS = (",", ";", "\t", "|")
 BYTE_ORDER_MARK = "\ufeff"
 # What a cell of each type may look like, spaces around it gone; an empty cell is valid. Days are looked up beyond this.
 PATTERNS = {"integer": r"^[+-]?[0-9]+$", "decimal": r"^[+-]?[0-9]+(?:\.[0-9]+)?$", "flag": r"^(?i:true|false)$", "day": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"}
+#: A width above this is counted: RE2 has a limit on repetitions.
+WIDEST = 900
+QUOTED = re.compile('"[^"]*"')
 
 
 @lru_cache(maxsize=256)
@@ -36,6 +39,11 @@ def shape(delimiter: str, columns: int | None = None) -> str:
     return rf"(?s)^{cell}(?:{d}{cell})*$" if columns is None else rf"(?s)^{cell}(?:{d}{cell}){{{columns - 1}}}$"
 
 
+def width_of(record: str, delimiter: str) -> int:
+    """Number of cells of a well quoted record: one more than its delimiters outside of quotes."""
+    return 1 + (QUOTED.sub("", record) if '"' in record else record).count(delimiter)
+
+
 def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(file_id, v0..v3, n): for how many records each delimiter gives the file's width, summed up in the batch."""
     for batch in batches:
@@ -48,7 +56,11 @@ def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             fits = pd.Series(0, index=batch.index, dtype="int64")
             for n in sorted(set(width)):
                 at = width == n
-                if 1 <= n <= 900:
+                if n > WIDEST:  # RE2 repeats no more often: well quoted at any width, then its cells are counted
+                    own = text.filter(pa.array(at))
+                    good = pc.match_substring_regex(own, shape(delimiter)).to_pylist()
+                    fits[at] = [int(bool(g) and width_of(x, delimiter) == n) for g, x in zip(good, own.to_pylist(), strict=True)]
+                elif n >= 1:
                     fits[at] = pc.match_substring_regex(text.filter(pa.array(at)), shape(delimiter, int(n))).to_pandas().astype("int64").to_numpy()
             out[f"v{k}"] = fits
         yield pd.DataFrame(out).groupby("file_id", as_index=False).sum()

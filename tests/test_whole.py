@@ -1,6 +1,6 @@
 """Queries and operators that have to take every row, on tables small enough to tell the result."""
 
-from loomfield.operators import retrieval
+from loomfield.operators import rejects, retrieval
 from loomfield.plans import retrieval_queries, structure_queries
 from loomfield.streaming import runner, sessions
 
@@ -41,3 +41,11 @@ def test_served_ranges_keep_all_spans(spark, tmp_path):
     spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     out = runner.drained(sessions.served_ranges(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))).orderBy("seq").collect()
     assert (out[-2]["served_lines"], out[-1]["served_lines"], out[-1]["added_lines"]) == (600, 600, 0)
+
+
+def test_rejects_of_wide_files(spark):
+    width = 1000
+    good, short = ";".join(["1", '"a;b"', *["2"] * (width - 2)]), ";".join(["1"] * (width - 1))
+    r = spark.createDataFrame([(1, 1, 1, good), (2, 1, 2, good), (3, 1, 3, short), (4, 1, 4, "x" + good[1:])], "row_id long, file_id long, row_no int, raw_record string")
+    f = spark.createDataFrame([(1, False, [f"c{n}" for n in range(width)], ["integer", "text", *["integer"] * (width - 2)])], "file_id long, has_header boolean, column_names array<string>, column_types array<string>")
+    assert {x["row_id"]: x["reason"] for x in rejects.parsed(r, f).collect()} == {1: None, 2: None, 3: "columns", 4: "values"}

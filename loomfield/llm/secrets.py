@@ -27,8 +27,10 @@ from loomfield.session import spread
 
 MASK = "REDACTED"
 LONGEST_WORD = 16
-#: A literal beyond this is data: no credential but a key block, which has a frame, comes near it.
+#: A literal beyond this that nothing points to is data: no token comes near it. Where a name or a call points to it, any length counts.
 LONGEST = 4000
+#: So many unexplained characters tell a random literal without the help of a digit.
+LONG_RESIDUAL = 6
 
 # Names under which credentials are kept, in several languages, without separators.
 STRONG = (
@@ -55,20 +57,21 @@ MARKED = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}\Z|gh[pousr]_\w{20,}\Z|github_pat
 
 BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
 USERINFO = re.compile(r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://([^\s/:@"'`<>]*):([^\s/@"'`<>]+)@""")
-FLAG = re.compile(r"""(?i)\b(?:log_?in|auth|connect|-u\s+\S+)\b[^\n]{0,200}?\s(?:-p|--pass|-P)[ =]?(["']?)([^\s"']{4,})\1""")
+COMMAND = re.compile(r"(?i)\b(?:log_?in|auth|connect|-u[^\S\n]+\S+)\b")
+OPTION = re.compile(r"""(?i)\s(?:-p|--pass|-P)[ =]?(["']?)([^\s"']{4,})\1""")
 TOLD = re.compile(r"""(?i)\b(?:log ?in|sign ?in|token|key|pw|pwd|password|passphrase|secret|credentials?|creds)\b[^\n:`"']{0,60}(?::\s+|`)([^\s"'`<>,;(){}]{8,})""")
 BEARER = re.compile(r"""(?i)(?:\bbearer|authorization["'\s:,=]+["']?(?:basic|token))[ ]+([A-Za-z0-9._~+/=!#$%@-]{8,})""")
 SIGNIN = re.compile(r"""(?i)\b\w*(?:log_?in|sign_?in|connect|auth\w*)\(\s*(["'])[^"'\n]*\1\s*,\s*(["'])([^"'\n]+)\2""")
 NAMED = re.compile(r"(?i)passw|passphrase|pwd|kennwort|contrase|mot_?de_?passe|senha|wachtwoord|secret|creds?\b|credential|token|auth|key|bearer|cookie|\bpin\b|\bk\d\b")
-VALUE = re.compile(r"""[\w.-]*["'`\])}]*(?:\s*(?::=|=>|->|==?|:(?!:)|,(?=\s*["'`])|>|\bis\b|\bto\b|(?<=[\w`]) ?(?=`))\s*|(?=`))(?:[bru]{0,2}("{3}|["'`])([^\n]{1,400}?)\1|([^\s"'`<>,;(){}\[\]]{6,}))""")
+VALUE = re.compile(r"""[\w.-]*["'`\])}]*(?:\s*(?::=|=>|->|==?|:(?!:)|,(?=\s*["'`])|>|\bis\b|\bto\b|(?<=[\w`]) ?(?=`))\s*|(?=`))(?:[bru]{0,2}("{3}|["'`])([^\n]+?)\1|([^\s"'`<>,;(){}\[\]]{6,}))""")
 LOOSE = re.compile(r"(?<![A-Za-z0-9+/=_.~-])(?=[^\s\"'`<>,;(){}\[\]]{0,80}\d)[A-Za-z0-9_][A-Za-z0-9+/=_.~-]{17,}")
 BODY = re.compile(r"""(\\[nrt]|[\s"'`\\,+]+)|[^\s"'`\\]+""")
 FENCED = re.compile(r"-----BEGIN (?:[A-Z0-9 ]+)-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)|data:[\w/+.-]+;base64,[A-Za-z0-9+/=]*|(?i:\bsha(?:1|256|384|512)-[A-Za-z0-9+/=]+)", re.S)
 ABOUT_BEFORE = re.compile(r"(?i)(?:commit|checksum|integrity|sha\d*|md5|digest|hash|revision|etag|fingerprint|uuid|id)[\"'`\])]*\s*(?::=|[:=]|\s)\s*[\"'`]?\Z")
 
-#: Rows that can hold a credential at all, as a single RE2 automaton: a key block, a user part, a sign-in, or a digit beside a
-#: letter or sign. Everything that is found has one of these.
-GATE = r"""PRIVATE KEY|://[^\s/:@]*:[^\s/@]+@|(?i:log_?in|sign_?in|connect|auth\w*)\(\s*["']|(?i:log_?in|auth|connect|-u\s+\S+)\b[^\n]*\s(?i:-p|--pass)|[A-Za-z+/=_~!$#%@.-][0-9]|[0-9][A-Za-z+/=_~]"""
+#: Rows that can hold a credential at all, as a single RE2 automaton: a key block, a user part, a sign-in, a name under which
+#: credentials are kept, or a digit beside a letter or sign. Everything that is found has one of these.
+GATE = r"""PRIVATE KEY|://[^\s/:@]*:[^\s/@]+@|(?i:log_?in|sign_?in|connect|auth\w*)\(\s*["']|(?i:log_?in|auth|connect|-u\s+\S+)\b[^\n]*\s(?i:-p|--pass)|[A-Za-z+/=_~!$#%@.-][0-9]|[0-9][A-Za-z+/=_~]|(?i:log ?in\b|sign ?in\b|\bpw\b)|""" + NAMED.pattern
 
 
 @lru_cache(maxsize=2)
@@ -114,7 +117,7 @@ def residual(literal: str, path: str = VOCABULARY) -> int:
 
 @lru_cache(maxsize=65536)
 def name_kind(name: str) -> str:
-    """What a name promises: ``strong``, ``weak``, ``about`` or nothing."""
+    """What a name promises: ``strong``, ``weak``, ``pin``, ``about`` or nothing."""
     parts = [p.lower() for p in SEPARATED.findall(name)]
     if not parts:
         return ""
@@ -123,6 +126,8 @@ def name_kind(name: str) -> str:
     flat = "".join(parts)
     if any(flat.endswith(s) or flat.startswith(s) and len(s) > 5 for s in STRONG):
         return "strong"
+    if parts[-1] == "pin":
+        return "pin"
     return "weak" if parts[-1] in WEAK or SHORT.match(name) else ""
 
 
@@ -135,10 +140,22 @@ def stands_in(value: str) -> bool:
     return any(p in STANDINS[:22] for p in parts) or bool(parts) and all(p in STANDINS for p in parts)
 
 
+def unexplained(value: str, path: str = VOCABULARY) -> bool:
+    """Whether the residual is long for a literal without a digit, or one of digits alone."""
+    return value.isascii() and residual(value, path) >= max(LONG_RESIDUAL, 0.55 * len(value))
+
+
 @lru_cache(maxsize=65536)
 def grants(value: str, where: str, path: str = VOCABULARY) -> bool:
-    """Whether a literal is a credential; ``where``: strong, weak, user (a URL or a sign-in), about, or loose."""
-    if not 4 <= len(value) <= LONGEST or stands_in(value) or UUID.match(value) or DIGEST.match(value):
+    """Whether a literal is a credential; ``where``: strong, weak, pin, user (a URL or a sign-in), about, or loose.
+
+    Under a name the residual decides; only where it is short, or most of the literal is explained, has there to be a digit.
+    """
+    if where == "pin":
+        if value.isdigit():
+            return 4 <= len(value) <= 12 and not stands_in(value)
+        where = "weak"
+    if len(value) < 4 or where == "loose" and len(value) > LONGEST or stands_in(value) or UUID.match(value) or DIGEST.match(value):
         return False
     if where in ("strong", "weak", "user") and (JWT.match(value) or MARKED.match(value)):
         return True
@@ -150,9 +167,9 @@ def grants(value: str, where: str, path: str = VOCABULARY) -> bool:
     if where == "user":
         return len(value) >= 4 and residual(value, path) >= 1
     if where == "strong":
-        return len(value) >= 6 and has_letter and has_digit and residual(value, path) >= 1
+        return len(value) >= 6 and (has_digit and residual(value, path) >= 1 and has_letter or unexplained(value, path))
     if where == "weak":
-        return len(value) >= 8 and has_letter and has_digit and residual(value, path) >= 2
+        return len(value) >= 8 and (has_digit and has_letter and residual(value, path) >= 2 or has_letter and unexplained(value, path))
     if JWT.match(value) or MARKED.match(value):
         return True
     if len(value) < 18 or not has_digit or HEX.match(value.replace("-", "")):
@@ -176,9 +193,7 @@ def find(text: str, path: str = VOCABULARY) -> list[tuple[int, int, str]]:
     for m in SIGNIN.finditer(text):
         if grants(m[3], "user", path):
             spans.append((*m.span(3), "signin"))
-    for m in FLAG.finditer(text):
-        if grants(m[2], "user", path):
-            spans.append((*m.span(2), "signin"))
+    spans += [(*s, "signin") for s in _options(text) if grants(text[slice(*s)], "user", path)]
     for m in TOLD.finditer(text):
         if grants(m[1], "weak", path):
             spans.append((*m.span(1), "told"))
@@ -194,7 +209,7 @@ def find(text: str, path: str = VOCABULARY) -> list[tuple[int, int, str]]:
         if not v[1]:
             value = value.rstrip(".,;:")
             end = start + len(value)
-            if not any(c.isdigit() for c in value) or value.startswith(("http", "--")):
+            if value.startswith(("http", "--")) or not any(c.isdigit() for c in value) and not unexplained(value, path):
                 continue
         first = m.start()
         while first and (text[first - 1].isalnum() or text[first - 1] in "_-."):
@@ -207,7 +222,7 @@ def find(text: str, path: str = VOCABULARY) -> list[tuple[int, int, str]]:
         kind = name_kind(text[first:last])
         if value[:7].lower() in ("bearer ", "basic "):
             continue
-        if kind in ("strong", "weak") and grants(value, kind, path):
+        if kind in ("strong", "weak", "pin") and grants(value, kind, path):
             spans.append((start, end, "named"))
     for m in LOOSE.finditer(text):
         value = m.group().rstrip(".=") if text[m.end() - 1] == "." else m.group()
@@ -228,6 +243,22 @@ def find(text: str, path: str = VOCABULARY) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def _options(text: str) -> list[tuple[int, int]]:
+    """Where the values of password options stand, the first after each command of the same line. Each line is read once."""
+    out: list[tuple[int, int]] = []
+    line, command, after = (-1, -1), None, 0
+    for m in OPTION.finditer(text):
+        if not line[0] <= m.start() <= line[1]:
+            end = text.find("\n", m.start())
+            line = (text.rfind("\n", 0, m.start()) + 1, end if end >= 0 else len(text))
+            command = COMMAND.search(text, max(line[0], after), line[1])
+        if command and command.end() <= m.start():
+            out.append(m.span(2))
+            after = m.end()
+            command = COMMAND.search(text, after, line[1])
+    return out
+
+
 def _block_end(text: str, at: int) -> int:
     """Where the body of a key block ends that has no end mark (a window that stops in the middle)."""
     m = re.compile(r"(?:[A-Za-z0-9+/=]{16,}|\\n|\s|[A-Z][\w-]+: [^\n]*)*").match(text, at)

@@ -63,3 +63,12 @@ def test_operator(spark):
     out = {r["id"]: r for r in secrets.scan(df, ["id", "t"]).collect()}
     assert set(out) == {1, 5, 6} and out[1]["lines"] == [2, 3] and out[5]["lines"] == [1] and out[6]["lines"] == [2]
     assert secrets.scan(df.limit(0), ["id"]).count() == 0
+
+
+LONG = "Zq7" * 1500 + "-xKv"
+
+
+@pytest.mark.parametrize("text", ['dbPassword = "xQvRtz!' + 'Wkpl-Zmn"', 'api_key: "qwxzkvTRPLmnbGHJ"', 'pin = "48' + '2913"', f'apiKey = "{LONG}"', f'password = "{LONG[:500]}"', "tool login -u x " + "--verbose " * 40 + "-p 'tide-shard!8198'"])
+def test_found_without_digit_or_bound(spark, text):
+    assert secrets.find(text)
+    assert secrets.scan(spark.createDataFrame([(1, text)], "k int, text string"), ["k"]).count() == 1

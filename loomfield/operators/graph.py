@@ -43,9 +43,11 @@ def lexical_edges(symbols: DataFrame, tokens: DataFrame, cap: int = EDGE_CAP) ->
     return edges.select(F.concat("src_path", F.lit(":"), "src_name").alias("src"), F.concat("dst_path", F.lit(":"), "name").alias("dst"), F.col("times").cast("double").alias("weight"))
 
 
-def file_edges(symbols: DataFrame, tokens: DataFrame, cap: int = EDGE_CAP) -> DataFrame:
-    """(src, dst, weight) between files: how many of the first targets of one are in the other."""
-    return targets(symbols, tokens, cap).groupBy(F.col("src_path").alias("src"), F.col("dst_path").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+def file_edges(symbols: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(src, dst, weight) between files: how many of the names that one declares the other has as words. All edges, without a cap."""
+    defined = symbols.select(F.col("path").alias("dst"), "name").distinct()
+    used = tokens.select(F.col("path").alias("src"), F.col("token").alias("name"))
+    return used.join(defined, "name").where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iterations: int = 20, every: int = 5) -> DataFrame:

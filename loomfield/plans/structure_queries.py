@@ -160,8 +160,8 @@ def find_symbols(spark: SparkSession, folder: str) -> DataFrame:
 def _doc_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(symbols, tokens): the names declared in windows, by file, and the tokens of files."""
     code = windows(spark, folder)
-    found = symbols.symbols(code).select(F.regexp_replace("path", r"@\d+\z", "").alias("path"), "name", F.xxhash64("path", "line").alias("position")).where(F.length("name") >= 6)
-    tokens = code.select(F.regexp_replace("path", r"@\d+\z", "").alias("path"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(f"({tx.IDENTIFIER})"), F.lit(1)))).alias("token")).where(F.length("token") >= 6).distinct()
+    found = symbols.symbols(code).select(F.regexp_replace("path", r"@\d+\z", "").alias("path"), "name", F.xxhash64("path", "line").alias("position"))
+    tokens = code.select(F.regexp_replace("path", r"@\d+\z", "").alias("path"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(f"({tx.IDENTIFIER})"), F.lit(1)))).alias("token")).distinct()
     return checkpointed(found), checkpointed(tokens)
 
 

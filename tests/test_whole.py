@@ -1,6 +1,6 @@
 """Queries and operators that have to take every row, on tables small enough to tell the result."""
 
-from loomfield.operators import rejects, retrieval
+from loomfield.operators import graph, rejects, retrieval
 from loomfield.plans import retrieval_queries, structure_queries
 from loomfield.streaming import runner, sessions
 
@@ -17,6 +17,28 @@ def test_snapshot_actions_take_every_path(spark, rows, tmp_path):
     assert got == [("fresh", "add"), ("gone", "drop"), ("grown", "reparse"), ("lost", "reparse"), ("moved", "reuse-hash"), ("often", "reuse-stat")]
 
 
+HOPS = "hop_id long, file_path string, code string, code_lang string, served_at long"
+
+
+def test_file_graph_has_short_names_and_no_cap(spark, rows, tmp_path):
+    many = [(n, f"lib/d{n}.ts", f"export function helperName{n}() {{\n}}\n", "ts", n) for n in range(60)]
+    code = "\n".join(f"helperName{n}();" for n in range(60)) + "\nRun();\n"
+    written(spark, tmp_path, "hop1_context", [*many, (90, "lib/run.ts", "export function Run() {\n}\n", "ts", 90), (91, "app/use.ts", code, "ts", 91)], HOPS)
+    got = rows(structure_queries.file_graph(spark, str(tmp_path)))
+    assert got == sorted(("app/use.ts", d, 1.0) for d in ["lib/run.ts", *(f"lib/d{n}.ts" for n in range(60))])
+    ranked = {r["path"]: r["score"] for r in structure_queries.ranked_files(spark, str(tmp_path)).collect()}
+    assert len(ranked) == 40
+    s = spark.createDataFrame([(f"d{n}", f"n{n}", n) for n in range(60)], "path string, name string, position long")
+    t = spark.createDataFrame([("u", f"n{n}") for n in range(60)], "path string, token string")
+    assert graph.file_edges(s, t).count() == 60 and graph.targets(s, t).count() == 50
+
+
+def test_ranked_files_count_short_names(spark, tmp_path):
+    use = [(n, f"app/u{n}.ts", f"export function caller{n}() {{\n  Run();\n}}\n", "ts", n) for n in range(3)]
+    written(spark, tmp_path, "hop1_context", [*use, (9, "lib/run.ts", "export function Run() {\n}\n", "ts", 9)], HOPS)
+    assert structure_queries.ranked_files(spark, str(tmp_path)).orderBy("place").first()["path"] == "lib/run.ts"
+
+
 def test_token_pack_gives_every_item_a_fate(spark, tmp_path):
     data = [(n, "x" * 9700, 9.0) for n in range(2400)] + [(n, "", 8.0) for n in range(2400, 2500)] + [(2500, "x" * 4000, 7.0), (2501, "x" * 8000, 6.0), (2502, "x", 5.0)]
     written(spark, tmp_path, "query_evidence", data, "evidence_id long, content_text string, score double")

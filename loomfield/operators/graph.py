@@ -168,6 +168,8 @@ def symbol_search(symbols: DataFrame, query: str, scores: DataFrame | None = Non
     -1 a test, -2 build output. One row a file without a scope. Ties by path and line. Each row is scored on its own; only the first
     ``limit`` rows are ordered.
     """
+    if not 1 <= limit <= 50:
+        raise ValueError("a limit between 1 and 50")
     q = query.lower()
     words = [w for w in q.replace("_", " ").split() if w]
     name = F.lower("name")
@@ -200,4 +202,4 @@ def symbol_search(symbols: DataFrame, query: str, scores: DataFrame | None = Non
         best = scored.groupBy("path").agg(F.max_by(F.struct("line", "name", "score"), F.struct(F.col("score"), -F.col("line"), "name")).alias("b"))
         scored = best.select("path", "b.line", "b.name", "b.score")
     total = scored.agg(F.count("*").alias("total")).scalar()
-    return scored.orderBy(F.desc("score"), "path", "line", "name").limit(min(limit, 50)).select("*", total.alias("total"))
+    return scored.orderBy(F.desc("score"), "path", "line", "name").limit(limit).select("*", total.alias("total"))

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import paths
 from loomfield.functions import text as tx
 from loomfield.operators import intervals
-from loomfield.session import running_sums
+from loomfield.session import checkpointed, running_sums
 
 STOP_WORDS = frozenset("the a an and or of to in on for with from by is are be this that it as at how what where when which who does do not".split())
 
@@ -141,31 +139,53 @@ def packed(items: DataFrame, cap: int, order: str = "item_no", size: str = "toke
     return spent.withColumn("fate", F.when(F.col(order) > stop, "omitted").when(F.col(order) == stop, "cap-exhausted").when(over, "cap-exceeded").otherwise("served")).drop("_sum")
 
 
+#: Slices that the driver looks at in one round of ``selected_evidence``.
+ROUND = 2000
+
+
 def selected_evidence(slices_: DataFrame, per_class: int = 2, per_concern: int = 2048, overall: int = 6144) -> DataFrame:
     """The slices (concern, class, order_no, bytes, served) taken in order under caps of number a class, bytes a concern and bytes in all; what does
-not fit is skipped and uses nothing up, what was served before costs nothing.
+    not fit is skipped and uses nothing up, what was served before costs nothing but counts in its class.
 
-    Budgets only shrink, so of the slices of a concern, class and cost a first part is taken: at most ``per_class`` rows of each take
-    part in the pass over all, which goes through them in order, holding only what has been used.
+    ``order_no`` is unique; rows without it, or with neither bytes nor served, are not taken; null concerns and classes are groups of
+    their own. Of the rows that cost something at most ``overall`` can be taken, one byte each, and only these are found one after the other: a round
+    asks the cluster for the next few that can still fit anything, so each round takes its first row at least. The slices that
+    cost nothing are decided where they are, by how many of their class came before.
     """
-    names = slices_.columns
-    cost = F.when(F.col("served"), 0).otherwise(F.col("bytes")).cast("bigint")
-    alike = Window.partitionBy("concern", "class", "_cost").orderBy("order_no")
-    able = slices_.withColumn("_cost", cost).where(F.col("_cost") <= min(per_concern, overall)).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= per_class)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, spent, classes = 0, {}, {}
-        for pdf in batches:
-            keep = []
-            for concern, kind, size in zip(pdf["concern"], pdf["class"], pdf["_cost"].tolist(), strict=True):
-                ok = total + size <= overall and spent.get(concern, 0) + size <= per_concern and classes.get((concern, kind), 0) < per_class
-                if ok:
-                    total, spent[concern] = total + size, spent.get(concern, 0) + size
-                    classes[concern, kind] = classes.get((concern, kind), 0) + 1
-                keep.append(ok)
-            yield pdf.loc[keep, names]
-
-    return able.drop("_n").repartition(1).sortWithinPartitions("order_no").mapInPandas(run, slices_.schema)
+    cost = F.when(F.coalesce("served", F.lit(False)), 0).otherwise(F.col("bytes")).cast("bigint")
+    group = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("concern", "class")]
+    before = Window.partitionBy("_concern", "_class").orderBy("order_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = slices_.withColumns({"_cost": cost, "_concern": group[0], "_class": group[1]}).where("_cost is not null and order_no is not null")
+    rows = checkpointed(rows.withColumn("_free", F.coalesce(F.count_if(F.col("_cost") == 0).over(before), F.lit(0))).where(F.col("_free") < per_class))
+    paid = rows.where(F.col("_cost").between(1, min(per_concern, overall))).select("order_no", "_concern", "_class", "_cost", "_free")
+    total, last, spent, taken = 0, None, {}, []
+    counts: dict[tuple[str, str], int] = {}
+    while total < overall:
+        able = paid.where(F.col("_cost") <= overall - total)
+        if last is not None:
+            able = able.where(F.col("order_no") > last)
+        if tight := {k: per_concern - v for k, v in spent.items() if v}:  # as many as rows taken
+            left = F.create_map([F.lit(x) for pair in tight.items() for x in pair])
+            able = able.where(F.col("_cost") <= F.coalesce(F.try_element_at(left, F.col("_concern")), F.lit(per_concern)))
+        if counts:
+            used = F.create_map([F.lit(x) for (a, b), n in counts.items() for x in (f"{a}\0{b}", n)])
+            able = able.where(F.col("_free") + F.coalesce(F.try_element_at(used, F.concat_ws("\0", "_concern", "_class")), F.lit(0)) < per_class)
+        head = able.orderBy("order_no").limit(ROUND).collect()
+        for at, concern, kind, size, free in head:
+            if total + size <= overall and spent.get(concern, 0) + size <= per_concern and free + counts.get((concern, kind), 0) < per_class:
+                total, spent[concern] = total + size, spent.get(concern, 0) + size
+                counts[concern, kind] = counts.get((concern, kind), 0) + 1
+                taken.append((at, concern, kind))
+            last = at
+        if len(head) < ROUND:
+            break
+    kind = slices_.schema["order_no"].dataType.simpleString()
+    own = slices_.sparkSession.createDataFrame(taken, f"_at {kind}, _concern string, _class string")  # at most ``overall`` rows
+    free = rows.where("_cost = 0").join(own, ["_concern", "_class"], "left")
+    late = free.groupBy("order_no").agg(F.count_if(F.col("_at") < F.col("order_no")).alias("_paid"))
+    kept = rows.where("_cost = 0").join(late, "order_no").where(F.col("_free") + F.col("_paid") < per_class)
+    bought = rows.where("_cost > 0").join(own.select(F.col("_at").alias("order_no")), "order_no", "left_semi")
+    return kept.select(*slices_.columns).unionByName(bought.select(*slices_.columns))
 
 
 def largest_fitting(sizes: DataFrame, key: str, order: str, size: str, cap: int) -> DataFrame:
@@ -236,8 +256,6 @@ def closure(lines: DataFrame, checks: dict[str, list[str]]) -> DataFrame:
 
 def reachable(edges: DataFrame, start: DataFrame, most_steps: int = 16) -> DataFrame:
     """(id, steps): what can be reached along edges (src, dst) from ids, with the least number of steps. Rounds end when nothing is new."""
-    from loomfield.session import checkpointed
-
     seen = checkpointed(start.select("id").distinct().withColumn("steps", F.lit(0)))
     front = seen
     for n in range(1, most_steps + 1):

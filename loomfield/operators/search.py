@@ -44,6 +44,14 @@ def safe_pattern(pattern: str) -> bool:
     return True
 
 
+def _at_most(items: list[str], most: int, what: str) -> list[str]:
+    """The items, once each; more than so many are refused instead of left out in silence."""
+    items = list(dict.fromkeys(items))
+    if not 0 < len(items) <= most:
+        raise ValueError(f"between 1 and {most} {what}")
+    return items
+
+
 def matching(lines: DataFrame, query: str, regex: bool = False, ignore_case: bool | None = None) -> DataFrame:
     """(path, line, text, start): lines with a match, once each, with the first one's place (from 1).
 
@@ -81,9 +89,9 @@ def by_folder(counts: DataFrame) -> DataFrame:
 def all_or_any(lines: DataFrame, terms: list[str]) -> DataFrame:
     """(path, terms_found, lines_found, mode): files with all terms that occur anywhere, or, if none has, with any.
 
-    Terms ignore case. One pass over the lines: a flag for each term, summed up by file.
+    Terms ignore case; there may be twelve. One pass over the lines: a flag for each term, summed up by file.
     """
-    terms = list(dict.fromkeys(t.lower() for t in terms if t))[:12]
+    terms = _at_most([t.lower() for t in terms if t], 12, "terms")
     flags = [F.locate(t, F.lower("text")) > 0 for t in terms]
     any_flag = flags[0]
     for f in flags[1:]:
@@ -99,16 +107,16 @@ def all_or_any(lines: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def union_of(lines: DataFrame, queries: list[str]) -> DataFrame:
-    """(path, line, text, start) of lines with any of up to five literals, each once, with its first match's place."""
-    queries = queries[:5]
+    """(path, line, text, start) of lines with any of up to five literals, each once, with its first match's place; more are refused."""
+    queries = _at_most(queries, 5, "queries")
     places = [F.locate(q, F.col("text")) for q in queries]
     first = F.array_min(F.filter(F.array(*places), lambda p: p > 0))
     return lines.withColumn("start", first).where("start is not null")
 
 
 def absence(files: DataFrame, lines: DataFrame, terms: list[str]) -> DataFrame:
-    """(term, scanned_files): terms of up to twelve that no line has, with how many files say so."""
-    terms = list(dict.fromkeys(terms))[:12]
+    """(term, scanned_files): terms of up to twelve that no line has, with how many files say so; more are refused."""
+    terms = _at_most(terms, 12, "terms")
     seen = lines.agg(*[F.max((F.locate(t.lower(), F.lower("text")) > 0).cast("int")).alias(f"t{k}") for k, t in enumerate(terms)])
     pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.coalesce(F.col(f"t{k}"), F.lit(0)).alias("found")) for k, t in enumerate(terms)])
     scanned = files.agg(F.count("*").alias("scanned_files")).scalar()

@@ -246,9 +246,16 @@ x AS (SELECT path, CASE WHEN stem = 'index' THEN 6 WHEN stem IN ('main', 'app')
 SELECT path, s + CASE WHEN regexp_matches(lower(path), '(^|/)(server|worker|bin|cli)/') THEN 2 ELSE 0 END AS score FROM x WHERE s > 0 ORDER BY score DESC, path LIMIT 10""",
     "line_slices": f"""WITH {_LINES} SELECT path, 2 AS "start", least(4, len(parts)) AS "end", array_to_string(parts[2:4], chr(10)) AS text FROM s WHERE len(parts) >= 2""",
     "token_pack": """WITH best AS (SELECT evidence_id, row_number() OVER (ORDER BY score DESC, evidence_id) AS item_no, CAST(ceil(length(content_text) / 4.0) AS BIGINT) AS tokens FROM query_evidence
-  WHERE content_text IS NOT NULL AND score IS NOT NULL QUALIFY item_no <= 2400),
+  WHERE content_text IS NOT NULL AND score IS NOT NULL),
 r AS (SELECT *, sum(CASE WHEN tokens > 2400 THEN 0 ELSE tokens END) OVER (ORDER BY item_no) AS run FROM best), x AS (SELECT min(item_no) AS stop FROM r WHERE tokens <= 2400 AND run > 2400)
 SELECT evidence_id, item_no, tokens, CASE WHEN item_no > stop THEN 'omitted' WHEN item_no = stop THEN 'cap-exhausted' WHEN tokens > 2400 THEN 'cap-exceeded' ELSE 'served' END AS fate FROM r, x""",
+    "evidence_selection": """WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY evidence_id) AS n, evidence_id, workspace_id AS concern, evidence_kind AS class, strlen(content_text) AS b FROM query_evidence
+  WHERE content_text IS NOT NULL AND workspace_id IS NOT NULL),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(evidence_id BIGINT, concern VARCHAR, class VARCHAR, b BIGINT)[]) AS taken UNION ALL
+  SELECT s.n, CASE WHEN coalesce(list_sum(list_transform(taken, lambda x: x.b)), 0) + s.b <= 6144 AND coalesce(list_sum(list_transform(list_filter(taken, lambda x: x.concern = s.concern), lambda x: x.b)), 0) + s.b <= 2048
+    AND len(list_filter(taken, lambda x: x.concern = s.concern AND x.class IS NOT DISTINCT FROM s.class)) < 2 THEN list_append(taken, {'evidence_id': s.evidence_id, 'concern': s.concern, 'class': s.class, 'b': s.b}) ELSE taken END
+  FROM r JOIN s ON s.n = r.n + 1)
+SELECT t.evidence_id, t.concern, t.class FROM (SELECT unnest(taken) AS t FROM r WHERE n = (SELECT max(n) FROM s))""",
     "fitting_sections": """WITH d AS (SELECT docx_id, unnest(sections) AS s, unnest(range(len(sections))) AS pos FROM docx_artifacts WHERE sections IS NOT NULL),
 r AS (SELECT docx_id, sum(coalesce(strlen(s.heading), 0) + coalesce(strlen(s.body_text), 0)) OVER (PARTITION BY docx_id ORDER BY pos) AS run FROM d) SELECT docx_id, count(*) FILTER (run <= 4096) AS n FROM r GROUP BY docx_id""",
     "small_files": r"""WITH b AS (SELECT vsurface_id AS path, strlen(code) AS bytes, regexp_replace(code, '(\r\n|\r|\n)\z', '') AS body FROM verification_surfaces WHERE code IS NOT NULL),

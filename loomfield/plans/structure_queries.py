@@ -250,10 +250,11 @@ SELECT dir, depth, round(m, 6) AS mass FROM mass WHERE m >= 0.1 AND depth >= 1 O
 t AS (SELECT DISTINCT path, unnest(list_append(list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace(stem, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_\-\s.]+'), lambda x: x <> ''), lambda x: lower(x)), lower(stem))) AS token FROM s)
 SELECT token, count(*) AS files FROM t GROUP BY token""",
     "snapshot_actions": r"""
-WITH s AS (SELECT file_path AS path, CAST(split_part(fingerprint, ':', 1) AS BIGINT) AS size_bytes, CAST(split_part(fingerprint, ':', 2) AS BIGINT) AS mtime_ms, served_at, surface_id
+WITH s AS (SELECT file_path AS path, CAST(split_part(fingerprint, ':', 1) AS BIGINT) AS size_bytes, CAST(split_part(fingerprint, ':', 2) AS BIGINT) AS mtime_ms, served_at, surface_id, handle
   FROM served_surfaces WHERE file_path IS NOT NULL AND regexp_matches(fingerprint, '^[0-9]+:[0-9]+$')),
-e AS (SELECT path, arg_min((size_bytes, mtime_ms), (served_at, surface_id)) AS a, arg_max((size_bytes, mtime_ms), (served_at, surface_id)) AS b, count(*) AS n FROM s GROUP BY path),
-o AS (SELECT path, a[1] AS z, a[2] AS m FROM e WHERE n % 5 <> 0), w AS (SELECT path, b[1] AS z, b[2] AS m, length(path) % 4 <> 0 AS valid FROM e WHERE n % 3 <> 0)
+m AS (SELECT (min(served_at) + max(served_at)) / 2 AS middle FROM s),
+r AS (SELECT s.*, served_at > middle AS late, row_number() OVER (PARTITION BY path, served_at > middle ORDER BY served_at DESC, surface_id DESC) AS k FROM s, m),
+o AS (SELECT path, size_bytes AS z, mtime_ms AS m FROM r WHERE k = 1 AND NOT late), w AS (SELECT path, size_bytes AS z, mtime_ms AS m, handle IS NOT NULL AS valid FROM r WHERE k = 1 AND late)
 SELECT coalesce(o.path, w.path) AS path, CASE WHEN o.path IS NULL THEN 'add' WHEN w.path IS NULL THEN 'drop' WHEN valid AND o.z = w.z AND o.m = w.m THEN 'reuse-stat'
   WHEN valid AND o.z = w.z THEN 'reuse-hash' ELSE 'reparse' END AS action FROM o FULL JOIN w ON o.path = w.path""",
     "interval_union": f"""WITH {_UNION} SELECT * FROM merged""",

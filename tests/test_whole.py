@@ -1,6 +1,8 @@
 """Queries and operators that have to take every row, on tables small enough to tell the result."""
 
-from loomfield.operators import graph, rejects, retrieval
+import pytest
+
+from loomfield.operators import graph, rejects, retrieval, search
 from loomfield.plans import retrieval_queries, structure_queries
 from loomfield.streaming import runner, sessions
 
@@ -71,3 +73,17 @@ def test_rejects_of_wide_files(spark):
     r = spark.createDataFrame([(1, 1, 1, good), (2, 1, 2, good), (3, 1, 3, short), (4, 1, 4, "x" + good[1:])], "row_id long, file_id long, row_no int, raw_record string")
     f = spark.createDataFrame([(1, False, [f"c{n}" for n in range(width)], ["integer", "text", *["integer"] * (width - 2)])], "file_id long, has_header boolean, column_names array<string>, column_types array<string>")
     assert {x["row_id"]: x["reason"] for x in rejects.parsed(r, f).collect()} == {1: None, 2: None, 3: "columns", 4: "values"}
+
+
+def test_too_many_terms_are_refused(spark):
+    lines = spark.createDataFrame([("a", 1, "x")], "path string, line int, text string")
+    for call in (lambda: search.union_of(lines, list("abcdef")), lambda: search.absence(lines, lines, list("abcdefghijklm")), lambda: search.all_or_any(lines, list("abcdefghijklm"))):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_selected_evidence_goes_on_past_a_round(spark, rows, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROUND", 2)
+    data = [("a", "t", 1, 90, False), ("a", "t", 2, 20, False), ("b", "t", 3, 50, False), (None, "t", 4, 0, True), ("a", "t", 5, 10, False), ("a", "t", 6, 0, True), ("c", None, 7, None, True), ("c", None, 8, None, False), ("d", "t", 9, 40, False)]
+    got = rows(retrieval.selected_evidence(spark.createDataFrame(data, "concern string, class string, order_no int, bytes int, served boolean"), 2, 100, 180), "order_no")
+    assert got == [(1,), (3,), (4,), (5,), (7,)]

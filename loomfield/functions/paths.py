@@ -13,7 +13,9 @@ LANGUAGES = dict(
     py="python", pyi="python", go="go", rs="rust", java="java", kt="kotlin", kts="kotlin", cs="csharp", c="c", h="c",
     cpp="cpp", cc="cpp", cxx="cpp", hpp="cpp", hh="cpp", hxx="cpp", php="php", rb="ruby", html="html", htm="html", jsp="jsp", vue="vue",
 )
-CPP_HEADER = r"\bclass\s|\btemplate\s*<|\bnamespace\s|::"
+#: Words with which C++ declares what C has not, and the mark of its scopes; in C they are at most names of values.
+CPP_WORDS = ("class", "namespace", "template", "typename", "constexpr", "nullptr", "virtual", "public", "private", "protected")
+CPP_HEADER = "::|" + "|".join(rf"(?<![\w\"]){w}(?=\s*[<:{{]|\s+\w)" for w in CPP_WORDS)
 
 
 def extension(path: Column) -> Column:
@@ -54,30 +56,64 @@ def is_markdown(path: Column) -> Column:
     return F.lower(path).rlike(r"\.(?:md|mdx|markdown)\z")
 
 
-# Kinds of surface in the order in which they are tried, each by a pattern on the lower-cased path.
+# What tells a kind of surface, in the order in which kinds are tried. folder: a folder of that name above the file;
+# top: the first folder; begins: a folder or file below the top whose name begins so; part: what the path holds anywhere; word: a
+# word that a folder's or file's name begins, standing after no letter; name: what the file's name is or begins with before a dot, dash or
+# underscore; ends: what it ends with.
 SURFACES = (
-    ("contract", r"/shared/|/enums\.|/schema|/types/|/openapi|/proto/|\.proto\z"),
-    ("test", r"\.(?:spec|test)\.[a-z]+\z|/__tests__/|/tests?/|\btest"),
-    ("domain", r"(?:/|^src/)(?:control|mode|failsafe|algorithm|solver|filter)/|(?:transition|state-machine|statemachine|lifecycle)[^/]*\z"),
-    ("api", r"(?:/|^src/)(?:protocol|transport)/"),
-    ("config", r"/(?:driver|hal|platform|rtos|bsp)/"),
-    ("contract", r"(?:^|/)inc(?:lude)?/"),
-    ("doc", r"^(?!docs/|proto/).*\.md\z"),
-    ("style", r"\.(?:css|scss|less)\z|/theme"),
-    ("ui", r"\.(?:tsx|jsx|vue|svelte)\z|/component|/page|/web/"),
-    ("config", r"(?:^|/)(?:package\.json|tsconfig[^/]*\.json|[^/]*\.config\.(?:js|ts|mjs|cjs|json)|dockerfile|makefile)\z|/config/"),
-    ("data", r"(?:^|[^a-z])(?:migrations?|seeds?|fixtures?)(?:[^a-z/][^/]*)?(?:/[^/]*)?\z|\.sql\z"),
-    ("api", r"/(?:service|controller|route|handler|validator|middleware)|(?:reporter|publisher|sender|receiver)[._-][^/]*\z|/reposit(?:ory|ories)/|reposit(?:ory|ories)[._-][^/]*\z"),
-    ("domain", r"/(?:domain|models?|usecases?)/|(?:^|[^a-z])(?:engine|calculator|pricing|rating)(?:[^a-z/][^/]*)?(?:/[^/]*)?\z"),
+    ("contract", {"begins": ("schema", "openapi"), "folder": ("shared", "types", "proto"), "stem": ("enums",), "ends": (".proto",)}),
+    ("test", {"folder": ("__tests__", "test", "tests"), "kinds": ("spec", "test"), "begin_word": ("test",)}),
+    ("domain", {"folder": ("control", "mode", "failsafe", "algorithm", "solver", "filter"), "top": ("src",), "in_name": ("transition", "state-machine", "statemachine", "lifecycle")}),
+    ("api", {"folder": ("protocol", "transport"), "top": ("src",)}),
+    ("config", {"folder": ("driver", "hal", "platform", "rtos", "bsp")}),
+    ("contract", {"any_folder": ("inc", "include")}),
+    ("doc", {"ends": (".md",), "not_top": ("docs", "proto")}),
+    ("style", {"ends": (".css", ".scss", ".less"), "begins": ("theme",)}),
+    ("ui", {"ends": (".tsx", ".jsx", ".vue", ".svelte"), "begins": ("component", "page"), "folder": ("web",)}),
+    ("config", {"names": ("package.json", "dockerfile", "makefile"), "named": (("tsconfig", ".json"),), "config_of": ("js", "ts", "mjs", "cjs", "json"), "folder": ("config",)}),
+    ("data", {"last_word": ("migration", "migrations", "seed", "seeds", "fixture", "fixtures"), "ends": (".sql",)}),
+    ("api", {"begins": ("service", "controller", "route", "handler", "validator", "middleware"), "folder": ("repository", "repositories"), "begins_name": ("repository", "repositories"), "part_name": ("reporter", "publisher", "sender", "receiver")}),
+    ("domain", {"folder": ("domain", "model", "models", "usecase", "usecases"), "last_word": ("engine", "calculator", "pricing", "rating")}),
 )
 
 
+def _either(words: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(w.replace(".", r"\.") for w in words) + ")"
+
+
+def surface_pattern(rule: dict[str, tuple]) -> str:
+    """One regular expression, on lower-cased paths, for a rule of ``SURFACES``; ``not_top`` aside."""
+    made = {
+        "folder": lambda w: f"/{_either(w)}/",
+        "any_folder": lambda w: f"(?:^|/){_either(w)}/",
+        "begins": lambda w: f"/{_either(w)}",
+        "stem": lambda w: rf"/{_either(w)}\.",
+        "ends": lambda w: f"{_either(w)}$",
+        "kinds": lambda w: rf"\.{_either(w)}\.[a-z]+$",
+        "begin_word": lambda w: rf"\b{_either(w)}",
+        "in_name": lambda w: f"{_either(w)}[^/]*$",
+        "names": lambda w: f"(?:^|/){_either(w)}$",
+        "named": lambda w: "|".join(rf"(?:^|/){a}[^/]*{b}$".replace(".json", r"\.json") for a, b in w),
+        "config_of": lambda w: rf"\.config\.{_either(w)}$",
+        "last_word": lambda w: f"(?:^|[^a-z]){_either(w)}(?:[^a-z/][^/]*)?(?:/[^/]*)?$",
+        "begins_name": lambda w: f"{_either(w)}[._-][^/]*$",
+        "part_name": lambda w: f"{_either(w)}[._-][^/]*$",
+    }
+    parts = [made[k](w) for k, w in rule.items() if k in made]
+    if "top" in rule:  # the folders of the rule count right below these too
+        parts.append(f"^{_either(rule['top'])}/{_either(rule['folder'])}/")
+    return "|".join(parts)
+
+
 def surface(path: Column) -> Column:
-    """The kind of surface a path belongs to; unknown where no rule holds."""
+    """The kind of surface a path belongs to; unknown where no rule holds, as for a null path."""
     low = F.lower(path)
-    out = F.when(F.lit(False), "")
-    for name, pattern in SURFACES:
-        out = out.when(low.rlike(pattern), name)
+    out = F.when(path.isNull(), "unknown")
+    for name, rule in SURFACES:
+        hit = low.rlike(surface_pattern(rule))
+        if "not_top" in rule:
+            hit = hit & ~low.rlike(f"^{_either(rule['not_top'])}/")
+        out = out.when(hit, name)
     return out.otherwise("unknown")
 
 

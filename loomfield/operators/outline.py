@@ -22,16 +22,15 @@ def bare_outline(text: str, language: str, profile: str = "full") -> str:
     found = sy.extract(text, language)
     lines = re.split(r"\r\n|\r|\n", text)
     if profile == "symbol-map":
-        return "\n".join(f"{n} L{a}-{b}" for n, a, b, _ in found)
-    types = re.compile(r"\b(?:class|interface|struct|enum|trait|record|object|module|namespace)\b")
+        return "\n".join(f"{s[0]} L{s[2]}-{s[3]}" for s in found)
     out = []
     if profile == "full":
         out += [x.rstrip() for x in lines[:60] if re.match(r"\s*(?:import\b|from\s+\S+\s+import|using\s|use\s|#include|require\b|package\s)", x)][:12]
-    for _, a, b, signature in found:
-        if profile == "class-map" and not types.search(signature):
+    for _, kind, a, b, signature, *_ in found:
+        holds = kind in ("class", "interface", "enum")
+        if profile == "class-map" and not holds:
             continue
         indent = re.match(r"\s*", lines[a - 1])[0]
-        holds = types.search(signature) is not None
         body = "" if holds or b <= a else " ... }" if signature.endswith("{") else " ..."
         out.append(f"{indent}{signature}{body}")
     return "\n".join(out)

@@ -16,6 +16,8 @@ HASHED = frozenset(("python", "ruby", "shell", "yaml", "toml"))
 NESTED = frozenset(("rust", "kotlin", "swift"))
 
 _SLASH_SCAN = re.compile(r"""(?P<string>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?)|(?P<line>//[^\n]*)|(?P<open>/\*)""", re.S)
+#: Rust: a single quote begins a character of one place or an escape, or else a lifetime, which is no literal.
+_RUST_SCAN = re.compile(r"""(?P<string>"(?:[^"\\]|\\.)*"?|'(?:\\[^']+|[^'\\\n])')|(?P<line>//[^\n]*)|(?P<open>/\*)""", re.S)
 _HASH_SCAN = re.compile(r"""(?P<doc>\"{3}(?:.*?)(?:\"{3}|\Z)|'{3}(?:.*?)(?:'{3}|\Z))|(?P<string>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?)|(?P<line>\#[^\n]*)""", re.S)
 
 
@@ -30,8 +32,8 @@ def comment_spans(text: str, language: str) -> list[tuple[int, int, str]]:
                 kind = "string"
             out.append((*m.span(), kind))
         return out
-    at = 0
-    while m := _SLASH_SCAN.search(text, at):
+    at, scan = 0, _RUST_SCAN if language == "rust" else _SLASH_SCAN
+    while m := scan.search(text, at):
         if m.lastgroup == "open":
             depth, end = 1, m.end()
             while depth:
@@ -51,6 +53,24 @@ def comment_spans(text: str, language: str) -> list[tuple[int, int, str]]:
     return out
 
 
+_REST = re.compile(r"[^\n]")
+
+
+def lexed(text: str, language: str) -> str:
+    """The text with comments blanked and literals turned into a pair of brackets around s, all lines and places kept: what is left is code,
+    and a literal over several lines is inside of a bracket."""
+    parts, at = [], 0
+    for start, end, kind in comment_spans(text, language):
+        parts.append(text[at:start])
+        part = text[start:end]
+        if kind == "comment":
+            parts.append(_REST.sub(" ", part))
+        else:
+            parts.append(f"[{_REST.sub('s', part[1:-1])}]" if end - start > 1 else "s")
+        at = end
+    return "".join([*parts, text[at:]])
+
+
 def without_comments(text: str, language: str) -> str:
     """The text with comments blanked; line breaks stay, so lines keep their numbers."""
     parts, at = [], 0

@@ -166,13 +166,12 @@ _SLASHED = "('typescript','typescriptreact','javascript','javascriptreact','java
 
 
 def surface_case(column: str) -> str:
-    """The kinds of surface as a CASE expression; RE2 has no look-ahead, so the rule for documents is written out."""
+    """The kinds of surface as a CASE expression."""
     out = []
-    for name, pattern in paths.SURFACES:
-        plain = pattern.replace("\\z", "$")
-        test = f"regexp_matches(lower({column}), '{plain}')"
-        if name == "doc":
-            test = f"NOT regexp_matches(lower({column}), '^(docs/|proto/)') AND regexp_matches(lower({column}), '\\.md$')"
+    for name, rule in paths.SURFACES:
+        test = f"regexp_matches(lower({column}), '{paths.surface_pattern(rule)}')"
+        if "not_top" in rule:
+            test += f" AND NOT regexp_matches(lower({column}), '^({'|'.join(rule['not_top'])})/')"
         out.append(f"WHEN {test} THEN '{name}'")
     return "CASE " + " ".join(out) + " ELSE 'unknown' END"
 

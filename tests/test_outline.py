@@ -4,8 +4,8 @@ CODE = "import { x } from './y';\n\nexport class A {\n  m() {\n    x();\n  }\n}\
 
 
 def test_bare_outline():
-    assert outline.bare_outline(CODE, "typescript") == "import { x } from './y';\nexport class A {\nfunction f(a) { ... }"
-    assert outline.bare_outline(CODE, "typescript", "class-map") == "export class A {" and outline.bare_outline(CODE, "typescript", "symbol-map") == "A L3-7\nf L9-11"
+    assert outline.bare_outline(CODE, "typescript") == "import { x } from './y';\nexport class A {\n  m() { ... }\nfunction f(a) { ... }"
+    assert outline.bare_outline(CODE, "typescript", "class-map") == "export class A {" and outline.bare_outline(CODE, "typescript", "symbol-map") == "A L3-7\nm L4-6\nf L9-11"
     assert outline.bare_outline("", "typescript") == ""
 
 
@@ -15,10 +15,10 @@ def test_context_roles_and_chunks(spark, rows):
     s = symbols.symbols(files)
     lines = spark.createDataFrame([("a.ts", n, t) for n, t in enumerate(CODE.split("\n"), 1)], "path string, line long, text string")
     got = rows(outline.symbol_with_context(lines, s, "f"), "part", "line")
-    assert got == [("body", 9), ("body", 10), ("body", 11), ("import", 1), ("sibling", 3)]
+    assert got == [("body", 9), ("body", 10), ("body", 11), ("import", 1), ("sibling", 3), ("sibling", 4)]
     chunks = outline.symbol_chunks(s.where("path = 'a.ts'"), most=16)
-    assert rows(chunks, "chunk_name", "line_start", "line_end") == [("A#1", 3, 4), ("A#2", 5, 6), ("A#3", 7, 7), ("f#1", 9, 10), ("f#2", 11, 11)]
-    assert {r["name"]: len(r["chunk_ids"]) for r in outline.chunks_of_symbols(s.where("path = 'a.ts'"), chunks).collect()} == {"A": 3, "f": 2}
+    assert rows(chunks, "chunk_name", "line_start", "line_end") == [("A#1", 3, 4), ("A#2", 5, 6), ("A#3", 7, 7), ("f#1", 9, 10), ("f#2", 11, 11), ("m#1", 4, 5), ("m#2", 6, 6)]
+    assert {r["name"]: len(r["chunk_ids"]) for r in outline.chunks_of_symbols(s.where("path = 'a.ts'"), chunks).collect()} == {"A": 3, "f": 2, "m": 2}
 
 
 def test_compact_and_entry_points(spark, rows):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import paths
 from loomfield.functions import text as tx
-from loomfield.operators import graph, intervals, search, symbols, trees, usage
+from loomfield.operators import graph, intervals, search, trees, usage
 from loomfield.session import lag_in_blocks
 
 
@@ -161,12 +161,6 @@ def test_text_functions(spark):
     assert pick(paths.language(F.lit("x.h"), F.lit("class A {}"))) == "cpp" and pick(paths.language(F.lit("x.h"))) == "c" and pick(paths.language(F.lit("x"))) is None
 
 
-def test_symbols():
-    got = symbols.extract("export class A {\n  x() {}\n}\nexport const b = 1;\nfunction c(x) {\n  if (x) {\n  }\n}\n", "typescript")
-    assert [(n, a, b) for n, a, b, _ in got] == [("A", 1, 3), ("b", 4, 8), ("c", 5, 8)]
-    assert [n for n, *_ in symbols.extract("def f():\n  pass\nclass G:\n  pass", "python")] == ["f", "G"]
-
-
 def test_usage(spark, rows):
     e = spark.createDataFrame([("read", "x", "ok", 10.0, 30.0), ("read", "y", "error", 5.0, 50.0), ("edit", "x", "ok", 4.0, None)], "tool string, client string, outcome string, response double, baseline double")
     r = usage.summary(e, ["read", "edit", "none"], ["x"]).first()

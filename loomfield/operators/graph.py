@@ -113,14 +113,14 @@ def symbol_ranks(symbols: DataFrame, tokens: DataFrame, preferences: DataFrame |
 def file_scores(ranks: DataFrame, files: DataFrame, top: int | None = 40) -> DataFrame:
     """(path, score, place): each file's largest rank, 1 without any, brought to 0..1; the best ``top`` files.
 
-    If all ranks are equal, so are the scores: 1. ``ranks``: rank, and either path or a node's id, whose path is what stands
+    If all ranks are equal, so are the scores: 1. Scores equal to nine digits tie, as sums of floating numbers differ beyond by the order of adding; ties by path. ``ranks``: rank, and either path or a node's id, whose path is what stands
     before its first colon.
     """
     by = F.substring_index("id", ":", 1) if "id" in ranks.columns else F.col("path")
     best = ranks.groupBy(by.alias("path")).agg(F.max("rank").alias("_rank"))
     all_files = files.select("path").distinct().join(best, "path", "left").withColumn("_rank", F.coalesce("_rank", F.lit(1.0)))
     low, high = (all_files.agg(f("_rank").alias("_x")).scalar() for f in (F.min, F.max))
-    scored = all_files.select("path", F.when(high == low, 1.0).otherwise((F.col("_rank") - low) / (high - low)).alias("score"))
+    scored = all_files.select("path", F.round(F.when(high == low, 1.0).otherwise((F.col("_rank") - low) / (high - low)), 9).alias("score"))
     if not top:
         return scored
     best_files = scored.orderBy(F.desc("score"), "path").limit(top)

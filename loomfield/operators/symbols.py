@@ -270,11 +270,11 @@ def extract(text: str, language: str) -> list[tuple[str, str, int, int, str, str
 
 
 def kind_of(signature: Column) -> Column:
-    """class, type, const or function, as the first word of a signature that announces a declaration tells."""
-    words = F.split(F.regexp_replace(signature, r"[^A-Za-z0-9_$=>]+", " "), " ")
+    """class, type, const or function, as the first word of a signature that announces a declaration tells; parameters and values have no say."""
+    words = F.split(F.regexp_extract(signature, r"^[^(={]*", 0), r"[^A-Za-z0-9_$]+")
     said = F.filter(words, lambda w: w.isin("class", "struct", "interface", "enum", "trait", "record", "object", "module", "union", "namespace", "type", "typealias", "const", "let", "var", "val", "function", "func", "fn", "fun", "def"))
     first = F.get(said, F.lit(0))
-    made = signature.contains("=>") | F.array_contains(words, "function")
+    made = signature.rlike(r"=>|\bfunction\b")
     return F.when(first.isin("type", "typealias"), F.when(signature.rlike(r"\b(?:struct|interface)\b"), "class").otherwise("type")).when(first.isin("const", "let", "var", "val") & ~made, "const").when(first.isin("const", "let", "var", "val", "function", "func", "fn", "fun", "def"), "function").when(first.isNotNull(), "class").otherwise("function")
 
 

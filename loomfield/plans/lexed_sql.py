@@ -111,3 +111,17 @@ sym AS (SELECT path, lang, line, trim(raw, ' ' || chr(9)) AS signature, name, CA
     AND coalesce((SELECT NOT regexp_matches(t.bare, '^\s*namespace\b') FROM sp t WHERE t.path = en.path AND t.name = en.enclosing AND t.line < en.line ORDER BY t.line DESC LIMIT 1), true)
     AND NOT regexp_matches(bare, '^\s*(export\s+)?(const|let|var)\b') THEN 'method' ELSE kind END AS kind, end_line, enclosing,
   CAST(row_number() OVER (PARTITION BY path ORDER BY line) - 1 AS BIGINT) AS position FROM en WHERE kind <> 'scope' AND NOT (top IS NULL) AND NOT (kind IN ('const', 'let', 'var') AND enclosing IS NOT NULL))"""
+
+
+#: The windows of hop1_context as files, as ``search_queries.windows`` has them.
+WINDOWS = f"(SELECT file_path || '@' || hop_id AS path, coalesce({language_case('file_path')}, 'default') AS lang, code AS content FROM hop1_context WHERE code IS NOT NULL)"
+SYMBOLS = symbols(WINDOWS)
+
+
+def parts(name: str) -> str:
+    """The parts of a compound name, in small letters."""
+    return rf"list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace({name}, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_\-\s.]+'), lambda x: x <> ''), lambda x: lower(x))"
+
+
+IS_TEST = r"regexp_matches({path}, '(^|/)(tests?|__tests__|spec|__spec__)(/|$)|\.test\.|\.spec\.')"
+IS_NOISE = "regexp_matches({path}, 'node_modules/|dist/|cache/|bench/fixtures/')"

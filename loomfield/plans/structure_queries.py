@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import text as tx
 from loomfield.operators import graph, intervals, search, symbols, trees
+from loomfield.plans.lexed_sql import IS_NOISE, IS_TEST, SYMBOLS, parts
 from loomfield.plans.search_queries import windows
 from loomfield.session import checkpointed, table
 
@@ -144,11 +145,13 @@ def column_letters(spark: SparkSession, folder: str) -> DataFrame:
 
 def code_symbols(spark: SparkSession, folder: str) -> DataFrame:
     """Declarations of all windows."""
-    return symbols.symbols(windows(spark, folder))
+    return symbols.symbols(windows(spark, folder)).drop("doc")
 
 
 def symbol_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    return code_symbols(spark, folder).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
+    """Declarations by kind, and by the kind that their signature alone tells."""
+    s = code_symbols(spark, folder).withColumn("said", symbols.kind_of(F.col("signature")))
+    return s.groupBy("kind", "said").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
 
 
 def find_symbols(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,7 +163,7 @@ def find_symbols(spark: SparkSession, folder: str) -> DataFrame:
 def _doc_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(symbols, tokens): the names declared in windows, by file, and the tokens of files."""
     code = windows(spark, folder)
-    found = symbols.symbols(code).select(F.regexp_replace("path", r"@\d+\z", "").alias("path"), "name", F.xxhash64("path", "line").alias("position"))
+    found = symbols.symbols(code).select(F.regexp_replace("path", r"@\d+\z", "").alias("path"), "name", F.struct("path", "line").alias("position"))
     tokens = code.select(F.regexp_replace("path", r"@\d+\z", "").alias("path"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(f"({tx.IDENTIFIER})"), F.lit(1)))).alias("token")).distinct()
     return checkpointed(found), checkpointed(tokens)
 
@@ -177,7 +180,7 @@ def ranked_files(spark: SparkSession, folder: str) -> DataFrame:
     recent = table(spark, folder, "hop1_context").where("file_path is not null").groupBy(F.col("file_path").alias("path")).agg(F.max("served_at").alias("at")).orderBy(F.desc("at"), "path").limit(50).select("path", F.lit(2.0).alias("preference"))
     ranks = graph.symbol_ranks(s, t, recent)
     files = table(spark, folder, "hop1_context").select(F.col("file_path").alias("path")).where("path is not null")
-    return graph.file_scores(ranks, files).withColumn("score", F.round("score", 9))
+    return graph.file_scores(ranks, files)
 
 
 #: A bounded digraph for comparing ranks with SQL: which top folder's files are served right after which.
@@ -230,7 +233,49 @@ _DEFREF = """d AS (SELECT file_path AS path, search_token AS name, hop_id FROM h
 r AS (SELECT DISTINCT file_path AS path, search_token AS name FROM hop1_context h WHERE relation = 'reference' AND file_path IS NOT NULL AND search_token IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM d WHERE d.path = h.file_path AND d.name = h.search_token))"""
 
+#: Names declared by file with the order in which they are first seen, and the tokens of files.
+_NAMES = rf"""{SYMBOLS}, own AS (SELECT regexp_replace(path, '@\d+$', '') AS path, name, (path, line) AS position FROM sym),
+tok AS (SELECT DISTINCT file_path AS path, unnest(regexp_extract_all(code, '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM hop1_context WHERE code IS NOT NULL AND file_path IS NOT NULL)"""
+
+
+def _ranked(rounds: int = 20) -> str:
+    """Personalised PageRank over all edges between symbols, a CTE a round; nothing here shares the operator's way of not making the edges."""
+    steps = []
+    for n in range(1, rounds + 1):
+        steps.append(f"r{n} AS MATERIALIZED (SELECT n.id, 0.15 * n.pref + 0.85 * coalesce(sum(sh.w * r.rank), 0) AS rank FROM nodes n LEFT JOIN (sh JOIN r{n - 1} r ON r.id = sh.src) ON sh.dst = n.id GROUP BY n.id, n.pref)")
+    return f"""WITH {_NAMES},
+def AS (SELECT path, name, count(*) AS times, min(position) AS position FROM own GROUP BY path, name),
+kept AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY position, path) AS k FROM def QUALIFY k <= 51),
+names AS (SELECT name, min(position) AS seen, count(*) AS n FROM kept GROUP BY name),
+hits AS (SELECT tok.path, tok.name, seen, coalesce(sum(n - 1) OVER (PARTITION BY tok.path ORDER BY seen, tok.name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tok JOIN names USING (name)),
+tg AS (SELECT h.path AS src_path, k.path AS dst_path, name, times, row_number() OVER (PARTITION BY h.path ORDER BY seen, name, k) AS r FROM hits h JOIN kept k USING (name) WHERE h.before < 50 AND h.path <> k.path QUALIFY r <= 50),
+recent AS (SELECT file_path AS path FROM hop1_context WHERE file_path IS NOT NULL GROUP BY 1 ORDER BY max(served_at) DESC, path LIMIT 50),
+nodes AS (SELECT path || ':' || name AS id, path, name, CASE WHEN path IN (SELECT path FROM recent) THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS pref FROM def),
+ed AS (SELECT n.id AS src, t.dst_path || ':' || t.name AS dst, CAST(t.times AS DOUBLE) AS w FROM nodes n JOIN tg t ON t.src_path = n.path WHERE t.name <> n.name),
+sh AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM ed),
+r0 AS (SELECT id, pref AS rank FROM nodes),
+{", ".join(steps)},
+best AS (SELECT n.path, max(r.rank) AS rank FROM r{rounds} r JOIN nodes n USING (id) GROUP BY n.path),
+files AS (SELECT f.path, coalesce(best.rank, 1.0) AS rank FROM (SELECT DISTINCT file_path AS path FROM hop1_context WHERE file_path IS NOT NULL) f LEFT JOIN best USING (path)),
+sc AS (SELECT path, round(CASE WHEN max(rank) OVER () = min(rank) OVER () THEN 1.0 ELSE (rank - min(rank) OVER ()) / (max(rank) OVER () - min(rank) OVER ()) END, 9) AS score FROM files)
+SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS place FROM sc ORDER BY score DESC, path LIMIT 40"""
+
+
 SQL = {
+    "code_symbols": f"WITH {SYMBOLS} SELECT path, name, kind, line, end_line, signature, enclosing, position FROM sym",
+    "symbol_kinds": rf"""WITH {SYMBOLS}, w AS (SELECT kind, name, CASE WHEN regexp_matches(signature, '(^|[^\w$])type\s+\w+\s*(struct|interface)\b') THEN 'class' WHEN regexp_matches(signature, '^(export\s+)?(pub\s+)?type\s') THEN 'type'
+  WHEN regexp_matches(signature, '^(export\s+|private\s+|internal\s+|pub\s+)*(const|let|var|val)\s') AND NOT regexp_matches(signature, '=>|\bfunction\b') THEN 'const'
+  WHEN regexp_matches(signature, '^[^(=]*\b(class|struct|interface|enum|trait|record|object|module|union|namespace)\s') AND kind NOT IN ('function', 'method') THEN 'class' ELSE 'function' END AS said FROM sym)
+SELECT kind, said, count(*) AS n, count(DISTINCT name) AS names FROM w GROUP BY kind, said""",
+    "find_symbols": f"""WITH {SYMBOLS}, c AS (SELECT path, count(*) / max(count(*)) OVER () AS file FROM sym GROUP BY path),
+p AS (SELECT path, line, name, {parts("name")} AS np, list_concat(list_filter(string_split_regex(lower(path), '[/._]'), lambda x: x <> ''), {parts("regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '')")}) AS pp, file FROM sym JOIN c USING (path)),
+x AS (SELECT path, line, name, (CAST(list_contains(np, 'seal') AS INT) + CAST(list_contains(np, 'manifest') AS INT)) / 2 AS a, (CAST(list_contains(pp, 'seal') AS INT) + CAST(list_contains(pp, 'manifest') AS INT)) / 2 AS b, file FROM p),
+s AS (SELECT path, line, name, round(2.0 * a + 1.5 * b + 0.5 * file - CAST({IS_TEST.format(path="path")} AS INT) - 2 * CAST({IS_NOISE.format(path="path")} AS INT), 6) AS score FROM x WHERE a > 0 OR b > 0),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, line, name DESC) = 1)
+SELECT *, (SELECT count(*) FROM best) AS total FROM best ORDER BY score DESC, path, line, name LIMIT 20""",
+    "file_graph": f"""WITH {_NAMES}, d AS (SELECT DISTINCT path, name FROM own)
+SELECT t.path AS src, d.path AS dst, CAST(count(*) AS DOUBLE) AS weight FROM tok t JOIN d USING (name) WHERE t.path <> d.path GROUP BY 1, 2""",
+    "ranked_files": _ranked(),
     "tree_counts": f"WITH {_UP} SELECT dir, i AS depth, count(*) AS files FROM dirs GROUP BY dir, i",
     "tree_top": f"WITH {_UP} SELECT dir, count(*) AS files FROM dirs WHERE i <= 2 GROUP BY dir",
     "module_map": f"""WITH {_PATHS}, up AS (SELECT parts, unnest(range(1, len(parts) + 1)) AS i FROM p),

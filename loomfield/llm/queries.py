@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.llm import confusables, docpairs, mixing, origins, packing, secrets, splitting, tokens
-from loomfield.session import checkpointed, table
+from loomfield.session import checkpointed, spread, table
 
 
 def limits(spark: SparkSession, folder: str) -> dict[str, tuple[int, int]]:
@@ -118,13 +118,16 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return confusables.pairs(table(spark, folder, "documents"), "doc_id")
 
 
+def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document that reads like one of other characters, with its class."""
+    return confusables.classes(table(spark, folder, "documents"), "doc_id")
+
+
 def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
     """The consistent form of every document."""
-    from loomfield.session import spread
-
     return confusables.consistent(spread(table(spark, folder, "documents").select("doc_id", "text")), "text", "form_text", "confusable_kind").withColumn("changed", ~F.col("text").eqNullSafe(F.col("form_text"))).drop("text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p2_found, split_pieces, p4_found, p4_masked, p5_found, p5_pairs, p6_found, p6_origins, p7_packed, p7_containers, p8_mix, p8_shares, p9_found, p9_forms)
+    found = (p2_found, split_pieces, p4_found, p4_masked, p5_found, p5_pairs, p6_found, p6_origins, p7_packed, p7_containers, p8_mix, p8_shares, p9_found, p9_classes, p9_forms)
     return {("p2_pieces" if f is split_pieces else f.__name__): f for f in found}

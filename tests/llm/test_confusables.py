@@ -8,7 +8,7 @@ SAME = [
     ("Hello world", "Неllо wоrld"), ("API", "ΑΡΙ"), ("a b", "a b"), ("a b", "a b"), ("file", "ﬁle"), ("abc 12", "ａｂｃ　１２"), ("é", "é"), ("デ", "ﾃﾞ"), ("デ", "デ"), ("word", "wo​rd﻿"), ("soft", "so­ft"), ("a-b", "a‑b"),
     ("привет мир", "пpивeт миp"), ("ё", "ё"), ("5 µm", "5 μm"), ("300 K", "300 \u212a"), ("a\nb", "a\r\nb"), ("x️", "x"), (";", ";"),
 ]
-DIFFERENT = [("Page", "page"), ("m2", "m²"), ("cafe", "café"), ("end.", "end!"), ("'", "`"), ("テ", "デ"), ("a  b", "a b"), ("👩‍💻", "👩💻"), ("l1", "ll"), ("0", "O"), ("е", "ё"), ("", " "), ("кот", "kot")]
+DIFFERENT = [("Page", "page"), ("m2", "m²"), ("cafe", "café"), ("end.", "end!"), ("'", "`"), ("テ", "デ"), ("a  b", "a b"), ("👩‍💻", "👩💻"), ("l1", "ll"), ("0", "O"), ("е", "ё"), ("", " "), ("кот", "kot"), ("ılık", "ilik"), ("α", "a"), ("I", "l"), ("rn", "m"), ("x", "ˣ"), ("ト", "卜"), ("ſ", "f"), ("б", "6")]
 
 
 @pytest.mark.parametrize(("a", "b"), SAME)
@@ -49,6 +49,27 @@ def test_pairs_equal_brute_force(spark, rows):
     assert c.pairs(df.limit(0), "doc_id").count() == 0
 
 
+def test_forms_keep_everyday_spelling():
+    for text in ("гора и море", "Сегодня и завтра город", "שלום", "über façade", "ΑΒΓ δελτα", "データの上限で"):
+        assert c.form(text) == text
+    assert c.scripts(c.skeleton("сор")) == {"LATIN", "CYRILLIC"} and c.scripts(c.skeleton("город")) == {"CYRILLIC"} and not c.scripts(c.skeleton("гλ"))
+
+
+def test_data_as_text(tmp_path):
+    file = tmp_path / "confusables.txt"
+    file.write_text("\ufeff# version\n0441 ;\t0063 ;\tMA\t# ( с → c )\n006D ;\t0072 006E ;\tMA\n\n", encoding="utf-8")
+    data = c.prototypes(str(file))
+    assert data == {"с": "c", "m": "rn"} and c.letters(data) == {"с": "c"} | c.STROKE
+    assert len(c.prototypes(c.data_file())) > 6000
+
+
+def test_classes_equal_brute_force(spark, rows):
+    texts = {1: "one", 2: "оne", 5: "one", 3: "two", 4: "two", 6: "ｏne", 7: "t", 8: "τ", 9: None}
+    df = spark.createDataFrame([(k, t, 0) for k, t in texts.items()], "doc_id long, text string, class_id long")
+    assert rows(c.classes(df, "doc_id")) == [(1, 1, 1, 3, 4), (2, 1, 2, 3, 4), (5, 1, 1, 3, 4), (6, 1, 6, 3, 4)]
+    assert c.classes(df.limit(0), "doc_id").count() == 0
+
+
 def test_consistent(spark):
     df = spark.createDataFrame([("Неllо", "x"), (None, "x"), ("", "x")], "text string, form_text string")
     out = [(r["text"], r["form_text"], r["kind"]) for r in c.consistent(df, kind="kind").collect()]

@@ -19,7 +19,7 @@ from loomfield.session import checkpointed
 
 #: Rows that one task rounds at once.
 GROUP = 20_000
-#: The reserve has about so many times the tokens of the longest text of its source, in texts of at most a SHORT-th of that.
+#: The reserve has about so many times the tokens of the longest text of its source, in texts of at most a SHORT-th of that, but no more rows than a group.
 RESERVE, SHORT = 4, 16
 
 
@@ -122,8 +122,8 @@ def mixed(counted: DataFrame, targets: dict[str, tuple[float, int]], key: str =
     whole = {s: math.floor(c + 1e-9) for s, c in rate.items()}
     groups = {s: max(1, -(-sums[s][1] // group)) for s in rate}
     short = {s: max(1, sums[s][2] // SHORT) for s in rate}
-    brief = rows.where(F.col(source).isin(list(rate)) & (F.col(size) <= of(short))).groupBy(source).agg(F.sum(size)).collect()  # a row a target
-    kept = {r[0]: min(1.0, RESERVE * sums[r[0]][2] / r[1]) for r in brief}
+    brief = rows.where(F.col(source).isin(list(rate)) & (F.col(size) <= of(short))).groupBy(source).agg(F.sum(size), F.count("*")).collect()  # a row a target
+    kept = {r[0]: min(1.0, RESERVE * sums[r[0]][2] / r[1], group / r[2]) for r in brief}  # so it is a group's work
     rows = rows.where(F.col(source).isin(list(rate))).withColumn("whole", of(whole).cast("int"))
     rows = rows.withColumn("share", of({s: max(0.0, rate[s] - whole[s]) for s in rate}).cast("double"))
     chance = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -47,36 +47,36 @@ VERSIONED_FOLDER = r"(?:^|/)[a-z@][\w.@-]*-v?\d+\.\d+(?:\.\d+)*(?:[-.+]\w+)*/"
 _MADE = r"(?:generated|produced|created|emitted|built|compiled|written|autogenerated|auto-generated|erzeugt|generiert|erstellt|généré|générée|generado|generada|gerado|gerada|generato|сгенерирован\w*|создан\w*)"
 _HANDS_OFF = r"(?:do not (?:edit|modify|change|touch)|don't (?:edit|modify)|(?:edits?|changes|modifications)\b.{0,40}\b(?:overwritten|lost|discarded)|will be (?:overwritten|lost)|nicht (?:bearbeiten|ändern|editieren)|ne pas (?:modifier|éditer)|no (?:editar|modificar)|não (?:editar|modificar)|non modificare|не (?:редактировать|изменять)|to (?:refresh|regenerate|update|rebuild) it)"
 GENERATED_HEADER = re.compile(
-    rf"(?i)\A\W*(?:@generated\b|<auto-?generated\b|auto-?generated (?:file|code|by|from)|automatically generated by\b|code generated\b.*\bdo not edit|(?:this file (?:is|was|has been) )?(?:automatically |auto-?){_MADE} (?:by|from|with)\b|.*\b{_MADE}\b.*{_HANDS_OFF}|.*自動生成.*|.*自动生成.*|.*자동 ?생성.*)"
+    rf"(?i)\A\W*(?:@generated\b|<auto-?generated\b|auto-?generated (?:file|code|by|from)|automatically generated by\b|code generated\b.*\bdo not edit|(?:this file (?:is|was|has been) )?(?:automatically |auto-?){_MADE} (?:by|from|with)\b|.*自動生成.*|.*自动生成.*|.*자동 ?생성.*)"
 )
+MADE = re.compile(rf"(?i)\b{_MADE}\b")
+HANDS_OFF = re.compile(rf"(?i){_HANDS_OFF}")
 VENDORED_HEADER = re.compile(
     r"(?i)\A\W*(?:.*\bthird[- ]party code\b.*\b(?:copied|taken|imported|from)\b|(?:imported|copied|taken|vendored) (?:unchanged|verbatim|unmodified|as is)?\s*from (?:the )?\S.*\b(?:version|v?\d+\.\d+)|upstream:\s*\S+.*(?:local copy|do not modify|keep in sync|v?\d+\.\d+)|[\w.@/ -]+\s+v?\d+\.\d+(?:\.\d+)*\s*\|\s*\(c\)|!\s*[\w.@/ -]+\s+v\d+\.\d+\.\d+\b)"
 )
 COMMENT = re.compile(r"\s*(?://+!?|#+!?|/\*+!?|\*+|--|;+|<!--|%+|\"{3}|'{3}|rem\b)\s*(.*)", re.I)
+INSIDE = re.compile(r"\s*(.*)")
 NUMBERS = re.compile(r"(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?|\\x[0-9a-fA-F]{2}|-)(?:[uUlLfF]*)[\s,;]*")
 LITERAL = re.compile(r"[\"'`][A-Za-z0-9+/=\\_-]{120,}[\"'`]?")
 TEXT_LINE = re.compile(r"\s*[\"'`]?[A-Za-z0-9+/=]{60,}[\"'`]?[\s,+;\\]*\Z")
 
-#: How many lines from the top a header is looked for in.
-HEADER_LINES = 40
-
 
 def body_kind(code: str) -> str | None:
     """generated, vendored, minified or data, as a body tells; None for a body that looks written by hand."""
     if not code.strip():
         return None
     lines = code.split("\n")
-    for line in lines[:HEADER_LINES]:
-        m = COMMENT.match(line)
+    in_block = False
+    for line in lines:  # as far as the head of comments and imports goes
+        m = COMMENT.match(line) or (INSIDE.match(line) if in_block else None)
+        in_block = "*/" not in line if in_block else "/*" in line and "*/" not in line.rpartition("/*")[2]
         if not m:
             if line.strip() and not line.lstrip().startswith(("*", "package ", "using ", "import ", "#")):
                 break
             continue
         text = m[1]
-        if len(text) >= 300:
-            continue
         banner = "! " + text if line.lstrip().startswith("/*!") else text
-        if GENERATED_HEADER.match(text):
+        if GENERATED_HEADER.match(text) or (made := MADE.search(text)) and HANDS_OFF.search(text, made.end()):
             return "generated"
         if VENDORED_HEADER.match(banner):
             return "vendored"
@@ -143,61 +143,55 @@ def judged(bodies: DataFrame, path: str = "file_path", code: str = "code", keep:
     return given.mapInArrow(run, f"{schema}, body_kind string, hash_hi bigint, hash_lo bigint")
 
 
-#: Folders below so many levels count as one with the last of these, so that no path makes the plan longer.
-MOST_DEPTH = 40
-
+def merkle(leaves: DataFrame, repository: str = "repository", path: str = "path", hi: str = "hash_hi", lo: str = "hash_lo", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(repository, keep, folder, depth, hash_hi, hash_lo, n_files) of every folder, from its files' hashes, bottom-up.
 
-def merkle(leaves: DataFrame, repository: str = "repository", path: str = "path", hi: str = "hash_hi", lo: str = "hash_lo") -> DataFrame:
-    """(repository, folder, depth, hash_hi, hash_lo, n_files) of every folder, from its files' hashes, bottom-up.
-
-    ``path`` is relative to the repository; the repository itself is the folder ''. A folder's hash is the sum of the hashes
-    of its (name, hash) entries, which does not depend on their order and is added up before the shuffle, so that a folder
-    with a third of all files is not one task's work. One aggregation a level of depth, each over the folders of the level
-    below and the files at its own. Rows of null path or hash take no part; an empty table has no folder.
+    ``path`` is relative to the repository; the repository itself is the folder ''. ``keep``: columns that are the same all over a
+    repository. A folder's hash is the sum of the hashes of its (name, hash) entries, which does not depend on their order and is
+    added up before the shuffle, so that a folder with a third of all files is not one task's work. One aggregation a level of
+    depth, each over the folders of the level below and the files at its own, and each written once. Rows of null path or hash take no part; an
+    empty table has no folder.
     """
     wide = "decimal(38,0)"
-
-    def entry(seed: int, name: Column, a: Column, b: Column) -> Column:
-        return F.xxhash64(F.lit(seed), name, a, b)
-
+    above = lambda c: F.when(F.instr(c, "/") > 0, F.expr(f"substring({c}, 1, length({c}) - length(substring_index({c}, '/', -1)) - 1)")).otherwise("")
     files = leaves.where(F.col(path).isNotNull() & F.col(hi).isNotNull() & F.col(repository).isNotNull())
-    files = files.select(F.col(repository).alias("repository"), F.col(path).alias("_path"), F.col(hi).alias("_hi"), F.col(lo).alias("_lo"))
-    steps = F.split("_path", "/")
-    deep = F.concat(F.array_join(F.slice(steps, 1, MOST_DEPTH), "/"), F.lit("\\"), F.array_join(F.slice(steps, MOST_DEPTH + 1, F.size(steps)), "\\"))
-    files = files.withColumn("_path", F.when(F.size(steps) > MOST_DEPTH, deep).otherwise(F.col("_path"))).withColumn("_depth", F.size(F.split("_path", "/")))
-    files = files.withColumn("_folder", F.when(F.col("_depth") > 1, F.expr("substring(_path, 1, length(_path) - length(substring_index(_path, '/', -1)) - 1)")).otherwise(""))
-    files = files.select("repository", "_depth", "_folder", F.substring_index("_path", "/", -1).alias("_name"), "_hi", "_lo", F.lit(1).cast("bigint").alias("_n"))
+    files = files.select(F.col(repository).alias("repository"), *keep, F.size(F.split(path, "/")).alias("_depth"), above(path).alias("_folder"), F.substring_index(path, "/", -1).alias("_name"), F.col(hi).alias("_hi"), F.col(lo).alias("_lo"), F.lit(1).cast("bigint").alias("_n"))
     files = checkpointed(files)  # read once a level
-    deepest = files.agg(F.max("_depth")).first()[0] or 0
+    depths = sorted((r[0] for r in files.select("_depth").distinct().collect()), reverse=True)  # a row a level
+    deepest = depths[0] if depths else 0
     levels: list[DataFrame] = []
     below: DataFrame | None = None
     for depth in range(deepest, 0, -1):
-        entries = files.where(F.col("_depth") == depth).drop("_depth")
+        entries = files.where(F.col("_depth") == depth).drop("_depth") if depth in depths else None
         if below is not None:
-            up = F.when(F.instr("folder", "/") > 0, F.expr("substring(folder, 1, length(folder) - length(substring_index(folder, '/', -1)) - 1)")).otherwise("")
-            entries = entries.unionByName(below.select("repository", up.alias("_folder"), F.concat(F.substring_index("folder", "/", -1), F.lit("/")).alias("_name"), F.col("hash_hi").alias("_hi"), F.col("hash_lo").alias("_lo"), F.col("n_files").alias("_n")))
-        sums = entries.groupBy("repository", "_folder").agg(
-            F.sum(entry(1, F.col("_name"), F.col("_hi"), F.col("_lo")).cast(wide)).alias("_a"),
-            F.sum(entry(2, F.col("_name"), F.col("_hi"), F.col("_lo")).cast(wide)).alias("_b"),
-            F.sum("_n").alias("n_files"),
-        )
-        below = sums.select("repository", F.col("_folder").alias("folder"), F.lit(depth - 1).alias("depth"), F.xxhash64(F.lit(3), "_a", "_b", "n_files").alias("hash_hi"), F.xxhash64(F.lit(4), "_a", "_b", "n_files").alias("hash_lo"), "n_files")
-        if (deepest - depth) % 4 == 3:
-            below = checkpointed(below)  # or each level would be planned again for all above it
+            up = below.select("repository", *keep, above("folder").alias("_folder"), F.concat(F.substring_index("folder", "/", -1), F.lit("/")).alias("_name"), F.col("hash_hi").alias("_hi"), F.col("hash_lo").alias("_lo"), F.col("n_files").alias("_n"))
+            entries = up if entries is None else entries.unionByName(up)
+        hashed = [F.xxhash64(F.lit(seed), "_name", "_hi", "_lo").cast(wide) for seed in (1, 2)]
+        sums = entries.groupBy("repository", *keep, "_folder").agg(F.sum(hashed[0]).alias("_a"), F.sum(hashed[1]).alias("_b"), F.sum("_n").alias("n_files"))
+        below = checkpointed(sums.select("repository", *keep, F.col("_folder").alias("folder"), F.lit(depth - 1).alias("depth"), F.xxhash64(F.lit(3), "_a", "_b", "n_files").alias("hash_hi"), F.xxhash64(F.lit(4), "_a", "_b", "n_files").alias("hash_lo"), "n_files"))
         levels.append(below)
     if not levels:
-        return files.select("repository", F.lit("").alias("folder"), F.lit(0).alias("depth"), F.col("_hi").alias("hash_hi"), F.col("_lo").alias("hash_lo"), F.col("_n").alias("n_files"))
+        return files.select("repository", *keep, F.lit("").alias("folder"), F.lit(0).alias("depth"), F.col("_hi").alias("hash_hi"), F.col("_lo").alias("hash_lo"), F.col("_n").alias("n_files"))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
     return out
 
 
-def shared_folders(folders: DataFrame, repositories: int = 2) -> DataFrame:
-    """(repository, folder) of folders below the root whose hash occurs in at least so many repositories."""
-    below = folders.where("folder <> ''")
-    by = below.groupBy("hash_hi", "hash_lo").agg(F.approx_count_distinct("repository").alias("_n"), F.min("repository").alias("_first"), F.max("repository").alias("_last"))
-    often = by.where("_first <> _last" if repositories <= 2 else F.col("_n") >= repositories).select("hash_hi", "hash_lo")
+#: A shared folder tells something if it has at least so many files: one small file may be alike by chance.
+LEAST_FILES = 2
+
+
+def shared_folders(folders: DataFrame, owners: str = "owner", roots: str = "root", least_files: int = LEAST_FILES) -> DataFrame:
+    """(repository, folder) of folders below the root that occur in unrelated repositories: ones of neither the same owner nor the same root.
+
+    ``folders``: repository, folder, hash_hi, hash_lo, n_files, owner, root. A hash that has two owners and two roots has two repositories that
+    differ in both. An unknown (null) owner is like no other, so it proves nothing.
+    """
+    below = folders.where((F.col("folder") != "") & (F.col("n_files") >= least_files))
+    ends = [f(c).alias(f"_{f.__name__}_{n}") for n, c in enumerate((owners, roots)) for f in (F.min, F.max)]
+    by = below.where(F.col(owners).isNotNull()).groupBy("hash_hi", "hash_lo").agg(*ends)
+    often = by.where("_min_0 <> _max_0 and _min_1 <> _max_1").select("hash_hi", "hash_lo")
     return below.join(often, ["hash_hi", "hash_lo"], "left_semi").select("repository", "folder")
 
 
@@ -205,25 +199,28 @@ def shared_folders(folders: DataFrame, repositories: int = 2) -> DataFrame:
 ROOT_SEGMENTS = 2
 
 
-def origins(paths: DataFrame, bodies: DataFrame, path: str = "file_path", code: str = "code", owner: str = "workspace_id", repositories: int = 2) -> DataFrame:
+def origins(paths: DataFrame, bodies: DataFrame, path: str = "file_path", code: str = "code", owner: str = "workspace_id", least_files: int = LEAST_FILES, rules: bool = True) -> DataFrame:
     """(path, origin, told_by) of each distinct path of either table: generated, vendored, minified, data or hand-written.
 
     ``paths`` and ``bodies`` hold the path, ``bodies`` the code and the owner too. Null paths are no files; a null body
     leaves the path's evidence. Where bodies of one path disagree, any that is not hand-written counts. ``told_by`` is
-    tree, path or body, in this order. Repositories are unrelated if neither their root nor any owner is the same.
+    tree, path or body, in this order; without ``rules`` only trees tell. Repositories, an owner's copy of a root, are unrelated if neither root nor owner is the same.
     """
     seen = paths.select(path).unionByName(bodies.select(path)).where(F.col(path).isNotNull()).distinct()
     read = checkpointed(judged(bodies.where(F.col(path).isNotNull()), path, code, (owner,)))  # paths and hashes only
     parts = F.split(F.col(path), "/")
     root = F.array_join(F.slice(parts, 1, ROOT_SEGMENTS), "/")
     deep = F.size(parts) > ROOT_SEGMENTS
-    leaves = read.where(F.col("hash_hi").isNotNull() & deep).select(F.concat_ws(" ", F.coalesce(owner, F.lit("")), root).alias("repository"), F.array_join(F.slice(parts, ROOT_SEGMENTS + 1, F.size(parts)), "/").alias("path"), F.col(path).alias("_full"), "hash_hi", "hash_lo")
-    shared = shared_folders(merkle(leaves), repositories)
+    leaves = read.where(F.col("hash_hi").isNotNull() & deep)
+    leaves = leaves.select(F.concat_ws(" ", F.coalesce(owner, F.lit("")), root).alias("repository"), F.col(owner).alias("owner"), root.alias("root"), F.array_join(F.slice(parts, ROOT_SEGMENTS + 1, F.size(parts)), "/").alias("path"), F.col(path).alias("_full"), "hash_hi", "hash_lo").distinct()
+    shared = shared_folders(merkle(leaves, keep=("owner", "root")), least_files=least_files)
     # each file with the folders above it; shared folders are few beside files
     above = leaves.select("repository", "_full", F.explode(F.expr("transform(sequence(1, greatest(size(split(path, '/')) - 1, 1)), i -> array_join(slice(split(path, '/'), 1, i), '/'))")).alias("folder"))
     copied = above.join(shared, ["repository", "folder"], "left_semi").select(F.col("_full").alias(path), F.lit(True).alias("_copied")).distinct()
     told = read.groupBy(path).agg(F.max("body_kind").alias("_body"))
     out = seen.join(told, path, "left").join(copied, path, "left").withColumn("_path", path_kind(F.col(path)))
+    if not rules:
+        out = out.withColumns({c: F.lit(None).cast("string") for c in ("_path", "_body")})
     kind = F.when(F.col("_copied"), "vendored").otherwise(F.coalesce("_path", "_body", F.lit("hand-written")))
     by = F.when(F.col("_copied"), "tree").when(F.col("_path").isNotNull(), "path").when(F.col("_body").isNotNull(), "body")
     return out.select(path, kind.alias("origin"), by.alias("told_by"))

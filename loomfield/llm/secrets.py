@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import math
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +28,6 @@ from loomfield.session import spread
 
 MASK = "REDACTED"
 LONGEST_WORD = 16
-#: A literal beyond this that nothing points to is data: no token comes near it. Where a name or a call points to it, any length counts.
-LONGEST = 4000
 #: So many unexplained characters tell a random literal without the help of a digit.
 LONG_RESIDUAL = 6
 
@@ -59,15 +58,19 @@ BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
 USERINFO = re.compile(r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://([^\s/:@"'`<>]*):([^\s/@"'`<>]+)@""")
 COMMAND = re.compile(r"(?i)\b(?:log_?in|auth|connect|-u[^\S\n]+\S+)\b")
 OPTION = re.compile(r"""(?i)\s(?:-p|--pass|-P)[ =]?(["']?)([^\s"']{4,})\1""")
-TOLD = re.compile(r"""(?i)\b(?:log ?in|sign ?in|token|key|pw|pwd|password|passphrase|secret|credentials?|creds)\b[^\n:`"']{0,60}(?::\s+|`)([^\s"'`<>,;(){}]{8,})""")
+#: What stands before a value that is told in prose: everything since the last such sign, looked through once.
+TOLD = re.compile(r"""(?<![^\n:`"'])([^\n:`"']*)(?::[^\S\n]+|`)(?=([^\s"'`<>,;(){}]{8,}))""")
+TELLS = re.compile(r"(?i)\b(?:log ?in|sign ?in|token|key|pw|pwd|password|passphrase|secret|credentials?|creds)\b")
 BEARER = re.compile(r"""(?i)(?:\bbearer|authorization["'\s:,=]+["']?(?:basic|token))[ ]+([A-Za-z0-9._~+/=!#$%@-]{8,})""")
 SIGNIN = re.compile(r"""(?i)\b\w*(?:log_?in|sign_?in|connect|auth\w*)\(\s*(["'])[^"'\n]*\1\s*,\s*(["'])([^"'\n]+)\2""")
 NAMED = re.compile(r"(?i)passw|passphrase|pwd|kennwort|contrase|mot_?de_?passe|senha|wachtwoord|secret|creds?\b|credential|token|auth|key|bearer|cookie|\bpin\b|\bk\d\b")
 VALUE = re.compile(r"""[\w.-]*["'`\])}]*(?:\s*(?::=|=>|->|==?|:(?!:)|,(?=\s*["'`])|>|\bis\b|\bto\b|(?<=[\w`]) ?(?=`))\s*|(?=`))(?:[bru]{0,2}("{3}|["'`])([^\n]+?)\1|([^\s"'`<>,;(){}\[\]]{6,}))""")
-LOOSE = re.compile(r"(?<![A-Za-z0-9+/=_.~-])(?=[^\s\"'`<>,;(){}\[\]]{0,80}\d)[A-Za-z0-9_][A-Za-z0-9+/=_.~-]{17,}")
+LOOSE = re.compile(r"(?<![A-Za-z0-9+/=_.~-])[A-Za-z0-9_][A-Za-z0-9+/=_.~-]{17,}")
 BODY = re.compile(r"""(\\[nrt]|[\s"'`\\,+]+)|[^\s"'`\\]+""")
 FENCED = re.compile(r"-----BEGIN (?:[A-Z0-9 ]+)-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)|data:[\w/+.-]+;base64,[A-Za-z0-9+/=]*|(?i:\bsha(?:1|256|384|512)-[A-Za-z0-9+/=]+)", re.S)
-ABOUT_BEFORE = re.compile(r"(?i)(?:commit|checksum|integrity|sha\d*|md5|digest|hash|revision|etag|fingerprint|uuid|id)[\"'`\])]*\s*(?::=|[:=]|\s)\s*[\"'`]?\Z")
+ABOUT_BEFORE = re.compile(r"(?i)(?:commit|checksum|integrity|sha\d*|md5|digest|hash|revision|etag|fingerprint|uuid|id)\Z")
+DIGIT = re.compile(r"\d")
+JOINING = frozenset(" \t\r\n:=\"'`])")
 
 #: Rows that can hold a credential at all, as a single RE2 automaton: a key block, a user part, a sign-in, a name under which
 #: credentials are kept, or a digit beside a letter or sign. Everything that is found has one of these.
@@ -140,9 +143,17 @@ def stands_in(value: str) -> bool:
     return any(p in STANDINS[:22] for p in parts) or bool(parts) and all(p in STANDINS for p in parts)
 
 
-def unexplained(value: str, path: str = VOCABULARY) -> bool:
+def unexplained(value: str, path: str = VOCABULARY, share: float = 0.55) -> bool:
     """Whether the residual is long for a literal without a digit, or one of digits alone."""
-    return value.isascii() and residual(value, path) >= max(LONG_RESIDUAL, 0.55 * len(value))
+    return value.isascii() and residual(value, path) >= max(LONG_RESIDUAL, share * len(value))
+
+
+def told_apart(text: str, at: int) -> bool:
+    """Whether a literal is called a digest or an id by the word before it."""
+    end = at
+    while end and text[end - 1] in JOINING:
+        end -= 1
+    return end < at and bool(ABOUT_BEFORE.search(text, max(0, end - 16), end))
 
 
 @lru_cache(maxsize=65536)
@@ -155,10 +166,10 @@ def grants(value: str, where: str, path: str = VOCABULARY) -> bool:
         if value.isdigit():
             return 4 <= len(value) <= 12 and not stands_in(value)
         where = "weak"
-    if len(value) < 4 or where == "loose" and len(value) > LONGEST or stands_in(value) or UUID.match(value) or DIGEST.match(value):
+    if len(value) < 4 or stands_in(value) or UUID.match(value) or DIGEST.match(value):
         return False
-    if where in ("strong", "weak", "user") and (JWT.match(value) or MARKED.match(value)):
-        return True
+    if JWT.match(value) or MARKED.match(value):  # a known form, and no words in it
+        return residual(value, path) >= 4
     if HEX.match(value) and len(value) in HASH_SIZES:
         return where in ("strong", "user") or where == "weak" and not value.isdigit()
     if " " in value or "://" in value:
@@ -167,11 +178,9 @@ def grants(value: str, where: str, path: str = VOCABULARY) -> bool:
     if where == "user":
         return len(value) >= 4 and residual(value, path) >= 1
     if where == "strong":
-        return len(value) >= 6 and (has_digit and residual(value, path) >= 1 and has_letter or unexplained(value, path))
+        return len(value) >= 6 and (has_digit and residual(value, path) >= 1 and has_letter or unexplained(value, path, 0.4))
     if where == "weak":
         return len(value) >= 8 and (has_digit and has_letter and residual(value, path) >= 2 or has_letter and unexplained(value, path))
-    if JWT.match(value) or MARKED.match(value):
-        return True
     if len(value) < 18 or not has_digit or HEX.match(value.replace("-", "")):
         return False
     mixed = any(c.islower() for c in value) and any(c.isupper() for c in value)
@@ -187,7 +196,9 @@ def find(text: str, path: str = VOCABULARY) -> list[tuple[int, int, str]]:
         fenced = [m.span() for m in FENCED.finditer(text)]
     for m in BLOCK.finditer(text):
         close = text.find(f"-----END {m[1]}-----", m.end())
-        spans.append((m.start(), close if close >= 0 else _block_end(text, m.end()), "block"))
+        end = close if close >= 0 else _block_end(text, m.end())
+        if _holds_key(text[m.end() : end], path):
+            spans.append((m.start(), end, "block"))
     if "://" in text:
         spans += [(*m.span(2), "url") for m in USERINFO.finditer(text) if grants(m[2], "user", path)]
     for m in SIGNIN.finditer(text):
@@ -195,8 +206,8 @@ def find(text: str, path: str = VOCABULARY) -> list[tuple[int, int, str]]:
             spans.append((*m.span(3), "signin"))
     spans += [(*s, "signin") for s in _options(text) if grants(text[slice(*s)], "user", path)]
     for m in TOLD.finditer(text):
-        if grants(m[1], "weak", path):
-            spans.append((*m.span(1), "told"))
+        if TELLS.search(m[1]) and grants(m[2], "weak", path):
+            spans.append((*m.span(2), "told"))
     for m in BEARER.finditer(text):
         if grants(m[1], "strong", path):
             spans.append((*m.span(1), "bearer"))
@@ -225,22 +236,43 @@ def find(text: str, path: str = VOCABULARY) -> list[tuple[int, int, str]]:
         if kind in ("strong", "weak", "pin") and grants(value, kind, path):
             spans.append((start, end, "named"))
     for m in LOOSE.finditer(text):
+        if not DIGIT.search(m[0]):
+            continue
         value = m.group().rstrip(".=") if text[m.end() - 1] == "." else m.group()
         if "=" in value.rstrip("="):  # a setting; its value is named or loose by itself
             cut = value.index("=") + 1
             value, start = value[cut:], m.start() + cut
         else:
             start = m.start()
-        if grants(value, "loose", path) and not ABOUT_BEFORE.search(text, max(0, start - 40), start):
+        if grants(value, "loose", path) and not told_apart(text, start):
             spans.append((start, start + len(value), "loose"))
-    out: list[tuple[int, int, str]] = []
     order = {"block": 0, "url": 1, "signin": 2, "bearer": 3, "named": 4, "told": 5, "loose": 6}
-    for span in sorted(spans, key=lambda s: (order[s[2]], s[0])):
-        a, b, kind = span
-        if any(x < b and a < y for x, y, _ in out) or kind != "block" and any(x < b and a < y for x, y in fenced):
-            continue
-        out.append(span)
-    return sorted(out)
+    kept = _Spans()
+    shut = _Spans(fenced)
+    for a, b, kind in sorted(spans, key=lambda s: (order[s[2]], s[0])):
+        if not kept.meets(a, b) and (kind == "block" or not shut.meets(a, b)):
+            kept.add(a, b, kind)
+    return kept.found
+
+
+class _Spans:
+    """Spans that do not overlap, in order; whether one meets them is a look-up."""
+
+    def __init__(self, given: list[tuple[int, int]] = ()):
+        self.found: list[tuple] = sorted(given)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.found, (a,))
+        return k < len(self.found) and self.found[k][0] < b or k > 0 and self.found[k - 1][1] > a
+
+    def add(self, a: int, b: int, kind: str) -> None:
+        insort(self.found, (a, b, kind))
+
+
+def _holds_key(body: str, path: str) -> bool:
+    """Whether a private key's frame holds what words do not explain; one of less than a line is that of a window that stops there."""
+    bare = BODY.sub(lambda m: "" if m[1] else m[0], body)
+    return not bare or not stands_in(bare) and (len(bare) < 40 or residual(bare, path) >= 0.4 * sum(c.isalnum() for c in bare))
 
 
 def _options(text: str) -> list[tuple[int, int]]:
@@ -299,8 +331,10 @@ def scan(items: DataFrame, keys: list[str], text: str = "text", path: str = VOCA
                 if spans := find(body, path):
                     at.append(k)
                     by_line: dict[int, str] = {}
+                    line, seen = 1, 0
                     for start, _, kind in spans:
-                        by_line.setdefault(body.count("\n", 0, start) + 1, kind)
+                        line, seen = line + body.count("\n", seen, start), start
+                        by_line.setdefault(line, kind)
                     lines.append(list(by_line))
                     kinds.append(list(by_line.values()))
                     texts.append(masked(body, spans))

@@ -102,14 +102,15 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
 
     Every piece has at most ``limit`` UTF-8 bytes; the own parts are the text. A text within the limit, empty or not, is
     one piece. The repeated part is the longest end of the piece before, of whole characters, within ``overlap`` bytes:
-    it falls short of ``overlap`` by 3 bytes at most, or has all of a shorter piece.
+    it falls short of ``overlap`` by 3 bytes at most, or has all of a shorter piece. A character that alone is larger than the
+    limit, which takes a limit below 4, is a piece of its own.
     """
     if limit < 1:
         raise ValueError("the limit must be positive")
-    overlap = max(0, min(overlap, limit - 4))
+    overlap = max(0, min(overlap, limit - 4))  # room for any character
     if len(text) <= limit and len(text.encode("utf-8", "surrogatepass")) <= limit:
         return [(0, 0, len(text))]
-    room = max(4, limit - overlap)
+    room = limit - overlap
     atoms = [x for a, b, s in _lines(text) for x in _finer(text, a, b, s, room)]
     n = len(atoms)
     end = [b for _, b, _ in atoms]

@@ -16,8 +16,6 @@ from loomfield.session import spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's authors split text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A stretch without any break is cut at so many characters before it is encoded, since merging is quadratic in it.
-LONGEST = 100_000
 
 
 @lru_cache(maxsize=4)
@@ -31,13 +29,10 @@ def encoder(path: str):
 
 
 def count(text: str | None, path: str = VOCABULARY) -> int:
-    """Tokens of a text; 0 for null."""
+    """Tokens of a text, encoded as a whole; 0 for null."""
     if not text:
         return 0
-    encode = encoder(path).encode_ordinary
-    if len(text) <= LONGEST:
-        return len(encode(text))
-    return sum(len(encode(text[at : at + LONGEST])) for at in range(0, len(text), LONGEST))
+    return len(encoder(path).encode_ordinary(text))
 
 
 def counted(df: DataFrame, keep: list[str], text: str = "text", out: str = "n_tokens", path: str = VOCABULARY) -> DataFrame:

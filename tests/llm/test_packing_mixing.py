@@ -1,9 +1,10 @@
+import os
 import random
 from collections import Counter, defaultdict
 
 import pytest
 
-from loomfield.llm import mixing, packing
+from loomfield.llm import mixing, packing, tokens
 
 
 def filled(plan):
@@ -14,6 +15,14 @@ def filled(plan):
     return fill
 
 
+@pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="no vocabulary")
+def test_tokens_of_long_texts_are_those_of_the_whole():
+    encode = tokens.encoder(tokens.VOCABULARY).encode_ordinary
+    for text in ("word " * 60_001, "x" * 250_001, " " * 120_000 + "y", "界" * 110_000, "don't " * 30_000):
+        assert tokens.count(text) == len(encode(text))
+    assert tokens.count("word " * 60_001) == 60_002 and tokens.count("") == tokens.count(None) == 0
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_plan(seed):
     random.seed(seed)
@@ -88,6 +97,14 @@ def test_rounding_keeps_mass_and_expectation():
     assert max(abs(m - p) for m, p in zip(mean, shares, strict=True)) < 0.13
 
 
+def test_reserve_is_a_groups_work(spark):
+    data = [(n, "a", 1) for n in range(3000)] + [(10_000, "a", 2000)]
+    df = spark.createDataFrame(data, "doc_id long, source string, n_tokens long")
+    out = mixing.mixed(df, {"a": (1.0, 2)}, total=2600.5, group=200)
+    drawn = out.selectExpr("sum(n_tokens * repeats) AS t").first()["t"]
+    assert abs(drawn - 2600.5) <= 2000 and out.count() == out.select("doc_id").distinct().count()
+
+
 def test_mixed(spark):
     random.seed(4)
     data = [(n, random.choice(["a"] * 6 + ["b", "c"]), random.randint(1, 60), "own") for n in range(3000)]

@@ -30,6 +30,14 @@ def test_random_texts():
         check(text, random.choice([64, 200, 999]), random.choice([0, 5, 50]))
 
 
+def test_limits_below_a_character():
+    for limit in (1, 2, 3):
+        for text in ("abcdef", "aébc", "a界b👩c"):
+            pieces = splitting.split(text, limit, 2)
+            parts = [text[start:end] for start, _, end in pieces]
+            assert "".join(parts) == text and all(len(x.encode()) <= limit or len(x) == 1 for x in parts)
+
+
 def test_natural_boundaries():
     paragraph = "This is a sentence of some words. " * 8
     text = "\n\n".join([paragraph.strip()] * 6)

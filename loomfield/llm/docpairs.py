@@ -23,6 +23,9 @@ from loomfield.llm.gll import Grammar, Parse
 from loomfield.session import spread
 
 FAMILY = {"py": "py", "python": "py", "rb": "rb", "ruby": "rb"} | dict.fromkeys("ts tsx js jsx mjs cjs javascript typescript java cs csharp cpp cc cxx c h hpp go rs rust kt kotlin swift scala php dart m".split(), "c")
+FAMILY |= dict.fromkeys("sh bash zsh shell pl pm perl r ex exs elixir jl julia".split(), "sh") | dict.fromkeys("lua sql plsql pgsql hs elm".split(), "lua")
+#: What holds no functions: text, markup, data and settings.
+NO_CODE = frozenset("md mdx markdown txt text rst json jsonl yaml yml toml xml html htm css scss less csv tsv ini cfg conf properties env lock log svg".split())
 EXTENSION = re.compile(r"\.(\w+)\Z")
 
 # Token classes, one character each.
@@ -33,6 +36,7 @@ KEYWORDS = (
     | dict.fromkeys("if else for while switch case return throw new catch do try import package using use require await yield match loop when with in elsif unless until begin end class interface struct enum namespace module trait impl type object goto delete typeof raise except finally pass break continue from assert del global lambda and or not".split(), "x")
 )
 TOKEN = re.compile(r"""\s+|//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<name>[^\W\d][\w$]*[?!]?(?![\w(])|[^\W\d][\w$]*|[$~][\w$]+)|(?P<number>\d[\w.]*)|(?P<string>"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?)|(?P<sign>=>|->|::|[^\w\s])""", re.S)
+BRACKETS = {"(": ")", "[": "]", "{": "}"}
 SIGNS = {"=>": "a", "->": "r", "::": "."}
 
 _BALANCED = {
@@ -80,12 +84,22 @@ RUBY: Grammar = _BALANCED | {
     "Owner": [(), ('"nkx"', '"."')],
     "Name": [('"nkcx"',)],
 }
-GRAMMARS = {"c": BRACES, "py": INDENT, "rb": RUBY}
+#: Languages that announce functions by a word or a shell's empty brackets, and close them by a word, a brace, or not at all.
+SCRIPTS: Grammar = _BALANCED | {
+    "Head": [("Mods", '"f"', "Owner", "Name"), ("Mods", '"f"', "Owner", "Name", "List"), ("Mods", '"f"', "Owner", "Name", '"{"'), ("Mods", '"f"', "Owner", "Name", "List", '"{"'), ("Name", "List", '"{"'), ("Name", "Arrow", '"f"', "List")],
+    "Mods": [(), ('"kn"', "Mods")],
+    "Owner": [(), ('"n"', '".:"', "Owner")],
+    "Name": [('"nkcx"',)],
+    "Arrow": [('"="',), ('"<"', '"o"')],
+}
+GRAMMARS = {"c": BRACES, "py": INDENT, "rb": RUBY, "sh": SCRIPTS, "lua": SCRIPTS}
+#: Words of single families beside those of all.
+OWN_KEYWORDS = {"sh": dict.fromkeys("sub defp defmacro".split(), "f"), "lua": dict.fromkeys("procedure PROCEDURE FUNCTION".split(), "f")}
+#: How comment lines begin in each family.
+LINE_COMMENT = {"c": "//", "py": "#", "rb": "#", "sh": "#", "lua": "--"}
 
 #: How a line goes on that belongs to the head whose parameters ended on the line before.
 GOES_ON = re.compile(r"[{\-=:,.?&|)]|(?:where|throws|noexcept|const|override|final|requires)\b|/[/*]|\Z")
-#: Tokens of a head that are read; a longer parameter list than this is cut and recovered as where a window stops.
-MOST_TOKENS = 400
 
 
 @lru_cache(maxsize=50_000)
@@ -96,44 +110,59 @@ def named_at(family: str, classes: str) -> int:
 
 
 def head(text: str, at: int, family: str) -> tuple[str, int] | None:
-    """(name, where the head ends) of the function whose head begins at ``at``, or None."""
+    """(name, where the head ends) of the function whose head begins at ``at``, or None.
+
+    What stands in brackets is checked for its balance here and left out of the classes, so heads of any length have short ones.
+    """
     classes: list[str] = []
     spans: list[tuple[int, int]] = []
-    depth = 0
+    opened: list[str] = []
     ended = True
+    own = OWN_KEYWORDS.get(family, {})
+    by_line = family in ("rb", "sh", "lua")
     for m in TOKEN.finditer(text, at):
         kind = m.lastgroup
         if kind is None:
-            if family == "rb" and depth == 0 and "\n" in m.group() and classes:
+            if by_line and not opened and "\n" in m.group() and classes:
                 ended = False
                 break
-            if family == "c" and not depth and classes and classes[-1] == ")" and "\n" in m.group() and not GOES_ON.match(text, m.end()):
+            if family == "c" and not opened and classes and classes[-1] == ")" and "\n" in m.group() and not GOES_ON.match(text, m.end()):
                 ended = False
                 break
             continue
-        if family != "c" and m.group() == "#" and not depth:
+        word = m.group()
+        if family != "c" and not opened and (word == "#" or family == "lua" and word == "-" and text[m.end() : m.end() + 1] == "-"):
             ended = False
             break
-        word = m.group()
+        if opened:
+            if word in BRACKETS:
+                opened.append(word)
+            elif word in ")]}":
+                if BRACKETS[opened.pop()] != word:
+                    return None
+                if not opened:
+                    classes.append(word)
+                    spans.append(m.span())
+            continue
         if kind == "name":
-            c = KEYWORDS.get(word, "n")
+            c = own.get(word) or KEYWORDS.get(word, "n")
         elif kind == "number":
             c = "d"
         elif kind == "string":
             c = "s"
         else:
             c = SIGNS.get(word, word if word in "()[]{}<>.,:;=*&?|~@" else "o")
-        if len(classes) >= MOST_TOKENS or c == ";" and not depth:
-            ended = c != ";"
+        if c == ";":
+            ended = False
             break
         classes.append(c)
         spans.append(m.span())
-        depth += c in "([" or c == "{" and depth > 0
-        depth -= depth > 0 and c in ")]}"
-        if not depth and (c == "{" or family == "py" and c == ":" or c == "a"):
+        if c == "{" or family == "py" and c == ":" or c == "a":
             ended = False
             break
-        if depth == 0 and len(classes) == 1 and c in "x})]s;d":
+        if c in "([":
+            opened.append(c)
+        if len(classes) == 1 and c in "x})]s;d":
             return None
     if not classes:
         return None
@@ -202,17 +231,25 @@ def earnest(text: str, name: str) -> bool:
 
 
 def family_of(lang: str | None, path: str | None, code: str) -> str | None:
-    """The family of a language name, else of the file's extension, else guessed from the code."""
-    if lang:
-        return FAMILY.get(lang.lower())
-    if path and (m := EXTENSION.search(path)):
-        return FAMILY.get(m[1].lower())
-    if path:
+    """The family of a language name, else of the file's extension; of a language that is in no family, and of none, by the code's looks.
+
+    None for what holds no functions.
+    """
+    for name in (lang, m[1] if path and (m := EXTENSION.search(path)) else None):
+        if name and name.lower() in NO_CODE:
+            return None
+        if name and (known := FAMILY.get(name.lower())):
+            return known
+    if not lang and path and not EXTENSION.search(path):
         return None
     if re.search(r"(?m)^\s*(?:async )?def \w+\(.*\).*:\s*$", code):
         return "py"
     if re.search(r"(?m)^\s*def [\w.]+", code) and re.search(r"(?m)^\s*end\s*$", code):
         return "rb"
+    if re.search(r"(?m)^\s*--", code) and re.search(r"(?m)^\s*(?:local\s+)?function\b", code):
+        return "lua"
+    if re.search(r"(?m)^\s*#(?!include|define|if|endif|pragma)", code) and not re.search(r"(?m)^\s*(?://|/\*)", code):
+        return "sh"
     return "c"
 
 
@@ -224,6 +261,7 @@ def pairs(code: str, lang: str | None, path: str | None = None) -> list[tuple[st
     family = family_of(lang, path, code)
     if family is None:
         return []
+    mark = LINE_COMMENT[family]
     hashes = family != "c"
     out: list[tuple[str, str, int]] = []
     block: list[str] = []
@@ -253,7 +291,7 @@ def pairs(code: str, lang: str | None, path: str | None = None) -> list[tuple[st
                 continue
             block.append(raw)
             continue
-        if line.startswith("#" if hashes else "//"):
+        if line.startswith(mark):
             block.append(raw)
             continue
         if not hashes and not out and not block and number > 0 and line.endswith("*/") and all(x.strip()[:1] == "*" or not x.strip() or k == 0 for k, x in enumerate(lines[:number])):
@@ -284,7 +322,7 @@ def pairs(code: str, lang: str | None, path: str | None = None) -> list[tuple[st
     return out
 
 
-GATE = r"""(?m)^[ \t]*(?://|/\*|\*|#)|\"{3}|'{3}|:\s*\n\s*[rRuU]?["']"""
+GATE = r"""(?m)^[ \t]*(?://|/\*|\*|#|--)|\"{3}|'{3}|:\s*\n\s*[rRuU]?["']"""
 
 
 def documented(windows: DataFrame, keys: list[str], code: str = "code", lang: str = "code_lang", path: str = "file_path", body: bool = False) -> DataFrame:
@@ -359,7 +397,7 @@ def function_text(code: str, number: int, family: str | None) -> str:
     for line in rest[1:]:
         indent = len(line) - len(line.lstrip())
         if line.strip() and indent <= first and not line.lstrip().startswith((")", "]")):
-            if family == "rb" and line.strip() == "end":
+            if family in ("rb", "sh", "lua") and line.strip() in ("end", "}"):
                 out.append(line)
             break
         out.append(line)

@@ -32,7 +32,20 @@ def names(code, lang="ts"):
         ("// ハンドルの有効期限を確認\nfunction j() {", "js", ["j"]),
         (f"rest of a comment\n * {DOC}\n */\nfunction cut(a) {{", "ts", ["cut"]),
         (f"// {DOC}\r\nfunction crlf() {{\r\n}}", "ts", ["crlf"]),
+        (f"// {DOC}\nint many(" + ", ".join(f"int a{n}" for n in range(300)) + ") {", "cpp", ["many"]),
+        (f"// {DOC}\nfunction many({', '.join(f'a{n}' for n in range(300))}) {{", "js", ["many"]),
+        (f"-- {DOC}\nlocal function M.open(a, b)\nend", "lua", ["open"]),
+        (f"# {DOC}\nopen_all() {{\n  x\n}}", "sh", ["open_all"]),
+        (f"# {DOC}\nfunction close_all {{\n}}", "bash", ["close_all"]),
+        (f"# {DOC}\nsub fold {{\n}}", "perl", ["fold"]),
+        (f"# {DOC}\nfold_all <- function(a, b = 2) {{\n}}", "r", ["fold_all"]),
+        (f"# {DOC}\ndef fold(a, b) do\nend", "elixir", ["fold"]),
+        (f"-- {DOC}\nCREATE FUNCTION fold(a int)\nRETURNS int", "sql", ["fold"]),
+        (f"// {DOC}\nfunction f(a) {{", "unheard", ["f"]),
         # none
+        (f"// {DOC}\nfunction f(a]) {{", "ts", []),
+        (f"-- {DOC}\nlocal x = open(1)", "lua", []),
+        (f"# {DOC}\nopen_all a b", "sh", []),
         (f"// {DOC}\n\nfunction f() {{", "ts", []),
         (f"// {DOC}\nconst x = call(1);\nfunction f() {{", "ts", []),
         (f"// {DOC}\nqueue.push(a, b)\nif (x) {{", "go", []),

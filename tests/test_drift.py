@@ -73,6 +73,35 @@ def test_changes_equal_a_plain_loop(spark, rows):
     assert rows(drift.changes(lines(spark, data))) == sorted(want)
 
 
+def test_renames_to_unknown_words_by_values(spark, rows):
+    random.seed(1)
+    models, hosts = ["lumen-2", "tern-1", "basalt"], ["linux", "mac", "win"]
+
+    def file(n, tokens, time, model, host, retries):
+        return [("s", n, json.dumps({tokens: random.randint(20_000, 60_000), time: random.randint(1500, 4000), model: models[k % 3], host: hosts[k % 3], retries: k % 2})) for k in range(12)]
+
+    data = file(1, "inputTokens", "latency_ms", "model", "hostOs", "retries") + file(2, "ingressVolume", "elapsedMillis", "flavour", "machine", "attempts") + file(3, "ingressVolume", "bytesOut", "flavour", "lane", "attempts")
+    got = rows(drift.changes(lines(spark, data)), "file_no", "change_kind", "old_field", "new_field")
+    assert [r for r in got if r[0] == 2] == sorted(
+        [(2, "renamed", "inputTokens", "ingressVolume"), (2, "renamed", "latency_ms", "elapsedMillis"), (2, "renamed", "model", "flavour"), (2, "renamed", "hostOs", "machine"), (2, "removed", "retries", ""), (2, "added", "", "attempts")]
+    )  # numbers of one or two tell nothing
+    assert [r for r in got if r[0] == 3] == sorted([(3, "renamed", "machine", "lane"), (3, "removed", "elapsedMillis", ""), (3, "added", "", "bytesOut")])  # milliseconds are no bytes
+
+
+def test_values_that_fit_two_fields_decide_nothing(spark, rows):
+    a = [("s", 1, json.dumps({"x": 1000 + k})) for k in range(5)]
+    b = [("s", 2, json.dumps({"y": 1000 + k, "z": 1100 + k})) for k in range(5)]
+    assert rows(drift.changes(lines(spark, a + b)), "change_kind", "new_field") == [("added", "y"), ("added", "z"), ("removed", "")]
+
+
+def test_another_record(spark, rows):
+    rules = (("temperature", ("temp temperature",), "", ""), ("place", ("site station",), "", ""))
+    data = [("s", 1, '{"siteName":"a","temp":3}'), ("s", 2, '{"station":"b","air":{"temperature":"4"}}')]
+    out = drift.records(lines(spark, data), ["file_no"], {"place": "string", "temperature": "bigint"}, rules)
+    assert rows(out, "file_no", "place", "temperature") == [(1, "a", 3), (2, "b", 4)]
+    assert rows(drift.changes(lines(spark, data), rules), "change_kind", "old_field", "new_field") == [("renamed", "siteName", "station"), ("renamed", "temp", "air.temperature"), ("retyped", "temp", "air.temperature")]
+
+
 def test_records(spark):
     data = [("s", 1, '{"agent":{"client":"a"},"llm":["m"],"tokens_in":"12","usage":{"total_tokens":7.0},"requests":1.5,"x":1}'), ("s", 1, "torn"), ("s", 1, None), ("s", 1, '{"inputTokens":99999999999999999999}')]
     out = drift.records(lines(spark, data), ["stream_id", "path"]).collect()

@@ -20,11 +20,9 @@ def p1_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_branches(spark: SparkSession, folder: str) -> DataFrame:
-    """The tagged union of every path over all files, with the field that its branches are converted to."""
+    """The tagged union of every path over all files."""
     found = drift.branches(table(spark, folder, "ai_usage_lines")).where("path <> ''")
-    by = found.groupBy("path", "tag").agg(F.sum("lines").alias("lines"), F.count("*").alias("files"))
-    name = F.pandas_udf(lambda s: s.map(drift.quantity), "string")
-    return by.withColumn("quantity", name("path"))
+    return found.groupBy("path", "tag").agg(F.sum("lines").alias("lines"), F.count("*").alias("files"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +39,8 @@ def p3_rejects(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_cells(spark: SparkSession, folder: str) -> DataFrame:
     """The valid rows, typed, cell by cell."""
-    return rejects.typed_cells(table(spark, folder, "csv_rows"), table(spark, folder, "csv_tables"))
+    cells = rejects.typed_cells(table(spark, folder, "csv_rows"), table(spark, folder, "csv_tables"))
+    return cells.withColumn("trimmed_value", F.nullif(F.trim("text_value"), F.lit(""))).drop("text_value")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_branches, p3_found, p3_rejects, p3_cells)}
@@ -64,4 +63,37 @@ pairs AS (SELECT *, list_filter(range(1, len(b) + 1), lambda i: b[i] <> '' AND N
 SELECT row_id, CASE WHEN NOT well THEN 'quoting' WHEN len(cells) <> n THEN 'columns' ELSE 'values' END AS reason FROM pairs WHERE NOT well OR len(cells) <> n OR len(wrong) > 0
 """
 
-SQL: dict[str, str] = {"p3_found": _P3}
+# Leaves of readable lines, with their tags; names are told apart by patterns here. Renames by values alone have no part in it.
+_P1 = r"""
+WITH ok AS (SELECT line_id, stream_id, file_no, raw_line FROM ai_usage_lines WHERE stream_id IS NOT NULL AND file_no IS NOT NULL AND json_valid(raw_line) AND json_type(raw_line) = 'OBJECT'),
+j AS (SELECT line_id, stream_id, file_no, replace(substr(k.fullkey, 3), '"', '') AS p, CASE k.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'DOUBLE' THEN 'decimal' WHEN 'NULL' THEN 'null' ELSE 'integer' END AS tag
+  FROM ok, json_tree(ok.raw_line) k WHERE k.type <> 'OBJECT' AND NOT contains(k.fullkey, '['))"""
+_P1_FOUND = _P1 + r""",
+files AS (SELECT stream_id, file_no, lag(file_no) OVER (PARTITION BY stream_id ORDER BY file_no) AS before FROM (SELECT DISTINCT stream_id, file_no FROM ok)),
+t AS (SELECT stream_id, file_no, p, coalesce(array_to_string(list_sort(list(DISTINCT tag) FILTER (tag <> 'null')), '|'), '') AS ty FROM j GROUP BY ALL),
+f AS (SELECT stream_id, file_no, p, CASE WHEN ty = 'decimal|integer' THEN 'decimal' ELSE ty END AS ty, lower(p) AS l, lower(regexp_extract(p, '[^.]*$')) AS last FROM t),
+q AS (SELECT stream_id, file_no, p, ty, CASE WHEN regexp_matches(l, 'cache') AND regexp_matches(l, 'tok') AND regexp_matches(l, 'writ|creat|stor') THEN 'cw' WHEN regexp_matches(l, 'cache') AND regexp_matches(l, 'tok') AND regexp_matches(l, 'read|hit|cached') THEN 'cr'
+  WHEN regexp_matches(l, 'tok|^usage[.]') AND NOT regexp_matches(l, 'cache') AND regexp_matches(l, 'total') THEN 'tt' WHEN regexp_matches(l, 'tok|^usage[.]') AND NOT regexp_matches(l, 'cache') AND regexp_matches(regexp_replace(l, 'completion', 'out'), 'prompt|in') THEN 'in'
+  WHEN regexp_matches(l, 'tok|^usage[.]') AND NOT regexp_matches(l, 'cache') AND regexp_matches(l, 'out|completion') THEN 'ou' WHEN regexp_matches(l, 'request|turn|call') AND regexp_matches(last, '^(requests?|turns?|calls?|count|number|total|[_-])+$') THEN 'rc'
+  WHEN regexp_matches(l, 'client|agent') AND regexp_matches(last, '^(client|agent|name|id|[_-])+$') THEN 'cl' WHEN regexp_matches(l, 'model|llm|engine') AND regexp_matches(last, '^(model|llm|engine|name|id|[_-])+$') THEN 'mo' ELSE 'other:' || regexp_replace(last, '[_-]', '', 'g') END AS q FROM f),
+gone AS (SELECT n.stream_id, n.file_no, a.p, a.ty, a.q, row_number() OVER (PARTITION BY n.stream_id, n.file_no, a.q ORDER BY a.p) AS k FROM files n JOIN q a ON a.stream_id = n.stream_id AND a.file_no = n.before
+  WHERE NOT EXISTS (SELECT 1 FROM q b WHERE b.stream_id = n.stream_id AND b.file_no = n.file_no AND b.p = a.p)),
+came AS (SELECT n.stream_id, n.file_no, b.p, b.ty, b.q, row_number() OVER (PARTITION BY n.stream_id, n.file_no, b.q ORDER BY b.p) AS k FROM files n JOIN q b ON b.stream_id = n.stream_id AND b.file_no = n.file_no
+  WHERE n.before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM q a WHERE a.stream_id = n.stream_id AND a.file_no = n.before AND a.p = b.p)),
+mix AS (SELECT coalesce(g.stream_id, c.stream_id) AS stream_id, coalesce(g.file_no, c.file_no) AS file_no, g.p AS a, c.p AS b, g.ty AS ta, c.ty AS tb FROM gone g FULL JOIN came c ON g.stream_id = c.stream_id AND g.file_no = c.file_no AND g.q = c.q AND g.k = c.k),
+kept AS (SELECT n.stream_id, n.file_no, a.p AS a, a.p AS b, a.ty AS ta, b.ty AS tb FROM files n JOIN q a ON a.stream_id = n.stream_id AND a.file_no = n.before JOIN q b ON b.stream_id = n.stream_id AND b.file_no = n.file_no AND b.p = a.p)
+SELECT stream_id, file_no, CASE WHEN b IS NULL THEN 'removed' WHEN a IS NULL THEN 'added' ELSE 'renamed' END AS change_kind, coalesce(a, '') AS old_field, coalesce(b, '') AS new_field FROM mix
+UNION ALL SELECT stream_id, file_no, 'retyped', a, b FROM (SELECT * FROM mix UNION ALL SELECT * FROM kept) WHERE ta <> '' AND tb <> '' AND ta <> tb"""
+_P1_BRANCHES = _P1 + r""",
+n AS (SELECT stream_id, file_no, p AS path, tag, count(*) AS lines FROM j GROUP BY ALL)
+SELECT path, tag, CAST(sum(lines) AS BIGINT) AS lines, count(*) AS files FROM n GROUP BY path, tag"""
+_P3_REJECTS = _P3.replace("SELECT row_id, CASE WHEN NOT well", "SELECT row_id, file_id, row_no, raw_record, d AS delimiter, CASE WHEN NOT well").replace(
+    "AS reason FROM pairs WHERE", "AS reason, CASE WHEN well AND len(cells) = n THEN list_transform(wrong, lambda i: CAST(i - 1 AS INTEGER)) END AS bad_columns FROM pairs JOIN (SELECT row_id, raw_record FROM csv_rows) USING (row_id) WHERE"
+)
+_P3_CELLS = _P3[: _P3.index("SELECT row_id, CASE WHEN NOT well")] + r""",
+good AS (SELECT row_id, file_id, row_no, column_types, b FROM pairs WHERE well AND len(cells) = n AND len(wrong) = 0),
+each AS (SELECT g.row_id, g.file_id, g.row_no, i AS column_no, t.column_names[i] AS column_name, g.column_types[i] AS column_type, nullif(g.b[i], '') AS v FROM good g JOIN csv_tables t USING (file_id), unnest(range(1, len(g.b) + 1)) u(i))
+SELECT row_id, file_id, row_no, column_no, column_name, column_type, v AS trimmed_value, CASE WHEN column_type = 'integer' THEN TRY_CAST(v AS DECIMAL(38, 0)) END AS integer_value, CASE WHEN column_type = 'decimal' THEN TRY_CAST(v AS DOUBLE) END AS decimal_value,
+  CASE WHEN column_type = 'day' THEN TRY_CAST(v AS DATE) END AS day_value, CASE WHEN column_type = 'flag' THEN lower(v) = 'true' END AS flag_value FROM each"""
+
+SQL: dict[str, str] = {"p1_found": _P1_FOUND, "p1_branches": _P1_BRANCHES, "p3_found": _P3, "p3_rejects": _P3_REJECTS, "p3_cells": _P3_CELLS}

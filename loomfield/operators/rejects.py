@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,8 +45,27 @@ def width_of(record: str, delimiter: str) -> int:
     return 1 + (QUOTED.sub("", record) if '"' in record else record).count(delimiter)
 
 
+def well_quoted(text: pa.Array, delimiter: str, columns: int | None = None) -> np.ndarray:
+    """Which records are well quoted, and of so many cells; patterns are for those with a quote, the others are well quoted as they are."""
+    quote = pc.match_substring(text, '"').to_numpy(zero_copy_only=False)
+    out = np.ones(len(text), dtype=bool)
+    if columns is not None:
+        count = pc.count_substring(text, delimiter).to_numpy(zero_copy_only=False)
+        out = count == columns - 1
+        quote &= count >= columns - 1
+        out[quote] = False
+    if quote.any():
+        own = text.filter(pa.array(quote))
+        if columns is None or columns <= WIDEST:
+            out[quote] = pc.match_substring_regex(own, shape(delimiter, columns)).to_numpy(zero_copy_only=False)
+        else:  # RE2 repeats no more often: well quoted at any width, then its cells are counted
+            good = pc.match_substring_regex(own, shape(delimiter)).to_pylist()
+            out[quote] = [bool(g) and width_of(x, delimiter) == columns for g, x in zip(good, own.to_pylist(), strict=True)]
+    return out
+
+
 def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(file_id, v0..v3, n): for how many records each delimiter gives the file's width, summed up in the batch."""
+    """(file_id, v0..v3): for how many records each delimiter gives the file's width, summed up in the batch."""
     for batch in batches:
         if batch.empty:
             continue
@@ -53,15 +73,10 @@ def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         width = batch["_width"].to_numpy()
         out = {"file_id": batch["file_id"]}
         for k, delimiter in enumerate(DELIMITERS):
-            fits = pd.Series(0, index=batch.index, dtype="int64")
-            for n in sorted(set(width)):
+            fits = np.zeros(len(batch), dtype="int64")
+            for n in sorted({int(w) for w in width if w >= 1}):
                 at = width == n
-                if n > WIDEST:  # RE2 repeats no more often: well quoted at any width, then its cells are counted
-                    own = text.filter(pa.array(at))
-                    good = pc.match_substring_regex(own, shape(delimiter)).to_pylist()
-                    fits[at] = [int(bool(g) and width_of(x, delimiter) == n) for g, x in zip(good, own.to_pylist(), strict=True)]
-                elif n >= 1:
-                    fits[at] = pc.match_substring_regex(text.filter(pa.array(at)), shape(delimiter, int(n))).to_pandas().astype("int64").to_numpy()
+                fits[at] = well_quoted(text.filter(pa.array(at)), delimiter, n)
             out[f"v{k}"] = fits
         yield pd.DataFrame(out).groupby("file_id", as_index=False).sum()
 
@@ -137,7 +152,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = part.index.to_numpy()
             kinds = list(part["column_types"].iloc[0])
             records = part["_text"].tolist()
-            well = pc.match_substring_regex(pa.array(records, pa.string()), shape(delimiter)).to_pylist()
+            well = well_quoted(pa.array(records, pa.string()), delimiter)
             for k, ok in zip(at, well, strict=True):
                 if not ok:
                     reason[k] = "quoting"
@@ -177,12 +192,13 @@ def parsed(rows: DataFrame, files: DataFrame) -> DataFrame:
     ``rows``: row_id, file_id, row_no, raw_record; ``files``: file_id, has_header, column_names, column_types. The header
     (row 1 of a file that has one), blank and null records, and records of unknown files are none. ``reason`` is null for a
     valid row, else quoting, columns or values, the first that holds; ``bad_columns`` counts from 0. Repeated records are
-    records. Columns of the inputs beyond these are dropped, whatever they are called.
+    records. Of entries of ``files`` with the same id the least counts. Columns of the inputs beyond these are dropped, whatever they are called.
 
     Files are joined by equality: small tables of files are broadcast by Spark's own size check, and where they are not,
     adaptive execution splits the partition of a file with a third of all records.
     """
-    headed = files.select("file_id", F.coalesce("has_header", F.lit(False)).alias("_header"), "column_names", "column_types").dropDuplicates(["file_id"])
+    headed = files.select("file_id", F.coalesce("has_header", F.lit(False)).alias("_header"), "column_names", "column_types")
+    headed = headed.groupBy("file_id").agg(F.min(F.struct("_header", "column_names", "column_types")).alias("x")).select("file_id", "x.*")
     text = F.regexp_replace("raw_record", f"^{BYTE_ORDER_MARK}", "")
     text = F.regexp_replace(text, r"[\r\n]+\z", "")
     records = spread(rows.select("row_id", "file_id", "row_no", text.alias("_text"))).join(headed, "file_id")
@@ -205,7 +221,7 @@ def typed_cells(rows: DataFrame, files: DataFrame) -> DataFrame:
     Integers beyond 38 digits stay text only.
     """
     good = parsed(rows, files).where(F.col("reason").isNull())
-    named = files.select("file_id", "column_names", "column_types").dropDuplicates(["file_id"])
+    named = files.groupBy("file_id").agg(F.min(F.struct(F.coalesce("has_header", F.lit(False)), "column_names", "column_types")).alias("x")).select("file_id", "x.column_names", "x.column_types")
     cells = good.join(named, "file_id").select("row_id", "file_id", "row_no", "column_names", "column_types", F.posexplode("cells").alias("column_no", "text_value"))
     bare = F.nullif(F.trim("text_value"), F.lit(""))
     kind = F.element_at("column_types", F.col("column_no") + 1)

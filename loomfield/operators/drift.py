@@ -20,7 +20,7 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.session import checkpointed, lag_in_blocks, spread
@@ -48,6 +48,8 @@ SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 NUMERIC = re.compile(r"[+-]?\d+(?:\.\d+)?\Z")
 #: So many of the lowest hashes of a path's texts are kept: equal sets keep equal ones, however large they are.
 KEPT = 8
+#: Hashed numbers of files.
+SLOTS = 1 << 18
 #: Numbers below this, on the average, are too small to tell fields apart by; and how far apart, in powers of two, like ones may be.
 LARGE, NEAR = 6.0, 1.0
 
@@ -171,36 +173,21 @@ def _shape(tagged: tuple[tuple[str, str], ...]) -> str:
     return json.dumps([("", "null"), *sorted(tagged)], ensure_ascii=False)
 
 
-FUSED = "shape string, lines bigint, sketches array<struct<path:string,lines:bigint,numbers:bigint,magnitude:double,values:array<bigint>>>"
-
-
 def schema_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(stream_id, file_no, shape, lines, sketches): the shapes of a batch's lines, a shape being all tagged paths of a line, counted by file
-    before any shuffle, and a row a file with the sketches of its paths. A line that is readable has the path '' too."""
+    """(stream_id, file_no, shape, lines): the shapes of a batch's lines, a shape being all tagged paths of a line, counted by file
+    before any shuffle. A line that is readable has the path '' too."""
     for batch in batches:
         fused: dict[tuple, int] = defaultdict(int)
-        seen: dict[tuple, dict[str, Sketch]] = {}
         for stream, number, line in zip(batch["stream_id"], batch["file_no"], batch["raw_line"], strict=True):
             value = readable(line)
-            if value is None:
-                continue
-            own = seen.setdefault((stream, number), {})
-            shape = []
-            for path, leaf in leaves(value):
-                shape.append((path, tag(leaf)))
-                if leaf is not None and not isinstance(leaf, list):
-                    (own.get(path) or own.setdefault(path, Sketch())).add(leaf)
-            fused[stream, number, tuple(shape)] += 1
-        rows = [(s, f, _shape(t), n, None) for (s, f, t), n in fused.items()]
-        rows += [(s, f, None, 0, [(p, k.lines, k.numbers, k.magnitude, k.lowest()) for p, k in own.items()]) for (s, f), own in seen.items()]
-        yield pd.DataFrame(rows, columns=["stream_id", "file_no", "shape", "lines", "sketches"])
-
-
-def _dealt(lines: DataFrame) -> DataFrame:
-    """The rows of ``schema_of``, dealt out by file."""
+            if value is not None:
+                fused[stream, number, tuple([(path, tag(leaf)) for path, leaf in leaves(value)])] += 1
+        yield pd.DataFrame([(s, f, _shape(t), n) for (s, f, t), n in fused.items()], columns=["stream_id", "file_no", "shape", "lines"])
+
+
+def _keys(lines: DataFrame) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
-    given = lines.where("stream_id is not null and file_no is not null").select("stream_id", "file_no", "raw_line")
-    return spread(given).mapInPandas(schema_of, f"stream_id {kinds['stream_id']}, file_no {kinds['file_no']}, {FUSED}").repartition("stream_id", "file_no")
+    return f"stream_id {kinds['stream_id']}, file_no {kinds['file_no']}"
 
 
 def branches(lines: DataFrame) -> DataFrame:
@@ -209,22 +196,36 @@ def branches(lines: DataFrame) -> DataFrame:
     ``lines``: stream_id, file_no, raw_line. Lines that are null or not a JSON object are left out, as are lines of null
     stream or file. One shuffle, by file, of shapes and their counts; shapes are taken apart after it.
     """
-    apart = _dealt(lines).where("shape is not null").select("stream_id", "file_no", F.explode(F.from_json("shape", "array<array<string>>")).alias("_t"), "lines")
+    given = lines.where("stream_id is not null and file_no is not null").select("stream_id", "file_no", "raw_line")
+    shapes = spread(given).mapInPandas(schema_of, f"{_keys(lines)}, shape string, lines bigint")
+    dealt = shapes.repartition("stream_id", "file_no").groupBy("stream_id", "file_no", "shape").agg(F.sum("lines").alias("lines"))
+    apart = dealt.select("stream_id", "file_no", F.explode(F.from_json("shape", "array<array<string>>")).alias("_t"), "lines")
     return apart.groupBy("stream_id", "file_no", F.element_at("_t", 1).alias("path"), F.element_at("_t", 2).alias("tag")).agg(F.sum("lines").alias("lines"))
 
 
-def schemas(lines: DataFrame) -> DataFrame:
-    """(stream_id, file_no, fields): a file's fused schema, a row a file: of each path its tags, the lines that have it, and its sketch.
+def sketches(lines: DataFrame) -> DataFrame:
+    """(stream_id, file_no, sketches): of each file's paths, once a path, the lines that have it and what its values are like.
 
-    As wide as a schema. Shapes and sketches come in one shuffle, by file.
+    Added up in the batch, and again before and after the one shuffle, so that a row a path and file is left, however many lines.
     """
-    none = F.lit(None)
-    told = F.transform(F.from_json("shape", "array<array<string>>"), lambda t: F.struct(t[0].alias("path"), t[1].alias("tag"), F.col("lines").alias("had"), none.cast("bigint").alias("lines"), none.cast("bigint").alias("numbers"), none.cast("double").alias("magnitude"), none.cast("array<bigint>").alias("values")))
-    seen = F.transform("sketches", lambda k: F.struct(k["path"].alias("path"), none.cast("string").alias("tag"), F.lit(0).cast("bigint").alias("had"), k["lines"].alias("lines"), k["numbers"].alias("numbers"), k["magnitude"].alias("magnitude"), k["values"].alias("values")))
-    apart = _dealt(lines).select("stream_id", "file_no", F.explode(F.coalesce(told, seen)).alias("x")).select("stream_id", "file_no", "x.*")
-    lowest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("values")))), 1, KEPT)  # a few a task that read the file
-    fused = apart.groupBy("stream_id", "file_no", "path").agg(F.collect_set("tag").alias("tags"), F.sum("had").alias("had"), F.sum("lines").alias("lines"), F.sum("numbers").alias("numbers"), F.sum("magnitude").alias("magnitude"), lowest.alias("values"))
-    return fused.groupBy("stream_id", "file_no").agg(F.collect_list(F.struct("path", "tags", "had", "lines", "numbers", "magnitude", "values")).alias("fields"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: dict[tuple, Sketch] = {}
+            for stream, number, line in zip(batch["stream_id"], batch["file_no"], batch["raw_line"], strict=True):
+                for path, leaf in leaves(readable(line) or {}):
+                    if leaf is not None and not isinstance(leaf, list):
+                        (seen.get((stream, number, path)) or seen.setdefault((stream, number, path), Sketch())).add(leaf)
+            yield pd.DataFrame([(*key, k.lines, k.numbers, k.magnitude, k.lowest()) for key, k in seen.items()], columns=["stream_id", "file_no", "path", "lines", "numbers", "magnitude", "values"])
+
+    found = checkpointed(lines.select("stream_id", "file_no", "raw_line").mapInPandas(run, f"{_keys(lines)}, path string, lines bigint, numbers bigint, magnitude double, values array<bigint>"))
+    lowest = F.slice(F.array_sort(F.collect_set("_v")), 1, KEPT)
+    texts = found.select("stream_id", "file_no", "path", F.explode("values").alias("_v")).distinct()
+    first = texts.withColumn("_k", F.row_number().over(Window.partitionBy("stream_id", "file_no", "path").orderBy("_v"))).where(F.col("_k") <= KEPT)
+    kept = first.groupBy("stream_id", "file_no", "path").agg(lowest.alias("values"))
+    sums = found.groupBy("stream_id", "file_no", "path").agg(F.sum("lines").alias("lines"), F.sum("numbers").alias("numbers"), F.sum("magnitude").alias("magnitude"))
+    each = sums.join(kept, ["stream_id", "file_no", "path"], "left")
+    return each.groupBy("stream_id", "file_no").agg(F.collect_list(F.struct("path", "lines", "numbers", "magnitude", "values")).alias("sketches"))  # as wide as a schema
 
 
 def union_type(tags: set[str]) -> str:
@@ -297,10 +298,19 @@ def _share(one: Sketch, all_: dict[str, Sketch]) -> float:
     return one.lines / max(k.lines for k in all_.values())
 
 
-def _fused(fields) -> tuple[dict[str, str], dict[str, Sketch]]:
-    """A file's types and sketches by path."""
-    types = {f["path"]: union_type(set(f["tags"])) for f in fields if f["path"]}
-    return types, {f["path"]: Sketch(f["lines"], f["numbers"], f["magnitude"], f["values"]) for f in fields if f["path"] and f["lines"]}
+def _types(fields) -> dict[str, str]:
+    tags: dict[str, set[str]] = defaultdict(set)
+    for field in fields:
+        if field["path"]:
+            tags[field["path"]].add(field["tag"])
+    return {path: union_type(t) for path, t in tags.items()}
+
+
+def _sketched(given) -> dict[str, Sketch]:
+    return {k["path"]: Sketch(k["lines"], k["numbers"], k["magnitude"], () if k["values"] is None else k["values"]) for k in (() if given is None else given)}
+
+
+CHANGE = ["stream_id", "file_no", "change_kind", "old_field", "new_field"]
 
 
 def changes(lines: DataFrame, rules: Rules = USAGE) -> DataFrame:
@@ -308,20 +318,44 @@ def changes(lines: DataFrame, rules: Rules = USAGE) -> DataFrame:
 
     A stream's first readable file has no change. Late, repeated and reordered lines change nothing. Only fused schemas are
     shuffled: rows of a file's width, however many lines it has; files are compared in blocks of a stream, so that a stream
-    with a third of all files is not one task's work.
+    with a third of all files is not one task's work. Where names leave both a path that is gone and one that came, the values of
+    this file and the one before are looked at: lines are read again, those of other files left out by hashed numbers of the files asked for (of which
+    there are ``SLOTS``, so that they can be broadcast), and no line is shuffled.
     """
+    keys = _keys(lines)
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    files = checkpointed(branches(lines).groupBy("stream_id", "file_no").agg(F.collect_list(F.struct("path", "tag")).alias("fields")))  # as wide as a schema
+    paired = lag_in_blocks(files, "stream_id", "file_no", F.struct("file_no", "fields")).where("previous is not null").select("stream_id", "file_no", "fields", F.col("previous.file_no").alias("before_no"), F.col("previous.fields").alias("before"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def by_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for stream, number, fields, previous in zip(batch["stream_id"], batch["file_no"], batch["fields"], batch["previous"], strict=True):
-                (before, was), (now, seen) = _fused(previous), _fused(fields)
-                rows += [(stream, number, *change) for change in compare(before, now, was, seen, rules)]
-            yield pd.DataFrame(rows, columns=["stream_id", "file_no", "change_kind", "old_field", "new_field"])
+            for stream, number, fields, before_no, before in zip(*(batch[c] for c in ("stream_id", "file_no", "fields", "before_no", "before")), strict=True):
+                found = compare(_types(before), _types(fields), rules=rules)
+                unsure = {"removed", "added"} <= {c[0] for c in found}
+                rows += [(stream, number, None, None, None, before_no, fields, before)] if unsure else [(stream, number, *c, None, None, None) for c in found]
+            yield pd.DataFrame(rows, columns=[*CHANGE, "before_no", "fields", "before"]).astype({"before_no": "Int64"})
 
-    paired = lag_in_blocks(checkpointed(schemas(lines)), "stream_id", "file_no", F.col("fields"))
-    return paired.where("previous is not null").select("stream_id", "file_no", "fields", "previous").mapInPandas(run, f"stream_id {kinds['stream_id']}, file_no {kinds['file_no']}, change_kind string, old_field string, new_field string")
+    def by_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for stream, number, fields, before, was, seen in zip(*(batch[c] for c in ("stream_id", "file_no", "fields", "before", "was", "seen")), strict=True):
+                rows += [(stream, number, *c) for c in compare(_types(before), _types(fields), _sketched(was), _sketched(seen), rules)]
+            yield pd.DataFrame(rows, columns=CHANGE)
+
+    told = "change_kind string, old_field string, new_field string"
+    wide = "array<struct<path:string,tag:string>>"
+    named = checkpointed(paired.mapInPandas(by_names, f"{keys}, {told}, before_no bigint, fields {wide}, before {wide}"))
+    unsure = named.where("change_kind is null").withColumn("before_no", F.col("before_no").cast(kinds["file_no"]))
+    asked = unsure.select("stream_id", "file_no").union(unsure.select("stream_id", "before_no"))
+    slot = F.pmod(F.xxhash64("stream_id", "file_no"), F.lit(SLOTS)).cast("int").alias("_slot")
+    looked = lines.withColumn("_slot", slot).join(F.broadcast(asked.select(slot).distinct()), "_slot", "left_semi")  # at most SLOTS numbers
+    looked = checkpointed(sketches(looked))
+    seen = looked.withColumnRenamed("sketches", "seen")
+    was = looked.select("stream_id", F.col("file_no").alias("before_no"), F.col("sketches").alias("was"))
+    again = unsure.join(seen, ["stream_id", "file_no"], "left").join(was, ["stream_id", "before_no"], "left")
+    valued = again.select("stream_id", "file_no", "fields", "before", "was", "seen").mapInPandas(by_values, f"{keys}, {told}")
+    return named.where("change_kind is not null").select(*CHANGE).unionByName(valued)
 
 
 def canonical(value: object, kind: str) -> object:

@@ -112,16 +112,17 @@ def fullest_window(lines: DataFrame, terms: list[str], span: int = 140) -> DataF
     return best.select("path", F.col("b.line").alias("line"), (F.col("b.line") + span - 1).alias("last_line"), F.col("b.hits").alias("hits"))
 
 
-def symbol_with_context(lines: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
-    """(path, part, line, text): for each declaration of a name its own lines, its file's imports whose last word it uses, and the signatures of the
+def symbol_with_context(lines: DataFrame, symbols: DataFrame, name: str | DataFrame) -> DataFrame:
+    """(path, part, line, text): for each declaration of a name, or of any in a table of names, its own lines, its file's imports whose last word it uses, and the signatures of the
     declarations beside it."""
-    own = symbols.where(F.col("name") == name).select("path", F.col("line").alias("_a"), F.col("end_line").alias("_b"))
+    asked = symbols.sparkSession.createDataFrame([(name,)], "name string") if isinstance(name, str) else name.select("name")
+    own = symbols.join(asked, "name", "left_semi").select("path", F.col("line").alias("_a"), F.col("end_line").alias("_b"))
     inside = lines.join(own, "path").where((F.col("line") >= F.col("_a")) & (F.col("line") <= F.col("_b"))).select("path", F.lit("body").alias("part"), "line", "text")
     used = inside.select("path", F.explode(F.regexp_extract_all("text", F.lit(f"({tx.IDENTIFIER})"), F.lit(1))).alias("_w")).distinct()
     imported = lines.join(own.select("path").distinct(), "path", "left_semi").where(F.col("line") <= 60).where(F.col("text").rlike(r"^\s*(?:import\b|from\s|using\s|use\s|const .*require\()"))
     bound = imported.select("path", "line", "text", F.explode(F.regexp_extract_all("text", F.lit(f"({tx.IDENTIFIER})"), F.lit(1))).alias("_w"))
     kept = bound.join(used, ["path", "_w"], "left_semi").select("path", F.lit("import").alias("part"), "line", "text").distinct()
-    beside = symbols.where(F.col("name") != name).join(own.select("path").distinct(), "path", "left_semi").select("path", F.lit("sibling").alias("part"), "line", F.col("signature").alias("text"))
+    beside = symbols.join(asked, "name", "left_anti").join(own.select("path").distinct(), "path", "left_semi").select("path", F.lit("sibling").alias("part"), "line", F.col("signature").alias("text"))
     return inside.unionByName(kept).unionByName(beside)
 
 

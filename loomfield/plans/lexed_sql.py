@@ -125,3 +125,25 @@ def parts(name: str) -> str:
 
 IS_TEST = r"regexp_matches({path}, '(^|/)(tests?|__tests__|spec|__spec__)(/|$)|\.test\.|\.spec\.')"
 IS_NOISE = "regexp_matches({path}, 'node_modules/|dist/|cache/|bench/fixtures/')"
+
+
+def comments(files: str) -> str:
+    """CTEs from ``files`` (path, lang, content): cm (path, lang, line, raw, m), lines with marks around comments (1, 2), literals (3, 4) and
+    documentation strings (5, 6), opened anew on each line that they go on to."""
+    m = _MARKS
+    marked = lambda p: f"regexp_replace(content, '{p}', {m}, 'g')"
+    doc = "regexp_replace({x}, '(?m)^([ \\t]*)' || chr(3) || '((?:\"{{3}}|''{{3}})[^' || chr(4) || ']*)' || chr(4), '\\1' || chr(5) || '\\2' || chr(6), 'g')"
+    clean = lambda x: f"replace(replace({x}, chr(1) || chr(2), ''), chr(3) || chr(4), '')"
+    opened = lambda a, b: f"sum(len(string_split(m, chr({a}))) - len(string_split(m, chr({b})))) OVER w"
+    return rf"""
+mk AS (SELECT path, lang, content, CASE WHEN lang IN ('python', 'ruby') THEN {doc.format(x=clean(marked(_HASH)))} WHEN lang = 'rust' THEN {clean(marked(_RUST))} ELSE {clean(marked(_SLASH))} END AS m FROM {files}),
+ml AS (SELECT path, lang, unnest(range(1, len(string_split(m, chr(10))) + 1)) AS line, unnest(string_split(m, chr(10))) AS m, unnest(string_split(content, chr(10))) AS raw FROM mk),
+st AS (SELECT *, {opened(1, 2)} AS c, {opened(3, 4)} AS q, {opened(5, 6)} AS d FROM ml WINDOW w AS (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cm AS (SELECT path, lang, line, raw, CASE WHEN c > 0 THEN chr(1) WHEN q > 0 THEN chr(3) WHEN d > 0 THEN chr(5) ELSE '' END || m AS m FROM st)"""
+
+
+#: Windows by id, with the language of their path alone.
+HOPS = f"(SELECT hop_id AS path, coalesce({language_case('file_path')}, '') AS lang, code AS content FROM hop1_context WHERE code IS NOT NULL)"
+COMMENTS = comments(HOPS)
+#: A line of ``cm`` with comments and documentation as a blank.
+BARE = "replace(replace(regexp_replace(regexp_replace(m, chr(1) || '[^' || chr(2) || ']*(' || chr(2) || '|$)', ' ', 'g'), chr(5) || '[^' || chr(6) || ']*(' || chr(6) || '|$)', ' ', 'g'), chr(3), ''), chr(4), '')"

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import text as tx
 from loomfield.operators import documents, edits, intervals, outline, retrieval, search, source, symbols
+from loomfield.plans.document_queries import _IMPORTS, _MD
+from loomfield.plans.lexed_sql import BARE, IS_NOISE, IS_TEST, SYMBOLS, WINDOWS, comments, parts
 from loomfield.plans.search_queries import surface_case, windows
 from loomfield.session import checkpointed, running_sums, spread, table
 from loomfield.sources import delimited, files
@@ -112,15 +114,8 @@ def renamed_symbols(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def csv_dialects(spark: SparkSession, folder: str) -> DataFrame:
-    """Delimiter and header of whole files, put together from their records.
-
-    A file has to fit a task here, as its reader refuses more than 25 million characters: larger ones are not put together.
-    """
-    r = table(spark, folder, "csv_rows")
-    sizes = r.groupBy("file_id").agg((F.sum(F.length("raw_record")) + F.count("*")).alias("n")).where(F.col("n") <= delimited.MOST_CHARS)
-    body = r.join(sizes, "file_id").groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row_id", "raw_record"))), lambda x: x["raw_record"]), "\n").alias("content"))
-    named = body.join(table(spark, folder, "csv_tables").select("file_id", F.col("file_ext").alias("ext")), "file_id", "left")
-    return delimited.dialects(named, "file_id").where("delimiter is not null")
+    """Delimiter, header, records and width of every file."""
+    return delimited.record_dialects(table(spark, folder, "csv_rows"), table(spark, folder, "csv_tables").select("file_id", F.col("file_ext").alias("ext")))
 
 
 def ignored_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,10 +156,10 @@ def query_words(spark: SparkSession, folder: str) -> DataFrame:
     return hit.unionByName(miss).groupBy("term").agg(F.sum("m").alias("matched"), F.sum("x").alias("missing"))
 
 
-def endpoint_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines on which identifiers of at least eight letters are declared, by word counts of their parts."""
+def name_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each part occurs in the names that are declared."""
     s, _, _ = _parts(spark, folder)
-    return s.where(F.length("name") >= 8).select(F.explode(tx.identifier_parts(F.col("name"))).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+    return s.select(F.explode(tx.identifier_parts(F.col("name"))).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
 
 
 def file_outlines(spark: SparkSession, folder: str) -> DataFrame:
@@ -201,8 +196,8 @@ def fullest_windows(spark: SparkSession, folder: str) -> DataFrame:
 def symbol_context(spark: SparkSession, folder: str) -> DataFrame:
     """What belongs around each declaration of the name that is declared most."""
     s = checkpointed(symbols.symbols(windows(spark, folder)).select("path", "name", "line", "end_line", "signature"))
-    most = s.where(F.length("name") >= 12).groupBy("name").count().orderBy(F.desc("count"), "name").limit(1).collect()
-    return outline.symbol_with_context(search.line_table(windows(spark, folder)), s, most[0]["name"] if most else "none")
+    most = s.groupBy("name").count().orderBy(F.desc("count"), "name").limit(1).select("name")
+    return outline.symbol_with_context(search.line_table(windows(spark, folder)), s, most).select("path", "part", "line", "text")
 
 
 def served_and_carried(spark: SparkSession, folder: str) -> DataFrame:
@@ -218,7 +213,7 @@ def entry_points(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (file_outlines, compact_outline, file_roles, symbol_chunk_ids, sibling_lines, fullest_windows, symbol_context, served_and_carried, entry_points, located, located_decision, surface_map, related_files, line_slices, token_pack, evidence_selection, fitting_sections, small_files, window_digests, section_plans, closure_checks, reachable_files, renamed_symbols, csv_dialects, ignored_paths, served_ledger_stream, query_epochs_stream, daily_usage_stream, query_words, endpoint_lines)
+    for f in (file_outlines, compact_outline, file_roles, symbol_chunk_ids, sibling_lines, fullest_windows, symbol_context, served_and_carried, entry_points, located, located_decision, surface_map, related_files, line_slices, token_pack, evidence_selection, fitting_sections, small_files, window_digests, section_plans, closure_checks, reachable_files, renamed_symbols, csv_dialects, ignored_paths, served_ledger_stream, query_epochs_stream, daily_usage_stream, query_words, name_parts)
 }
 
 _LINES = r"""s AS (SELECT file_path || '@' || hop_id AS path, string_split_regex(code, '\r?\n') AS parts FROM hop1_context WHERE code IS NOT NULL)"""
@@ -227,7 +222,58 @@ _L = _LINES + ", l AS (SELECT path, unnest(range(1, len(parts) + 1)) AS line, un
 
 _BEST = f"""e AS (SELECT file_path AS path, coalesce(line_no, 0) AS line, score, {surface_case("file_path")} AS surface FROM query_evidence WHERE file_path IS NOT NULL AND score IS NOT NULL)"""
 
+_PENALTY = f"- CASE WHEN {IS_TEST.format(path='path')} THEN 0.3 ELSE 0 END - CASE WHEN {IS_NOISE.format(path='path')} OR regexp_matches(path, '(^|/)(dist|build|out|coverage|[.]next|target)/') THEN 0.5 ELSE 0 END"
+_LOCATED = f"""{SYMBOLS}, sl AS (SELECT path, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM (SELECT path, string_split_regex(content, '\\r?\\n') AS parts FROM {WINDOWS})),
+pool AS (SELECT path, line, CASE WHEN lower(name) IN ('router', 'lease', 'seal') THEN 2.0 ELSE 0.8 END AS s, 1 AS prio, 'symbol' AS kind FROM sym WHERE regexp_matches(lower(name), 'router|lease|seal')
+  UNION ALL SELECT path, line, 1.2 * (CAST(contains(lower(text), 'router') AS INT) + CAST(contains(lower(text), 'lease') AS INT)) / 2, 2, 'text' FROM sl WHERE regexp_matches(lower(text), 'router|lease')
+  UNION ALL SELECT path, 1, CASE n WHEN 3 THEN 1.7 WHEN 2 THEN 1.5 ELSE 1.25 END, 3, 'filename' FROM (SELECT path, len(list_intersect({parts("regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '')")}, ['router', 'lease', 'seal'])) AS n FROM {WINDOWS}) WHERE n > 0),
+once AS (SELECT path, line, kind, s {_PENALTY} AS score FROM pool QUALIFY row_number() OVER (PARTITION BY path, line ORDER BY prio) = 1),
+loc AS (SELECT path, line, kind, round(score, 6) AS score FROM (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, line) = 1) ORDER BY score DESC, path, line LIMIT 20)"""
+
+#: A line of ``cm`` without comments, with its marks around literals.
+BARE_MARKED = BARE.removeprefix("replace(replace(").removesuffix(", chr(3), ''), chr(4), '')")
+
 SQL = {
+    "located": f"WITH {_LOCATED} SELECT path, line, kind, score FROM loc",
+    "located_decision": f"""WITH {_LOCATED}, r AS (SELECT *, lead(score) OVER (ORDER BY score DESC, path) AS nxt, row_number() OVER (ORDER BY score DESC, path) AS n FROM loc)
+SELECT coalesce(score - nxt >= 0.8, true) AND score >= 0.8 AS hit, greatest(0.0, least(1.0, score / 2)) AS confidence, path FROM r WHERE n = 1""",
+    "name_parts": f"WITH {SYMBOLS} SELECT part, count(*) AS n FROM (SELECT unnest({parts('name')}) AS part FROM sym) GROUP BY part",
+    "symbol_chunk_ids": f"WITH {SYMBOLS} SELECT DISTINCT path, name, CAST(sum((end_line - line) // 50 + 1) OVER (PARTITION BY path, name) AS INTEGER) AS n_chunks FROM sym",
+    "window_digests": f"""WITH {SYMBOLS}, sl AS (SELECT path, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM (SELECT path, string_split_regex(content, '\\r?\\n') AS parts FROM {WINDOWS})),
+i AS (SELECT path, least(count(*), 12) AS n FROM sl WHERE line <= 60 AND coalesce({", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')" for p in _IMPORTS)}) IS NOT NULL GROUP BY path), s AS (SELECT path, count(*) AS n FROM sym GROUP BY path),
+h AS (SELECT path, count(*) FILTER (contains(lower(text), 'lease')) AS hits FROM sl GROUP BY path) SELECT h.path, coalesce(i.n, 0) AS imports, coalesce(s.n, 0) AS names, hits FROM h LEFT JOIN i USING (path) LEFT JOIN s USING (path)""",
+    "symbol_context": rf"""WITH {SYMBOLS}, sl AS (SELECT path, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM (SELECT path, string_split_regex(content, '\r?\n') AS parts FROM {WINDOWS})),
+top AS (SELECT name FROM sym GROUP BY name ORDER BY count(*) DESC, name LIMIT 1),
+own AS (SELECT path, line AS a, end_line AS b FROM sym WHERE name IN (SELECT name FROM top)), inn AS (SELECT path, line, text FROM sl JOIN own USING (path) WHERE line BETWEEN a AND b),
+used AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*')) AS w FROM inn),
+imp AS (SELECT path, line, text, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*')) AS w FROM sl WHERE path IN (SELECT path FROM own) AND line <= 60 AND regexp_matches(text, '^\s*(import\b|from\s|using\s|use\s|const .*require\()'))
+SELECT path, 'body' AS part, line, text FROM inn UNION ALL SELECT DISTINCT path, 'import', line, text FROM imp JOIN used USING (path, w) UNION ALL SELECT path, 'sibling', line, signature FROM sym WHERE name NOT IN (SELECT name FROM top) AND path IN (SELECT path FROM own)""",
+    "compact_outline": f"""WITH {SYMBOLS}, b AS (SELECT path, CAST(count(*) AS DOUBLE) AS rank, CAST(ceil(sum(length(signature)) / 4.0) AS BIGINT) AS tokens FROM sym GROUP BY path ORDER BY rank DESC, path LIMIT 40)
+SELECT path, rank, tokens FROM b QUALIFY row_number() OVER (ORDER BY rank DESC, path) <= 10 OR sum(tokens) OVER (ORDER BY rank DESC, path ROWS UNBOUNDED PRECEDING) <= 800""",
+    "section_plans": rf"""WITH {_MD}, sl AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS parts FROM documents WHERE text IS NOT NULL)),
+r AS (SELECT doc_id, line, end_line, 3 * (CAST(contains(lower(heading), 'snapshot') AS INT) + CAST(contains(lower(heading), 'handle') AS INT)) + least(6, (SELECT count(*) FROM sl WHERE sl.doc_id = h.doc_id AND sl.line > h.line AND sl.line <= h.end_line AND regexp_matches(lower(sl.text), 'snapshot|handle'))) AS score FROM h)
+SELECT doc_id, line, end_line, score FROM r WHERE score >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, end_line - line, line) = 1""",
+    "file_roles": rf"""WITH w AS (SELECT path, content, lower(regexp_extract(path, '[.]([^.]*)$', 1)) IN ('md', 'mdx', 'markdown') AS md FROM {WINDOWS}),
+x AS (SELECT path, CASE WHEN md THEN nullif(trim(regexp_extract(content, '(?m)^#{{1,3}}\s+(\S.*)$', 1)), '') END AS h, trim(regexp_extract(content, '^(?:#!.*\n)?\s*(?:/\*\*?\s*\n?\s*\*?|//+|#|"{{3}})\s*([^\n*"]*[^\s\n*"][^\n*"]*)', 1)) AS c,
+  nullif(trim(regexp_extract(content, '(?m)^\s*((?:export\s+|public\s+|pub\s+)?(?:abstract\s+)?(?:class|interface|function|def|func|fn|fun|struct|enum|type|const)\s+\w+)', 1)), '') AS d FROM w),
+b AS (SELECT path, coalesce(h, CASE WHEN len(string_split_regex(c, '\s+')) >= 3 THEN c END, d) AS r FROM x) SELECT path, CASE WHEN length(r) > 72 THEN left(r, 71) || '…' ELSE r END AS role FROM b WHERE r IS NOT NULL""",
+    "query_epochs_stream": """WITH RECURSIVE q AS (SELECT workspace_id, matched_terms AS t, row_number() OVER (PARTITION BY workspace_id ORDER BY evidence_id) AS n FROM query_evidence WHERE workspace_id IS NOT NULL AND matched_terms IS NOT NULL),
+e AS (SELECT workspace_id, n, 1 AS epoch, t AS known FROM q WHERE n = 1 UNION ALL SELECT q.workspace_id, q.n, CASE WHEN list_has_any(known, t) THEN epoch ELSE epoch + 1 END, CASE WHEN list_has_any(known, t) THEN list_distinct(list_concat(known, t)) ELSE t END FROM e JOIN q ON q.workspace_id = e.workspace_id AND q.n = e.n + 1)
+SELECT workspace_id, CAST(max(epoch) AS BIGINT) AS epochs, count(*) AS queries FROM e GROUP BY workspace_id""",
+    "renamed_symbols": rf"""WITH {comments("(SELECT hop_id AS path, CASE coalesce(code_lang, 'ts') WHEN 'py' THEN 'python' WHEN 'rb' THEN 'ruby' ELSE code_lang END AS lang, code AS content FROM hop1_context WHERE contains(code, 'router'))")}, x AS (SELECT path, len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace({BARE_MARKED}, chr(3) || '[^' || chr(4) || ']*(' || chr(4) || '|$)', ' ', 'g'), '[A-Za-z0-9_$]+', '<\0>', 'g'), '<router>', chr(7), 'g'), chr(7))) AS n FROM cm)
+SELECT path AS hop_id, CAST(sum(n) AS BIGINT) AS times FROM x GROUP BY path HAVING sum(n) > 0""",
+    "ignored_paths": r"""WITH p AS (SELECT DISTINCT file_path FROM served_surfaces WHERE file_path IS NOT NULL)
+SELECT file_path, regexp_matches(file_path, '(^|/)dist/|^core/(.+/)?generated/|(^|/)node_modules/|(^|/)vendor/[^/]+/') OR (regexp_matches(file_path, '(^|/)[^/]*[.]min[.][^/]*(/|$)') AND NOT regexp_matches(file_path, '(^|/)important[.]min[.]js$')) AS ignored FROM p""",
+    "csv_dialects": r"""WITH d AS (SELECT * FROM (VALUES (0, ',', ','), (1, chr(9), chr(9)), (2, ';', ';'), (3, '|', '\|')) v(k, d, e)),
+r AS (SELECT file_id, row_no, regexp_replace(raw_record, '[\r\n]+$', '') AS x FROM csv_rows WHERE raw_record IS NOT NULL),
+w AS (SELECT file_id, row_no, x, k, d, e, len(regexp_extract_all(x || d, '(?:"(?:[^"]|"")*(?:"[^' || e || '\r\n]*|$)|[^' || e || '\r\n]*)(?:' || e || ')')) AS n FROM r, d),
+h AS (SELECT file_id, k, n, count(*) AS c, sum(count(*)) OVER (PARTITION BY file_id, k) AS total FROM w WHERE row_no <= 20 AND (n > 1 OR trim(x) <> '') GROUP BY file_id, k, n),
+m AS (SELECT file_id, k, n, c / total AS share FROM h QUALIFY row_number() OVER (PARTITION BY file_id, k ORDER BY c DESC, n DESC) = 1),
+best AS (SELECT f.file_id, coalesce(CASE WHEN f.file_ext = 'tsv' THEN 1 END, (SELECT arg_max(k, (share, n, -k)) FROM m WHERE m.file_id = f.file_id AND n >= 2), 0) AS k FROM csv_tables f),
+a AS (SELECT w.file_id, w.d, w.e, w.row_no, w.x, w.n FROM w JOIN best USING (file_id, k) WHERE n > 1 OR trim(x) <> ''),
+c AS (SELECT file_id, list_transform(regexp_extract_all(regexp_replace(x, '^\x{FEFF}', '') || d, '("(?:[^"]|"")*(?:"[^' || e || '\r\n]*|$)|[^' || e || '\r\n]*)(?:' || e || ')', 1), lambda v: trim(replace(v, '"', ''))) AS v FROM a WHERE row_no = (SELECT min(row_no) FROM a b WHERE b.file_id = a.file_id)),
+t AS (SELECT file_id, len(list_filter(v, lambda y: y = '')) = 0 AND len(list_distinct(v)) = len(v) AND 2 * len(list_filter(v, lambda y: regexp_full_match(y, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)'))) < len(v) AS header FROM c)
+SELECT a.file_id, any_value(d) AS delimiter, any_value(header) AS has_header, count(*) - CAST(any_value(header) AS INT) AS n_records, max(n) AS n_columns FROM a JOIN t USING (file_id) GROUP BY a.file_id""",
     "surface_map": f"""WITH {_BEST} SELECT surface, path, line, score FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY surface ORDER BY score DESC, line, path DESC) = 1) ORDER BY score DESC, path LIMIT 8""",
     "related_files": f"""WITH {_BEST}, o AS (SELECT *, floor(score / 0.001) AS s FROM e QUALIFY row_number() OVER (PARTITION BY path ORDER BY floor(score / 0.001) DESC, line) = 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY s DESC, path, line) AS k FROM o) SELECT path, line, surface, score FROM k ORDER BY least(k, 2), s DESC, path, line LIMIT 6""",

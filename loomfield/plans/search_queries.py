@@ -177,6 +177,14 @@ def surface_case(column: str) -> str:
 
 
 SQL = {
+    "did_you_mean": """WITH p AS (SELECT DISTINCT file_path AS path, lower(regexp_extract(file_path, '[^/]*$')) AS n FROM served_surfaces WHERE file_path IS NOT NULL),
+h AS (SELECT path, CAST(contains(n, 'lease') AS INT) + CAST(contains(n, 'router') AS INT) + CAST(contains(n, 'digest') AS INT) AS hits FROM p) SELECT path, hits FROM h WHERE hits > 0 ORDER BY hits DESC, path, path LIMIT 10""",
+    "round_robin": f"""WITH RECURSIVE {LINES}, hits AS (SELECT path, line, strlen(text) + strlen(path) + 8 AS b, row_number() OVER (PARTITION BY path ORDER BY line) AS k FROM code_lines WHERE contains(text, 'snapshot')),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY k, path) AS n FROM hits WHERE k <= 8 ORDER BY k, path LIMIT 6144),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS dropped, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS BIGINT) AS line UNION ALL
+  SELECT o.n, CASE WHEN NOT list_contains(dropped, o.path) AND used + b <= 6144 THEN used + b ELSE used END, CASE WHEN k = 1 AND used + b > 6144 THEN list_append(dropped, o.path) ELSE dropped END,
+    CASE WHEN NOT list_contains(dropped, o.path) AND used + b <= 6144 THEN o.path END, o.line FROM r JOIN o ON o.n = r.n + 1)
+SELECT path, line FROM r WHERE path IS NOT NULL""",
     "line_stats": r"""
 SELECT doc_id, CASE WHEN text IS NULL OR body = '' THEN 0 ELSE len(string_split_regex(body, '\r\n|\r|\n')) END AS n_lines,
        len(string_split_regex(text, '\r?\n')) AS n_split, strlen(text) AS n_bytes

@@ -144,6 +144,31 @@ def dialects(files: DataFrame, key: str, content: str = "content", extension: st
     return spread(given).mapInPandas(run, f"`{key}` {files.schema[key].dataType.simpleString()}, delimiter string, has_header boolean, n_records bigint, n_columns bigint")
 
 
+#: Records from which a file's dialect is told.
+HEAD = 20
+
+
+def record_dialects(rows: DataFrame, files: DataFrame, text: str = "raw_record") -> DataFrame:
+    """(file_id, delimiter, has_header, n_records, n_columns) of files whose records come one a row (file_id, row_no, ``text``).
+
+    The dialect is that of the first records by number; records and the greatest width are counted where the records are, each read on its
+    own, and added up, so that a file of any size has a row. ``files``: file_id, ext. Blank and null records are none.
+    """
+    key = rows.schema["file_id"].dataType.simpleString()
+    head = rows.where((F.col("row_no") <= HEAD) & F.col(text).isNotNull()).groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", text))), lambda x: x[text]), "\n").alias("content"))
+    told = dialects(head.join(files.select("file_id", "ext"), "file_id", "left"), "file_id").select("file_id", "delimiter", "has_header")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [[len(r) for r in records(t, d)] for t, d in zip(batch["_text"], batch["delimiter"], strict=True)]
+            out = pd.DataFrame({"file_id": batch["file_id"], "n": [len(w) for w in found], "w": [max(w, default=0) for w in found]})
+            yield out.groupby("file_id", as_index=False).agg({"n": "sum", "w": "max"})
+
+    given = spread(rows.where(F.col(text).isNotNull()).select("file_id", F.col(text).alias("_text"))).join(told.select("file_id", "delimiter"), "file_id")
+    sums = given.mapInPandas(run, f"file_id {key}, n bigint, w bigint").groupBy("file_id").agg(F.sum("n").alias("_n"), F.max("w").alias("n_columns"))
+    return told.join(sums, "file_id").select("file_id", "delimiter", "has_header", (F.col("_n") - F.col("has_header").cast("bigint")).alias("n_records"), "n_columns")
+
+
 def cells(files: DataFrame, key: str, content: str = "content", extension: str = "ext") -> DataFrame:
     """(key, row, column_no, column_name, value): every cell of each file, rows numbered as in the file."""
 

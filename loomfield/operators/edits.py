@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomfield.operators.source import comment_spans
+from loomfield.session import spread
 
 
 def _plain(text: str) -> str:
@@ -154,6 +156,19 @@ def nearest_line(text: str, search: str, context: int = 3) -> tuple[int, int, st
     return at + 1, present, "\n".join(lines[max(0, at - context) : at + context + 1])
 
 
+def of_each(texts: DataFrame, keys: list[str], text: str, fn: Callable[[str], tuple], out: str) -> DataFrame:
+    """(keys, out): what a pure function of this module gives for each text; null texts are left out. ``out``: its columns, as DDL."""
+    kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys)
+    names = StructType.fromDDL(out).fieldNames()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = pd.DataFrame([fn(t) for t in batch["_text"]], columns=names)
+            yield pd.concat([batch[keys].reset_index(drop=True), made], axis=1)
+
+    return spread(texts.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"))).mapInPandas(run, f"{kinds}, {out}")
+
+
 def edited(texts: DataFrame, edits: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
     """(key, ok, code, content) of each text with edits (key, edit_no, search, replace), applied in order; a text whose edit fails stays.
 

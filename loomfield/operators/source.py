@@ -203,26 +203,95 @@ def imports(lines: DataFrame, key: str, first_lines: int = 60, most: int = 12) -
     return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
-#: Routes of common frameworks, one line each: a pattern with the groups method and path, and how sure it is.
+# Words by which frameworks name methods of requests, and ones that stand for any.
+METHODS = frozenset("get post put delete patch head options".split())
+ANY_METHOD = frozenset("use all any route request handle handlefunc match".split())
+_PATH = r"""\(\s*(?:(?:value|path|name)\s*[=:]\s*)?[\[{]?\s*["'`](?P<path>[^"'`]*)["'`]"""
+_VERB = r"(?P<verb>get|post|put|delete|patch|head|options|all|any|use|route|match)"
+#: How a declaration of a route begins, by framework, with the confidence in it: what calls it, the verb, and the path in quotes.
 ROUTES = (
-    (r"\b(?:app|router|server|api|fastify)\.(get|post|put|delete|patch|head|options|all|use)\(\s*[\"'`]([^\"'`]*)[\"'`]", 0.9),
-    (r"@(?:app|router|blueprint|bp|api)\.(get|post|put|delete|patch|route)\(\s*[\"']([^\"']*)[\"']", 0.9),
-    (r"@(Get|Post|Put|Delete|Patch|Request)(?:Mapping)?\(\s*(?:value\s*=\s*)?[\"']([^\"']*)[\"']", 0.9),
-    (r"\.(Handle|HandleFunc|GET|POST|PUT|DELETE|PATCH)\(\s*\"([^\"]*)\"", 0.8),
-    (r"\[Http(Get|Post|Put|Delete|Patch)\(\s*\"([^\"]*)\"", 0.9),
-    (r"^\s*(get|post|put|delete|patch)\s*\(?\s*[\"']([^\"']*)[\"']", 0.7),
-    (r"\b(?:Route::|\$app->)(get|post|put|delete|patch|any)\(\s*['\"]([^'\"]*)['\"]", 0.9),
+    ("mark", re.compile(rf"@(?:\w+\.)?(?i:{_VERB}|(?P<request>request))(?:Mapping)?{_PATH}"), 0.9),
+    ("mark", re.compile(rf"\[(?:Http)?(?i:{_VERB}){_PATH}"), 0.9),
+    ("call", re.compile(rf"(?i)\b(?:app|router|server|api|fastify|blueprint|bp|mux|r|e|g|engine)\.{_VERB}(?:func)?{_PATH}"), 0.9),
+    ("call", re.compile(rf"\.(?P<verb>Handle|HandleFunc|GET|POST|PUT|DELETE|PATCH|Get|Post|Put|Delete|Patch){_PATH}"), 0.8),
+    ("call", re.compile(rf"(?:\bRoute::|\$(?:app|router)->)(?i:{_VERB}){_PATH}"), 0.9),
+    ("block", re.compile(rf"^\s*{_VERB}(?:\s*{_PATH}|\s+[\"'](?P<bare>[^\"']*)[\"'])"), 0.7),
+    ("inner", re.compile(r"^\s*(?P<verb>get|post|put|delete|patch|head|options)\s*\{(?P<path>)"), 0.7),
 )
+CALLBACK = re.compile(r"^\s*,\s*(?:[\w.]+\s*,\s*)*(?:async\s+)?(?:function\s+(?P<named>[A-Za-z_$][\w$]*)|(?P<name>[A-Za-z_$][\w$.:]*)\s*[,)]|function\b|\(|\w+\s*=>|func\b)")
+DECLARED = re.compile(r"\b(?:(?:async\s+)?(?:def|func|fun|function)\s+|(?:[\w<>\[\],.?]+\s+)+)(?P<name>[A-Za-z_]\w*)\s*\(")
 
 
-def routes(lines: DataFrame, key: str) -> DataFrame:
-    """(key, line, method, route, confidence): the HTTP routes that lines declare, paths normalised; the first pattern counts."""
-    out = F.lit(None).cast("struct<method:string,route:string,confidence:double>")
-    for pattern, sure in reversed(ROUTES):
-        made = F.struct(F.upper(F.regexp_extract("text", pattern, 1)).alias("method"), F.coalesce(tx.endpoint(F.regexp_extract("text", pattern, 2)), F.lit("/")).alias("route"), F.lit(sure).alias("confidence"))
-        out = F.when(F.col("text").rlike(pattern), made).otherwise(out)
-    method = F.when(F.col("_r.method").isin("USE", "ALL", "ANY", "ROUTE", "REQUEST", "HANDLE", "HANDLEFUNC"), "ANY").otherwise(F.col("_r.method"))
-    return lines.withColumn("_r", out).where("_r is not null").select(key, "line", method.alias("method"), "_r.route", "_r.confidence")
+def routes_of(text: str, language: str = "") -> list[tuple[int, str, str, str, str, float]]:
+    """(line, method, route, handler, snippet, confidence) of the HTTP routes that a text declares.
+
+    The path of a block or class of routes goes before those inside of it. The handler is what a call is given by name, or the
+    function declared after a mark (annotation, attribute, decorator); '' for one without a name. The snippet is the line.
+    Comments are left out, by the literals and comments of the language; without one, by those of languages with braces.
+    """
+    kept = without_comments(text, language or "typescript").split("\n")
+    bare = lexed(text, language or "typescript").split("\n")
+    out: list[tuple[int, str, str, str, str, float]] = []
+    scopes: list[tuple[int, str]] = []  # depth at which a prefix was opened, prefix
+    depth, waiting = 0, ""
+    for number, line in enumerate(kept, 1):
+        m = kind = None
+        for kind, rule, sure in ROUTES:
+            if (m := rule.search(line)) and (kind != "inner" or scopes):  # a bare verb is a route only inside of one
+                break
+            m = None
+        opens, closes = bare[number - 1].count("{"), bare[number - 1].count("}")
+        own_prefix = ""
+        if m:
+            verb = (m["verb"] or "request").lower()
+            path = next((p for p in (m["path"], m["bare"] if kind == "block" else None) if p is not None), "")
+            rest = line[m.end() :]
+            nested = verb in ("route", "request") and (kind == "block" and "{" in rest or kind == "mark" and _on_type(kept, number))
+            if nested:
+                own_prefix = path
+            else:
+                route = "".join(f"/{p.strip('/')}" for p in [*(p for _, p in scopes), path] if p.strip("/")) or "/"
+                method = "ANY" if verb in ANY_METHOD else verb.upper()
+                out.append((number, method, route.partition("?")[0], _handler(kind, rest, kept, number), line.strip(), sure))
+        if own_prefix and kind == "mark":
+            waiting = own_prefix
+        if opens:
+            for _ in range(opens):
+                depth += 1
+                prefix = own_prefix if kind == "block" and own_prefix else waiting
+                if prefix:
+                    scopes.append((depth, prefix))
+                    own_prefix = waiting = ""
+        for _ in range(closes):
+            if scopes and scopes[-1][0] == depth:
+                scopes.pop()
+            depth -= 1
+    return out
+
+
+def _on_type(lines: list[str], number: int) -> bool:
+    """Whether what follows a mark is the declaration of a type."""
+    for line in lines[number:]:
+        if line.strip() and not line.lstrip().startswith(("@", "[")):
+            return re.search(r"\b(?:class|interface|object|record)\b", line) is not None
+    return False
+
+
+def _handler(kind: str, rest: str, lines: list[str], number: int) -> str:
+    if kind == "mark":
+        for line in lines[number:]:
+            if line.strip() and not line.lstrip().startswith(("@", "[")):
+                m = DECLARED.search(line)
+                return m["name"] if m else ""
+        return ""
+    m = CALLBACK.match(rest)
+    return (m["named"] or m["name"] or "") if m else ""
+
+
+def routes(files: DataFrame, keys: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """(keys, line, method, route, handler, snippet, confidence): the HTTP routes that texts declare. Null texts have none."""
+    names = ["line", "method", "route", "handler", "snippet", "confidence"]
+    return _mapped(files, keys, text, lang, routes_of, "line int, method string, route string, handler string, snippet string, confidence double", names)
 
 
 def css_properties(lines: DataFrame, key: str) -> DataFrame:

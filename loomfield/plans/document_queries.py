@@ -112,7 +112,16 @@ def code_imports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def http_routes(spark: SparkSession, folder: str) -> DataFrame:
-    return source.routes(_code_lines(spark, folder), "path")
+    """Routes of three frameworks, in sources put together from regions and nations: nested blocks, a class with a prefix, and calls."""
+    n = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    by = n.groupBy("r_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("k"))  # 25 rows at every scale
+    lines = lambda *parts: F.array_join(F.transform("k", lambda k: F.concat(*[k.cast("string") if p is None else F.lit(p) for p in parts])), "")
+    region = F.col("r_regionkey").cast("string")
+    nested = F.concat(F.lit('routing {\n  route("/r'), region, F.lit('") {\n'), lines('    get("/', None, '") { }\n'), F.lit("  }\n  post(\"/top\") { }\n}\n"))
+    marked = F.concat(F.lit('@RequestMapping("/r'), region, F.lit('/")\npublic class A {\n'), lines('  @PutMapping("', None, '")\n  public String make', None, "(int a) {\n  }\n"), F.lit("}\n"))
+    called = F.concat(F.lit("// app.get('/no', no)\n"), lines("app.delete('/x/", None, "?q=1', drop", None, ");\n"))
+    files = [by.select(F.concat(F.lit(f"{name}/"), region).alias("path"), text.alias("text"), F.lit(lang).alias("lang")) for name, lang, text in (("nested", "kotlin", nested), ("marked", "java", marked), ("called", "javascript", called))]
+    return source.routes(files[0].union(files[1]).union(files[2]), ["path"]).drop("snippet")
 
 
 def endpoints(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,6 +197,9 @@ c AS (SELECT name, count(DISTINCT value) AS n FROM g GROUP BY name HAVING count(
 SELECT name, any_value(n) AS "values", string_agg(value, ' | ' ORDER BY value) AS examples FROM k GROUP BY name""",
     "code_imports": f"""WITH {_BOUND.split(", l AS")[0]}, l AS (SELECT path, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM s),
 i AS (SELECT path, line, coalesce({", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')" for p in _IMPORTS)}) AS imported FROM l WHERE line <= 60) SELECT path, line, imported FROM i WHERE imported IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY line) <= 12""",
+    "http_routes": """WITH k AS (SELECT n_nationkey AS k, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation)
+SELECT 'nested/' || r AS path, i + 2 AS line, 'GET' AS method, '/r' || r || '/' || k AS route, '' AS handler, 0.7 AS confidence FROM k UNION ALL SELECT 'nested/' || r, n + 4, 'POST', '/top', '', 0.7 FROM k WHERE i = 1
+UNION ALL SELECT 'marked/' || r, 3 * i, 'PUT', '/r' || r || '/' || k, 'make' || k, 0.9 FROM k UNION ALL SELECT 'called/' || r, i + 1, 'DELETE', '/x/' || k, 'drop' || k, 0.9 FROM k""",
     "section_ends": rf"""WITH {_DOC_LINES}, t AS (SELECT path, max(line) AS total FROM l GROUP BY path),
 m AS (SELECT path, line, length(regexp_extract(text, '^(#{{1,6}}) ', 1)) AS level FROM l WHERE regexp_matches(text, '^#{{1,6}} '))
 SELECT m.path, m.line, m.level, coalesce((SELECT min(n.line) FROM m n WHERE n.path = m.path AND n.line > m.line AND n.level <= m.level) - 1, t.total) AS end_line FROM m JOIN t ON t.path = m.path""",

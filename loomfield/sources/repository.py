@@ -29,13 +29,17 @@ def diff_hunks(lines: DataFrame, order: str = "line_no", text: str = "value", gr
 
 
 def recent_files(log: DataFrame, order: str = "line_no", text: str = "value", commits: int = 50) -> DataFrame:
-    """(path): the distinct paths in the first ``commits`` commits of a log with names, commits begin with the word commit."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    """(path): the distinct paths in the first ``commits`` commits of a log with names, commits begin with the word commit. Only the commits' own lines
+    are ordered; ``order`` is unique."""
     t = F.col(text)
-    head = log.orderBy(order).limit(commits * 1000)  # a log is a bounded report, newest first
-    numbered = head.withColumn("_n", F.sum(t.rlike(r"^commit [0-9a-f]{7,}").cast("int")).over(w))
-    path = t.rlike(r"^\S") & ~t.rlike(r"^(?:commit [0-9a-f]{7,}|Author:|Date:|Merge:)") & (F.length(t) > 0)
-    return numbered.where((F.col("_n") <= commits) & (F.col("_n") > 0)).where(path).select(t.alias("path")).distinct()
+    commit = t.rlike(r"^commit [0-9a-f]{7,}")
+    heads = [r[0] for r in log.where(commit).select(order).orderBy(order).limit(commits + 1).collect()]  # as many as commits are asked for
+    if not heads:
+        return log.select(t.alias("path")).where("false")
+    inside = log.where(F.col(order) > heads[0])
+    inside = inside.where(F.col(order) < heads[commits]) if len(heads) > commits else inside
+    path = t.rlike(r"^\S") & ~commit & ~t.rlike(r"^(?:Author:|Date:|Merge:)") & (F.length(t) > 0)
+    return inside.where(path).select(t.alias("path")).distinct()
 
 
 def graph_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -112,6 +116,30 @@ def scip_occurrences(data: bytes) -> Iterator[tuple[str, str, int, int, bool]]:
         yield from ((path, *x) for x in found)
 
 
+def _number(value: int) -> bytes:
+    out = bytearray()
+    while value > 0x7F:
+        out.append(value & 0x7F | 0x80)
+        value >>= 7
+    return bytes([*out, value])
+
+
+def wire_field(number: int, value: int | bytes) -> bytes:
+    """A field of a protocol-buffer message."""
+    return _number(number << 3 | 2) + _number(len(value)) + value if isinstance(value, bytes) else _number(number << 3) + _number(value)
+
+
+def scip_bytes(documents: list[tuple[str, list[tuple[str, int, int, bool]]]]) -> bytes:
+    """An index file of documents: (path, occurrences), of which each is (symbol, line from 1, column, definition)."""
+    out = b""
+    for path, found in documents:
+        body = wire_field(1, path.encode())
+        for symbol, line, column, definition in found:
+            body += wire_field(2, wire_field(1, _number(line - 1) + _number(column) + _number(column + len(symbol))) + wire_field(2, symbol.encode()) + wire_field(3, int(definition)))
+        out += wire_field(2, body)
+    return out
+
+
 def scip_index(files: DataFrame, key: str, content: str = "content") -> DataFrame:
     """(key, path, symbol, line, col, definition, position) of the occurrences in index files; torn files give what could be read."""
 
@@ -132,7 +160,7 @@ def scip_index(files: DataFrame, key: str, content: str = "content") -> DataFram
 
 def scip_definitions(occurrences: DataFrame) -> DataFrame:
     """(symbol, path, line): where each symbol is defined first."""
-    first = occurrences.where("definition").groupBy("symbol").agg(F.min_by(F.struct("path", "line"), "position").alias("d"))
+    first = occurrences.where("definition").groupBy("symbol").agg(F.min_by(F.struct("path", "line"), F.struct("position", "path", "line")).alias("d"))
     return first.select("symbol", "d.path", "d.line")
 
 

@@ -34,10 +34,26 @@ def test_comments():
     assert shown == "a\n/* [lines 2-4 elided] */\nb" and source.shown_lines(shown, 1, 5) == [(1, 1), (5, 5)]
 
 
-def test_bindings_routes_imports(spark, rows):
+ROUTES = {
+    "kotlin": ('routing {\n  route("/api") {\n    route("/users") {\n      get("/{id}") {\n        respond(1)\n      }\n      post { }\n    }\n    get("/health") { }\n  }\n  get("/top") {}\n}\nget { }', [(4, "GET", "/api/users/{id}", ""), (7, "POST", "/api/users", ""), (9, "GET", "/api/health", ""), (11, "GET", "/top", "")]),
+    "javascript": ("app.get('/users/:id', getUser);\n// app.get('/no', x)\nrouter.post('/a//', auth, async (req, res) => {\n});\napp.use('/static', serve)\nx = \"app.get('/s')\"", [(1, "GET", "/users/:id", "getUser"), (3, "POST", "/a", ""), (5, "ANY", "/static", "serve"), (6, "GET", "/s", "")]),
+    "java": ('@RequestMapping("/v1")\npublic class A {\n  @GetMapping("/x")\n  public List<String> list(int a) {\n  }\n  @PostMapping(value = "/y?z=1")\n  @Deprecated\n  public void make() {\n  }\n}\n', [(3, "GET", "/v1/x", "list"), (6, "POST", "/v1/y", "make")]),
+    "python": ('@app.route("/p/<id>")\ndef page(id):\n    return 1\n@bp.post("/q")\nasync def q():\n', [(1, "ANY", "/p/<id>", "page"), (4, "POST", "/q", "q")]),
+    "go": ('mux.HandleFunc("/go", handleGo)\nr.GET("/gin/:id", ctl.Show)\n', [(1, "ANY", "/go", "handleGo"), (2, "GET", "/gin/:id", "ctl.Show")]),
+    "csharp": ('[Route("api/cs")]\npublic class C {\n  [HttpGet("{id}")]\n  public string Get(int id) {\n', [(3, "GET", "/api/cs/{id}", "Get")]),
+}
+
+
+def test_routes(spark, rows):
+    for language, (text, want) in ROUTES.items():
+        assert [r[:4] for r in source.routes_of(text, language)] == want, language
+    df = spark.createDataFrame([(1, ROUTES["go"][0], "go", "x"), (2, None, "go", "x"), (3, "", None, "x")], "k int, text string, lang string, line string")
+    assert rows(source.routes(df, ["k"]), "k", "line", "snippet", "confidence") == [(1, 1, 'mux.HandleFunc("/go", handleGo)', 0.8), (1, 2, 'r.GET("/gin/:id", ctl.Show)', 0.9)]
+
+
+def test_bindings_imports(spark, rows):
     lines = spark.createDataFrame([("f", 1, "const limit = 5;"), ("f", 2, "limit = 7"), ("f", 3, "| Width | 12 |"), ("f", 4, "# depth: 3"), ("g", 1, "limit: 6"), ("f", 5, "app.get('/a//b', h)"), ("f", 6, '@PostMapping("/c")'), ("f", 7, "import { x } from './y'"), ("f", 8, "from a.b import c")], "path string, line long, text string")
     assert rows(source.bindings(lines.where("line < 5"), "path")) == [("f", 1, "limit", "5"), ("f", 3, "width", "12"), ("f", 4, "depth", "3"), ("g", 1, "limit", "6")]
-    assert rows(source.routes(lines, "path"), "line", "method", "route") == [(5, "GET", "/a/b"), (6, "POST", "/c")]
     assert rows(source.imports(lines, "path"), "line", "imported") == [(7, "./y"), (8, "a.b")]
     bound = source.bindings(lines.where("line < 5"), "path").withColumn("kind", source.F.col("path"))
     assert rows(source.conflicts(bound, "path", "kind"), "name", "values") == [("limit", 2)]

@@ -74,28 +74,98 @@ def penalised(score: Column, path: Column, scope: str | None = None, comment_onl
 
 
 def located(symbols: DataFrame, lines: DataFrame, files: DataFrame, query: str, scope: str | None = None, most: int = 6) -> DataFrame:
-    """(path, line, kind, score): where a query most likely leads: declared names, texts, and names of files, of which the same place
-    counts once, the first kind first; penalties; the best place of each file.
+    """(path, line, kind, score): where a query most likely leads, the best place of each file, after penalties.
 
-    symbols: path, line, name; lines: path, line, text; files: path. Each source is one filtered scan; only hits are shuffled.
+    Sources, of which a place that several name counts for the first: declared names (2 the same, 0.8 a part), texts (up to 1.2 for the
+    first two terms), names of files (1.25 to 1.7), other spellings of compound terms (0.7), names that begin like them
+    (0.55), whole words (0.5), and folders (0.3 each). symbols: path, line, name; lines: path, line, text; files: path. Each source is one
+    filtered scan; only hits are shuffled.
     """
     terms = query_terms(query)
     if not terms:
         return files.select("path", F.lit(1).cast("bigint").alias("line"), F.lit("").alias("kind"), F.lit(0.0).alias("score")).where("false")
-    low = [t.lower() for t in terms]
-    name = F.lower("name")
-    by_symbol = symbols.select("path", F.col("line").cast("bigint").alias("line"), F.when(name.isin(low), 2.0).when(sum((F.locate(t, name).cast("boolean").cast("int") for t in low), F.lit(0)) > 0, 0.8).alias("score"), F.lit(1).alias("_prio"), F.lit("symbol").alias("kind")).where("score is not null")
-    hits = sum((F.locate(t, F.lower("text")).cast("boolean").cast("int") for t in low[:2]), F.lit(0))
-    by_text = lines.select("path", F.col("line").cast("bigint").alias("line"), (F.lit(1.2) * hits / min(2, len(low))).alias("score"), F.lit(2).alias("_prio"), F.lit("text").alias("kind")).where("score > 0")
-    parts = tx.identifier_parts(F.regexp_replace(tx.basename(F.col("path")), r"\.[^.]*\z", ""))
-    n = sum((F.array_contains(parts, t).cast("int") for t in low), F.lit(0))
-    by_name = files.select("path", F.lit(1).cast("bigint").alias("line"), F.when(n >= 3, 1.7).when(n == 2, 1.5).when(n == 1, 1.25).alias("score"), F.lit(3).alias("_prio"), F.lit("filename").alias("kind")).where("score is not null")
-    pool = by_symbol.unionByName(by_text).unionByName(by_name)
-    once = pool.groupBy("path", "line").agg(F.min_by(F.struct("kind", "score"), F.col("_prio")).alias("b")).select("path", "line", "b.kind", penalised(F.col("b.score"), F.col("path"), scope).alias("score"))
+    low = list(dict.fromkeys(t.lower() for t in terms))
+    name, text, path = F.lower("name"), F.lower("text"), F.col("path")
+    has = lambda where, words: sum((F.locate(t, where).cast("boolean").cast("int") for t in words), F.lit(0))
+    compound = [[p.lower() for p in re.split(r"(?<=[a-z0-9])(?=[A-Z])|[_\-]+", t) if p] for t in terms]
+    compound = [c for c in compound if len(c) > 1]
+    spelled = sorted({glue.join(c) for c in compound for glue in ("-", "_")} - set(low[:2]))
+    word = r"(?i)(?<![\w$])(?:" + "|".join(re.escape(t) for t in low) + r")(?![\w$])"
+    folders = F.flatten(F.transform(F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1), tx.identifier_parts))
+    parts = tx.identifier_parts(F.regexp_replace(tx.basename(path), r"\.[^.]*\z", ""))
+    count = lambda held: sum((F.array_contains(held, t).cast("int") for t in low), F.lit(0))
+    n = count(parts)
+    by_line, first = F.col("line").cast("bigint"), F.lit(1).cast("bigint")
+    sources = [
+        (symbols, by_line, F.when(name.isin(low), 2.0).when(has(name, low) > 0, 0.8), "symbol"),
+        (lines, by_line, F.nullif(F.lit(1.2) * has(text, low[:2]) / min(2, len(low)), F.lit(0.0)), "text"),
+        (files, first, F.when(n >= 3, 1.7).when(n == 2, 1.5).when(n == 1, 1.25), "filename"),
+        (lines, by_line, F.when(has(text, spelled) > 0, 0.7), "variant"),
+        (symbols, by_line, F.when(F.get(tx.identifier_parts(F.col("name")), F.lit(0)).isin([c[0] for c in compound]), 0.55), "family"),
+        (lines, by_line, F.when(F.col("text").rlike(word), 0.5), "reference"),
+        (files, first, F.nullif(F.lit(0.3) * count(folders), F.lit(0.0)), "path"),
+    ]
+    pool = None
+    for prio, (df, line, score, kind) in enumerate(sources, 1):
+        if kind in ("variant", "family") and not compound:
+            continue
+        found = df.select("path", line.alias("line"), score.cast("double").alias("score"), F.lit(prio).alias("_prio"), F.lit(kind).alias("kind")).where("score is not null")
+        pool = found if pool is None else pool.unionByName(found)
+    once = pool.groupBy("path", "line").agg(F.min_by(F.struct("kind", "score"), F.struct("_prio", -F.col("score"))).alias("b")).select("path", "line", "b.kind", penalised(F.col("b.score"), path, scope).alias("score"))
     best = once.groupBy("path").agg(F.max_by(F.struct("line", "kind", "score"), F.struct(F.col("score"), -F.col("line"))).alias("b")).select("path", "b.line", "b.kind", F.round("b.score", 6).alias("score"))
     return best.orderBy(F.desc("score"), "path", "line").limit(most)
 
 
+#: What the words of a query ask for, each by its own words.
+SHAPES = {
+    "enum": r"(?i)(?<!\w)(?:enum|variant|union|kind|mode|status|state)s?(?!\w)|[A-Z]\w*(?:Enum|Kind|Mode|Status|State)(?!\w)",
+    "path": r"[\w.-]+/[\w./-]+|(?<!\w)[\w-]+\.(?:[a-z]{1,4}|proto)(?!\w)",
+    "code": r"[a-z][A-Z]|\w_\w|::|\w\(|->",
+    "question": r"(?i)^(?:how|what|where|when|which|who|why|does|is|are|can)(?!\w)|\?\s*$",
+    "change": r"(?i)(?<!\w)(?:add|change|fix|remove|rename|replace|update|refactor|implement)(?!\w)",
+}
+
+
+def query_shapes(query: Column) -> Column:
+    """The shapes of a query, in the order of ``SHAPES``; null for a null query."""
+    return F.when(query.isNotNull(), F.filter(F.array(*[F.when(query.rlike(p), F.lit(n)) for n, p in SHAPES.items()]), lambda s: s.isNotNull()))
+
+
+def verification(edited: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """(path, surface, role, why): the tests and mocks that belong to edited files, each once with its best reason.
+
+    ``edited``: path; ``surfaces``: path, role, refs (ends of paths that it refers to). reference: a ref is the end of the path, from a folder on;
+    stem: the surface's name without test, spec and mock is that of the file, in a folder of the same module. Equi-joins on names; a name
+    that very many files have is split by adaptive execution.
+    """
+    bare = lambda c: F.regexp_replace(F.lower(F.regexp_replace(tx.basename(c), r"\..*\z", "")), r"^(?:test|mock)_|_(?:test|spec|mock)\z|(?:test|spec|mock)\z", "")
+    module = lambda c: F.array_join(F.slice(F.split(c, "/"), 1, 2), "/")
+    own = edited.select("path").where("path is not null").distinct()
+    named = own.select("path", tx.basename(F.col("path")).alias("_name"))
+    refs = surfaces.select(F.col("path").alias("surface"), "role", F.explode("refs").alias("_ref")).distinct()
+    told = refs.withColumn("_name", tx.basename(F.col("_ref"))).join(named, "_name").where((F.col("path") == F.col("_ref")) | F.endswith("path", F.concat(F.lit("/"), "_ref")))
+    by_name = own.select("path", bare(F.col("path")).alias("_stem"), module(F.col("path")).alias("_module"))
+    beside = surfaces.select(F.col("path").alias("surface"), "role", bare(F.col("path")).alias("_stem"), module(F.col("path")).alias("_module")).distinct().where("_stem <> ''")
+    alike = beside.join(by_name, ["_stem", "_module"]).where("path <> surface")
+    both = told.select("path", "surface", "role", F.lit("reference").alias("why")).unionByName(alike.select("path", "surface", "role", F.lit("stem").alias("why")))
+    return both.where("path <> surface").groupBy("path", "surface").agg(F.min("role").alias("role"), F.min("why").alias("why"))
+
+
+def includes(directives: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, target, resolved): include directives (path, target) with the file that each means: the one at that place from the includer's folder,
+    else the only one whose path ends so; null where there is none or several."""
+    plain = F.regexp_replace(F.regexp_replace(F.concat_ws("/", tx.parent(F.col("path")), "target"), r"(?<=/)(?:\./)+|^(?:\./)+", ""), r"^\./", "")
+    at = plain
+    for _ in range(8):  # a step up takes a folder away; more than eight are not resolved
+        at = F.regexp_replace(at, r"(?:^|(?<=/))(?!\.\./)[^/]+/\.\./", "")
+    own = files.select(F.col("path").alias("resolved")).distinct()
+    asked = directives.select("path", "target").where("target is not null").distinct().withColumn("_at", at).withColumn("_name", tx.basename(F.col("target")))
+    near = asked.join(own.select(F.col("resolved").alias("_at"), F.lit(True).alias("_near")), "_at", "left")
+    ends = near.where("_near is null").join(own.withColumn("_name", tx.basename(F.col("resolved"))), "_name").where(F.endswith("resolved", F.concat(F.lit("/"), "target")))
+    only = ends.groupBy("path", "target").agg(F.count("*").alias("_n"), F.min("resolved").alias("_only"))
+    return near.join(only, ["path", "target"], "left").select("path", "target", F.when(F.col("_near"), F.col("_at")).when(F.col("_n") == 1, F.col("_only")).alias("resolved"))
+
+
 def decided(candidates: DataFrame, margin: float = 0.8, least: float = 0.8) -> DataFrame:
     """(hit, confidence, path): whether the best candidate counts as found: the only one, or one ahead by the margin. One row at most.
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomfield.plans import data_quality, document_queries, edit_queries, retrieval_queries, search_queries, source_queries, structure_queries, usage_queries
+from loomfield.plans import data_quality, document_queries, edit_queries, retrieval_queries, search_queries, source_queries, state_queries, structure_queries, usage_queries
 
 FLAGSHIP = "usage_summary"
-MODULES = (usage_queries, search_queries, structure_queries, document_queries, retrieval_queries, edit_queries, source_queries, data_quality)
+MODULES = (usage_queries, search_queries, structure_queries, document_queries, retrieval_queries, edit_queries, source_queries, state_queries, data_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -23,7 +23,7 @@ def _parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
 def located(spark: SparkSession, folder: str) -> DataFrame:
     """Where a query leads, best places first."""
     s, lines, names = _parts(spark, folder)
-    return retrieval.located(s, lines, names, "seal lease router", most=20)
+    return retrieval.located(s, lines, names, "leaseRouter seal", most=20)
 
 
 def located_decision(spark: SparkSession, folder: str) -> DataFrame:
@@ -224,10 +224,13 @@ _BEST = f"""e AS (SELECT file_path AS path, coalesce(line_no, 0) AS line, score,
 
 _PENALTY = f"- CASE WHEN {IS_TEST.format(path='path')} THEN 0.3 ELSE 0 END - CASE WHEN {IS_NOISE.format(path='path')} OR regexp_matches(path, '(^|/)(dist|build|out|coverage|[.]next|target)/') THEN 0.5 ELSE 0 END"
 _LOCATED = f"""{SYMBOLS}, sl AS (SELECT path, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM (SELECT path, string_split_regex(content, '\\r?\\n') AS parts FROM {WINDOWS})),
-pool AS (SELECT path, line, CASE WHEN lower(name) IN ('router', 'lease', 'seal') THEN 2.0 ELSE 0.8 END AS s, 1 AS prio, 'symbol' AS kind FROM sym WHERE regexp_matches(lower(name), 'router|lease|seal')
-  UNION ALL SELECT path, line, 1.2 * (CAST(contains(lower(text), 'router') AS INT) + CAST(contains(lower(text), 'lease') AS INT)) / 2, 2, 'text' FROM sl WHERE regexp_matches(lower(text), 'router|lease')
-  UNION ALL SELECT path, 1, CASE n WHEN 3 THEN 1.7 WHEN 2 THEN 1.5 ELSE 1.25 END, 3, 'filename' FROM (SELECT path, len(list_intersect({parts("regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '')")}, ['router', 'lease', 'seal'])) AS n FROM {WINDOWS}) WHERE n > 0),
-once AS (SELECT path, line, kind, s {_PENALTY} AS score FROM pool QUALIFY row_number() OVER (PARTITION BY path, line ORDER BY prio) = 1),
+pool AS (SELECT path, line, CASE WHEN lower(name) IN ('leaserouter', 'seal', 'router', 'lease') THEN 2.0 ELSE 0.8 END AS s, 1 AS prio, 'symbol' AS kind FROM sym WHERE regexp_matches(lower(name), 'router|lease|seal')
+  UNION ALL SELECT path, line, 1.2 * (CAST(contains(lower(text), 'leaserouter') AS INT) + CAST(contains(lower(text), 'seal') AS INT)) / 2, 2, 'text' FROM sl WHERE regexp_matches(lower(text), 'leaserouter|seal')
+  UNION ALL SELECT path, 1, CASE n WHEN 3 THEN 1.7 WHEN 2 THEN 1.5 ELSE 1.25 END, 3, 'filename' FROM (SELECT path, len(list_intersect({parts("regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '')")}, ['router', 'lease', 'seal', 'leaserouter'])) AS n FROM {WINDOWS}) WHERE n > 0
+  UNION ALL SELECT path, line, 0.7, 4, 'variant' FROM sl WHERE regexp_matches(lower(text), 'lease[-_]router') UNION ALL SELECT path, line, 0.55, 5, 'family' FROM sym WHERE {parts("name")}[1] = 'lease'
+  UNION ALL SELECT path, line, 0.5, 6, 'reference' FROM sl WHERE regexp_matches(text, '(?i)(^|[^\\w$])(leaserouter|seal|router|lease)([^\\w$]|$)')
+  UNION ALL SELECT path, 1, 0.3 * n, 7, 'path' FROM (SELECT path, len(list_intersect(list_distinct({parts("regexp_replace(regexp_replace(path, '/[^/]*$', ''), '/', ' ', 'g')")}), ['router', 'lease', 'seal'])) AS n FROM {WINDOWS}) WHERE n > 0),
+once AS (SELECT path, line, kind, s {_PENALTY} AS score FROM pool QUALIFY row_number() OVER (PARTITION BY path, line ORDER BY prio, s DESC) = 1),
 loc AS (SELECT path, line, kind, round(score, 6) AS score FROM (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, line) = 1) ORDER BY score DESC, path, line LIMIT 20)"""
 
 #: A line of ``cm`` without comments, with its marks around literals.

@@ -108,12 +108,6 @@ def interval_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return intervals.overlaps(spans, spans, ["file_path"])
 
 
-def repeated_reads(spark: SparkSession, folder: str) -> DataFrame:
-    """How often each file was served, beyond once."""
-    s = table(spark, folder, "served_surfaces").dropDuplicates()
-    return s.groupBy("workspace_id", "file_path").agg(F.count("*").alias("reads")).where("reads > 1")
-
-
 def text_chunks(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     return symbols.chunks(d)
@@ -215,7 +209,7 @@ def file_imports(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (tree_counts, tree_top, module_map, folder_digests, folder_digests_flat, root_markers, dominant_root, cluster_root, surface_coverage, basename_frequency, snapshot_actions, interval_union, interval_complement, interval_overlaps, repeated_reads, text_chunks, line_offsets, text_digests, compressed_text, column_letters, code_symbols, symbol_kinds, find_symbols, file_graph, ranked_files, folder_ranks, defined_and_used, file_imports)
+    for f in (tree_counts, tree_top, module_map, folder_digests, folder_digests_flat, root_markers, dominant_root, cluster_root, surface_coverage, basename_frequency, snapshot_actions, interval_union, interval_complement, interval_overlaps, text_chunks, line_offsets, text_digests, compressed_text, column_letters, code_symbols, symbol_kinds, find_symbols, file_graph, ranked_files, folder_ranks, defined_and_used, file_imports)
 }
 
 _PATHS = "p AS (SELECT DISTINCT file_path AS path, string_split(file_path, '/') AS parts FROM served_surfaces WHERE file_path IS NOT NULL)"
@@ -309,7 +303,6 @@ gaps AS (SELECT file_path, "end" + 1 AS a, coalesce(lead("start") OVER (PARTITIO
 SELECT file_path, a AS "start", b AS "end" FROM gaps WHERE a <= b""",
     "interval_overlaps": f"""WITH {_SPANS.replace("{table}", "hop1_context")}, u AS (SELECT DISTINCT * FROM spans WHERE "start" <= "end")
 SELECT a.file_path, a."start" AS a_start, a."end" AS a_end, b."start" AS b_start, b."end" AS b_end FROM u a JOIN u b ON a.file_path = b.file_path AND a."start" <= b."end" AND a."end" >= b."start" """,
-    "repeated_reads": "SELECT workspace_id, file_path, count(*) AS reads FROM (SELECT DISTINCT * FROM served_surfaces) GROUP BY ALL HAVING count(*) > 1",
     "text_chunks": r"""
 WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(strlen(text) AS BIGINT) AS n FROM documents WHERE strlen(text) > 0),
 c AS (SELECT path, n, unnest(range(0, n, 1600)) AS byte_start FROM d), b AS (SELECT path, byte_start, least(byte_start + 1600, n) AS byte_end FROM c)

@@ -238,6 +238,10 @@ BARE_MARKED = BARE.removeprefix("replace(replace(").removesuffix(", chr(3), ''),
 
 SQL = {
     "located": f"WITH {_LOCATED} SELECT path, line, kind, score FROM loc",
+    "file_outlines": rf"""WITH {SYMBOLS}, sl AS (SELECT path, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM (SELECT path, string_split_regex(content, '\r\n|\r|\n') AS parts FROM {WINDOWS})),
+i AS (SELECT path, length(rtrim(text)) AS n FROM sl WHERE line <= 60 AND regexp_matches(text, '^\s*(import\b|from\s+\S+\s+import|using\s|use\s|#include|require\b|package\s)') QUALIFY row_number() OVER (PARTITION BY path ORDER BY line) <= 12),
+o AS (SELECT path, n FROM i UNION ALL SELECT s.path, length(regexp_extract(sl.text, '^\s*')) + length(s.signature) + CASE WHEN kind IN ('class', 'interface', 'enum') OR end_line <= s.line THEN 0 WHEN ends_with(s.signature, '{{') THEN 6 ELSE 4 END FROM sym s JOIN sl ON sl.path = s.path AND sl.line = s.line),
+t AS (SELECT path, CAST(sum(n) + count(*) - 1 AS BIGINT) AS n FROM o GROUP BY path) SELECT w.path, coalesce(n, 0) AS n_chars, round(coalesce(n, 0) / greatest(1, length(content)), 6) AS kept FROM {WINDOWS} w LEFT JOIN t ON t.path = w.path""",
     "located_decision": f"""WITH {_LOCATED}, r AS (SELECT *, lead(score) OVER (ORDER BY score DESC, path) AS nxt, row_number() OVER (ORDER BY score DESC, path) AS n FROM loc)
 SELECT coalesce(score - nxt >= 0.8, true) AND score >= 0.8 AS hit, greatest(0.0, least(1.0, score / 2)) AS confidence, path FROM r WHERE n = 1""",
     "name_parts": f"WITH {SYMBOLS} SELECT part, count(*) AS n FROM (SELECT unnest({parts('name')}) AS part FROM sym) GROUP BY part",

@@ -255,7 +255,21 @@ sc AS (SELECT path, round(CASE WHEN max(rank) OVER () = min(rank) OVER () THEN 1
 SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS place FROM sc ORDER BY score DESC, path LIMIT 40"""
 
 
+def _digests(deepest: int = 16) -> str:
+    """Folders from the deepest level up, a CTE a level; their lines sorted by name."""
+    levels = []
+    for d in range(deepest, 0, -1):
+        here = f"SELECT dir, name, hash FROM f WHERE depth = {d}"
+        if d < deepest:
+            here += f" UNION ALL SELECT CASE WHEN contains(dir, '/') THEN regexp_replace(dir, '/[^/]*$', '') ELSE '.' END, regexp_extract(dir, '[^/]*$'), digest FROM d{d + 1}"
+        levels.append(f"d{d} AS MATERIALIZED (SELECT dir, sha256(string_agg(name || chr(9) || hash || chr(10), '' ORDER BY name, hash)) AS digest, count(*) AS entries FROM ({here}) GROUP BY dir)")
+    union = " UNION ALL ".join(f"SELECT * FROM d{d}" for d in range(1, deepest + 1))
+    return f"""WITH v AS (SELECT file_path AS path, min(sha256(code)) AS hash FROM verification_surfaces WHERE code IS NOT NULL AND file_path IS NOT NULL GROUP BY 1),
+f AS (SELECT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir, regexp_extract(path, '[^/]*$') AS name, hash, len(string_split(path, '/')) AS depth FROM v), {", ".join(levels)} {union}"""
+
+
 SQL = {
+    "folder_digests": _digests(),
     "code_symbols": f"WITH {SYMBOLS} SELECT path, name, kind, line, end_line, signature, enclosing, position FROM sym",
     "symbol_kinds": rf"""WITH {SYMBOLS}, w AS (SELECT kind, name, CASE WHEN regexp_matches(signature, '(^|[^\w$])type\s+\w+\s*(struct|interface)\b') THEN 'class' WHEN regexp_matches(signature, '^(export\s+)?(pub\s+)?type\s') THEN 'type'
   WHEN regexp_matches(signature, '^(export\s+|private\s+|internal\s+|pub\s+)*(const|let|var|val)\s') AND NOT regexp_matches(signature, '=>|\bfunction\b') THEN 'const'

@@ -72,7 +72,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
     return ranks
 
 
-def symbol_ranks(symbols: DataFrame, tokens: DataFrame, preferences: DataFrame | None = None, damping: float = 0.85, iterations: int = 20, cap: int = EDGE_CAP) -> DataFrame:
+def symbol_ranks(symbols: DataFrame, tokens: DataFrame, preferences: DataFrame | None = None, damping: float = 0.85, iterations: int = 20, cap: int = EDGE_CAP, every: int = 5) -> DataFrame:
     """(path, rank): the largest rank of each file's symbols, as ``pagerank`` over ``lexical_edges`` gives it, without making these edges.
 
     All symbols of a file have the targets of the file, but for those of their own name. So what a target gets from a file is
@@ -96,15 +96,21 @@ def symbol_ranks(symbols: DataFrame, tokens: DataFrame, preferences: DataFrame |
     # what a symbol would give to targets of its own name is taken back; few files declare a name that they have as a target
     own_links = checkpointed(links.join(base.where("weight > 0").select(F.col("id").alias("twin")), "twin", "left_semi").select("twin", "dst", "times"))
     ranks = kept.select("id", F.col("preference").alias("rank"))
-    for _ in range(iterations):
-        # used twice in a round, so it is written: a row a symbol
-        gives = checkpointed(kept.join(ranks, "id").where("weight > 0").select("id", "file", (F.col("rank") / F.col("weight")).alias("gives")))
+    held: list[DataFrame] = []
+    for n in range(1, iterations + 1):
+        # used twice in a round, so it is kept on the executors' disks: a row a symbol; a lost part is made again from the last checkpoint
+        gives = kept.join(ranks, "id").where("weight > 0").select("id", "file", (F.col("rank") / F.col("weight")).alias("gives")).persist(StorageLevel.DISK_ONLY)
+        held.append(gives)
         whole = gives.groupBy("file").agg(F.sum("gives").alias("_sum"))
-        flows = dealt.join(whole, "file").groupBy("dst").agg(F.sum(F.col("times") * F.col("_sum")).alias("_in"))
-        back = own_links.join(gives.select(F.col("id").alias("twin"), "gives"), "twin").groupBy("dst").agg(F.sum(F.col("times") * F.col("gives")).alias("_back"))
-        ranks = kept.join(flows.withColumnRenamed("dst", "id"), "id", "left").join(back.withColumnRenamed("dst", "id"), "id", "left")
-        ranks = ranks.select("id", ((1 - damping) * F.col("preference") + damping * (F.coalesce("_in", F.lit(0.0)) - F.coalesce("_back", F.lit(0.0)))).alias("rank"))
-    ranks = checkpointed(ranks)
+        flows = dealt.join(whole, "file").select("dst", (F.col("times") * F.col("_sum")).alias("_in"))
+        back = own_links.join(gives.select(F.col("id").alias("twin"), "gives"), "twin").select("dst", (-F.col("times") * F.col("gives")).alias("_in"))
+        got = flows.unionByName(back).groupBy(F.col("dst").alias("id")).agg(F.sum("_in").alias("_in"))  # added up in one shuffle
+        ranks = kept.join(got, "id", "left").select("id", ((1 - damping) * F.col("preference") + damping * F.coalesce("_in", F.lit(0.0))).alias("rank"))
+        if n % every == 0 or n == iterations:
+            ranks = checkpointed(ranks)
+            for one in held:
+                one.unpersist()
+            held.clear()
     kept.unpersist()
     dealt.unpersist()
     return base.join(ranks, "id").groupBy("path").agg(F.max("rank").alias("rank"))
@@ -135,16 +141,16 @@ def count_scores(symbols: DataFrame) -> DataFrame:
 
 
 def definition_references(defs: DataFrame, refs: DataFrame) -> DataFrame:
-    """(name, definition, references, reference_files): each name with the file that defines it last and the files that use it.
+    """(name, definition, reference_file, n_files): each name with the file that defines it last, a row a file that uses it, and how many do.
 
     ``defs``: path, name, position; ``refs``: path, name. Uses in a file that defines the name itself don't count, and names
-    without a use drop out.
+    without a use drop out. Rows, not lists: a name may be used by a third of all files.
     """
     local = defs.select("path", "name").distinct()
     used = refs.select("path", "name").distinct().join(local, ["path", "name"], "left_anti")
     last = defs.groupBy("name").agg(F.max_by("path", "position").alias("definition"))
-    by = used.groupBy("name").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_set("path")).alias("reference_files"))
-    return last.join(by, "name")
+    counted = last.join(used.groupBy("name").agg(F.count("*").alias("n_files")), "name")
+    return counted.join(used.select("name", F.col("path").alias("reference_file")), "name").select("name", "definition", "reference_file", "n_files")
 
 
 def imports(defs: DataFrame, refs: DataFrame) -> DataFrame:

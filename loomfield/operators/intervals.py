@@ -55,6 +55,24 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], block: int = 64) -> Da
     return joined.where(hit & once).drop("_block")
 
 
+def overlap_counts(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """(keys, start, end, overlapping): with how many distinct spans of its key each one shares a line, itself included; no pair is made.
+
+    A span misses those that end before it starts and those that start after it ends; both are running counts over the places of
+    starts and ends, of which a key has as many as lines, however many spans it has.
+    """
+    real = spans.where(F.col(start) <= F.col(end)).select(*keys, start, end).distinct().withColumn("_n", F.lit(1).cast("bigint"))
+    begin = real.groupBy(*keys, F.col(start).alias("_at")).agg(F.sum("_n").alias("_b"), F.lit(0).cast("bigint").alias("_e"))
+    close = real.groupBy(*keys, (F.col(end) + 1).alias("_at")).agg(F.lit(0).cast("bigint").alias("_b"), F.sum("_n").alias("_e"))
+    places = begin.unionByName(close).groupBy(*keys, "_at").agg(F.sum("_b").alias("_b"), F.sum("_e").alias("_e"))
+    w = Window.partitionBy(*keys).orderBy("_at")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    counted = places.select(*keys, "_at", F.coalesce(F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_begun"), F.sum("_e").over(upto).alias("_ended"))
+    starts = real.withColumn("_at", F.col(start)).join(counted.select(*keys, "_at", "_ended"), [*keys, "_at"]).drop("_at")
+    both = starts.withColumn("_at", F.col(end) + 1).join(counted.select(*keys, "_at", "_begun"), [*keys, "_at"])
+    return both.select(*keys, start, end, (F.col("_begun") - F.col("_ended")).alias("overlapping"))
+
+
 def containing(points: DataFrame, spans: DataFrame, keys: list[str], point: str = "line", label: str = "label", block: int = 64) -> DataFrame:
     """Each distinct point with the label of the innermost span that holds it, the latest start and then the earliest end; null without one.
 

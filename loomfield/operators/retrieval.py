@@ -337,6 +337,26 @@ def reachable(edges: DataFrame, start: DataFrame, most_steps: int = 16) -> DataF
     return seen
 
 
+def reachable_through(uses: DataFrame, defs: DataFrame, start: DataFrame, most_steps: int = 16) -> DataFrame:
+    """(id, steps): what files (id) can be reached from files by using (path, name) what others define (path, name).
+
+    Like ``reachable`` over all pairs of users and definers, which are never made: a step goes from files to the names that they use,
+    and from names that no step has used to the files that define them.
+    """
+    seen = checkpointed(start.select("id").distinct().withColumn("steps", F.lit(0)))
+    front, known = seen, None
+    for n in range(1, most_steps + 1):
+        names = uses.join(front.select(F.col("id").alias("path")), "path", "left_semi").select("name").distinct()
+        names = checkpointed(names if known is None else names.join(known, "name", "left_anti"))
+        known = names if known is None else known.unionByName(names)
+        nexts = defs.join(names, "name", "left_semi").select(F.col("path").alias("id")).distinct()
+        front = checkpointed(nexts.join(seen, "id", "left_anti").withColumn("steps", F.lit(n)))
+        if not front.limit(1).count():
+            break
+        seen = checkpointed(seen.unionByName(front))
+    return seen
+
+
 def pairs_by_stem(files: DataFrame, path: str = "path") -> DataFrame:
     """(header, source): C and C++ headers with the sources of the same folder and stem."""
     rows = files.select(F.col(path).alias("path"), tx.parent(F.col(path)).alias("dir"), F.regexp_replace(tx.basename(F.col(path)), r"\.[^.]*\z", "").alias("stem"), paths.extension(F.col(path)).alias("ext")).distinct()

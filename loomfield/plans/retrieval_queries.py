@@ -94,11 +94,9 @@ def closure_checks(spark: SparkSession, folder: str) -> DataFrame:
 def reachable_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files within three steps of use from the files of one folder."""
     h = table(spark, folder, "hop1_context").where("file_path is not null and search_token is not null")
-    defs = h.where("relation = 'definition'").select(F.col("file_path").alias("dst"), "search_token").distinct()
-    uses = h.where("relation = 'reference'").select(F.col("file_path").alias("src"), "search_token").distinct()
-    edges = checkpointed(uses.join(defs, "search_token").where("src <> dst").select("src", "dst").distinct())
+    named = lambda relation: h.where(F.col("relation") == relation).select(F.col("file_path").alias("path"), F.col("search_token").alias("name")).distinct()
     start = h.where(F.col("file_path").startswith("core/")).select(F.col("file_path").alias("id"))
-    return retrieval.reachable(edges, start, 3)
+    return retrieval.reachable_through(checkpointed(named("reference")), checkpointed(named("definition")), start, 3)
 
 
 def renamed_symbols(spark: SparkSession, folder: str) -> DataFrame:

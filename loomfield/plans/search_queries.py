@@ -67,7 +67,7 @@ def find_pattern(spark: SparkSession, folder: str) -> DataFrame:
 
 def find_groups(spark: SparkSession, folder: str) -> DataFrame:
     """The matching lines of each file together."""
-    return search.grouped(search.matching(code_lines(spark, folder), "lease")).select("path", "n", F.array_join("lines", ",").alias("lines"))
+    return search.grouped(search.matching(code_lines(spark, folder), "lease")).select("path", "line", "n")
 
 
 def find_snippets(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,7 +212,7 @@ FROM hop1_context WHERE search_token IS NOT NULL""",
     "find_pattern": rf"""WITH {LINES}
 SELECT path, line, strpos(text, regexp_extract(text, '(?i)def \w+lock')) AS start FROM code_lines WHERE regexp_matches(text, '(?i)def \w+lock')""",
     "find_groups": f"""WITH {LINES}
-SELECT path, count(*) AS n, string_agg(line, ',' ORDER BY line) AS lines FROM code_lines WHERE strpos(lower(text), 'lease') > 0 GROUP BY path""",
+SELECT path, line, count(*) OVER (PARTITION BY path) AS n FROM code_lines WHERE strpos(lower(text), 'lease') > 0""",
     "find_inventory": f"WITH {LINES} SELECT path, count(*) AS matches FROM code_lines WHERE strpos(lower(text), 'digest') > 0 GROUP BY path",
     "find_folders": rf"""WITH {LINES},
 counts AS (SELECT path, count(*) AS matches FROM code_lines WHERE strpos(lower(text), 'digest') > 0 GROUP BY path)

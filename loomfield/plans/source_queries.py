@@ -274,14 +274,16 @@ def style_properties(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def skeleton(spark: SparkSession, folder: str) -> DataFrame:
-    """A skeleton of the ten best files by declarations and of the first twenty folders, within 16,384 bytes: its size and digest."""
+    """A skeleton of the ten best files by declarations and of the first two hundred entries of folders, within 16,384 bytes: its size and digest."""
     w = table(spark, folder, "hop1_context").where("code is not null").select(F.concat("file_path", F.lit("@"), "hop_id").alias("path"), F.col("code").alias("content"))
     s = checkpointed(sy.symbols(w))
     best = graph.count_scores(s).orderBy(F.desc("score"), "path").limit(10)
     named = s.join(best, "path").groupBy("path", "score").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "signature"))), lambda x: x["signature"]).alias("sigs")).collect()  # ten files
-    dirs = trees.module_map(table(spark, folder, "served_surfaces").select(F.col("file_path").alias("path"))).orderBy("dir").limit(20).collect()
+    listed: dict[str, list[str]] = {}
+    for r in trees.module_map(table(spark, folder, "served_surfaces").select(F.col("file_path").alias("path"))).orderBy("dir", "child").limit(200).collect():
+        listed.setdefault(r["dir"], []).append(r["child"])
     ranked = sorted(((r["path"], r["score"], r["sigs"]) for r in named), key=lambda r: (-r[1], r[0]))
-    body, digest = logs.render_skeleton(ranked, [(d["dir"], d["children"]) for d in dirs], 16_384)
+    body, digest = logs.render_skeleton(ranked, list(listed.items()), 16_384)
     return spark.createDataFrame([(len(body.encode()), digest, body.count("\n"))], "bytes long, digest string, lines long")
 
 

@@ -26,7 +26,7 @@ def tree_top(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def module_map(spark: SparkSession, folder: str) -> DataFrame:
-    return trees.module_map(_paths(spark, folder)).select("dir", F.array_join("children", ",").alias("children"))
+    return trees.module_map(_paths(spark, folder))
 
 
 def folder_digests(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,9 +103,8 @@ def interval_complement(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def interval_overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct windows of the same file that share a line, each with itself too."""
-    spans = _spans(spark, folder).distinct()
-    return intervals.overlaps(spans, spans, ["file_path"])
+    """With how many distinct windows of its file each one shares a line, itself included."""
+    return intervals.overlap_counts(_spans(spark, folder).distinct(), ["file_path"])
 
 
 def text_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,7 +196,7 @@ def defined_and_used(spark: SparkSession, folder: str) -> DataFrame:
     h = table(spark, folder, "hop1_context").where("file_path is not null and search_token is not null")
     defs = h.where("relation = 'definition'").select(F.col("file_path").alias("path"), F.col("search_token").alias("name"), F.col("hop_id").alias("position"))
     refs = h.where("relation = 'reference'").select(F.col("file_path").alias("path"), F.col("search_token").alias("name"))
-    return graph.definition_references(defs, refs).select("name", "definition", "n_files", F.array_join("reference_files", ",").alias("reference_files"))
+    return graph.definition_references(defs, refs)
 
 
 def file_imports(spark: SparkSession, folder: str) -> DataFrame:
@@ -288,7 +287,7 @@ SELECT t.path AS src, d.path AS dst, CAST(count(*) AS DOUBLE) AS weight FROM tok
     "tree_top": f"WITH {_UP} SELECT dir, count(*) AS files FROM dirs WHERE i <= 2 GROUP BY dir",
     "module_map": f"""WITH {_PATHS}, up AS (SELECT parts, unnest(range(1, len(parts) + 1)) AS i FROM p),
 c AS (SELECT DISTINCT CASE WHEN i = 1 THEN '.' ELSE array_to_string(parts[1:i - 1], '/') END AS dir, parts[i] AS child FROM up)
-SELECT dir, string_agg(child, ',' ORDER BY child) AS children FROM c GROUP BY dir""",
+SELECT dir, child, count(*) OVER (PARTITION BY dir) AS children FROM c""",
     "folder_digests_flat": r"""SELECT source AS dir, sha256(string_agg(CAST(doc_id AS VARCHAR) || chr(9) || sha256(text) || chr(10), '' ORDER BY CAST(doc_id AS VARCHAR))) AS digest, count(*) AS entries
 FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY source""",
     "root_markers": f"""WITH {_UP}, m AS (SELECT path, dir FROM dirs WHERE regexp_matches(dir, '/(src|lib|internal|index)$'))
@@ -316,7 +315,7 @@ gaps AS (SELECT file_path, "end" + 1 AS a, coalesce(lead("start") OVER (PARTITIO
   UNION ALL SELECT file_path, 1, min("start") - 1 FROM t GROUP BY file_path)
 SELECT file_path, a AS "start", b AS "end" FROM gaps WHERE a <= b""",
     "interval_overlaps": f"""WITH {_SPANS.replace("{table}", "hop1_context")}, u AS (SELECT DISTINCT * FROM spans WHERE "start" <= "end")
-SELECT a.file_path, a."start" AS a_start, a."end" AS a_end, b."start" AS b_start, b."end" AS b_end FROM u a JOIN u b ON a.file_path = b.file_path AND a."start" <= b."end" AND a."end" >= b."start" """,
+SELECT a.file_path, a."start", a."end", count(*) AS overlapping FROM u a JOIN u b ON a.file_path = b.file_path AND a."start" <= b."end" AND a."end" >= b."start" GROUP BY ALL""",
     "text_chunks": r"""
 WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(strlen(text) AS BIGINT) AS n FROM documents WHERE strlen(text) > 0),
 c AS (SELECT path, n, unnest(range(0, n, 1600)) AS byte_start FROM d), b AS (SELECT path, byte_start, least(byte_start + 1600, n) AS byte_end FROM c)
@@ -342,7 +341,7 @@ r2 AS (SELECT n.id, 0.15 + 0.85 * coalesce(sum(x * r), 0) AS r FROM n LEFT JOIN
 r3 AS (SELECT n.id, 0.15 + 0.85 * coalesce(sum(x * r), 0) AS r FROM n LEFT JOIN (sh JOIN r2 ON r2.id = sh.src) ON sh.dst = n.id GROUP BY n.id)
 SELECT id, round(r, 12) AS rank FROM r3""",
     "defined_and_used": f"""WITH {_DEFREF}, l AS (SELECT name, arg_max(path, hop_id) AS definition FROM d GROUP BY name)
-SELECT l.name, l.definition, count(*) AS n_files, string_agg(r.path, ',' ORDER BY r.path) AS reference_files FROM l JOIN r USING (name) GROUP BY ALL""",
+SELECT l.name, l.definition, r.path AS reference_file, count(*) OVER (PARTITION BY l.name) AS n_files FROM l JOIN r USING (name)""",
     "file_imports": f"WITH {_DEFREF} SELECT DISTINCT r.path, d.path AS imported FROM r JOIN d USING (name) WHERE r.path <> d.path",
 }
 

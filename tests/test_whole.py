@@ -87,3 +87,38 @@ def test_selected_evidence_goes_on_past_a_round(spark, rows, monkeypatch):
     data = [("a", "t", 1, 90, False), ("a", "t", 2, 20, False), ("b", "t", 3, 50, False), (None, "t", 4, 0, True), ("a", "t", 5, 10, False), ("a", "t", 6, 0, True), ("c", None, 7, None, True), ("c", None, 8, None, False), ("d", "t", 9, 40, False)]
     got = rows(retrieval.selected_evidence(spark.createDataFrame(data, "concern string, class string, order_no int, bytes int, served boolean"), 2, 100, 180), "order_no")
     assert got == [(1,), (3,), (4,), (5,), (7,)]
+
+
+def test_files_reached_through_names_are_those_of_all_pairs(spark, rows):
+    import random
+
+    random.seed(6)
+    files, names = [f"f{n}" for n in range(30)], [f"n{n}" for n in range(25)]
+    uses = sorted({(random.choice(files), random.choice(names)) for _ in range(40)})
+    defs = sorted({(random.choice(files), random.choice(names)) for _ in range(30)})
+    u, d = spark.createDataFrame(uses, "path string, name string"), spark.createDataFrame(defs, "path string, name string")
+    start = spark.createDataFrame([("f0",), ("f1",), ("f0",)], "id string")
+    edges = spark.createDataFrame(sorted({(a, b) for a, n in uses for b, m in defs if n == m and a != b}), "src string, dst string")
+    want = rows(retrieval.reachable(edges, start, 4))
+    assert rows(retrieval.reachable_through(u, d, start, 4)) == want and len(want) > 3
+
+
+def test_verification_and_includes(spark, rows):
+    edited = spark.createDataFrame([("a/m/src/lease.ts",), ("a/m/src/other.ts",), ("b/m/src/lease.ts",), (None,)], "path string")
+    data = [("a/m/t/lease.test.ts", "test", ["src/lease.ts"]), ("a/m/t/x.spec.ts", "test", ["m/src/other.ts", "other.ts"]), ("a/m/mocks/other_mock.ts", "mock", None), ("a/m/src/lease.ts", "test", [])]
+    surfaces = spark.createDataFrame(data, "path string, role string, refs array<string>")
+    assert rows(retrieval.verification(edited, surfaces)) == [
+        ("a/m/src/lease.ts", "a/m/t/lease.test.ts", "test", "reference"), ("a/m/src/other.ts", "a/m/mocks/other_mock.ts", "mock", "stem"), ("a/m/src/other.ts", "a/m/t/x.spec.ts", "test", "reference"), ("b/m/src/lease.ts", "a/m/t/lease.test.ts", "test", "reference"),
+    ]
+    files = spark.createDataFrame([("a/x.h",), ("a/b/y.h",), ("c/b/y.h",), ("d/z/only.h",)], "path string")
+    asked = spark.createDataFrame([("a/m.c", "x.h"), ("a/b/n.c", "../x.h"), ("a/b/n.c", "./y.h"), ("q/r.c", "b/y.h"), ("q/r.c", "z/only.h"), ("q/r.c", "none.h"), ("q/r.c", None)], "path string, target string")
+    assert rows(retrieval.includes(asked, files)) == [("a/b/n.c", "../x.h", "a/x.h"), ("a/b/n.c", "./y.h", "a/b/y.h"), ("a/m.c", "x.h", "a/x.h"), ("q/r.c", "b/y.h", None), ("q/r.c", "none.h", None), ("q/r.c", "z/only.h", "d/z/only.h")]
+
+
+def test_dialects_of_records_of_any_number(spark, rows):
+    data = [(1, n, "a;b" if n == 1 else f"{n};x") for n in range(1, 400)] + [(2, 1, "q"), (2, 2, ""), (3, 1, None), (4, 1, "1|2|3"), (4, 25, "1|2|3|4")]
+    r = spark.createDataFrame(data, "file_id long, row_no int, raw_record string")
+    f = spark.createDataFrame([(n, "csv") for n in range(1, 5)], "file_id long, ext string")
+    from loomfield.sources import delimited
+
+    assert rows(delimited.record_dialects(r, f)) == [(1, ";", True, 398, 2), (2, ",", True, 0, 1), (4, "|", False, 2, 4)]

@@ -34,6 +34,11 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
+def body_tokens(line: Column, end_line: Column) -> Column:
+    """An estimate of the tokens of a body by its lines, at least 1."""
+    return F.greatest(F.lit(1).cast("bigint"), (end_line - line + 1) * 8)
+
+
 def tokens_by_words(text: Column) -> Column:
     """1.33 tokens a word, rounded up."""
     return F.ceil(word_count(text) * F.lit(1.33)).cast("bigint")

@@ -18,11 +18,13 @@ from loomfield.session import spread
 
 def bare_outline(text: str, language: str, profile: str = "full") -> str:
     """A file without the bodies of its functions. Profiles: full (imports, types and signatures), class-map (types only), symbol-map (names and
-    lines)."""
+    lines), doc-map (names with the first line of their documentation)."""
     found = sy.extract(text, language)
     lines = re.split(r"\r\n|\r|\n", text)
     if profile == "symbol-map":
         return "\n".join(f"{s[0]} L{s[2]}-{s[3]}" for s in found)
+    if profile == "doc-map":
+        return "\n".join(f"{s[0]} L{s[2]}-{s[3]}" + (f": {s[6].splitlines()[0]}" if s[6] else "") for s in found)
     out = []
     if profile == "full":
         out += [x.rstrip() for x in lines[:60] if re.match(r"\s*(?:import\b|from\s+\S+\s+import|using\s|use\s|#include|require\b|package\s)", x)][:12]

@@ -53,6 +53,13 @@ def folder_digests(files: DataFrame, path: str = "path", content_hash: str = "ha
     return out
 
 
+def stale(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(stale): whether the root's digest is another than before, or there was none: one row, so that what is fresh need not be written."""
+    root = lambda df, name: df.where("dir = '.'").agg(F.max("digest").alias(name))
+    both = root(before, "_a").unionByName(root(now, "_b"), allowMissingColumns=True).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    return both.select((~F.col("_a").eqNullSafe(F.col("_b")) | F.col("_a").isNull()).alias("stale"))
+
+
 def roots_of(files: DataFrame, markers: DataFrame, path: str = "path", root: str = "root") -> DataFrame:
     """Each path with the longest marker folder above it; null without one. An equi-join on ancestors, no prefix scan."""
     paths = files.select(path).distinct()

@@ -15,10 +15,11 @@ from loomfield.functions import paths
 from loomfield.operators import graph, outline, source, trees, usage
 from loomfield.operators import symbols as sy
 from loomfield.session import checkpointed, spread, table
-from loomfield.sources import files, logs, office, repository
+from loomfield.sources import files, logs, office, pdf, repository
 from loomfield.streaming import runner
 
-RULES = (*files.DEFAULT_IGNORES, "vendor/", "*.pb.*")
+RULES = (*files.DEFAULT_IGNORES, "*.pb.*")
+LAYERS = {"gitignore": ("vendor/", "third_party/"), "tool": ("**/mocks/",)}
 
 
 def _listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,18 +28,18 @@ def _listing(spark: SparkSession, folder: str) -> DataFrame:
     last = s.groupBy(F.col("file_path").alias("path")).agg(F.max_by("fingerprint", F.struct("served_at", "surface_id")).alias("f"))
     sized = last.select("path", F.split_part("f", F.lit(":"), F.lit(1)).cast("bigint").alias("size_bytes"))
     v = table(spark, folder, "verification_surfaces").groupBy(F.col("file_path").alias("path")).agg(F.max("code").alias("code"))
-    return sized.join(v, "path", "left").select("path", "size_bytes", F.encode(F.coalesce("code", F.lit("x")), "UTF-8").alias("content"))
+    return sized.join(v, "path", "left").select("path", "size_bytes", F.encode(F.coalesce("code", F.lit("x")), "UTF-8").alias("content")).withColumn("size_bytes", F.when(F.col("size_bytes") > files.MOST_BYTES, F.col("size_bytes")).otherwise(F.length("content")))
 
 
 def classified_files(spark: SparkSession, folder: str) -> DataFrame:
     """Which files of a listing are left out, and why; and which are sources apart from build output."""
-    c = files.classified(_listing(spark, folder), rules=RULES)
+    c = files.classified(_listing(spark, folder), rules=RULES, **LAYERS)
     lifted = files.lifted(F.col("path"), list(RULES), [".git/"], "core")
     return c.select("path", F.coalesce("language", F.lit("")).alias("language"), "text_only", F.coalesce("omission", F.lit("")).alias("omission"), files.source_only(F.col("path")).alias("source_only"), lifted.alias("lifted"))
 
 
 def omission_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return files.omissions(_listing(spark, folder), rules=RULES)
+    return files.omissions(_listing(spark, folder), rules=RULES, **LAYERS)
 
 
 def text_probe(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,6 +180,10 @@ def workbook_roster(spark: SparkSession, folder: str) -> DataFrame:
     return office.roster(_cells(spark, folder), "book")
 
 
+def workbook_preview(spark: SparkSession, folder: str) -> DataFrame:
+    return office.preview(_cells(spark, folder).where("col <> 3"), "book")
+
+
 def workbook_types(spark: SparkSession, folder: str) -> DataFrame:
     return office.sheet_types(_cells(spark, folder), "book")
 
@@ -216,7 +221,8 @@ def _slides(region: str, nations) -> bytes:
     return _zipped({
         "ppt/presentation.xml": f'<p:presentation {space} xmlns:r="{relations}"><p:sldIdLst><p:sldId r:id="r1"/><p:sldId r:id="r2"/></p:sldIdLst></p:presentation>',
         "ppt/_rels/presentation.xml.rels": '<Relationships><Relationship Id="r1" Target="slides/slide1.xml"/><Relationship Id="r2" Target="slides/slide2.xml"/></Relationships>',
-        "ppt/slides/slide1.xml": slide(shape("title", region) + "".join(shape("body", n) for n in nations)), "ppt/slides/slide2.xml": slide(f"<a:tbl><a:tr>{row}</a:tr></a:tbl>"),
+        "ppt/slides/slide1.xml": slide(shape("title", region) + "".join(shape("body", n) for n in nations) + f'<p:pic><p:nvPicPr><p:cNvPr id="9" name="x" descr="Map of {escape(region)}"/></p:nvPicPr><p:blipFill><a:blip xmlns:r="{relations}" r:embed="m1"/></p:blipFill></p:pic>'),
+        "ppt/slides/_rels/slide1.xml.rels": '<Relationships><Relationship Id="m1" Target="../media/map.png"/></Relationships>', "ppt/slides/slide2.xml": slide(f"<a:tbl><a:tr>{row}</a:tr></a:tbl>"),
         "ppt/charts/chart1.xml": '<c:chartSpace xmlns:c="c"><c:chart><c:plotArea><c:barChart><c:ser><c:tx><c:v>' + escape(region) + "</c:v></c:tx><c:cat>" + "".join(f"<c:pt><c:v>{n}</c:v></c:pt>" for n in nations) + "</c:cat><c:val>" + "".join(f"<c:pt><c:v>{len(n)}</c:v></c:pt>" for n in nations) + "</c:val></c:ser></c:barChart></c:plotArea></c:chart></c:chartSpace>",
     })
 
@@ -237,12 +243,30 @@ def chart_points(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [(k, kind, series, c, float(v)) for k, d in zip(b["r_name"], b["content"], strict=True) for _, kind, _, series, cats, vals in office.charts(bytes(d)) for c, v in zip(cats, vals, strict=True)]
+            rows = [(k, kind, series, c, office.scalar(v)) for k, d in zip(b["r_name"], b["content"], strict=True) for _, kind, _, series, cats, vals in office.charts(bytes(d)) for c, v in zip(cats, vals, strict=True)]
             yield pd.DataFrame(rows, columns=["r_name", "kind", "series", "category", "value"])
 
     return _shows(spark, folder).mapInPandas(run, "r_name string, kind string, series string, category string, value double")
 
 
+def shown_media(spark: SparkSession, folder: str) -> DataFrame:
+    """The pictures of presentations with their alternative texts."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([(k, *m) for k, d in zip(b["r_name"], b["content"], strict=True) for m in office.media(bytes(d))], columns=["r_name", "part", "target", "alt_text"])
+
+    return _shows(spark, folder).mapInPandas(run, "r_name string, part string, target string, alt_text string")
+
+
+def pdf_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written as PDF files of two pages, one of them empty, and read again."""
+    p = table(spark, folder, "pdf_pages").where("length(page_text) > 0")
+    made = _office(p, "page_id", "a.pdf", lambda t: pdf.written([t.replace("\r\n", "\n"), ""]), "page_text")
+    out = pdf.page_texts(made, "page_id")
+    return out.select("page_id", "page_no", F.sha2("page_text", 256).alias("text_sha"), "problem")
+
+
 def _archives(spark: SparkSession, folder: str) -> DataFrame:
     """An archive a piece of evidence, with its text under its path, one under a path that climbs up, and some bytes."""
     e = table(spark, folder, "query_evidence").where("file_path is not null and content_text is not null")
@@ -295,13 +319,13 @@ def package_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("root", "name", "version", F.array_join("commands", ",").alias("commands"))
 
 
-QUERIES = {f.__name__: f for f in (classified_files, omission_counts, text_probe, header_languages, usage_event_files, session_logs, last_reset, index_files, scip_definitions, scip_imports, diff_hunks, recent_files, workbook_rows, workbook_roster, workbook_types, document_texts, slide_texts, chart_points, archive_members, archive_ranking, style_properties, skeleton, package_files)}
+QUERIES = {f.__name__: f for f in (classified_files, omission_counts, text_probe, header_languages, usage_event_files, session_logs, last_reset, index_files, scip_definitions, scip_imports, diff_hunks, recent_files, workbook_rows, workbook_roster, workbook_preview, workbook_types, document_texts, slide_texts, chart_points, shown_media, pdf_texts, archive_members, archive_ranking, style_properties, skeleton, package_files)}
 
 _LIST = r"""s AS (SELECT file_path AS path, arg_max(fingerprint, (served_at, surface_id)) AS f FROM served_surfaces WHERE file_path IS NOT NULL AND regexp_matches(fingerprint, '^[0-9]+:[0-9]+$') GROUP BY 1),
 l AS (SELECT path, CAST(split_part(f, ':', 1) AS BIGINT) AS size, lower(regexp_extract(path, '[^/][.]([A-Za-z0-9]+)$', 1)) AS ext FROM s),
 c AS (SELECT *, """ + "CASE ext " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in paths.LANGUAGES.items()) + r""" ELSE '' END AS language, ext IN ('md', 'json', 'yaml', 'yml', 'toml', 'txt', 'css') AS plain, regexp_matches(path, '(^|/)[.]git/') AS firm,
-  regexp_matches(path, '(^|/)(node_modules|[.]git|dist|build|out|coverage|target|[.]next|__pycache__|vendor)/|[^/]*[.](min[.]js|lock|map)(/|$)|[.]pb[.][^/]*(/|$)') AS hidden FROM l),
-o AS (SELECT *, CASE WHEN hidden THEN 'ignored' WHEN regexp_matches(path, '(?i)(^|/)([.]env([.]|$)|id_rsa|[^/]*[.](pem|key|p12|pfx)$)') THEN 'secrets' WHEN size > 1000000 THEN 'oversize' WHEN language = '' AND NOT plain THEN 'non_text' ELSE '' END AS omission FROM c)"""
+  regexp_matches(path, '(^|/)(node_modules|[.]git|dist|build|out|coverage|target|[.]next|__pycache__)/|[^/]*[.](min[.]js|lock|map)(/|$)|[.]pb[.][^/]*(/|$)') AS hidden FROM l),
+o AS (SELECT *, CASE WHEN hidden THEN 'ignored' WHEN regexp_matches(path, '(^|/)(vendor|third_party)/') THEN 'gitignored' WHEN regexp_matches(path, '(^|/)mocks/') THEN 'tool-ignored' WHEN regexp_matches(path, '(?i)(^|/)([.]env([.]|$)|id_rsa|[^/]*[.](pem|key|p12|pfx)$)') THEN 'secrets' WHEN size > 1000000 THEN 'oversize' WHEN language = '' AND NOT plain THEN 'non_text' ELSE '' END AS omission FROM c)"""
 _EV = "e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE ts IS NOT NULL)"
 _SUP = "s AS (SELECT s_nationkey AS book, s_suppkey AS k, s_name AS n, round(s_acctbal, 2) AS b, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) + 1 AS r FROM supplier WHERE s_nationkey IS NOT NULL)"
 _ARC = """a AS (SELECT evidence_id, file_path AS p, content_text AS t FROM query_evidence WHERE file_path IS NOT NULL AND content_text IS NOT NULL)"""
@@ -328,12 +352,16 @@ SELECT path, 'modified' AS status, a AS old_start, b - a + 1 AS old_lines, a + 1
 SELECT DISTINCT file_path AS path FROM s WHERE pack_id IN (SELECT pack_id FROM p)""",
     "workbook_rows": f"WITH {_SUP} SELECT book, r AS row, CAST(k AS VARCHAR) AS key, n AS name, b AS balance FROM s WHERE r <= 5",
     "workbook_roster": f"WITH {_SUP} SELECT book, 'Suppliers' AS sheet, false AS hidden, max(r) AS rows, 3 AS cols, 3 * count(*) + 3 AS cells, true AS fullest FROM s GROUP BY book",
+    "workbook_preview": f"""WITH {_SUP} SELECT book, 'Suppliers' AS sheet, CAST(r + 1 AS INTEGER) AS line_no, '| ' || k || ' | ' || n || ' |' AS line FROM s WHERE r <= 6
+UNION ALL SELECT DISTINCT book, 'Suppliers', 1, '| key | name |' FROM s UNION ALL SELECT DISTINCT book, 'Suppliers', 2, '| number | string |' FROM s""",
     "workbook_types": f"WITH {_SUP}, b AS (SELECT DISTINCT book FROM s) SELECT book, 'Suppliers' AS sheet, col, ['key', 'name', 'balance'][col] AS header, ['number', 'string', 'number'][col] AS kind FROM b, range(1, 4) t(col)",
     "document_texts": r"""WITH d AS (SELECT docx_id, unnest(sections) AS s, unnest(range(len(sections))) AS i FROM docx_artifacts WHERE len(sections) > 0),
 t AS (SELECT docx_id, i, 0 AS k, CASE WHEN trim(s.heading) <> '' THEN '## ' || s.heading END AS t FROM d UNION ALL SELECT docx_id, i, 1, CASE WHEN regexp_matches(s.body_text, '\S') THEN regexp_replace(replace(s.body_text, chr(13), ''), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') END FROM d)
 SELECT docx_id, sha256(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i, k), '')) AS text_sha, '' AS problem, false AS truncated FROM t GROUP BY docx_id""",
     "slide_texts": """WITH n AS (SELECT r_name, list_sort(list(n_name)) AS l FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)
 SELECT r_name, '## Slide 1' || chr(10) || chr(10) || '### ' || r_name || chr(10) || chr(10) || array_to_string(l, chr(10) || chr(10)) || chr(10) || chr(10) || '## Slide 2' || chr(10) || chr(10) || l[1] || ' | ' || l[2] AS text, false AS truncated FROM n""",
+    "shown_media": "SELECT r_name, 'ppt/slides/slide1.xml' AS part, 'ppt/media/map.png' AS target, 'Map of ' || r_name AS alt_text FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)",
+    "pdf_texts": "SELECT page_id, 1 AS page_no, sha256(replace(page_text, chr(13) || chr(10), chr(10))) AS text_sha, CASE WHEN regexp_matches(page_text, '\\S') THEN '' ELSE 'no-text-layer' END AS problem FROM pdf_pages WHERE length(page_text) > 0 UNION ALL SELECT page_id, 2, sha256(''), CASE WHEN regexp_matches(page_text, '\\S') THEN '' ELSE 'no-text-layer' END FROM pdf_pages WHERE length(page_text) > 0",
     "chart_points": "SELECT r_name, 'bar' AS kind, r_name AS series, n_name AS category, CAST(length(n_name) AS DOUBLE) AS value FROM nation JOIN region ON n_regionkey = r_regionkey",
     "archive_members": f"WITH {_ARC} SELECT evidence_id, p AS member, strlen(t) AS size, '' AS problem, length(t) AS n_chars FROM a UNION ALL SELECT evidence_id, '../' || p, 1, 'unsafe-name', NULL FROM a UNION ALL SELECT evidence_id, 'x.bin', 3, 'binary', NULL FROM a",
     "archive_ranking": f"WITH {_ARC}, s AS (SELECT evidence_id, p AS member, {_HIT.format(w='lease')} + {_HIT.format(w='router')} AS score FROM a) SELECT * FROM s WHERE score >= 4",

@@ -36,6 +36,16 @@ def folder_digests(spark: SparkSession, folder: str) -> DataFrame:
     return trees.folder_digests(files.withColumnRenamed("file_path", "path"))
 
 
+def stale_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether an index of files would have to be written again: after nothing, and after the files of one folder changed."""
+    v = table(spark, folder, "verification_surfaces").where("code is not null and file_path is not null")
+    digests = lambda code: trees.folder_digests(v.groupBy(F.col("file_path").alias("path")).agg(F.min(F.sha2(code, 256)).alias("hash")))
+    before = checkpointed(digests(F.col("code")).where("dir = '.'"))
+    changed = digests(F.when(F.col("file_path").startswith("core/"), F.concat("code", F.lit(" "))).otherwise(F.col("code")))
+    same, other = (trees.stale(before, x).select(F.lit(n).alias("change"), "stale") for n, x in (("none", digests(F.col("code"))), ("core", changed)))
+    return same.unionByName(other)
+
+
 def folder_digests_flat(spark: SparkSession, folder: str) -> DataFrame:
     """One level: the digest of each source's documents."""
     d = table(spark, folder, "documents").where("source is not null and text is not null")
@@ -138,7 +148,7 @@ def column_letters(spark: SparkSession, folder: str) -> DataFrame:
 
 def code_symbols(spark: SparkSession, folder: str) -> DataFrame:
     """Declarations of all windows."""
-    return symbols.symbols(windows(spark, folder)).drop("doc")
+    return symbols.symbols(windows(spark, folder)).drop("doc").withColumn("body_tokens", tx.body_tokens(F.col("line"), F.col("end_line")))
 
 
 def symbol_kinds(spark: SparkSession, folder: str) -> DataFrame:
@@ -208,7 +218,7 @@ def file_imports(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (tree_counts, tree_top, module_map, folder_digests, folder_digests_flat, root_markers, dominant_root, cluster_root, surface_coverage, basename_frequency, snapshot_actions, interval_union, interval_complement, interval_overlaps, text_chunks, line_offsets, text_digests, compressed_text, column_letters, code_symbols, symbol_kinds, find_symbols, file_graph, ranked_files, folder_ranks, defined_and_used, file_imports)
+    for f in (tree_counts, tree_top, module_map, folder_digests, folder_digests_flat, stale_index, root_markers, dominant_root, cluster_root, surface_coverage, basename_frequency, snapshot_actions, interval_union, interval_complement, interval_overlaps, text_chunks, line_offsets, text_digests, compressed_text, column_letters, code_symbols, symbol_kinds, find_symbols, file_graph, ranked_files, folder_ranks, defined_and_used, file_imports)
 }
 
 _PATHS = "p AS (SELECT DISTINCT file_path AS path, string_split(file_path, '/') AS parts FROM served_surfaces WHERE file_path IS NOT NULL)"
@@ -269,7 +279,8 @@ f AS (SELECT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$',
 
 SQL = {
     "folder_digests": _digests(),
-    "code_symbols": f"WITH {SYMBOLS} SELECT path, name, kind, line, end_line, signature, enclosing, position FROM sym",
+    "stale_index": "SELECT 'none' AS change, false AS stale UNION ALL SELECT 'core', EXISTS (SELECT 1 FROM verification_surfaces WHERE code IS NOT NULL AND starts_with(file_path, 'core/'))",
+    "code_symbols": f"WITH {SYMBOLS} SELECT path, name, kind, line, end_line, signature, enclosing, position, greatest(1, (end_line - line + 1) * 8) AS body_tokens FROM sym",
     "symbol_kinds": rf"""WITH {SYMBOLS}, w AS (SELECT kind, name, CASE WHEN regexp_matches(signature, '(^|[^\w$])type\s+\w+\s*(struct|interface)\b') THEN 'class' WHEN regexp_matches(signature, '^(export\s+)?(pub\s+)?type\s') THEN 'type'
   WHEN regexp_matches(signature, '^(export\s+|private\s+|internal\s+|pub\s+)*(const|let|var|val)\s') AND NOT regexp_matches(signature, '=>|\bfunction\b') THEN 'const'
   WHEN regexp_matches(signature, '^[^(=]*\b(class|struct|interface|enum|trait|record|object|module|union|namespace)\s') AND kind NOT IN ('function', 'method') THEN 'class' ELSE 'function' END AS said FROM sym)

@@ -126,20 +126,27 @@ def is_text(content: Column) -> Column:
     return F.is_valid_utf8(text) & (F.locate("\0", text) == 0)
 
 
-def classified(files: DataFrame, rules: Iterable[str] = DEFAULT_IGNORES, protected: Iterable[str] = (".git/",), secret: str | None = r"(?i)(?:^|/)(?:\.env(?:\.|\z)|id_rsa|[^/]*\.(?:pem|key|p12|pfx)\z)", full: bool = False) -> DataFrame:
+def classified(files: DataFrame, rules: Iterable[str] = DEFAULT_IGNORES, protected: Iterable[str] = (".git/",), secret: str | None = r"(?i)(?:^|/)(?:\.env(?:\.|\z)|id_rsa|[^/]*\.(?:pem|key|p12|pfx)\z)", full: bool = False, gitignore: Iterable[str] = (), tool: Iterable[str] = ()) -> DataFrame:
     """Adds language and ``omission``: why a file is left out, null for one that is kept.
 
-    In order: ignored, secrets, oversize, non_text. ``full`` keeps what rules ignore, but not what the protected layer does. What
-    counts as a secret's path is a parameter.
+    In order: symlinks (if there is a column is_link), ignored (the rules that always hold), gitignored, tool-ignored, secrets, oversize,
+    changed (content of another size than was listed, so read while it was written), non_text. ``full`` keeps what rules ignore, but not what
+    the protected layer does. What counts as a secret's path is a parameter.
     """
     path = F.col("path")
     lang = paths.language(path)
     known = lang.isNotNull() | paths.extension(path).isin(*TEXT_EXTENSIONS)
-    hidden = ignored(path, [] if full else list(rules), list(protected))
-    why = F.when(hidden, "ignored")
+    why = F.when(F.coalesce(F.col("is_link"), F.lit(False)), "symlinks") if "is_link" in files.columns else F.when(F.lit(False), "")
+    why = why.when(ignored(path, [] if full else list(rules), list(protected)), "ignored")
+    for layer, name in ((list(gitignore), "gitignored"), (list(tool), "tool-ignored")):
+        if layer and not full:
+            why = why.when(ignored(path, layer), name)
     if secret:
         why = why.when(path.rlike(secret), "secrets")
-    why = why.when(F.col("size_bytes") > MOST_BYTES, "oversize").when(~known, "non_text")
+    why = why.when(F.col("size_bytes") > MOST_BYTES, "oversize")
+    if "content" in files.columns:
+        why = why.when(F.length("content") != F.col("size_bytes"), "changed")
+    why = why.when(~known, "non_text")
     if "content" in files.columns:
         why = why.when(~is_text(F.col("content")), "non_text")
     return files.withColumn("language", lang).withColumn("text_only", lang.isNull() & known).withColumn("omission", why)

@@ -289,6 +289,28 @@ def charts(data: bytes, most: int = 32, most_series: int = 16, most_points: int
                 yield part, kind, title, (points["tx"] or [""])[0], points["cat"] or points["xVal"], points["val"] or points["yVal"]
 
 
+def media(data: bytes, most: int = 100) -> Iterator[tuple[str, str, str]]:
+    """(part, target, alternative text) of each picture that a part of a package shows, in the order of the parts."""
+    found = 0
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for part in sorted(n for n in z.namelist() if re.search(r"^(?:word|ppt/slides|xl/drawings)/[^/]+\.xml$", n)):
+            root, targets = _xml(z, part), _relations(z, part)
+            for node in root.iter() if root is not None else ():
+                if _tag(node) != "pic":
+                    continue
+                refs = [v for x in node.iter() if _tag(x) == "blip" for k, v in x.attrib.items() if k.endswith("}embed")]
+                if not refs or found >= most:
+                    continue
+                text = next((x.get("descr") or x.get("title") or "" for x in node.iter() if _tag(x) in ("cNvPr", "docPr")), "")
+                found += 1
+                yield part, targets.get(refs[0], ""), text
+
+
+def scalar(value: str) -> float | str:
+    """A chart's point: a number if it is written as one, else the text."""
+    return float(value) if re.fullmatch(r"\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*", value) else value
+
+
 def kind_of(path: str) -> str | None:
     m = re.search(r"\.(docx|xlsx|pptx|pdf)\Z", path.lower())
     return m[1] if m else None
@@ -393,3 +415,19 @@ def sheet_types(cells: DataFrame, key: str) -> DataFrame:
 
     numbered = cells.withColumn("_r", F.dense_rank().over(Window.partitionBy(key, "sheet").orderBy("row"))).where("_r <= 2")
     return numbered.groupBy(key, "sheet", "col").agg(F.max(F.when(F.col("_r") == 1, F.col("value"))).alias("header"), F.max(F.when(F.col("_r") == 2, F.col("kind"))).alias("kind"))
+
+
+def preview(cells: DataFrame, key: str, rows: int = 5, columns: int = 50, most_cells: int = 1_000_000) -> DataFrame:
+    """(key, sheet, line_no, line): a sheet as a table: its first row, the kinds of its second, and up to so many rows, of the first columns.
+
+    Sheets that reach over more than ``most_cells`` places are left out; empty cells are empty.
+    """
+    extent = cells.groupBy(key, "sheet").agg(F.max("row").alias("_rows"), F.least(F.max("col"), F.lit(columns)).cast("int").alias("_cols"), F.max("col").alias("_all"), F.min("row").alias("_first"))
+    wide = extent.where(F.col("_rows") * F.col("_all") <= most_cells)
+    near = cells.where(F.col("col") <= columns).join(wide, [key, "sheet"]).where(F.col("row") <= F.col("_first") + rows)
+    by = near.groupBy(key, "sheet", "row", "_cols", "_first").agg(F.map_from_entries(F.collect_list(F.struct("col", F.struct("value", "kind")))).alias("_m"))  # at most ``columns``
+    line = lambda field: F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(1), F.col("_cols")), lambda c: F.coalesce(F.try_element_at("_m", c.cast("bigint"))[field], F.lit(""))), " | "), F.lit(" |"))
+    offset = F.col("row") - F.col("_first")
+    told = by.select(key, "sheet", F.when(offset == 0, 1).otherwise(offset + 2).cast("int").alias("line_no"), line("value").alias("line"))
+    kinds = by.where(offset == 1).select(key, "sheet", F.lit(2).alias("line_no"), line("kind").alias("line"))
+    return told.unionByName(kinds)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from loomfield.session import checkpointed
 
 #: A source has at most so many targets.
 EDGE_CAP = 50
+#: Symbols and links that one task can rank in memory: some hundred megabytes.
+SMALL = 2_000_000
 
 
 def targets(symbols: DataFrame, tokens: DataFrame, cap: int = EDGE_CAP) -> DataFrame:
@@ -72,13 +76,41 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
     return ranks
 
 
-def symbol_ranks(symbols: DataFrame, tokens: DataFrame, preferences: DataFrame | None = None, damping: float = 0.85, iterations: int = 20, cap: int = EDGE_CAP, every: int = 5) -> DataFrame:
+def _ranks_in_one_task(base: DataFrame, links: DataFrame, damping: float, iterations: int) -> DataFrame:
+    """(id, rank) by rounds over arrays; for graphs whose size has been checked."""
+
+    def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.drop_duplicates("id").sort_values("id", ignore_index=True)
+        ids, preference, weight = nodes["id"].to_numpy(), nodes["preference"].to_numpy(), nodes["weight"].to_numpy()
+        files, file_of = np.unique(nodes["file"].to_numpy(), return_inverse=True)
+
+        def places(of: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(of, values), max(0, len(of) - 1))
+            return at, of[at] == values if len(of) else np.zeros(len(values), dtype=bool)
+
+        (source, known), (target, there), (twin, own) = places(files, edges["file"].to_numpy()), places(ids, edges["dst"].to_numpy()), places(ids, edges["twin"].to_numpy())
+        times, known, own = edges["times"].to_numpy(), known & there, own & there
+        rank = preference.copy()
+        for _ in range(iterations):
+            gives = np.divide(rank, weight, out=np.zeros_like(rank), where=weight > 0)
+            whole = np.bincount(file_of, gives, len(files))
+            got = np.bincount(target[known], times[known] * whole[source[known]], len(ids)) - np.bincount(target[own], times[own] * gives[twin[own]], len(ids))
+            rank = (1 - damping) * preference + damping * got
+        return pd.DataFrame({"id": ids, "rank": rank})
+
+    one = F.lit(1).alias("_one")
+    nodes, edges = base.select(one, "id", "file", "preference", "weight"), links.select(one, "file", "twin", "dst", "times")
+    return nodes.groupBy("_one").cogroup(edges.groupBy("_one")).applyInPandas(run, "id bigint, rank double")
+
+
+def symbol_ranks(symbols: DataFrame, tokens: DataFrame, preferences: DataFrame | None = None, damping: float = 0.85, iterations: int = 20, cap: int = EDGE_CAP, every: int = 5, small: int = SMALL) -> DataFrame:
     """(path, rank): the largest rank of each file's symbols, as ``pagerank`` over ``lexical_edges`` gives it, without making these edges.
 
     All symbols of a file have the targets of the file, but for those of their own name. So what a target gets from a file is
     the sum over the file's symbols, less what the symbol of the target's name would give: a round needs a row a file and
     target, not a row a symbol and target. Symbols are numbered by 64-bit hashes of path and name. ``preferences``: path,
-    preference; 1 without.
+    preference; 1 without. A graph of at most ``small`` symbols and links, which are counted, is ranked by one task in memory, a larger
+    one by rounds of joins; both add up the same sums.
     """
     node = lambda path, name: F.xxhash64(F.col(path), F.col(name))
     own = symbols.select("path", "name").distinct()
@@ -95,6 +127,11 @@ def symbol_ranks(symbols: DataFrame, tokens: DataFrame, preferences: DataFrame |
     dealt = links.repartition("file").persist(StorageLevel.DISK_ONLY)
     # what a symbol would give to targets of its own name is taken back; few files declare a name that they have as a target
     own_links = checkpointed(links.join(base.where("weight > 0").select(F.col("id").alias("twin")), "twin", "left_semi").select("twin", "dst", "times"))
+    if base.count() + links.count() <= small:  # both are written, so counting them is cheap
+        ranks = _ranks_in_one_task(base, links, damping, iterations)
+        kept.unpersist()
+        dealt.unpersist()
+        return base.join(ranks, "id").groupBy("path").agg(F.max("rank").alias("rank"))
     ranks = kept.select("id", F.col("preference").alias("rank"))
     held: list[DataFrame] = []
     for n in range(1, iterations + 1):

@@ -107,8 +107,10 @@ def test_symbol_ranks_equal_pagerank_over_edges(spark):
     nodes = s.join(likes, "path", "left").select(F.concat("path", F.lit(":"), "name").alias("id"), "preference")
     for cap in (50, 4):
         want = {r["path"]: r["score"] for r in graph.file_scores(graph.pagerank(graph.lexical_edges(s, t, cap), nodes, iterations=6), s, None).collect()}
-        got = {r["path"]: r["score"] for r in graph.file_scores(graph.symbol_ranks(s, t, likes, iterations=6, cap=cap), s, None).collect()}
-        assert want.keys() == got.keys() and all(abs(want[p] - got[p]) < 1e-9 for p in want)
+        for small in (0, graph.SMALL):  # by joins, and in one task
+            got = {r["path"]: r["score"] for r in graph.file_scores(graph.symbol_ranks(s, t, likes, iterations=6, cap=cap, small=small), s, None).collect()}
+            assert want.keys() == got.keys() and all(abs(want[p] - got[p]) < 1e-9 for p in want)
+    assert graph.symbol_ranks(s.limit(0), t).count() == 0 and graph.symbol_ranks(s, t.limit(0)).count() == 7
 
 
 def test_lexical_edges(spark, rows):

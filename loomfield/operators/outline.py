@@ -54,10 +54,10 @@ def outlines(files: DataFrame, path: str = "path", content: str = "content", pro
 def compact(ranked: DataFrame, cap: int = 800, least: int = 10) -> DataFrame:
     """The files (path, rank, tokens) of an outline within a number of tokens: the lowest ranks go first, but the ``least`` highest stay.
 
-    ``ranked`` are a report's best files, bounded by it.
+    A file counts a token at least, so no more than the first ``cap``, or ``least``, files can stay, and only these are put in order by one task.
     """
     w = Window.orderBy(F.desc("rank"), "path")
-    numbered = ranked.withColumn("_n", F.row_number().over(w)).withColumn("_sum", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = ranked.orderBy(F.desc("rank"), "path").limit(max(cap, least)).withColumn("_n", F.row_number().over(w)).withColumn("_sum", F.sum(F.greatest("tokens", F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.where((F.col("_n") <= least) | (F.col("_sum") <= cap)).drop("_n", "_sum")
 
 

@@ -169,10 +169,10 @@ def includes(directives: DataFrame, files: DataFrame) -> DataFrame:
 def decided(candidates: DataFrame, margin: float = 0.8, least: float = 0.8) -> DataFrame:
     """(hit, confidence, path): whether the best candidate counts as found: the only one, or one ahead by the margin. One row at most.
 
-    ``candidates`` are the few rows of ``located``.
+    Only the best two of the candidates are put in order by one task.
     """
     w = Window.orderBy(F.desc("score"), "path")
-    ranked = candidates.withColumn("_next", F.lead("score").over(w)).withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    ranked = candidates.orderBy(F.desc("score"), "path").limit(2).withColumn("_next", F.lead("score").over(w)).withColumn("_n", F.row_number().over(w)).where("_n = 1")
     clear = F.col("_next").isNull() | (F.col("score") - F.col("_next") >= margin)
     return ranked.select((clear & (F.col("score") >= least)).alias("hit"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / 2)).alias("confidence"), "path")
 

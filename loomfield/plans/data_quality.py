@@ -68,14 +68,15 @@ _P1 = r"""
 WITH ok AS (SELECT line_id, stream_id, file_no, raw_line FROM ai_usage_lines WHERE stream_id IS NOT NULL AND file_no IS NOT NULL AND json_valid(raw_line) AND json_type(raw_line) = 'OBJECT'),
 j AS (SELECT line_id, stream_id, file_no, replace(substr(k.fullkey, 3), '"', '') AS p, CASE k.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'DOUBLE' THEN 'decimal' WHEN 'NULL' THEN 'null' ELSE 'integer' END AS tag
   FROM ok, json_tree(ok.raw_line) k WHERE k.type <> 'OBJECT' AND NOT contains(k.fullkey, '['))"""
+_QUANTITY = r"""CASE WHEN regexp_matches(l, 'cache') AND regexp_matches(l, 'tok') AND regexp_matches(l, 'writ|creat|stor') THEN 'cw' WHEN regexp_matches(l, 'cache') AND regexp_matches(l, 'tok') AND regexp_matches(l, 'read|hit|cached') THEN 'cr'
+  WHEN regexp_matches(l, 'tok|^usage[.]') AND NOT regexp_matches(l, 'cache') AND regexp_matches(l, 'total') THEN 'tt' WHEN regexp_matches(l, 'tok|^usage[.]') AND NOT regexp_matches(l, 'cache') AND regexp_matches(regexp_replace(l, 'completion', 'out'), 'prompt|in') THEN 'in'
+  WHEN regexp_matches(l, 'tok|^usage[.]') AND NOT regexp_matches(l, 'cache') AND regexp_matches(l, 'out|completion') THEN 'ou' WHEN regexp_matches(l, 'request|turn|call') AND regexp_matches(last, '^(requests?|turns?|calls?|count|number|total|[_-])+$') THEN 'rc'
+  WHEN regexp_matches(l, 'client|agent') AND regexp_matches(last, '^(client|agent|name|id|[_-])+$') THEN 'cl' WHEN regexp_matches(l, 'model|llm|engine') AND regexp_matches(last, '^(model|llm|engine|name|id|[_-])+$') THEN 'mo' ELSE 'other:' || regexp_replace(last, '[_-]', '', 'g') END"""
 _P1_FOUND = _P1 + r""",
 files AS (SELECT stream_id, file_no, lag(file_no) OVER (PARTITION BY stream_id ORDER BY file_no) AS before FROM (SELECT DISTINCT stream_id, file_no FROM ok)),
 t AS (SELECT stream_id, file_no, p, coalesce(array_to_string(list_sort(list(DISTINCT tag) FILTER (tag <> 'null')), '|'), '') AS ty FROM j GROUP BY ALL),
 f AS (SELECT stream_id, file_no, p, CASE WHEN ty = 'decimal|integer' THEN 'decimal' ELSE ty END AS ty, lower(p) AS l, lower(regexp_extract(p, '[^.]*$')) AS last FROM t),
-q AS (SELECT stream_id, file_no, p, ty, CASE WHEN regexp_matches(l, 'cache') AND regexp_matches(l, 'tok') AND regexp_matches(l, 'writ|creat|stor') THEN 'cw' WHEN regexp_matches(l, 'cache') AND regexp_matches(l, 'tok') AND regexp_matches(l, 'read|hit|cached') THEN 'cr'
-  WHEN regexp_matches(l, 'tok|^usage[.]') AND NOT regexp_matches(l, 'cache') AND regexp_matches(l, 'total') THEN 'tt' WHEN regexp_matches(l, 'tok|^usage[.]') AND NOT regexp_matches(l, 'cache') AND regexp_matches(regexp_replace(l, 'completion', 'out'), 'prompt|in') THEN 'in'
-  WHEN regexp_matches(l, 'tok|^usage[.]') AND NOT regexp_matches(l, 'cache') AND regexp_matches(l, 'out|completion') THEN 'ou' WHEN regexp_matches(l, 'request|turn|call') AND regexp_matches(last, '^(requests?|turns?|calls?|count|number|total|[_-])+$') THEN 'rc'
-  WHEN regexp_matches(l, 'client|agent') AND regexp_matches(last, '^(client|agent|name|id|[_-])+$') THEN 'cl' WHEN regexp_matches(l, 'model|llm|engine') AND regexp_matches(last, '^(model|llm|engine|name|id|[_-])+$') THEN 'mo' ELSE 'other:' || regexp_replace(last, '[_-]', '', 'g') END AS q FROM f),
+q AS (SELECT stream_id, file_no, p, ty, {quantity} AS q FROM f),
 gone AS (SELECT n.stream_id, n.file_no, a.p, a.ty, a.q, row_number() OVER (PARTITION BY n.stream_id, n.file_no, a.q ORDER BY a.p) AS k FROM files n JOIN q a ON a.stream_id = n.stream_id AND a.file_no = n.before
   WHERE NOT EXISTS (SELECT 1 FROM q b WHERE b.stream_id = n.stream_id AND b.file_no = n.file_no AND b.p = a.p)),
 came AS (SELECT n.stream_id, n.file_no, b.p, b.ty, b.q, row_number() OVER (PARTITION BY n.stream_id, n.file_no, b.q ORDER BY b.p) AS k FROM files n JOIN q b ON b.stream_id = n.stream_id AND b.file_no = n.file_no
@@ -83,10 +84,26 @@ came AS (SELECT n.stream_id, n.file_no, b.p, b.ty, b.q, row_number() OVER (PARTI
 mix AS (SELECT coalesce(g.stream_id, c.stream_id) AS stream_id, coalesce(g.file_no, c.file_no) AS file_no, g.p AS a, c.p AS b, g.ty AS ta, c.ty AS tb FROM gone g FULL JOIN came c ON g.stream_id = c.stream_id AND g.file_no = c.file_no AND g.q = c.q AND g.k = c.k),
 kept AS (SELECT n.stream_id, n.file_no, a.p AS a, a.p AS b, a.ty AS ta, b.ty AS tb FROM files n JOIN q a ON a.stream_id = n.stream_id AND a.file_no = n.before JOIN q b ON b.stream_id = n.stream_id AND b.file_no = n.file_no AND b.p = a.p)
 SELECT stream_id, file_no, CASE WHEN b IS NULL THEN 'removed' WHEN a IS NULL THEN 'added' ELSE 'renamed' END AS change_kind, coalesce(a, '') AS old_field, coalesce(b, '') AS new_field FROM mix
-UNION ALL SELECT stream_id, file_no, 'retyped', a, b FROM (SELECT * FROM mix UNION ALL SELECT * FROM kept) WHERE ta <> '' AND tb <> '' AND ta <> tb"""
+UNION ALL SELECT stream_id, file_no, 'retyped', a, b FROM (SELECT * FROM mix UNION ALL SELECT * FROM kept) WHERE ta <> '' AND tb <> '' AND ta <> tb""".replace("{quantity}", _QUANTITY)
 _P1_BRANCHES = _P1 + r""",
 n AS (SELECT stream_id, file_no, p AS path, tag, count(*) AS lines FROM j GROUP BY ALL)
 SELECT path, tag, CAST(sum(lines) AS BIGINT) AS lines, count(*) AS files FROM n GROUP BY path, tag"""
+_FIELDS = {"client": "cl", "model": "mo", "inputTokens": "in", "cacheWriteTokens": "cw", "cacheReadTokens": "cr", "outputTokens": "ou", "totalTokens": "tt", "requestCount": "rc"}
+_P1_RECORDS = (
+    r"""WITH a AS (SELECT *, CASE WHEN json_valid(raw_line) THEN json_type(raw_line) = 'OBJECT' ELSE false END AS is_readable FROM ai_usage_lines), ok AS (SELECT line_id, raw_line FROM a WHERE is_readable),
+j AS (SELECT line_id, k.id AS id, replace(substr(k.fullkey, 3), '"', '') AS p, k.type AS type, CAST(k.value AS VARCHAR) AS v, k.value AS jv FROM ok, json_tree(ok.raw_line) k WHERE k.type <> 'OBJECT' AND NOT contains(k.fullkey, '[')),
+f AS (SELECT *, lower(p) AS l, lower(regexp_extract(p, '[^.]*$')) AS last, CASE WHEN type = 'ARRAY' THEN CASE WHEN json_array_length(jv) = 1 THEN json_extract_string(jv, '$[0]') END ELSE json_extract_string(jv, '$') END AS t FROM j),
+q AS (SELECT *, {quantity} AS q FROM f),
+c AS (SELECT *, CASE WHEN q IN ('cl', 'mo') THEN t WHEN q NOT LIKE 'other:%' AND type <> 'BOOLEAN' AND TRY_CAST(t AS DOUBLE) = floor(TRY_CAST(t AS DOUBLE)) THEN CAST(CAST(TRY_CAST(t AS DOUBLE) AS BIGINT) AS VARCHAR) END AS made FROM q),
+w AS (SELECT *, min(CASE WHEN made IS NOT NULL THEN id END) OVER (PARTITION BY line_id, q) AS own FROM c),
+r AS (SELECT line_id, string_agg('"' || p || '": ' || replace(v, '","', '", "'), ', ' ORDER BY p) AS rest FROM w WHERE q LIKE 'other:%' OR id > own OR ((own IS NULL OR id < own) AND type <> 'NULL' AND made IS NULL) GROUP BY line_id),
+o AS (SELECT line_id, """
+    + ", ".join(f"""max(made) FILTER (q = '{q}' AND id = own) AS "{n}" """ for n, q in _FIELDS.items())
+    + r""" FROM w GROUP BY line_id)
+SELECT a.line_id, stream_id, file_no, line_no, """
+    + ", ".join(f'"{n}"' if q in ("cl", "mo") else f'CAST("{n}" AS BIGINT) AS "{n}"' for n, q in _FIELDS.items())
+    + r""", '{' || rest || '}' AS other_fields, coalesce(is_readable, false) AS is_readable FROM a LEFT JOIN o USING (line_id) LEFT JOIN r USING (line_id)"""
+).replace("{quantity}", _QUANTITY)
 _P3_REJECTS = _P3.replace("SELECT row_id, CASE WHEN NOT well", "SELECT row_id, file_id, row_no, raw_record, d AS delimiter, CASE WHEN NOT well").replace(
     "AS reason FROM pairs WHERE", "AS reason, CASE WHEN well AND len(cells) = n THEN list_transform(wrong, lambda i: CAST(i - 1 AS INTEGER)) END AS bad_columns FROM pairs JOIN (SELECT row_id, raw_record FROM csv_rows) USING (row_id) WHERE"
 )
@@ -96,4 +113,4 @@ each AS (SELECT g.row_id, g.file_id, g.row_no, i AS column_no, t.column_names[i]
 SELECT row_id, file_id, row_no, column_no, column_name, column_type, v AS trimmed_value, CASE WHEN column_type = 'integer' THEN TRY_CAST(v AS DECIMAL(38, 0)) END AS integer_value, CASE WHEN column_type = 'decimal' THEN TRY_CAST(v AS DOUBLE) END AS decimal_value,
   CASE WHEN column_type = 'day' THEN TRY_CAST(v AS DATE) END AS day_value, CASE WHEN column_type = 'flag' THEN lower(v) = 'true' END AS flag_value FROM each"""
 
-SQL: dict[str, str] = {"p1_found": _P1_FOUND, "p1_branches": _P1_BRANCHES, "p3_found": _P3, "p3_rejects": _P3_REJECTS, "p3_cells": _P3_CELLS}
+SQL: dict[str, str] = {"p1_found": _P1_FOUND, "p1_branches": _P1_BRANCHES, "p1_records": _P1_RECORDS, "p3_found": _P3, "p3_rejects": _P3_REJECTS, "p3_cells": _P3_CELLS}

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.functions import paths
-from loomfield.operators import graph, outline, source, trees, usage
+from loomfield.operators import edits, graph, outline, source, trees, usage
 from loomfield.operators import symbols as sy
+from loomfield.plans.retrieval_queries import SQL as _RETRIEVAL
 from loomfield.session import checkpointed, spread, table
-from loomfield.sources import files, logs, office, pdf, repository
+from loomfield.sources import delimited, files, logs, office, pdf, repository
 from loomfield.streaming import runner
 
 RULES = (*files.DEFAULT_IGNORES, "*.pb.*")
@@ -290,6 +291,54 @@ def archive_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return office.ranked_members(office.manifest(_archives(spark, folder), "evidence_id"), "evidence_id", ["lease", "router"])
 
 
+def csv_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows 2 to 6 of each delimited file, from its first records."""
+    r = table(spark, folder, "csv_rows").where((F.col("row_no") <= delimited.HEAD) & F.col("raw_record").isNotNull())
+    body = r.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "raw_record"))), lambda x: x["raw_record"]), "\n").alias("content"))
+    named = body.join(table(spark, folder, "csv_tables").select("file_id", F.col("file_ext").alias("ext")), "file_id", "left")
+    return delimited.windows(named, "file_id", (2, 6)).drop("column_name")
+
+
+def graph_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A graph in JSON of nations as symbols, defined under their region and used by the next region, written and read: definitions and uses."""
+    n = table(spark, folder, "nation")
+    place = lambda r, line: F.struct(F.concat(F.lit("r"), r.cast("string")).alias("path"), line.cast("bigint").alias("line"), F.lit(1).cast("bigint").alias("column"))
+    key, region = F.col("n_nationkey"), F.col("n_regionkey")
+    symbol = F.struct(F.col("n_name").alias("name"), place(region, key).alias("definition"), F.array(place((region + 1) % 5, key + 1)).alias("references"))
+    doc = n.groupBy().agg(F.collect_list(symbol).alias("symbols")).select(F.to_json(F.struct(F.lit(1).alias("version"), "symbols", F.array().cast("array<struct<path:string,imports:array<string>>>").alias("files"))).alias("value"))  # 25 rows at every scale
+    target = f"{runner.shared_folder(spark)}/graph"
+    doc.coalesce(1).write.text(target)
+    defs, refs, _ = repository.graph_file(spark, target)
+    return defs.select("name", "path", "line", F.lit("definition").alias("role")).unionByName(refs.select("name", "path", "line", F.lit("reference").alias("role")))
+
+
+def trace_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Events appended to a trace and read again: how many of each type, and the last of them."""
+    e = table(spark, folder, "events").where("event_id is not null").select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))
+    target = f"{runner.shared_folder(spark)}/trace"
+    outline.write_trace(e, target)
+    return spark.read.schema("seq bigint, kind string").json(target).groupBy("kind").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+
+
+def listed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A tree written with a folder a region and listed: files and bytes of each folder."""
+    n = table(spark, folder, "nation").select(F.col("n_name").alias("value"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("region"))
+    target = f"{runner.shared_folder(spark)}/tree"
+    n.coalesce(1).write.partitionBy("region").text(target)
+    found = files.listed(spark, target, glob="part-*", with_content=False)
+    return found.groupBy(F.substring_index("path", "/", 1).alias("dir")).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
+
+
+def committed_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """Edits of all windows, which are not written as some fail, and of those that can be edited, which are, once."""
+    w = table(spark, folder, "hop1_context").where("code is not null").select(F.col("hop_id").cast("string").alias("path"), F.col("code").alias("content"))
+    done = checkpointed(edits.edited(w, w.select("path", F.lit(1).alias("edit_no"), F.lit("token").alias("search"), F.lit("mark").alias("replace"))))
+    base = runner.shared_folder(spark)
+    wrote = [edits.all_or_nothing(done, f"{base}/all"), edits.all_or_nothing(done.where("ok"), f"{base}/some")]
+    back = spark.read.parquet(f"{base}/some")
+    return back.agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("n_chars")).select(F.lit(wrote[0]).alias("all_written"), F.lit(wrote[1]).alias("some_written"), "n", "n_chars")
+
+
 def style_properties(spark: SparkSession, folder: str) -> DataFrame:
     """Custom properties of a style sheet with a line a part."""
     p = table(spark, folder, "part").where("p_partkey is not null")
@@ -319,7 +368,7 @@ def package_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("root", "name", "version", F.array_join("commands", ",").alias("commands"))
 
 
-QUERIES = {f.__name__: f for f in (classified_files, omission_counts, text_probe, header_languages, usage_event_files, session_logs, last_reset, index_files, scip_definitions, scip_imports, diff_hunks, recent_files, workbook_rows, workbook_roster, workbook_preview, workbook_types, document_texts, slide_texts, chart_points, shown_media, pdf_texts, archive_members, archive_ranking, style_properties, skeleton, package_files)}
+QUERIES = {f.__name__: f for f in (classified_files, omission_counts, text_probe, header_languages, usage_event_files, session_logs, last_reset, index_files, scip_definitions, scip_imports, diff_hunks, recent_files, workbook_rows, workbook_roster, workbook_preview, workbook_types, document_texts, slide_texts, chart_points, shown_media, pdf_texts, archive_members, archive_ranking, style_properties, csv_windows, graph_files, trace_files, listed_files, committed_edits, skeleton, package_files)}
 
 _LIST = r"""s AS (SELECT file_path AS path, arg_max(fingerprint, (served_at, surface_id)) AS f FROM served_surfaces WHERE file_path IS NOT NULL AND regexp_matches(fingerprint, '^[0-9]+:[0-9]+$') GROUP BY 1),
 l AS (SELECT path, CAST(split_part(f, ':', 1) AS BIGINT) AS size, lower(regexp_extract(path, '[^/][.]([A-Za-z0-9]+)$', 1)) AS ext FROM s),
@@ -332,7 +381,19 @@ _ARC = """a AS (SELECT evidence_id, file_path AS p, content_text AS t FROM query
 _HIT = "least(20, 2 * (length(lower(t)) - length(replace(lower(t), '{w}', ''))) // length('{w}')) + CASE WHEN contains(lower(p), '{w}') THEN 25 ELSE 0 END"
 _OCC = "h AS (SELECT file_path AS path, search_token AS symbol, line_no AS line, relation = 'definition' AS def FROM hop1_context WHERE file_path IS NOT NULL AND search_token IS NOT NULL AND line_no > 0), d AS (SELECT symbol, min((path, line)) AS x FROM h WHERE def GROUP BY symbol)"
 
+_DIALECT = _RETRIEVAL["csv_dialects"]
 SQL = {
+    "csv_windows": _DIALECT[: _DIALECT.index("c AS (SELECT file_id, list_transform")]
+    + r"""z AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY row_no) AS row FROM a WHERE row_no <= 20),
+v AS (SELECT file_id, row, unnest(cells) AS c, unnest(range(1, len(cells) + 1)) AS column_no FROM (SELECT file_id, row, regexp_extract_all(x || d, '("(?:[^"]|"")*(?:"[^' || e || '
+]*|$)|[^' || e || '
+]*)(?:' || e || ')', 1) AS cells FROM z WHERE row BETWEEN 2 AND 6))
+SELECT file_id, row, column_no, CASE WHEN starts_with(c, '"') THEN replace(regexp_extract(c, '^"((?:[^"]|"")*)"?', 1), '""', '"') || regexp_extract(c, '^"(?:[^"]|"")*"([^"]*)$', 1) ELSE c END AS value FROM v""",
+    "graph_files": "SELECT n_name AS name, 'r' || n_regionkey AS path, n_nationkey AS line, 'definition' AS role FROM nation UNION ALL SELECT n_name, 'r' || (n_regionkey + 1) % 5, n_nationkey + 1, 'reference' FROM nation",
+    "trace_files": "SELECT event_type AS kind, count(*) AS n, max(event_id) AS last FROM events WHERE event_id IS NOT NULL GROUP BY 1",
+    "listed_files": "SELECT 'region=r' || n_regionkey AS dir, 1 AS files, CAST(sum(strlen(n_name) + 1) AS BIGINT) AS bytes FROM nation GROUP BY n_regionkey",
+    "committed_edits": """WITH w AS (SELECT code, (length(code) - length(replace(code, 'token', ''))) // 5 AS n FROM hop1_context WHERE code IS NOT NULL)
+SELECT bool_and(n = 1) AS all_written, true AS some_written, count(*) FILTER (n = 1) AS n, CAST(sum(length(code) - 1) FILTER (n = 1) AS BIGINT) AS n_chars FROM w""",
     "classified_files": f"""WITH {_LIST} SELECT path, language, language = '' AND plain AS text_only, omission, NOT regexp_matches(path, '(^|/)(dist|build|out|coverage|[.]next|target)/|node_modules/|dist/|cache/|bench/fixtures/') AS source_only,
   CASE WHEN starts_with(path, 'core/') THEN firm ELSE hidden END AS lifted FROM o""",
     "omission_counts": f"WITH {_LIST} SELECT omission, count(*) AS files FROM o WHERE omission <> '' GROUP BY omission",

@@ -184,3 +184,21 @@ def cells(files: DataFrame, key: str, content: str = "content", extension: str =
 
     given = files.where(F.col(content).isNotNull()).select(key, F.col(content).cast("binary").alias("_data"), F.col(extension).alias("_ext"))
     return spread(given).mapInPandas(run, f"`{key}` {files.schema[key].dataType.simpleString()}, row bigint, column_no int, column_name string, value string")
+
+
+def windows(files: DataFrame, key: str, rows: tuple[int, int], columns: list[str] | None = None, content: str = "content", extension: str = "ext") -> DataFrame:
+    """(key, row, column_no, column_name, value) of a part of each file's table: rows by number, columns by name, at most 200 rows and 10,000 cells."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, data, ext in zip(batch[key], batch["_data"], batch["_ext"], strict=True):
+                try:
+                    t = window(bytes(data), ext or "", columns, rows)
+                except TooLarge:
+                    continue
+                out += [(k, t["first_row"] + n, c + 1, t["columns"][c], v) for n, r in enumerate(t["rows"]) for c, v in enumerate(r) if v is not None]
+            yield pd.DataFrame(out, columns=[key, "row", "column_no", "column_name", "value"])
+
+    given = files.where(F.col(content).isNotNull()).select(key, F.col(content).cast("binary").alias("_data"), F.col(extension).alias("_ext"))
+    return spread(given).mapInPandas(run, f"`{key}` {files.schema[key].dataType.simpleString()}, row bigint, column_no int, column_name string, value string")

@@ -135,7 +135,7 @@ def classified(files: DataFrame, rules: Iterable[str] = DEFAULT_IGNORES, protect
     """
     path = F.col("path")
     lang = paths.language(path)
-    known = lang.isNotNull() | paths.extension(path).isin(*TEXT_EXTENSIONS)
+    known = F.coalesce(lang.isNotNull() | paths.extension(path).isin(*TEXT_EXTENSIONS), F.lit(False))
     why = F.when(F.coalesce(F.col("is_link"), F.lit(False)), "symlinks") if "is_link" in files.columns else F.when(F.lit(False), "")
     why = why.when(ignored(path, [] if full else list(rules), list(protected)), "ignored")
     for layer, name in ((list(gitignore), "gitignored"), (list(tool), "tool-ignored")):

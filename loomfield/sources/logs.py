@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -109,12 +110,29 @@ def session_usage(rows: DataFrame, since: str | None = None) -> DataFrame:
     return a.unionByName(b)
 
 
+TELLING = re.compile(r"(?i)path|file|folder|user|session|workspace|client|email|host")
+OPAQUE = re.compile(r"[0-9a-f]{12,64}\Z")
+
+
 def export_bundle(target: str, parts: dict[str, DataFrame], notes: dict[str, str]) -> None:
-    """A zip file of small results, one JSON-lines entry each, and notes. For reports, which a driver can hold."""
+    """A zip file of small results, one JSON-lines entry each, and notes; with a manifest, diagnostics (rows and columns of each part), and a
+    report of the columns whose names say that they tell of people or places, and whether all their values are digests. For reports, which a driver can hold."""
+    diagnostics, privacy = {}, {}
     with zipfile.ZipFile(Path(target), "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("manifest.json", json.dumps({"version": 1, "parts": sorted(parts), "notes": sorted(notes)}, sort_keys=True))
         for name, df in sorted(parts.items()):
-            z.writestr(f"{name}.ndjson", "".join(line + "\n" for line in df.toJSON().toLocalIterator()))
+            telling = {c: True for c in df.columns if TELLING.search(c)}
+            lines = []
+            for line in df.toJSON().toLocalIterator():
+                lines.append(line + "\n")
+                row = json.loads(line)
+                for c in telling:
+                    telling[c] = telling[c] and (row.get(c) is None or bool(OPAQUE.match(str(row[c]))))
+            z.writestr(f"{name}.ndjson", "".join(lines))
+            diagnostics[name] = {"rows": len(lines), "columns": df.columns}
+            privacy[name] = {c: "digest" if safe else "plain" for c, safe in telling.items()}
+        z.writestr("diagnostics.json", json.dumps(diagnostics, sort_keys=True))
+        z.writestr("privacy.json", json.dumps(privacy, sort_keys=True))
         for name, text in sorted(notes.items()):
             z.writestr(name, text)
 

@@ -8,16 +8,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomfield.session import spread
+from loomfield.session import running_sums, spread
 
 
 def diff_hunks(lines: DataFrame, order: str = "line_no", text: str = "value", group: str | None = None) -> DataFrame:
     """(group, path, status, old_start, old_lines, new_start, new_lines) of each hunk of unified diffs; a file without hunks has one
     row of nulls. Lines belong to the last header above them: a running count in the order of lines."""
     keys = [group] if group else []
-    w = Window.partitionBy(*keys).orderBy(order)
     t = F.col(text)
-    numbered = lines.withColumn("_file", F.sum(t.startswith("diff --git ").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_file > 0")
+    begins = F.coalesce(t.startswith("diff --git ").cast("int"), F.lit(0))
+    if group:
+        numbered = lines.withColumn("_file", F.sum(begins).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        numbered = running_sums(lines, [F.col(order)], _file=begins)
+    numbered = numbered.where("_file > 0")
     hunk = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
     one = lambda n: F.when(F.regexp_extract(t, hunk, n) == "", 1).otherwise(F.regexp_extract(t, hunk, n).try_cast("bigint"))
     heads = numbered.groupBy(*keys, "_file").agg(

@@ -121,7 +121,11 @@ def test_event_logs(spark, rows, tmp_path):
     back = spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "sink"))
     assert usage.events_from_lines(back).count() == 2
     logs.export_bundle(str(tmp_path / "b.zip"), {"events": usage.events_from_lines(lines).select("eventId")}, {"note.txt": "x"})
-    assert set(zipfile.ZipFile(tmp_path / "b.zip").namelist()) == {"manifest.json", "events.ndjson", "note.txt"}
+    assert set(zipfile.ZipFile(tmp_path / "b.zip").namelist()) == {"manifest.json", "diagnostics.json", "privacy.json", "events.ndjson", "note.txt"}
+    told = spark.createDataFrame([("a" * 12, "x/y"), (None, "z")], "user string, path string")
+    logs.export_bundle(str(tmp_path / "c.zip"), {"p": told}, {})
+    with zipfile.ZipFile(tmp_path / "c.zip") as z:
+        assert json.loads(z.read("privacy.json")) == {"p": {"user": "digest", "path": "plain"}} and json.loads(z.read("diagnostics.json"))["p"]["rows"] == 2
     logs.write_index(str(tmp_path / "ix"), a=lines.select("e"))
     assert logs.read_index(spark, str(tmp_path / "ix"), "a")["a"].count() == 8
     body = logs.render_skeleton([("a", 1.0, ["f()"])], [("d", ["x"])], 60)[0]

@@ -104,9 +104,8 @@ def quoted(record: str, delimiter: str) -> str:
             return delimiter.join(cells)
 
 
-def read(records: list[str], delimiter: str, width: int) -> tuple[list[list[str] | None], pa.Table, list[int]]:
-    """(cells or None, the valid rows' table, their numbers) of well quoted records; None where the width differs."""
-    rows: list[list[str] | None] = [None] * len(records)
+def read(records: list[str], delimiter: str, width: int) -> tuple[pa.Table, np.ndarray, list[int]]:
+    """(the table of the valid records, their numbers, the numbers of those of another width) of well quoted records."""
     invalid: list[int] = []
 
     def skip(row: pacsv.InvalidRow) -> str:
@@ -122,25 +121,26 @@ def read(records: list[str], delimiter: str, width: int) -> tuple[list[list[str]
         parse_options=pacsv.ParseOptions(delimiter=delimiter, quote_char='"', double_quote=True, newlines_in_values=True, ignore_empty_lines=False, invalid_row_handler=skip),
         convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False, quoted_strings_can_be_null=False),
     )
-    numbers = [int(k) for k in table["_k"].to_pylist()]
-    columns = [table[f"c{n}"].to_pylist() for n in range(width)]
-    for k, cells in zip(numbers, zip(*columns, strict=True) if width else [()] * len(numbers), strict=True):
-        rows[k] = list(cells)
-    return rows, table, numbers
+    return table, table["_k"].cast(pa.int64()).to_numpy(), invalid
 
 
-def breaks(cells: pa.ChunkedArray, kind: str) -> list[bool]:
-    """Which cells of a vector break their type."""
+def breaks(cells: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Places of a vector's cells that break their type."""
     if kind not in PATTERNS:
-        return [False] * len(cells)
+        return np.zeros(0, dtype="int64")
     bare = pc.utf8_trim_whitespace(cells)
-    good = pc.or_(pc.equal(pc.utf8_length(bare), 0), pc.match_substring_regex(bare, PATTERNS[kind])).to_pylist()
-    if kind == "day":
-        good = [g and (not t or is_day(t)) for g, t in zip(good, bare.to_pylist(), strict=True)]
-    return [not g for g in good]
+    good = pc.or_(pc.equal(pc.utf8_length(bare), 0), pc.match_substring_regex(bare, PATTERNS[kind]))
+    if kind == "day":  # of the days that look like one, each is looked up once
+        wrong = [t for t in pc.unique(bare.filter(good)).to_pylist() if t and not is_day(t)]
+        good = pc.and_not(good, pc.is_in(bare, pa.array(wrong, pa.string())))
+    return np.flatnonzero(~good.to_numpy(zero_copy_only=False) if isinstance(good, pa.Array) else ~good.to_numpy())
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+TYPES_END = "\x1f"
+
+
+def _parse(batches: Iterator[pd.DataFrame], with_cells: bool) -> Iterator[pd.DataFrame]:
+    """The records with their reasons; all with their cells, or only those that fail, without."""
     for batch in batches:
         if batch.empty:
             continue
@@ -150,27 +150,26 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bad: list[list[int] | None] = [None] * len(batch)
         for (_, delimiter), part in batch.groupby(["file_id", "_delimiter"], sort=False):
             at = part.index.to_numpy()
-            kinds = list(part["column_types"].iloc[0])
-            records = part["_text"].tolist()
-            well = well_quoted(pa.array(records, pa.string()), delimiter)
-            for k, ok in zip(at, well, strict=True):
-                if not ok:
-                    reason[k] = "quoting"
-            good = [k for k, ok in zip(at, well, strict=True) if ok]
-            if not good:
+            kinds = part["_types"].iloc[0].split(TYPES_END)[:-1]
+            well = well_quoted(pa.array(part["_text"], pa.string()), delimiter)
+            for k in at[~well]:
+                reason[k] = "quoting"
+            good = at[well]
+            if not len(good):
                 continue
-            rows, table, numbers = read([batch["_text"][k] for k in good], delimiter, len(kinds))
-            for k, row in zip(good, rows, strict=True):
-                cells[k] = row
-                if row is None:
-                    reason[k] = "columns"
+            table, numbers, invalid = read(part["_text"].to_numpy()[well].tolist(), delimiter, len(kinds))
+            for number in invalid:
+                reason[good[number]] = "columns"
             for n, kind in enumerate(kinds):
-                for number, wrong in zip(numbers, breaks(table[f"c{n}"], kind), strict=True):
-                    if wrong:
-                        k = good[number]
-                        reason[k] = "values"
-                        bad[k] = [*(bad[k] or ()), n]
-        yield batch[["row_id", "file_id", "row_no"]].assign(delimiter=batch["_delimiter"], reason=reason, cells=cells, bad_columns=bad)
+                for k in good[numbers[breaks(table[f"c{n}"], kind)]]:
+                    reason[k] = "values"
+                    bad[k] = [*(bad[k] or ()), n]
+            if with_cells:
+                columns = [table[f"c{n}"].to_pylist() for n in range(len(kinds))]
+                for number, row in zip(numbers, zip(*columns, strict=True) if kinds else [()] * len(numbers), strict=True):
+                    cells[good[number]] = list(row)
+        out = batch[["row_id", "file_id", "row_no"]].assign(delimiter=batch["_delimiter"], reason=reason, bad_columns=bad)
+        yield out.assign(cells=cells) if with_cells else out[out["reason"].notna()]
 
 
 def delimiters(records: DataFrame) -> DataFrame:
@@ -186,8 +185,8 @@ def delimiters(records: DataFrame) -> DataFrame:
     return sums.select("file_id", choice.alias("_delimiter"))
 
 
-def parsed(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """(row_id, file_id, row_no, delimiter, reason, cells, bad_columns) of each data record.
+def parsed(rows: DataFrame, files: DataFrame, with_cells: bool = True) -> DataFrame:
+    """(row_id, file_id, row_no, delimiter, reason, bad_columns, cells) of each data record; without cells, of those that fail.
 
     ``rows``: row_id, file_id, row_no, raw_record; ``files``: file_id, has_header, column_names, column_types. The header
     (row 1 of a file that has one), blank and null records, and records of unknown files are none. ``reason`` is null for a
@@ -205,14 +204,15 @@ def parsed(rows: DataFrame, files: DataFrame) -> DataFrame:
     records = records.where(F.col("column_types").isNotNull() & F.col("_text").rlike(r"\S"))
     chosen = delimiters(records)
     data = records.where(~(F.col("_header") & (F.col("row_no") == 1)))
-    given = data.join(chosen, "file_id").select("row_id", "file_id", "row_no", "_text", "_delimiter", "column_types")
+    given = data.join(chosen, "file_id").select("row_id", "file_id", "row_no", "_text", "_delimiter", F.concat_ws("", F.transform("column_types", lambda t: F.concat(F.coalesce(t, F.lit("")), F.lit(TYPES_END)))).alias("_types"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return given.mapInPandas(_parse, f"row_id {kinds['row_id']}, file_id {kinds['file_id']}, row_no {kinds['row_no']}, delimiter string, reason string, cells array<string>, bad_columns array<int>")
+    out = f"row_id {kinds['row_id']}, file_id {kinds['file_id']}, row_no {kinds['row_no']}, delimiter string, reason string, bad_columns array<int>" + ", cells array<string>" * with_cells
+    return given.mapInPandas(lambda batches: _parse(batches, with_cells), out)
 
 
 def rejects(rows: DataFrame, files: DataFrame) -> DataFrame:
     """The failing data records with their reasons."""
-    return parsed(rows, files).where(F.col("reason").isNotNull())
+    return parsed(rows, files, with_cells=False)
 
 
 def typed_cells(rows: DataFrame, files: DataFrame) -> DataFrame:

@@ -60,10 +60,11 @@ COMMAND = re.compile(r"(?i)\b(?:log_?in|auth|connect|-u[^\S\n]+\S+)\b")
 OPTION = re.compile(r"""(?i)\s(?:-p|--pass|-P)[ =]?(["']?)([^\s"']{4,})\1""")
 #: What stands before a value that is told in prose: everything since the last such sign, looked through once.
 TOLD = re.compile(r"""(?<![^\n:`"'])([^\n:`"']*)(?::[^\S\n]+|`)(?=([^\s"'`<>,;(){}]{8,}))""")
-TELLS = re.compile(r"(?i)\b(?:log ?in|sign ?in|token|key|pw|pwd|password|passphrase|secret|credentials?|creds)\b")
-BEARER = re.compile(r"""(?i)(?:\bbearer|authorization["'\s:,=]+["']?(?:basic|token))[ ]+([A-Za-z0-9._~+/=!#$%@-]{8,})""")
-SIGNIN = re.compile(r"""(?i)\b\w*(?:log_?in|sign_?in|connect|auth\w*)\(\s*(["'])[^"'\n]*\1\s*,\s*(["'])([^"'\n]+)\2""")
-NAMED = re.compile(r"(?i)passw|passphrase|pwd|kennwort|contrase|mot_?de_?passe|senha|wachtwoord|secret|creds?\b|credential|token|auth|key|bearer|cookie|\bpin\b|\bk\d\b")
+TELLS = re.compile(r"\b(?:log ?in|sign ?in|token|key|pw|pwd|password|passphrase|secret|credentials?|creds)\b")
+BEARER = re.compile(r"""(?:\bbearer|authorization["'\s:,=]+["']?(?:basic|token))[ ]+([a-z0-9._~+/=!#$%@-]{8,})""")
+SIGNIN = re.compile(r"""(?:log_?in|sign_?in|connect|auth\w*)\(\s*(["'])[^"'\n]*\1\s*,\s*(["'])([^"'\n]+)\2""")
+# These, BEARER and SIGNIN are looked for in small letters.
+NAMED = re.compile(r"passw|passphrase|pwd|kennwort|contrase|mot_?de_?passe|senha|wachtwoord|secret|creds?\b|credential|token|auth|key|bearer|cookie|\bpin\b|\bk\d\b")
 VALUE = re.compile(r"""[\w.-]*["'`\])}]*(?:\s*(?::=|=>|->|==?|:(?!:)|,(?=\s*["'`])|>|\bis\b|\bto\b|(?<=[\w`]) ?(?=`))\s*|(?=`))(?:[bru]{0,2}("{3}|["'`])([^\n]+?)\1|([^\s"'`<>,;(){}\[\]]{6,}))""")
 LOOSE = re.compile(r"(?<![A-Za-z0-9+/=_.~-])[A-Za-z0-9_][A-Za-z0-9+/=_.~-]{17,}")
 BODY = re.compile(r"""(\\[nrt]|[\s"'`\\,+]+)|[^\s"'`\\]+""")
@@ -74,7 +75,7 @@ JOINING = frozenset(" \t\r\n:=\"'`])")
 
 #: Rows that can hold a credential at all, as a single RE2 automaton: a key block, a user part, a sign-in, a name under which
 #: credentials are kept, or a digit beside a letter or sign. Everything that is found has one of these.
-GATE = r"""PRIVATE KEY|://[^\s/:@]*:[^\s/@]+@|(?i:log_?in|sign_?in|connect|auth\w*)\(\s*["']|(?i:log_?in|auth|connect|-u\s+\S+)\b[^\n]*\s(?i:-p|--pass)|[A-Za-z+/=_~!$#%@.-][0-9]|[0-9][A-Za-z+/=_~]|(?i:log ?in\b|sign ?in\b|\bpw\b)|""" + NAMED.pattern
+GATE = r"""PRIVATE KEY|://[^\s/:@]*:[^\s/@]+@|(?i:log_?in|sign_?in|connect|auth\w*)\(\s*["']|(?i:log_?in|auth|connect|-u\s+\S+)\b[^\n]*\s(?i:-p|--pass)|[A-Za-z+/=_~!$#%@.-][0-9]|[0-9][A-Za-z+/=_~]|(?i:log ?in\b|sign ?in\b|\bpw\b)|(?i:""" + NAMED.pattern + ")"
 
 
 @lru_cache(maxsize=2)
@@ -192,6 +193,9 @@ def find(text: str, path: str = VOCABULARY) -> list[tuple[int, int, str]]:
     named, told (in prose or a comment), loose."""
     spans: list[tuple[int, int, str]] = []
     fenced: list[tuple[int, int]] = []
+    low = text.lower()
+    if len(low) != len(text):  # letters whose small form is two
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     if "-----BEGIN" in text or "base64," in text or "sha" in text:
         fenced = [m.span() for m in FENCED.finditer(text)]
     for m in BLOCK.finditer(text):
@@ -201,17 +205,18 @@ def find(text: str, path: str = VOCABULARY) -> list[tuple[int, int, str]]:
             spans.append((m.start(), end, "block"))
     if "://" in text:
         spans += [(*m.span(2), "url") for m in USERINFO.finditer(text) if grants(m[2], "user", path)]
-    for m in SIGNIN.finditer(text):
-        if grants(m[3], "user", path):
+    for m in SIGNIN.finditer(low):
+        if grants(text[slice(*m.span(3))], "user", path):
             spans.append((*m.span(3), "signin"))
     spans += [(*s, "signin") for s in _options(text) if grants(text[slice(*s)], "user", path)]
-    for m in TOLD.finditer(text):
-        if TELLS.search(m[1]) and grants(m[2], "weak", path):
-            spans.append((*m.span(2), "told"))
-    for m in BEARER.finditer(text):
-        if grants(m[1], "strong", path):
+    if TELLS.search(low):
+        for m in TOLD.finditer(text):
+            if TELLS.search(low, *m.span(1)) and grants(m[2], "weak", path):
+                spans.append((*m.span(2), "told"))
+    for m in BEARER.finditer(low):
+        if grants(text[slice(*m.span(1))], "strong", path):
             spans.append((*m.span(1), "bearer"))
-    for m in NAMED.finditer(text):
+    for m in NAMED.finditer(low):
         v = VALUE.match(text, m.end())
         if not v:
             continue

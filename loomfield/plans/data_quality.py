@@ -33,14 +33,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_rejects(spark: SparkSession, folder: str) -> DataFrame:
     """The failing data records with reason, failing columns and the record as it stood."""
     rows = table(spark, folder, "csv_rows")
-    failed = rejects.rejects(rows, table(spark, folder, "csv_tables")).select("row_id", "delimiter", "reason", "bad_columns")
+    failed = rejects.rejects(rows, table(spark, folder, "csv_tables")).select("row_id", "delimiter", "reason", F.array_join("bad_columns", ",").alias("bad_columns"))
     return rows.join(failed, "row_id")
 
 
 def p3_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """The valid rows, typed, cell by cell."""
+    """The valid rows, typed, cell by cell; values of all types but decimals shown as text."""
     cells = rejects.typed_cells(table(spark, folder, "csv_rows"), table(spark, folder, "csv_tables"))
-    return cells.withColumn("trimmed_value", F.nullif(F.trim("text_value"), F.lit(""))).drop("text_value")
+    return cells.withColumn("trimmed_value", F.nullif(F.trim("text_value"), F.lit(""))).drop("text_value").withColumns({c: F.col(c).cast("string") for c in ("integer_value", "day_value", "flag_value")})
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_branches, p3_found, p3_rejects, p3_cells)}
@@ -105,12 +105,12 @@ SELECT a.line_id, stream_id, file_no, line_no, """
     + r""", '{' || rest || '}' AS other_fields, coalesce(is_readable, false) AS is_readable FROM a LEFT JOIN o USING (line_id) LEFT JOIN r USING (line_id)"""
 ).replace("{quantity}", _QUANTITY)
 _P3_REJECTS = _P3.replace("SELECT row_id, CASE WHEN NOT well", "SELECT row_id, file_id, row_no, raw_record, d AS delimiter, CASE WHEN NOT well").replace(
-    "AS reason FROM pairs WHERE", "AS reason, CASE WHEN well AND len(cells) = n THEN list_transform(wrong, lambda i: CAST(i - 1 AS INTEGER)) END AS bad_columns FROM pairs JOIN (SELECT row_id, raw_record FROM csv_rows) USING (row_id) WHERE"
+    "AS reason FROM pairs WHERE", "AS reason, CASE WHEN well AND len(cells) = n THEN nullif(array_to_string(list_transform(wrong, lambda i: CAST(i - 1 AS VARCHAR)), ','), '') END AS bad_columns FROM pairs JOIN (SELECT row_id, raw_record FROM csv_rows) USING (row_id) WHERE"
 )
 _P3_CELLS = _P3[: _P3.index("SELECT row_id, CASE WHEN NOT well")] + r""",
 good AS (SELECT row_id, file_id, row_no, column_types, b FROM pairs WHERE well AND len(cells) = n AND len(wrong) = 0),
 each AS (SELECT g.row_id, g.file_id, g.row_no, i AS column_no, t.column_names[i] AS column_name, g.column_types[i] AS column_type, nullif(g.b[i], '') AS v FROM good g JOIN csv_tables t USING (file_id), unnest(range(1, len(g.b) + 1)) u(i))
-SELECT row_id, file_id, row_no, column_no, column_name, column_type, v AS trimmed_value, CASE WHEN column_type = 'integer' THEN TRY_CAST(v AS DECIMAL(38, 0)) END AS integer_value, CASE WHEN column_type = 'decimal' THEN TRY_CAST(v AS DOUBLE) END AS decimal_value,
-  CASE WHEN column_type = 'day' THEN TRY_CAST(v AS DATE) END AS day_value, CASE WHEN column_type = 'flag' THEN lower(v) = 'true' END AS flag_value FROM each"""
+SELECT row_id, file_id, row_no, column_no, column_name, column_type, v AS trimmed_value, CASE WHEN column_type = 'integer' THEN CAST(TRY_CAST(v AS DECIMAL(38, 0)) AS VARCHAR) END AS integer_value, CASE WHEN column_type = 'decimal' THEN TRY_CAST(v AS DOUBLE) END AS decimal_value,
+  CASE WHEN column_type = 'day' THEN CAST(TRY_CAST(v AS DATE) AS VARCHAR) END AS day_value, CASE WHEN column_type = 'flag' THEN lower(v) END AS flag_value FROM each"""
 
 SQL: dict[str, str] = {"p1_found": _P1_FOUND, "p1_branches": _P1_BRANCHES, "p1_records": _P1_RECORDS, "p3_found": _P3, "p3_rejects": _P3_REJECTS, "p3_cells": _P3_CELLS}

@@ -198,8 +198,8 @@ SELECT name, any_value(n) AS "values", string_agg(value, ' | ' ORDER BY value) A
     "code_imports": f"""WITH {_BOUND.split(", l AS")[0]}, l AS (SELECT path, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM s),
 i AS (SELECT path, line, coalesce({", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')" for p in _IMPORTS)}) AS imported FROM l WHERE line <= 60) SELECT path, line, imported FROM i WHERE imported IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY line) <= 12""",
     "http_routes": """WITH k AS (SELECT n_nationkey AS k, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation)
-SELECT 'nested/' || r AS path, i + 2 AS line, 'GET' AS method, '/r' || r || '/' || k AS route, '' AS handler, 0.7 AS confidence FROM k UNION ALL SELECT 'nested/' || r, n + 4, 'POST', '/top', '', 0.7 FROM k WHERE i = 1
-UNION ALL SELECT 'marked/' || r, 3 * i, 'PUT', '/r' || r || '/' || k, 'make' || k, 0.9 FROM k UNION ALL SELECT 'called/' || r, i + 1, 'DELETE', '/x/' || k, 'drop' || k, 0.9 FROM k""",
+SELECT 'nested/' || r AS path, i + 2 AS line, 'GET' AS method, '/r' || r || '/' || k AS route, '' AS handler, 0.7::DOUBLE AS confidence FROM k UNION ALL SELECT 'nested/' || r, n + 4, 'POST', '/top', '', 0.7::DOUBLE FROM k WHERE i = 1
+UNION ALL SELECT 'marked/' || r, 3 * i, 'PUT', '/r' || r || '/' || k, 'make' || k, 0.9::DOUBLE FROM k UNION ALL SELECT 'called/' || r, i + 1, 'DELETE', '/x/' || k, 'drop' || k, 0.9::DOUBLE FROM k""",
     "section_ends": rf"""WITH {_DOC_LINES}, t AS (SELECT path, max(line) AS total FROM l GROUP BY path),
 m AS (SELECT path, line, length(regexp_extract(text, '^(#{{1,6}}) ', 1)) AS level FROM l WHERE regexp_matches(text, '^#{{1,6}} '))
 SELECT m.path, m.line, m.level, coalesce((SELECT min(n.line) FROM m n WHERE n.path = m.path AND n.line > m.line AND n.level <= m.level) - 1, t.total) AS end_line FROM m JOIN t ON t.path = m.path""",

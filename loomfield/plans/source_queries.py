@@ -83,7 +83,7 @@ def last_reset(spark: SparkSession, folder: str) -> DataFrame:
     """The last readable marker; every line that is no purchase has a torn one."""
     e = table(spark, folder, "events").where("ts is not null")
     torn = F.when(F.col("event_type") == "purchase", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("torn")
-    return usage.last_reset(e.select(torn.alias("reset_at"), F.col("event_id").alias("line_no")))
+    return usage.last_reset(e.select(torn.alias("reset_at"), F.col("event_id").alias("line_no"))).select(F.date_format("reset_at", "yyyy-MM-dd HH:mm:ss").alias("reset_at"))
 
 
 def index_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -385,8 +385,8 @@ _DIALECT = _RETRIEVAL["csv_dialects"]
 SQL = {
     "csv_windows": _DIALECT[: _DIALECT.index("c AS (SELECT file_id, list_transform")]
     + r"""z AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY row_no) AS row FROM a WHERE row_no <= 20),
-v AS (SELECT file_id, row, unnest(cells) AS c, unnest(range(1, len(cells) + 1)) AS column_no FROM (SELECT file_id, row, regexp_extract_all(x || d, '("(?:[^"]|"")*(?:"[^' || e || '
-]*|$)|[^' || e || '
+v AS (SELECT file_id, row, unnest(cells) AS c, unnest(range(1, len(cells) + 1)) AS column_no FROM (SELECT file_id, row, regexp_extract_all(x || d, '("(?:[^"]|"")*(?:"[^' || e || '
+]*|$)|[^' || e || '
 ]*)(?:' || e || ')', 1) AS cells FROM z WHERE row BETWEEN 2 AND 6))
 SELECT file_id, row, column_no, CASE WHEN starts_with(c, '"') THEN replace(regexp_extract(c, '^"((?:[^"]|"")*)"?', 1), '""', '"') || regexp_extract(c, '^"(?:[^"]|"")*"([^"]*)$', 1) ELSE c END AS value FROM v""",
     "graph_files": "SELECT n_name AS name, 'r' || n_regionkey AS path, n_nationkey AS line, 'definition' AS role FROM nation UNION ALL SELECT n_name, 'r' || (n_regionkey + 1) % 5, n_nationkey + 1, 'reference' FROM nation",
@@ -403,7 +403,7 @@ SELECT bool_and(n = 1) AS all_written, true AS some_written, count(*) FILTER (n
     "session_logs": f"""WITH {_EV}, w AS (SELECT user_id, event_id, day, event_type, greatest(0, CAST(floor(value) AS BIGINT)) AS v FROM e WHERE user_id IS NOT NULL AND date_trunc('second', ts) >= TIMESTAMP '2024-01-10'),
 b AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY v DESC, event_id) = 1)
 SELECT CAST(user_id AS VARCHAR) AS session, 'm1' AS model, CAST(sum(v) AS BIGINT) AS input, count(*) AS output, count(*) AS requests FROM b WHERE user_id IN (SELECT user_id FROM w WHERE event_type = 'purchase') GROUP BY user_id""",
-    "last_reset": f"WITH {_EV} SELECT date_trunc('second', arg_max(ts, event_id)) AS reset_at FROM e WHERE event_type = 'purchase'",
+    "last_reset": f"WITH {_EV} SELECT strftime(arg_max(ts, event_id), '%Y-%m-%d %H:%M:%S') AS reset_at FROM e WHERE event_type = 'purchase'",
     "index_files": "SELECT file_path AS path, max(served_at) AS at, count(*) FILTER (relation = 'definition') AS n FROM hop1_context WHERE file_path IS NOT NULL GROUP BY 1",
     "scip_definitions": f"WITH {_OCC} SELECT symbol, x[1] AS path, x[2] AS line FROM d",
     "scip_imports": f"WITH {_OCC} SELECT DISTINCT h.path, x[1] AS imported FROM h JOIN d USING (symbol) WHERE NOT h.def AND h.path <> x[1]",

@@ -170,7 +170,7 @@ v AS (SELECT t, lower(array_to_string(p, '-')) AS k, lower(array_to_string(p, '_
     "first_evidence": """SELECT file_path, evidence_id, evidence_kind FROM query_evidence WHERE file_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY CASE evidence_kind WHEN 'test-block' THEN 0 WHEN 'json-key' THEN 1 ELSE 2 END, evidence_id) = 1""",
     "reused_edges": """WITH f AS (SELECT file_path AS p, arg_min(fingerprint, (served_at, surface_id)) AS a, arg_max(fingerprint, (served_at, surface_id)) AS b FROM served_surfaces WHERE file_path IS NOT NULL AND fingerprint <> '' GROUP BY 1)
 SELECT p AS src_path, CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') ELSE '.' END AS dst, CASE WHEN a = b THEN 'before' ELSE 'now' END AS made FROM f""",
-    "fitted_tables": _P3_CELLS[: _P3_CELLS.index("SELECT row_id, file_id, row_no, column_no")] + "SELECT file_id, CASE " + " ".join(f"WHEN b{k} <= 1024 THEN {k + 1}" for k in range(4)) + " END AS step, CASE " + " ".join(f"WHEN b{k} <= 1024 THEN b{k}" for k in range(4)) + " END AS bytes FROM (SELECT file_id, "
+    "fitted_tables": _P3_CELLS[: _P3_CELLS.index("SELECT row_id, file_id, row_no, column_no")] + "SELECT file_id, CASE " + " ".join(f"WHEN b{k} <= 1024 THEN {k + 1}" for k in range(4)) + " END AS step, CASE " + " ".join(f"WHEN b{k} <= 1024 THEN CAST(b{k} AS BIGINT)" for k in range(4)) + " END AS bytes FROM (SELECT file_id, "
     + ", ".join(f"sum(CASE WHEN column_no <= {c} AND row_no <= {r} THEN strlen(left(coalesce(v, ''), {n})) + 3 ELSE 0 END) AS b{k}" for k, (c, r, n) in enumerate(_LADDER)) + " FROM each GROUP BY file_id)",
     "clamped_values": "SELECT event_id, CASE WHEN value IS NULL OR isnan(value) OR value - 20 < 1 THEN 5.0 ELSE least(value - 20, 60.0) END AS limited, CASE WHEN value IS NULL OR isnan(value) OR isinf(value) THEN 0 ELSE greatest(0, CAST(floor(value - 20 + 0.5) AS BIGINT)) END AS counted FROM events",
     "middle_lines": "SELECT doc_id, 1 + length(left(text, length(text) // 2)) - length(replace(left(text, length(text) // 2), chr(10), '')) AS line FROM documents WHERE text IS NOT NULL",

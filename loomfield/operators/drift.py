@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfield.session import checkpointed, lag_in_blocks, spread
+from loomfield.session import checkpointed, lag_in_blocks, likely, spread
 
 #: The record's fields and types.
 RECORD = {"client": "string", "model": "string", "inputTokens": "bigint", "cacheWriteTokens": "bigint", "cacheReadTokens": "bigint", "outputTokens": "bigint", "totalTokens": "bigint", "requestCount": "bigint"}
@@ -48,8 +48,6 @@ SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 NUMERIC = re.compile(r"[+-]?\d+(?:\.\d+)?\Z")
 #: So many of the lowest hashes of a path's texts are kept: equal sets keep equal ones, however large they are.
 KEPT = 8
-#: Hashed numbers of files.
-SLOTS = 1 << 18
 #: Numbers below this, on the average, are too small to tell fields apart by; and how far apart, in powers of two, like ones may be.
 LARGE, NEAR = 6.0, 1.0
 
@@ -319,8 +317,8 @@ def changes(lines: DataFrame, rules: Rules = USAGE) -> DataFrame:
     A stream's first readable file has no change. Late, repeated and reordered lines change nothing. Only fused schemas are
     shuffled: rows of a file's width, however many lines it has; files are compared in blocks of a stream, so that a stream
     with a third of all files is not one task's work. Where names leave both a path that is gone and one that came, the values of
-    this file and the one before are looked at: lines are read again, those of other files left out by hashed numbers of the files asked for (of which
-    there are ``SLOTS``, so that they can be broadcast), and no line is shuffled.
+    this file and the one before are looked at: lines are read again, those of other files left out by hashed numbers of the files asked for,
+    and no line is shuffled.
     """
     keys = _keys(lines)
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
@@ -348,8 +346,7 @@ def changes(lines: DataFrame, rules: Rules = USAGE) -> DataFrame:
     named = checkpointed(paired.mapInPandas(by_names, f"{keys}, {told}, before_no bigint, fields {wide}, before {wide}"))
     unsure = named.where("change_kind is null").withColumn("before_no", F.col("before_no").cast(kinds["file_no"]))
     asked = unsure.select("stream_id", "file_no").union(unsure.select("stream_id", "before_no"))
-    slot = F.pmod(F.xxhash64("stream_id", "file_no"), F.lit(SLOTS)).cast("int").alias("_slot")
-    looked = lines.withColumn("_slot", slot).join(F.broadcast(asked.select(slot).distinct()), "_slot", "left_semi")  # at most SLOTS numbers
+    looked = likely(lines, ["stream_id", "file_no"], asked)
     looked = checkpointed(sketches(looked))
     seen = looked.withColumnRenamed("sketches", "seen")
     was = looked.select("stream_id", F.col("file_no").alias("before_no"), F.col("sketches").alias("was"))

@@ -9,7 +9,7 @@ from loomfield.functions import text as tx
 from loomfield.operators import graph, intervals, search, symbols, trees
 from loomfield.plans.lexed_sql import IS_NOISE, IS_TEST, SYMBOLS, parts
 from loomfield.plans.search_queries import windows
-from loomfield.session import checkpointed, table
+from loomfield.session import checkpointed, likely, table
 
 
 def _paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,8 +167,9 @@ def _doc_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(symbols, tokens): the names declared in windows, by file, and the tokens of files."""
     code = windows(spark, folder)
     found = symbols.symbols(code).select(F.regexp_replace("path", r"@\d+\z", "").alias("path"), "name", F.struct("path", "line").alias("position"))
-    tokens = code.select(F.regexp_replace("path", r"@\d+\z", "").alias("path"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(f"({tx.IDENTIFIER})"), F.lit(1)))).alias("token")).distinct()
-    return checkpointed(found), checkpointed(tokens)
+    found = checkpointed(found)
+    tokens = code.select(F.regexp_replace("path", r"@\d+\z", "").alias("path"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(f"({tx.IDENTIFIER})"), F.lit(1)))).alias("token"))
+    return found, checkpointed(likely(tokens, ["token"], found.select("name")).distinct())
 
 
 def file_graph(spark: SparkSession, folder: str) -> DataFrame:

@@ -89,6 +89,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Hashed numbers of keys; so many at most are broadcast.
+SLOTS = 1 << 18
+
+
+def likely(df: DataFrame, columns: list[str], keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose columns may be among those of ``keys``, by hashed numbers of which there are ``SLOTS``, so that they can be broadcast.
+
+    For what an exact join follows: no row that it needs is lost, and most others never reach its shuffle. Columns are matched by position.
+    """
+    slot = lambda names: F.pmod(F.xxhash64(*names), F.lit(SLOTS)).cast("int").alias("_slot")
+    return df.withColumn("_slot", slot(columns)).join(F.broadcast(keys.select(slot(keys.columns)).distinct()), "_slot", "left_semi").drop("_slot")  # at most SLOTS numbers
+
+
 def rows_of(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     """A small literal table."""
     return spark.createDataFrame(list(rows), schema)

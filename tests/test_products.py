@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from loomfield.operators import graph, products
@@ -54,3 +55,15 @@ def test_edges_are_not_shuffled_and_blocks_give_each_once(spark, rows):
     u = spark.createDataFrame([(p, [w]) for p, w in full(uses)], "path string, words array<string>")
     assert rows(products.shared_words(u, d, 120, held=13)) == want
     assert products.shared_words(u, d.limit(0), 0).count() == 0 and products.shared_words(u.limit(0), d, 120).count() == 0
+
+
+def test_words_are_written_once_however_many_blocks_they_meet(spark):
+    uses, names = [(f"f{n % 300:03}", [f"w{n % 7}", f"v{n}"]) for n in range(900)], [(f"f{n:03}", [f"w{n % 7}", f"x{n}"]) for n in range(400)]
+    u, d = spark.createDataFrame([*uses, (None, ["w1"]), ("none", [])], "path string, words array<string>"), spark.createDataFrame(names, "path string, words array<string>")
+    df = products.shared_words(u, d, 800, held=200)  # 4 blocks of definitions, 16 or more of uses
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Generate explode(codes" in plan  # nothing but pairs is multiplied
+    assert df.count() == len({(p, q) for p, a in uses for q, b in names if a[0] == b[0] and p != q})
+    files = [pq.read_table(f.removeprefix("file:")).column("path").to_pylist() for f in products.blocks(u, 8)]
+    assert len(files) > 4 and sorted(p for f in files for p in f) == sorted(p for p, _ in uses)
+    assert all(f == sorted(f) for f in files) and sum(len(set(f)) for f in files) == 300

@@ -67,3 +67,11 @@ def test_words_are_written_once_however_many_blocks_they_meet(spark):
     files = [pq.read_table(f.removeprefix("file:")).column("path").to_pylist() for f in products.blocks(u, 8)]
     assert len(files) > 4 and sorted(p for f in files for p in f) == sorted(p for p, _ in uses)
     assert all(f == sorted(f) for f in files) and sum(len(set(f)) for f in files) == 300
+
+
+def test_blocks_are_read_from_folders_of_any_name(tmp_path):
+    folder = tmp_path / "a b%20\u00e9"
+    folder.mkdir()
+    pq.write_table(pa.table({"path": ["p"], "text": ["w"]}), folder / "x.parquet")
+    file = f"file://{tmp_path}/a%20b%2520\u00e9/x.parquet"  # as Spark writes it
+    assert [b.to_pylist() for b in products._read(file, 3, 1)] == [[{"cell": 3, "kind": 1, "path": "p", "text": "w"}]]
